@@ -5,17 +5,70 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loadlens.llm.common import table
+from loadlens.llm import nblr_toxicity
+from loadlens.llm.chat_windows import format_windows, read_back
+from loadlens.llm.common import materialize, table
+from loadlens.llm.edit_decontam import leaks
+from loadlens.llm.ego_join import near_vectors
+from loadlens.llm.feistel_pii import pseudonymise
+from loadlens.llm.mixing import mix_sources
 from loadlens.llm.parity_join import jaccard_components
+from loadlens.llm.resync_tokens import token_counts
+from loadlens.llm.tier_compaction import shard_map
+from loadlens.llm.zip_warc import round_trip
+
+
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.sql("select -7L as conv_id, t.turn, t.role, '</s>[INST] ok [/INST]' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return read_back(materialize(format_windows(turns), "windows"))
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is a fixed one for reproducible checks; in production it is a secret."""
+    return pseudonymise(table(spark, sf_dir, "documents"), key="reproducible")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = nblr_toxicity.train(docs.where(~nblr_toxicity.held_out()), table(spark, sf_dir, "labels"))
+    return nblr_toxicity.score(docs.withColumn("held_out", nblr_toxicity.held_out()), model, "doc_id", "held_out")
+
+
+def op8_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_map(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
+    return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_jaccard,)}
+    found = (op1_chat_windows, op2_source_mix, op3_ngram_jaccard, op4_decontamination, op5_warc_zip, op6_pseudonyms, op7_toxicity, op8_embedding_links, op9_shards, op10_token_counts)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
