@@ -73,7 +73,7 @@ def _features(orders: tuple[int, ...], keep: np.ndarray, rank: np.ndarray):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = (4, 6), max_rows: int = 20_000, max_features: int = 20_000, alpha: float = 1.0, reg: float = 0.001, seed: int = 11) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = (4, 6), max_rows: int = 20_000, max_features: int = 20_000, alpha: float = 1.0, reg: float = 1e-4, seed: int = 11) -> ToxicityModel:
     """Fit on rows of docs (doc_id, text) that have a label in labels (doc_id, toxic).
 
     At most about max_rows labelled documents are used, chosen by a seeded hash of doc_id: the documented bound of the

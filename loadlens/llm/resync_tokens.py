@@ -123,7 +123,7 @@ def _spliced(texts: DataFrame, model_name: str, chunk: int, overlap: int) -> Dat
     coded = materialize(coded, "chunks")
     left, right = coded.where("part + 1 < parts").alias("l"), coded.where("part > 0").alias("r")
     common = F.array_min(F.array_intersect(F.col("l.tail.at"), F.col("r.head.at")))
-    count = lambda marks: F.filter(marks, lambda m: m["at"] == F.col("at"))[0]["n"]
+    count = lambda marks: F.get(F.filter(marks, lambda m: m["at"] == F.col("at")), F.lit(0))["n"]
     seams = left.join(right, (F.col("l.h") == F.col("r.h")) & (F.col("l.part") + 1 == F.col("r.part"))).select(F.col("l.h").alias("h"), common.alias("at"), F.col("l.n").alias("n"), F.col("l.tail").alias("tail"), F.col("r.head").alias("head"))
     # at each seam the left chunk's tokens after it and the right chunk's tokens before it are surplus
     surplus = seams.select("h", (F.col("n") - count(F.col("tail")) + count(F.col("head"))).alias("surplus"))
