@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Units of numbers, in order of their powers of 1000.
 _UNITS = "KMGTPE"
@@ -259,7 +260,7 @@ def clean_identifier(value: Column) -> Column:
     return F.nullif(F.trim(bare), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
 
