@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadlens.operators.activity import CAPTURE, first_row_per_session
 
 #: Rounds of the walk between two cuts of the lineage.
 _CUT_EVERY = 8
-_KEY = F.concat_ws(":", "source_id", F.coalesce(F.col("capture_s").cast("string"), F.lit("unknown")))
+
+
+def _key() -> Column:
+    return F.concat_ws(":", "source_id", F.coalesce(F.col("capture_s").cast("string"), F.lit("unknown")))
 
 
 def blocking_chain(activity: DataFrame, max_depth: int = 10_000) -> DataFrame:
@@ -19,7 +22,7 @@ def blocking_chain(activity: DataFrame, max_depth: int = 10_000) -> DataFrame:
     blocker. If a session comes back, the walk is not complete and its root is the smallest visited. Each round extends
     the unfinished walks alone by one equi-join, so there are as many rounds as the longest chain is deep.
     """
-    rows = activity.withColumn("capture_key", _KEY)
+    rows = activity.withColumn("capture_key", _key())
     parents = first_row_per_session(rows).select(F.col("capture_key").alias("pk"), F.col("session_id").alias("ps"), F.when(F.col("blocking_session_id") > 0, F.col("blocking_session_id")).alias("parent"))
     kept = ["capture_key", "source_id", "capture_s", "row_number"]
     open_ = rows.where("session_id is not null and blocking_session_id > 0").select(*kept, F.array("session_id").alias("path"), F.col("blocking_session_id").alias("current"))
@@ -44,7 +47,7 @@ def blocking_snapshots(activity: DataFrame, chains: DataFrame | None = None) ->
     """Per capture and root: participants, victims, depth, whether the chain is complete, and the root's state."""
     chains = blocking_chain(activity) if chains is None else chains
     keys = ["capture_key", "source_id", "capture_s", "root"]
-    first = first_row_per_session(activity.withColumn("capture_key", _KEY)).select(F.col("capture_key").alias("fk"), F.col("session_id").alias("fs"), "status", "open_tran_count", "blocked_session_count", "wait_ms", F.col("row_number").alias("first_row"))
+    first = first_row_per_session(activity.withColumn("capture_key", _key())).select(F.col("capture_key").alias("fk"), F.col("session_id").alias("fs"), "status", "open_tran_count", "blocked_session_count", "wait_ms", F.col("row_number").alias("first_row"))
     walks = chains.groupBy(*keys).agg(F.max(F.size("path") - 1).alias("max_chain_depth"), F.bool_and("complete").alias("walks_complete"))
     members = chains.select(*keys, F.explode("path").alias("session_id")).distinct().join(first, (F.col("capture_key") == F.col("fk")) & (F.col("session_id") == F.col("fs")), "left")
     is_root = F.col("session_id") == F.col("root")
@@ -60,7 +63,7 @@ def blocking_snapshots(activity: DataFrame, chains: DataFrame | None = None) ->
 
 def top_victims(activity: DataFrame, chains: DataFrame, n: int = 5) -> DataFrame:
     """The n longest waiting participants of each snapshot, without its root."""
-    first = first_row_per_session(activity.withColumn("capture_key", _KEY)).select(F.col("capture_key").alias("fk"), F.col("session_id").alias("fs"), "wait_ms")
+    first = first_row_per_session(activity.withColumn("capture_key", _key())).select(F.col("capture_key").alias("fk"), F.col("session_id").alias("fs"), "wait_ms")
     people = chains.select("capture_key", "root", F.explode("path").alias("session_id")).distinct().where("session_id <> root").join(first, (F.col("capture_key") == F.col("fk")) & (F.col("session_id") == F.col("fs")), "left")
     w = Window.partitionBy("capture_key", "root").orderBy(F.coalesce("wait_ms", F.lit(-1)).desc(), "session_id")
     return people.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("capture_key", "root", "rank", "session_id", "wait_ms")
