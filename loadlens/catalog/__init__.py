@@ -6,7 +6,7 @@ from importlib import import_module
 
 from loadlens.catalog.base import Query
 
-MODULES = ("scalars", "activity", "rules")
+MODULES = ("scalars", "activity", "rules", "joins")
 
 
 def queries() -> dict[str, Query]:

@@ -66,7 +66,7 @@ SELECT o_orderkey AS statement_id, concat('plan-', CAST(o_custkey % 400 AS $STR)
   CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey % 1500 AS DOUBLE) ELSE NULL END AS granted_mb, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey % 1500 AS DOUBLE) / (1 + o_orderkey % 12) ELSE NULL END AS used_mb,
   CASE WHEN o_orderkey % 4 = 0 THEN 'EstimatedDOPIsOne' WHEN o_orderkey % 7 = 0 THEN 'TSQLUserDefinedFunctionsNotParallelizable' ELSE NULL END AS nonparallel_reason,
   concat('h', CAST(o_orderkey AS $STR)) AS plan_handle, concat('q', CAST(o_custkey AS $STR)) AS query_hash, concat('p', CAST(o_custkey % 50 AS $STR)) AS plan_hash,
-  CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey % 977 ELSE NULL END AS qs_query_id, o_custkey % 5 AS database_id, concat('SELECT ', CAST(o_orderkey % 20 AS $STR), ' FROM orders') AS statement_text
+  CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey % 977 ELSE NULL END AS qs_query_id, o_custkey % 5 AS database_id, concat('SELECT ', CAST(o_orderkey % 20 AS $STR), ' FROM sales') AS statement_text
 FROM orders""",
     "spills": """
 SELECT o_orderkey AS source_order, CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderkey % 40 = 0 THEN 0 ELSE CAST(floor(o_totalprice) AS DOUBLE) END AS total_pages,
@@ -84,10 +84,16 @@ SELECT event_id AS id, user_id AS session_id, CASE WHEN event_type IN ('view', '
   CASE WHEN event_id % 5 = 0 THEN 'KEY' WHEN event_id % 5 = 1 THEN 'OBJECT' ELSE 'PAGE' END AS resource_type, user_id % 3 AS database_id,
   CASE WHEN event_id % 13 = 0 THEN NULL ELSE user_id % 10 END AS entity_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE concat('(', CAST(event_id % 20 AS $STR), ')') END AS description
 FROM events""",
+    "ident": """
+SELECT o_orderkey AS id, o_orderkey % 2 AS side, CASE WHEN o_orderkey % 6 < 2 THEN o_custkey END AS qs_query_id, CASE WHEN o_orderkey % 6 < 2 THEN o_orderkey % 5 END AS qs_plan_id, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_custkey % 4 END AS database_id,
+  CASE WHEN o_orderkey % 4 = 0 THEN concat('0xH', CAST(o_custkey * 3 AS $STR)) WHEN o_orderkey % 4 = 1 THEN concat('h', CAST(o_custkey * 3 AS $STR)) END AS plan_handle,
+  CASE WHEN o_orderkey % 5 < 3 THEN concat('s', CAST(o_custkey AS $STR)) END AS sql_handle, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 2 * 0 + 4 WHEN o_orderkey % 3 = 1 THEN 8 END AS start_offset, CASE WHEN o_orderkey % 3 < 2 THEN 40 END AS end_offset,
+  concat('q', CAST(o_custkey AS $STR)) AS query_hash, CASE WHEN o_orderkey % 7 < 4 THEN concat('p', CAST(o_custkey % 20 AS $STR)) END AS plan_hash, o_custkey AS session_id, CASE WHEN o_orderkey % 8 < 5 THEN 0 END AS request_id, CASE WHEN o_orderkey % 10 < 6 THEN 77 END AS transaction_id
+FROM orders""",
     "inputs": """
 SELECT concat('file-', CAST(user_id % 6 AS $STR)) AS input_id, event_id, CASE CAST(event_id % 12 AS INTEGER) WHEN 0 THEN '[Session_ID]' WHEN 1 THEN 'wait_info' WHEN 2 THEN 'CPU' WHEN 3 THEN 'cpu'
   WHEN 4 THEN 'collection_time' WHEN 5 THEN '%cpu' WHEN 6 THEN ' status ' WHEN 7 THEN 'node_id' WHEN 8 THEN 'blocking_session_id' WHEN 9 THEN 'open_tran_count' WHEN 10 THEN 'sql_text_full' ELSE event_type END AS header,
-  CAST(event_id / 12 AS BIGINT) % 30 AS line_no
+  CAST(floor(event_id / 12) AS BIGINT) % 30 AS line_no
 FROM events""",
 }
 
