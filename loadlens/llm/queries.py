@@ -71,5 +71,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_CONTROLS = r"<\|im_start\|>|<\|im_end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>"
+_ESCAPED = r"length(replace({0}, '\', '\\')) + len(regexp_extract_all(replace({0}, '\', '\\'), '" + _CONTROLS + "'))"
+_OP1 = rf"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tokens, 12 + {_ESCAPED.format("role")} + len(regexp_extract_all(role, chr(10))) + 1 + {_ESCAPED.format("text")} + 11 AS chars FROM turns),
+placed AS (SELECT *, row_number() OVER o - 1 AS place, coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sized WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))),
+spans AS (SELECT *, 2 * CAST(floor(start / 256) AS BIGINT) + CASE WHEN tokens > 256 THEN 1 ELSE 0 END AS span FROM placed),
+firsts AS (SELECT conv_id, span, min(place) AS first, sum(chars) AS own FROM spans GROUP BY ALL),
+windows AS (SELECT f.conv_id, f.own + coalesce(sum(h.chars), 0) + CASE WHEN f.first > 2 THEN max(coalesce(y.chars, 0)) ELSE 0 END AS chars FROM firsts f
+ LEFT JOIN spans h ON h.conv_id = f.conv_id AND h.place < f.first AND h.place >= f.first - 2 LEFT JOIN spans y ON y.conv_id = f.conv_id AND y.place = 0 AND y.role = 'system' GROUP BY f.conv_id, f.span, f.first, f.own),
+shown AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars, count(*) AS n_windows FROM windows GROUP BY conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY place)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, any_value(formatted_chars) AS formatted_chars, any_value(n_windows) AS n_windows FROM placed JOIN shown USING (conv_id) GROUP BY conv_id"""
+_REACH = """reach AS (SELECT {id} AS v, {id} AS u FROM {table} UNION SELECT r.v, l.b FROM reach r JOIN links l ON l.a = r.u)"""
+_OP3 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s), common AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS m, any_value(y.n) AS n, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 85 * (m + n - c)), {_REACH.format(id="doc_id", table="documents")}
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM s JOIN (SELECT v, min(u) AS component_id FROM reach GROUP BY v) ON v = doc_id"""
+_OP5 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), d AS (SELECT *, octet_length(b) AS n, sha256(b) AS digest FROM p), f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
+_OP8 = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL), fine AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM fine x JOIN fine y ON x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.95), {_REACH.format(id="vec_id", table="embeddings")}
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN (SELECT v, min(u) AS component_id FROM reach GROUP BY v) r ON r.v = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The queries that SQL can express. The others are tested against brute force, round trips and held-out accuracy."""
+    return {"op1_chat_windows": _OP1.strip(), "op3_ngram_jaccard": _OP3.strip(), "op5_warc_zip": _OP5.strip(), "op8_embedding_links": _OP8.strip()}
