@@ -2,7 +2,9 @@
 
 A test item that occurs in a text with at most e edits, cut into e+1 pieces, has one piece there unchanged. So pieces are
 looked up exactly, all at once, by an Aho-Corasick automaton; around each hit the item is aligned with Myers' bit-parallel
-algorithm, which gives the least edit distance to any passage of the window.
+algorithm, which gives the least edit distance to any passage of the window. The pieces form a binary tree in which a run
+of k pieces may have k-1 edits. If a run matches within its budget, one of its halves does within its own, so from the
+piece that was hit runs are checked upwards, and the whole item only where all runs below it matched.
 """
 
 from __future__ import annotations
@@ -32,13 +34,18 @@ def pieces_of(item: str, rate: float) -> tuple[int, list[tuple[int, str]]]:
     return budget, [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def myers(item: str, window: str) -> tuple[int, int]:
-    """Least edit distance of item to a substring of window, and where the first such substring ends."""
-    m = len(item)
-    full, top = (1 << m) - 1, 1 << (m - 1)
+def positions(item: str) -> dict[str, int]:
+    """For each character, the bits of the places where it stands."""
     eq: dict[str, int] = {}
     for i, c in enumerate(item):
         eq[c] = eq.get(c, 0) | 1 << i
+    return eq
+
+
+def myers(eq: dict[str, int], m: int, window: str, enough: int = 0) -> tuple[int, int]:
+    """Least edit distance of an item of m characters (given as positions) to a substring of window, and where the first such
+    substring ends; or the first distance found that is not above enough."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score = full, 0, m
     best, end = m, 0
     for j, c in enumerate(window):
@@ -57,51 +64,76 @@ def myers(item: str, window: str) -> tuple[int, int]:
         mv = ph & xv
         if score < best:
             best, end = score, j + 1
+            if best <= enough:
+                break
     return best, end
 
 
+def runs_above(n: int) -> list[list[tuple[int, int]]]:
+    """For each of n pieces, the runs of pieces that hold it, from the smallest of two or more up to all but the whole."""
+    above: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    todo = [(0, n)]
+    while todo:
+        i, j = todo.pop()
+        if j - i > 1:
+            if j - i < n:
+                for p in range(i, j):
+                    above[p].insert(0, (i, j))
+            todo += [(i, (i + j) // 2), ((i + j) // 2, j)]
+    return above
+
+
 @lru_cache(maxsize=2)
 def _automaton(items: tuple[tuple[int, str], ...], rate: float):
     import ahocorasick
 
     found: dict[str, list[tuple[int, int]]] = {}
-    budgets = []
+    known = []
     for k, (_, item) in enumerate(items):
         budget, pieces = pieces_of(item, rate)
-        budgets.append(budget)
-        for at, piece in pieces:
-            found.setdefault(piece, []).append((k, at))
+        cuts = [at for at, _ in pieces] + [len(item)]
+        runs = {r: positions(item[cuts[r[0]] : cuts[r[1]]]) for above in runs_above(len(pieces)) for r in above}
+        known.append((budget, cuts, runs_above(len(pieces)), runs, positions(item)))
+        for p, (_, piece) in enumerate(pieces):
+            found.setdefault(piece, []).append((k, p))
     a = ahocorasick.Automaton()
     for piece, places in found.items():
         a.add_word(piece, (len(piece), places))
     a.make_automaton()
-    return a, budgets
+    return a, known
 
 
 def matches(text: str, items: tuple[tuple[int, str], ...], rate: float) -> Iterator[tuple[int, int, int]]:
     """(item number, edit distance, end in the normalised text) of each item that text holds within its budget."""
-    automaton, budgets = _automaton(items, rate)
+    automaton, known = _automaton(items, rate)
     text = normalise(text)
     starts: dict[int, set[int]] = {}
     for end, (length, places) in automaton.iter(text):
-        for k, at in places:
-            starts.setdefault(k, set()).add(end - length + 1 - at)
+        for k, p in places:
+            _, cuts, above, runs, _ = known[k]
+            start = end - length + 1 - cuts[p]
+            for i, j in above[p]:
+                slack = j - i - 1
+                window = text[max(0, start + cuts[i] - slack) : max(0, start + cuts[j] + slack)]
+                if myers(runs[i, j], cuts[j] - cuts[i], window, slack)[0] > slack:
+                    break
+            else:
+                starts.setdefault(k, set()).add(start)
     for k, at in starts.items():
-        item, e = items[k][1], budgets[k]
+        item, (e, _, _, _, eq) = items[k][1], known[k]
         m, best = len(item), None
         for start in at:
             if start >= 0 and text.startswith(item, start):
                 stop = start + m
                 if m >= SHORT or (start == 0 or text[start - 1] == " ") and (stop == len(text) or text[stop] == " "):
-                    best = (0, stop)
-                    break
+                    best = (0, stop) if best is None else min(best, (0, stop))
         if best is None and e:
             # starts that lie close share a window
             lo = hi = None
             for start in [*sorted(at), None]:
                 if lo is not None and (start is None or start > hi + e):
                     a = max(0, lo - e)
-                    d, stop = myers(item, text[a : hi + m + e])
+                    d, stop = myers(eq, m, text[a : max(0, hi + m + e)])
                     if d <= e and (best is None or d < best[0]):
                         best = (d, a + stop)
                     lo = None
