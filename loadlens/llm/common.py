@@ -55,6 +55,17 @@ def discard(df_or_path, spark: SparkSession | None = None) -> None:
         fs.delete(at, True)
 
 
+#: Rows of one long each that a semi-join may broadcast, about 100 MB. Beyond it both sides are shuffled.
+BROADCAST_IDS = 4_000_000
+
+
+def rows_with(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of df whose column name is in ids (one column of that name, distinct, materialized).
+
+    ids are broadcast after a look at their number; more of them than BROADCAST_IDS go through a shuffle join."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, name, "left_semi")
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from loadlens.llm.common import discard, materialize
+from loadlens.llm.common import discard, materialize, rows_with
 from loadlens.llm.graph import components
 
 _MASK48 = np.uint64((1 << 48) - 1)
@@ -203,7 +203,9 @@ def _overlap(n: int):
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(a, b, common): the shared shingles of each pair, counted on the whole texts."""
+    """(a, b, common): the shared shingles of each pair, counted on the whole texts. Only texts of the pairs are shuffled."""
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    texts = rows_with(texts.where("doc_id is not null"), ids, "doc_id")
     right = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "b", F.col("text").alias("text_b"))
     both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_overlap(n), "a long, b long, common long").dropDuplicates(["a", "b"])
@@ -228,7 +230,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
     sets = materialize(base.mapInArrow(_sets(shingle), "doc_id long, n_shingles long, fp_hi long, fp_lo long, sketch array<long>"), "sets")
     alive = sets.where("n_shingles > 0 and doc_id is not null")
     # exact copies of a set: one class each, named by its smallest doc_id
-    classes = alive.groupBy("fp_hi", "fp_lo").agg(F.min("doc_id").alias("cls"))
+    classes = materialize(alive.groupBy("fp_hi", "fp_lo").agg(F.min("doc_id").alias("cls")), "classes")
     member = materialize(alive.join(classes, ["fp_hi", "fp_lo"]).select("doc_id", "cls", F.col("n_shingles").alias("size"), F.when(F.col("doc_id") == F.col("cls"), F.col("sketch")).alias("sketch")).dropDuplicates(["doc_id", "cls"]), "member")
     kind = member.where("doc_id = cls").select("cls", "size", "sketch").dropDuplicates(["cls"])
 
