@@ -21,7 +21,7 @@ MATCH = f"""{_ID}, m0 AS (SELECT l.id AS l_id, r.id AS r_id, {' + '.join(_D(k) f
   WHEN {_S('query_hash')} THEN CASE WHEN {_S('plan_hash')} THEN 'Strong' ELSE 'Candidate' END WHEN {_S('session_id', 'request_id')} THEN CASE WHEN {_S('transaction_id')} THEN 'Exact' ELSE 'Strong' END ELSE 'None' END AS quality, r.id % 3 <> 0 AS actual
  FROM idn l JOIN idn r ON l.session_id = r.session_id AND l.side = 0 AND r.side = 1 WHERE {_S('qs_query_id', 'qs_plan_id')} OR {_S('plan_handle')} OR {_S('sql_handle')} OR {_S('query_hash')} OR {_S('session_id', 'request_id')}),
 mt AS (SELECT *, n_conflicts = 0 AND quality <> 'None' AS matched, CASE quality WHEN 'Exact' THEN 3 WHEN 'Strong' THEN 2 WHEN 'Candidate' THEN 1 ELSE 0 END AS strength FROM m0)"""
-SELECTIONS = "sel AS (SELECT id AS l_id, id + 1 AS chosen FROM ident WHERE side = 0 AND id % 4 = 0)"
+SELECTIONS = "sel AS (SELECT l.id AS l_id, r.chosen FROM ident l JOIN (SELECT session_id, max(id) AS chosen FROM ident WHERE side = 1 GROUP BY session_id) r USING (session_id) WHERE l.side = 0 AND l.id % 4 = 0)"
 CANDIDATES = f"""{MATCH}, {SELECTIONS}, good AS (SELECT *, strength * 2 + CAST(actual AS INTEGER) AS score FROM mt WHERE matched AND strength >= 2), tops AS (SELECT l_id, count(*) AS ties, min(r_id) AS first_id, max(strength) AS strength, list(r_id) AS alts FROM (SELECT *, max(score) OVER (PARTITION BY l_id) AS most FROM good) z WHERE score = most GROUP BY l_id),
 bl AS (SELECT l_id, max(strength) AS against FROM mt WHERE NOT matched AND strength >= 2 GROUP BY l_id), cand AS (SELECT l_id, CASE WHEN against >= strength THEN 'blocked' WHEN ties = 1 THEN 'resolved' WHEN coalesce(list_contains(alts, chosen), false) THEN 'selected' ELSE 'ambiguous' END AS state, first_id, chosen, ties FROM tops LEFT JOIN bl USING (l_id) LEFT JOIN sel USING (l_id))"""
 _AVG = "spc AS (SELECT *, coalesce(avg_pages, CASE WHEN total_pages > 0 AND executions > 0 THEN total_pages / executions END) AS average, CASE WHEN avg_pages IS NOT NULL THEN 'imported' WHEN total_pages > 0 AND executions > 0 THEN 'derived' ELSE 'missing' END AS average_state FROM spills)"
@@ -36,7 +36,8 @@ def _match(v):
 
 
 def _selections(v):
-    return v.ident.where("side = 0 and id % 4 = 0").select(F.col("id").alias("l_id"), (F.col("id") + 1).alias("chosen"))
+    last = v.ident.where("side = 1").groupBy("session_id").agg(F.max("id").alias("chosen"))
+    return v.ident.where("side = 0 and id % 4 = 0").join(last, "session_id").select(F.col("id").alias("l_id"), "chosen")
 
 
 def _candidates(v):
