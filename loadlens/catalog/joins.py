@@ -86,7 +86,7 @@ QUERIES = [
     Query("correlated_evidence", lambda v: K.correlated_evidence(_match(v), v.ident.where("session_id = 7").select(F.col("id").alias("artifact_id"))), f"WITH {MATCH} SELECT l_id AS artifact_id FROM mt WHERE matched AND strength > 1 UNION SELECT id FROM ident WHERE session_id = 7"),
     Query("spill_candidates", lambda v: _spills(v).select("source_order", F.round("average", 6).alias("average"), "average_state", F.array_join("warning_list", "/").alias("warnings")), f"WITH {_AVG} SELECT source_order, round(average, 6) AS average, average_state, coalesce(replace(replace(warnings, '; ', '/'), '|', '/'), '') AS warnings FROM spc"),
     Query("spill_rank", lambda v: P.spill_rank(_spills(v)).select("source_order", "rank"), f"WITH {_AVG}, k AS (SELECT source_order, row_number() OVER (ORDER BY CASE WHEN total_pages > 0 THEN 1 ELSE 2 END, total_pages DESC NULLS LAST, average DESC NULLS LAST, last_execution DESC NULLS LAST, source_order) AS r FROM spc WHERE total_pages > 0 OR (total_pages IS NULL AND average > 0)) SELECT source_order, k.r AS rank FROM spc LEFT JOIN k USING (source_order)"),
-    Query("spill_combine", lambda v: P.spill_rank(_spills(v).where("source_order % 2 = 0").unionByName(_spills(v).where("source_order % 2 = 1"))).where("rank <= 100").select("source_order", "rank"), f"WITH {_AVG}, k AS (SELECT source_order, row_number() OVER (ORDER BY CASE WHEN total_pages > 0 THEN 1 ELSE 2 END, total_pages DESC NULLS LAST, average DESC NULLS LAST, last_execution DESC NULLS LAST, source_order) AS rank FROM spc WHERE total_pages > 0 OR (total_pages IS NULL AND average > 0)) SELECT * FROM k WHERE rank <= 100"),
+    Query("spill_combine", lambda v: P.spill_rank(_spills(v).where("source_order % 2 = 0").unionByName(_spills(v).where("source_order % 2 = 1"))).where("rank is not null").select("source_order", "rank"), f"WITH {_AVG}, k AS (SELECT source_order, row_number() OVER (ORDER BY CASE WHEN total_pages > 0 THEN 1 ELSE 2 END, total_pages DESC NULLS LAST, average DESC NULLS LAST, last_execution DESC NULLS LAST, source_order) AS rank FROM spc WHERE total_pages > 0 OR (total_pages IS NULL AND average > 0)) SELECT * FROM k"),
     Query("highest_per_execution", lambda v: P.highest_per_execution(_spills(v)).select("source_order", F.round("average", 4).alias("average")), f"WITH {_AVG} SELECT source_order, round(average, 4) AS average FROM spc WHERE average > 0 ORDER BY average DESC, source_order LIMIT 1"),
     Query("spill_import_summary", lambda v: P.spill_import_summary(_spills(v)), f"WITH {_AVG} SELECT count(*) AS n_rows, count(*) FILTER (WHERE total_pages > 0 OR (total_pages IS NULL AND average > 0)) AS rankable, count(*) FILTER (WHERE total_pages IS NULL AND avg_pages IS NULL) AS missing_metrics, count(*) FILTER (WHERE average_state = 'derived') AS derived, count(*) FILTER (WHERE total_pages IS NULL AND avg_pages IS NULL AND warnings IS NOT NULL) AS warning_only, count(*) FILTER (WHERE plan_handle IS NULL) AS incomplete_identity, count(*) FILTER (WHERE total_pages > 0 AND avg_pages > 0 AND executions > 0 AND abs(total_pages - avg_pages * executions) > 0.01 * total_pages) AS inconsistent_totals FROM spc"),
     Query("topn_disclosure", lambda v: P.topn_disclosure(v.spills, "query_hash"), "SELECT query_hash, count(*) AS n, count(*) = 10 AS probable_top_n FROM spills GROUP BY query_hash"),

@@ -109,12 +109,12 @@ QUERIES = [
     Query("all_findings", lambda v: _shown(found(v)), f"{ALL} SELECT {_COLS} FROM findings"),
     Query("finding_caps", lambda v: _capped(v).where("kept").select("rule_id", "subject", "place"), f"{CAPPED} SELECT rule_id, subject, CAST(n AS INTEGER) AS place FROM capped WHERE kept"),
     Query("finding_cap_rows", lambda v: R.cap_disclosure(_capped(v)), f"{CAPPED} SELECT rule_id, retained, suppressed, concat(CAST(retained AS VARCHAR), ' of ', CAST(retained + suppressed AS VARCHAR), ' findings of ', rule_id, ' are shown') AS message FROM (SELECT rule_id, count(*) FILTER (WHERE kept) AS retained, count(*) FILTER (WHERE NOT kept) AS suppressed FROM capped GROUP BY rule_id) z WHERE suppressed > 0"),
-    Query("finding_order", lambda v: _shown(found(v)).orderBy(*R.finding_order()).limit(50).select("rule_id", "subject"), f"{ALL} SELECT rule_id, subject FROM findings ORDER BY {_SEV} DESC, CASE confidence WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END DESC, round(impact, 6) DESC, subject LIMIT 50"),
+    Query("finding_order", lambda v: _shown(found(v)).orderBy(*R.finding_order()).select("rule_id", "subject"), f"{ALL} SELECT rule_id, subject FROM findings ORDER BY {_SEV} DESC, CASE confidence WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END DESC, round(impact, 6) DESC, subject"),
     Query("findings_view", lambda v: _shown(found(v)).where((F.col("severity") == "High") & F.lower("subject").contains("1")).select("rule_id", "subject"), f"{ALL} SELECT rule_id, subject FROM findings WHERE severity = 'High' AND lower(subject) LIKE '%1%'"),
     Query("profile_routing", lambda v: found(v).select("rule_id", "subject", R.profile_routing(F.col("rule_id"), F.col("severity")).alias("profile")),
           f"{ALL} SELECT rule_id, subject, CASE WHEN severity NOT IN ('Informational', 'Not Evaluated') THEN CASE rule_id WHEN 'WIA-BLOCKING' THEN 'cpu-blocking' WHEN 'WIA-SCHEDULER-PRESSURE' THEN 'cpu-blocking' WHEN 'WIA-WORKER-EXHAUSTION' THEN 'worker-exhaustion' WHEN 'WIA-COMPILE-PRESSURE' THEN 'compile-pressure' WHEN 'WIA-RESOURCE' THEN 'actual-plan' END END AS profile FROM findings"),
-    Query("recommendation_order", lambda v: _shown(found(v)).where(R.profile_routing(F.col("rule_id"), F.col("severity")).isNotNull()).orderBy(R.rank(F.col("severity"), R.SEVERITIES).desc(), F.desc("impact"), "subject").limit(30).select("rule_id", "subject", "severity"),
-          f"{ALL} SELECT rule_id, subject, severity FROM findings WHERE severity NOT IN ('Informational', 'Not Evaluated') AND rule_id IN ('WIA-BLOCKING', 'WIA-SCHEDULER-PRESSURE', 'WIA-WORKER-EXHAUSTION', 'WIA-COMPILE-PRESSURE', 'WIA-RESOURCE') ORDER BY {_SEV} DESC, round(impact, 6) DESC, subject LIMIT 30"),
+    Query("recommendation_order", lambda v: _shown(found(v)).where(R.profile_routing(F.col("rule_id"), F.col("severity")).isNotNull()).orderBy(R.rank(F.col("severity"), R.SEVERITIES).desc(), F.desc("impact"), "subject").select("rule_id", "subject", "severity"),
+          f"{ALL} SELECT rule_id, subject, severity FROM findings WHERE severity NOT IN ('Informational', 'Not Evaluated') AND rule_id IN ('WIA-BLOCKING', 'WIA-SCHEDULER-PRESSURE', 'WIA-WORKER-EXHAUSTION', 'WIA-COMPILE-PRESSURE', 'WIA-RESOURCE') ORDER BY {_SEV} DESC, round(impact, 6) DESC, subject"),
     Query("severity_profile", lambda v: v.spark.createDataFrame([(s,) for s in R.SEVERITIES], "severity string").join(found(v).groupBy("severity").count(), "severity", "left").select("severity", F.coalesce("count", F.lit(0)).alias("n")),
           f"{ALL} SELECT s.severity, count(f.rule_id) AS n FROM (VALUES ('Critical'), ('High'), ('Medium'), ('Low'), ('Informational'), ('Not Evaluated')) s(severity) LEFT JOIN findings f USING (severity) GROUP BY s.severity"),
     Query("suppressed_signals", lambda v: R.suppressed_signals(acts(v)), "SELECT count(*) FILTER (WHERE wait_type IS NOT NULL AND coalesce(wait_ms, 0) <= 0) AS zero_duration_waits, count(*) FILTER (WHERE open_tran_count > 0 AND coalesce(duration_seconds, 0) < 300) AS short_transactions, count(*) FILTER (WHERE duration_seconds < 30) AS short_resource_rows FROM acts"),
