@@ -30,8 +30,9 @@ from loadlens.llm.common import discard, materialize, rows_with
 from loadlens.llm.graph import components
 
 _MASK48 = np.uint64((1 << 48) - 1)
-#: Bits of the dense sketch that is kept with a set, for the lower bound on the difference of a candidate pair.
-_BITS = 1024
+#: Bits of the dense sketches that are kept with a set, for the lower bound on the difference of a candidate pair: of the
+#: coarse one, and most of the fine one, which has two or more for each element up to there.
+_COARSE, _FINEST = 1024, 16_384
 #: A bucket is hot if the sample puts more than this share of all keys into it: there can be no more than its inverse.
 _HOT_SHARE, _SAMPLE = 1 / 4096, 64
 
@@ -93,7 +94,8 @@ def _choices(d: int) -> tuple[int, np.ndarray | None]:
     m = 3 if d <= 4 else 2 if d <= 10 else 1
     if m > 1:
         return d + m, np.array(list(combinations(range(d + m), m)))
-    return d + 1 + 2 + d // 20, None  # with some in reserve, so that empty ones can be left out
+    # With some in reserve, so that empty ones can be left out: of the smallest sets of a band, a twelfth at 80 percent.
+    return d + 1 + 2 + -(-d * 12 // 100), None
 
 
 def sketch_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
@@ -123,23 +125,27 @@ def sketch_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys) & _MASK48 if keys else np.empty(0, np.uint64)
 
 
-def dense_sketch(hashes: np.ndarray) -> np.ndarray:
-    """The parity of the shingles on each of _BITS bits, as 64-bit integers."""
-    odd = np.bincount((hashes & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1
+def dense_sketch(hashes: np.ndarray, bits: int = _COARSE) -> np.ndarray:
+    """The parity of the elements on each of a number of bits (a power of two), as 64-bit integers."""
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def fine_sketch(hashes: np.ndarray) -> np.ndarray:
+    return dense_sketch(hashes, max(_COARSE, min(_FINEST, 1 << (2 * len(hashes)).bit_length())))
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Words()
         for batch in batches:
-            size, hi, lo, sketch = [], [], [], []
+            size, hi, lo, coarse, fine = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for text in batch.column(1):
                     h = shingle_hashes(text.as_py(), n, cache)
                     a, b = _fingerprint(h)
-                    size.append(len(h)), hi.append(a), lo.append(b), sketch.append(dense_sketch(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp_hi", "fp_lo", "sketch"])
+                    size.append(len(h)), hi.append(a), lo.append(b), coarse.append(dense_sketch(h)), fine.append(fine_sketch(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(coarse, pa.list_(pa.int64())), pa.array(fine, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp_hi", "fp_lo", "coarse", "fine"])
 
     return run
 
@@ -212,8 +218,20 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
 
 
 def _least_difference(p: Column, q: Column) -> Column:
-    """Hamming distance of two dense sketches: no more than the size of the symmetric difference of the sets."""
-    return F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    """Hamming distance of two dense sketches: no more than the size of the symmetric difference of the sets. A sketch of
+    twice as many bits is folded first; of more, nothing is said, as sets of such sizes do not link."""
+    half = lambda x, i: F.slice(x, (i * F.size(x) / 2 + 1).cast("int"), (F.size(x) / 2).cast("int"))
+    fold = lambda x, y: F.when(F.size(x) == 2 * F.size(y), F.zip_with(half(x, 0), half(x, 1), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
+    distance = F.aggregate(F.zip_with(fold(p, q), fold(q, p), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return F.coalesce(distance, F.lit(0))
+
+
+def _bounded(pairs: DataFrame, kind: DataFrame) -> DataFrame:
+    """pairs (a, b) with the sizes of both sets and a lower bound on the number of elements in which they differ."""
+    for side in "ab":
+        pairs = pairs.join(kind.select(F.col("cls").alias(side), F.col("size").alias(f"size_{side}"), F.col("fine").alias(f"fine_{side}")), side)
+    apart = F.abs(F.col("size_a") - F.col("size_b"))
+    return pairs.select("a", "b", "size_a", "size_b", F.greatest(_least_difference(F.col("fine_a"), F.col("fine_b")), apart).alias("differ"))
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,12 +245,12 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
     are ignored. An empty table gives an empty table.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = materialize(base.mapInArrow(_sets(shingle), "doc_id long, n_shingles long, fp_hi long, fp_lo long, sketch array<long>"), "sets")
+    sets = materialize(base.mapInArrow(_sets(shingle), "doc_id long, n_shingles long, fp_hi long, fp_lo long, coarse array<long>, fine array<long>"), "sets")
     alive = sets.where("n_shingles > 0 and doc_id is not null")
     # exact copies of a set: one class each, named by its smallest doc_id
     classes = materialize(alive.groupBy("fp_hi", "fp_lo").agg(F.min("doc_id").alias("cls")), "classes")
-    member = materialize(alive.join(classes, ["fp_hi", "fp_lo"]).select("doc_id", "cls", F.col("n_shingles").alias("size"), F.when(F.col("doc_id") == F.col("cls"), F.col("sketch")).alias("sketch")).dropDuplicates(["doc_id", "cls"]), "member")
-    kind = member.where("doc_id = cls").select("cls", "size", "sketch").dropDuplicates(["cls"])
+    member = materialize(alive.join(classes, ["fp_hi", "fp_lo"]).select("doc_id", "cls", F.col("n_shingles").alias("size"), *(F.when(F.col("doc_id") == F.col("cls"), F.col(c)).alias(c) for c in ("coarse", "fine"))).dropDuplicates(["doc_id", "cls"]), "member")
+    kind = member.where("doc_id = cls").select("cls", "size", "coarse", "fine").dropDuplicates(["cls"])
 
     multi = materialize(_buckets(base, shingle, percent), "buckets")
     placed = multi.join(member.select("doc_id", F.col("cls").alias("x")), "doc_id").select("key", "x", "rep")
@@ -240,11 +258,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
     discard(multi)
 
     near = f"100 * common >= {percent} * (size_a + size_b - common)"
-    star = placed.where("x <> pivot").select(F.col("pivot").alias("a"), F.col("x").alias("b")).distinct()
-    for side in "ab":
-        star = star.join(kind.select(F.col("cls").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
-    star = star.select("a", "b", "size_a", "size_b", F.greatest(_least_difference(F.col("sketch_a"), F.col("sketch_b")), F.abs(F.col("size_a") - F.col("size_b"))).alias("differ"))
-    star = materialize(star, "star")
+    star = materialize(_bounded(placed.where("x <> pivot").select(F.col("pivot").alias("a"), F.col("x").alias("b")).distinct(), kind), "star")
     may_link = f"100 * (size_a + size_b - differ) >= {percent} * (size_a + size_b + differ)"
     checked = materialize(_verify(star.where(may_link).select("a", "b"), base, shingle), "checked")
     star = star.join(checked, ["a", "b"], "left")
@@ -259,7 +273,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
     differ = F.coalesce(F.col("size_a") + F.col("size_b") - 2 * F.col("common"), "differ")
     least = 2 * differ / (F.col("size_a") + F.col("size_b") + differ)
     distance = star.select(F.col("a").alias("pivot"), F.col("b").alias("x"), least.alias("least_far"), F.when(F.col("common").isNotNull(), least).otherwise(1.0).alias("most_far"))
-    rest = named.join(open_keys, "key").join(distance, ["pivot", "x"], "left").join(kind.withColumnRenamed("cls", "x"), "x")
+    rest = named.join(open_keys, "key").join(distance, ["pivot", "x"], "left").join(kind.select(F.col("cls").alias("x"), "size", F.col("coarse").alias("sketch")), "x")
     rest = materialize(rest.select("key", "x", "size", "sketch", "component", F.coalesce("least_far", F.lit(0.0)).alias("least_far"), F.coalesce("most_far", F.lit(0.0)).alias("most_far")), "rest")
     final = first
     if not rest.isEmpty():
@@ -271,7 +285,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
                        & (100 * F.least(size_p, size_q) >= percent * F.greatest(size_p, size_q))
                        & (F.col("p.least_far") - F.col("q.most_far") <= apart) & (F.col("q.least_far") - F.col("p.most_far") <= apart)
                        & (100 * (size_p + size_q - gap) >= percent * (size_p + size_q + gap)))
-        pairs = pairs.select(F.col("p.x").alias("a"), F.col("q.x").alias("b"), size_p.alias("size_a"), size_q.alias("size_b")).distinct()
+        pairs = _bounded(pairs.select(F.col("p.x").alias("a"), F.col("q.x").alias("b")).distinct(), kind).where(may_link)
         pairs = materialize(pairs.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             more = materialize(_verify(pairs.select("a", "b"), base, shingle).join(pairs, ["a", "b"]).where(near).select("a", "b"), "links")
