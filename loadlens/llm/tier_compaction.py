@@ -21,6 +21,7 @@ from loadlens.llm.common import hadoop_fs, scratch_path
 
 #: Merges that one job carries out side by side.
 _MERGES_PER_JOB = 128
+_UNION = "spark.sql.unionOutputPartitioning"
 
 
 @dataclass(frozen=True)
@@ -119,7 +120,7 @@ class ShardStore:
             merges = merges[:_MERGES_PER_JOB]
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
             parts = [self.spark.read.parquet(*(s.path for s in m)).coalesce(1) for m in merges]
-            reduce(DataFrame.union, parts).write.parquet(folder)
+            self._write_apart(reduce(DataFrame.union, parts), folder)
             gone = {s.path for m in merges for s in m}
             before = self.shards()
             fresh = self._written(folder)
@@ -128,6 +129,16 @@ class ShardStore:
                 break
         return (self.versions() or [0])[-1]
 
+    def _write_apart(self, merged: DataFrame, folder: str) -> None:
+        """Write a union of one-partition tables as one file each. A union would otherwise put equally partitioned tables
+        together, here into a single task."""
+        before = self.spark.conf.get(_UNION, "true")
+        self.spark.conf.set(_UNION, "false")
+        try:
+            merged.write.parquet(folder)
+        finally:
+            self.spark.conf.set(_UNION, before)
+
     def vacuum(self) -> int:
         """Delete shards that the latest version does not name, and older manifests; the number of shards deleted.
         Only for when no reader of an older version is left."""
