@@ -1,12 +1,15 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by exact length per source. Whole passes over a source are taken first; what is left of its target
-is spread over the lengths in proportion, and a bounded-knapsack dynamic programme over the unused counts fits the last
-few words. The result is a number of documents for each length; which documents those are is decided by a seeded hash.
+is spread over the lengths in proportion, fractions rounded by the seed, and a bounded-knapsack dynamic programme over the
+unused counts fits what remains. The result is a number of documents for each length; which documents those are is decided
+by a seeded hash.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,34 +22,86 @@ WEIGHTS = (5.0, 2.0, 1.0)
 _RANKED = 256
 
 
-def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int) -> np.ndarray:
+def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int, seed: int | tuple[int, ...] = 17) -> np.ndarray:
     """How many documents to take of each length so that their words come as near to budget as the search finds, without
-    passing it. Every length is first taken in proportion; the dynamic programme covers the last dp_words words."""
+    passing it. Every length is first taken in proportion; fractions are rounded by the
+    seed but for a reserve of half a table, so that of lengths with few documents the seed chooses and not the size. The dynamic programme covers what is
+    left, in words up to dp_words and in larger units above, and has lengths in seeded order too. No document that
+    still fits is left."""
     total = int((sizes * counts).sum())
     if budget <= 0 or not total:
         return np.zeros(len(sizes), np.int64)
     if budget >= total:
         return counts.copy()
-    take = np.floor(counts * (budget / total)).astype(np.int64)
+    rng = np.random.default_rng(seed)
+    order = np.argsort(sizes, kind="stable")[rng.permutation(len(sizes))]
+    share = counts * (budget / total)
+    take = np.floor(share).astype(np.int64)
+    left = budget - int((sizes * take).sum())
+    reserve = min(dp_words // 2, left)
+    # systematic rounding: one more of a length where the running sum of the fractions passes a whole number
+    passed = np.floor(np.cumsum((share - take)[order]) * (1 - reserve / max(left, 1)) + rng.random())
+    take[order] += np.diff(passed, prepend=0.0).astype(np.int64)
+    take = np.minimum(take, counts)
     left = budget - int((sizes * take).sum())
-    # long documents first, until what is left is small enough for the table
-    for i in np.argsort(-sizes, kind="stable"):
-        if left <= dp_words:
+    while left < reserve:  # one of each length in seeded order, until the reserve is there again
+        some = order[(take[order] > 0) & (sizes[order] > 0)]
+        some = some[: int(np.searchsorted(np.cumsum(sizes[some]), reserve - left)) + 1]
+        take[some] -= 1
+        left += int(sizes[some].sum())
+    while left > dp_words:  # and the other way, as long as half a table is left
+        some = order[(take[order] < counts[order]) & (sizes[order] > 0) & (sizes[order] <= left - dp_words // 2)]
+        some = some[: max(int(np.searchsorted(np.cumsum(sizes[some]), left - dp_words // 2, "right")), 1)]
+        if not len(some):
+            break
+        take[some] += 1
+        left -= int(sizes[some].sum())
+    take += _tables(sizes, counts - take, left, dp_words, order)
+    for _ in range(4):  # shorter ones are put back where a longer one then fits and less is left
+        left = budget - int((sizes * take).sum())
+        rest = sizes[(take < counts) & (sizes > left)]
+        if not left or not len(rest):
             break
-        more = min(int(counts[i] - take[i]), (left - dp_words // 2) // int(sizes[i])) if sizes[i] > 0 else 0
-        if more > 0:
-            take[i] += more
-            left -= more * int(sizes[i])
-    free = counts - take
-    cap = min(left, dp_words)
-    items = [i for i in np.argsort(-sizes, kind="stable") if 0 < sizes[i] <= cap and free[i] > 0]
-    # reach[w]: the first item by which a sum of w was reached; used counts of that item along the way are bounded
+        gap = int(rest.min()) - left
+        some = order[(take[order] > 0) & (sizes[order] > 0) & (sizes[order] <= gap)]
+        back = np.zeros(len(sizes), np.int64)
+        back[some] = np.minimum(take[some], -(-(gap + reserve) // max(len(some), 1) // sizes[some]))
+        some = some[: int(np.searchsorted(np.cumsum((sizes * back)[some]), gap)) + 1]
+        kept = take.copy()
+        kept[some] -= back[some]
+        kept += _tables(sizes, counts - kept, budget - int((sizes * kept).sum()), dp_words, order)
+        if budget - int((sizes * kept).sum()) >= left:
+            break
+        take = kept
+    return take
+
+
+def _tables(sizes: np.ndarray, free: np.ndarray, left: int, dp_words: int, order: np.ndarray) -> np.ndarray:
+    """A table in larger units leaves some words, which the next one fits more closely, until no document fits."""
+    take = np.zeros(len(sizes), np.int64)
+    while (more := _table(sizes, free - take, left, dp_words, order)).any():
+        take += more
+        left -= int((sizes * more).sum())
+    return take
+
+
+def _table(sizes: np.ndarray, free: np.ndarray, left: int, dp_words: int, order: np.ndarray) -> np.ndarray:
+    """Bounded knapsack over at most dp_words units: how many more of each length, in all at most left words."""
+    take = np.zeros(len(sizes), np.int64)
+    items = order[(free[order] > 0) & (sizes[order] > 0) & (sizes[order] <= left)]
+    if not len(items):
+        return take
+    unit = int(np.gcd.reduce(sizes[items]))
+    if left // unit > dp_words:
+        unit = -(-left // dp_words)
+    cap, units = left // unit, -(-sizes // unit)  # lengths are rounded up, so that no sum passes what is left
+    # by[w]: the first item by which a sum of w was reached; used counts of that item along the way are bounded
     by = np.full(cap + 1, -1, np.int32)
     by[0] = len(sizes)
     for i in items:
         if by[cap] >= 0:
             break
-        size, copies, step = int(sizes[i]), int(free[i]), 1
+        size, copies, step = int(units[i]), int(free[i]), 1
         before = by >= 0
         now = before.copy()
         while copies > 0:  # binary splitting
@@ -58,20 +113,23 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int
             now[k * size :] |= now[: -k * size].copy()
         by[now & ~before] = i
     w = int(np.flatnonzero(by >= 0).max())
+    if not w:  # rounded up, none fits: the longest that does
+        take[items[np.argmax(sizes[items])]] = 1
     while w > 0:
         i = int(by[w])
         take[i] += 1
-        w -= int(sizes[i])
+        w -= int(units[i])
     return take
 
 
-def _fit(dp_words: int):
+def _fit(dp_words: int, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sizes, counts = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
         whole = int((sizes * counts).sum())
         target = float(pdf["target"].iloc[0])
         passes = int(target // whole) if whole else 0
-        pdf = pdf.assign(passes=passes, extra=fit_counts(sizes, counts, int(round(target - passes * whole)), dp_words))
+        source = zlib.crc32(str(pdf["source"].iloc[0]).encode())
+        pdf = pdf.assign(passes=passes, extra=fit_counts(sizes, counts, int(round(target - passes * whole)), dp_words, (seed % 2**32, source)))
         return pdf[["source", "size", "n", "passes", "extra"]]
 
     return run
@@ -119,7 +177,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...]
     targets = source_targets(rows, share, weights, most)
     known = lengths.alias("l").join(targets.alias("t"), F.col("l.source").eqNullSafe(F.col("t.source"))).select("l.source", "l.size", "l.n", "t.target")
     # a source's histogram has a row for each distinct length, however many documents there are
-    fitted = materialize(known.groupBy("source").applyInPandas(_fit(dp_words), "source string, size long, n long, passes long, extra long"), "fitted")
+    fitted = materialize(known.groupBy("source").applyInPandas(_fit(dp_words, seed), "source string, size long, n long, passes long, extra long"), "fitted")
 
     j = rows.alias("r").join(fitted.alias("f"), F.col("r.source").eqNullSafe(F.col("f.source")) & (F.col("r.size") == F.col("f.size")))
     u = _seeded(seed, F.col("r.doc_id"))

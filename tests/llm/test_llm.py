@@ -130,6 +130,28 @@ def test_fit_counts_is_exact_where_sums_allow():
             assert budget - int((sizes * take).sum()) <= sizes.max()
 
 
+def test_fit_counts_reaches_long_documents():
+    one = np.ones(10, np.int64)
+    for seed in range(20):
+        for size, budget, fits in ((80_000, 100_000, 1), (60_000, 185_000, 3), (2_000_000, 9_000_000, 4)):
+            assert fit_counts(size + np.arange(10), one, budget, 50_000, seed).sum() == fits
+        for budget in (100_000, 2_000_000):  # long and short together
+            sizes = np.r_[np.arange(1, 300), 60_000 + np.arange(30), 300_000]
+            left = budget - int((sizes * (take := fit_counts(sizes, np.ones(330, np.int64), budget, 50_000, seed))).sum())
+            assert take.max() == 1 and 0 <= left <= 2
+
+
+def test_fit_counts_takes_unique_lengths_by_the_seed():
+    sizes = np.unique(np.linspace(5, 6000, 481).astype(int))
+    budget = int(0.3 * sizes.sum())
+    takes = np.array([fit_counts(sizes, np.ones(len(sizes), np.int64), budget, 50_000, seed) for seed in range(100)])
+    assert takes.max() == 1 and (takes @ sizes == budget).all()
+    often = takes.mean(axis=0)
+    assert 0.05 < often.min() and often.max() < 0.6  # every length has its chance
+    assert all(0.2 < part.mean() < 0.4 for part in np.array_split(often, 4))  # short and long alike
+    assert (fit_counts(sizes[::-1], np.ones(len(sizes), np.int64), budget, 50_000, 3)[::-1] == takes[3]).all()
+
+
 def water(total, weights=(5, 2, 1), share=1.5):
     names = sorted((n for n in total if n is not None)) + ([None] if None in total else [])
     w = {n: weights[i % len(weights)] for i, n in enumerate(names)}
