@@ -2,8 +2,9 @@
 
 Prefix sums of turn tokens choose the spans: a turn belongs to the span in which it begins, and spans are half a budget
 long, so that a span of turns no longer than half a budget fits the budget. A longer turn is a span of its own. Each
-window holds the conversation's system turn, a limited number of turns before the span, and the span. What a window
-repeats is masked, so each assistant turn is a training target once.
+window holds the conversation's system turn, a limited number of turns before the span, and the span. The system turn
+comes off the budget before it is halved, and the oldest of the turns before the span are left out until the window fits.
+What a window repeats is masked, so each assistant turn is a training target once.
 """
 
 from __future__ import annotations
@@ -67,36 +68,49 @@ def _by_size(turns: DataFrame, block: int) -> DataFrame:
     return placed.drop("nth", "upto", "block")
 
 
-def format_windows(turns: DataFrame, template: Template = Template(), budget: int = 512, history: int = 2, overhead: int = 4, block: int = 1024) -> DataFrame:
+def format_windows(turns: DataFrame, template: Template = Template(), budget: int = 512, history: int = 2, overhead: int = 4, block: int = 1024, keep_budget: bool = True) -> DataFrame:
     """One row per window of each conversation of turns (conv_id, turn, role, text): conv_id, span, first_place, repeated,
-    text, targets.
+    text, targets, over_budget.
 
     text is the formatted window; its first `repeated` turns are the system turn and the history. targets holds the
     (start, length) in code points of each text under the loss mask: the new assistant turns. Turns go by turn, null
     first, ties by role and text. A null text or role is empty. A turn's tokens are its words plus overhead. A
     conversation's system turn is its first turn if that has the role system; it is retained in every window. Rows with a
     null conv_id are a conversation of their own. Equal rows are turns of their own. An empty table gives none.
+
+    With keep_budget only a window whose one new turn does not fit beside the system turn is over budget. Without it the
+    spans alone are held to the budget: the system turn and the history come on top, uncounted.
     """
-    half = budget // 2
     base = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("text_hash", F.sha2("text", 256)).withColumn("tokens", word_count(F.col("text")) + overhead)
+    placed = _by_size(base, block)
+    system = placed.where("place = 0 and role = 'system'").select(F.col("conv_id").alias("sys_conv"), F.col("role").alias("sys_role"), F.col("text").alias("sys_text"), F.col("tokens").alias("sys_tokens"))
+    half = F.lit(budget // 2)
+    if keep_budget:
+        half = F.greatest(F.floor((budget - F.coalesce("sys_tokens", F.lit(0))) / 2), F.lit(1))
+        placed = placed.join(system.select("sys_conv", "sys_tokens"), F.col("conv_id").eqNullSafe(F.col("sys_conv")), "left")
     # A turn's span is the half budget in which it begins. A longer turn is alone in an odd span: what follows it begins later.
-    placed = _by_size(base, block).withColumn("span", 2 * F.floor(F.col("start") / half) + (F.col("tokens") > half).cast("long"))
+    placed = placed.withColumn("span", 2 * F.floor(F.col("start") / half) + (F.col("tokens") > half).cast("long")).drop("sys_conv", "sys_tokens")
     # a turn is history for the spans of the next few turns
     ahead = placed.select("conv_id", F.explode(F.sequence(F.col("place") - history, F.col("place") - 1)).alias("place"), "span").distinct() if history else placed.select("conv_id", "place", "span").limit(0)
     t, h = placed.alias("t"), ahead.alias("h")
-    repeats = t.join(h, F.col("t.conv_id").eqNullSafe(F.col("h.conv_id")) & (F.col("t.place") == F.col("h.place"))).where("t.span <> h.span").select("t.conv_id", "t.place", "t.role", "t.text", F.lit(False).alias("new"), "h.span")
-    system = placed.where("place = 0 and role = 'system'").select(F.col("conv_id").alias("sys_conv"), F.col("role").alias("sys_role"), F.col("text").alias("sys_text"))
-    used = placed.select("conv_id", "place", "role", "text", F.lit(True).alias("new"), "span").unionByName(repeats)
+    repeats = t.join(h, F.col("t.conv_id").eqNullSafe(F.col("h.conv_id")) & (F.col("t.place") == F.col("h.place"))).where("t.span <> h.span").select("t.conv_id", "t.place", "t.role", "t.text", "t.tokens", F.lit(False).alias("new"), "h.span")
+    used = placed.select("conv_id", "place", "role", "text", "tokens", F.lit(True).alias("new"), "span").unionByName(repeats)
     # the number of turns in a window is bounded by budget / overhead + history, whatever the conversation
-    turn = F.struct("place", "new", "role", "text")
+    turn = F.struct("place", "new", "role", "text", "tokens")
     windows = used.groupBy("conv_id", "span").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     w, s = windows.alias("w"), system.alias("s")
     windows = w.join(s, F.col("w.conv_id").eqNullSafe(F.col("s.sys_conv")), "left")
     present = F.col("turns")[0]["place"] == 0
-    sys_turn = F.struct(F.lit(0).cast("long").alias("place"), F.lit(False).alias("new"), F.col("sys_role").alias("role"), F.col("sys_text").alias("text"))
+    sys_turn = F.struct(F.lit(0).cast("long").alias("place"), F.lit(False).alias("new"), F.col("sys_role").alias("role"), F.col("sys_text").alias("text"), F.col("sys_tokens").alias("tokens"))
     # the system turn is put first where the span and its history do not hold it
     windows = windows.withColumn("turns", F.when(F.col("sys_role").isNotNull() & ~present, F.concat(F.array(sys_turn), "turns")).otherwise(F.col("turns")))
+    total = lambda turns: F.aggregate(turns, F.lit(0).cast("long"), lambda n, t: n + t["tokens"])
+    if keep_budget:
+        fixed = lambda t: t["new"] | ((t["place"] == 0) & F.col("sys_role").isNotNull())
+        windows = windows.withColumn("room", budget - total(F.filter("turns", fixed))).withColumn("past", F.filter("turns", lambda t: ~fixed(t)))
+        # a turn of the history stays where it and all later ones fit
+        windows = windows.withColumn("turns", F.filter("turns", lambda t: fixed(t) | (total(F.filter("past", lambda x: x["place"] >= t["place"])) <= F.col("room"))))
     windows = windows.withColumn("parts", F.transform("turns", lambda t: template.render(t["role"], t["text"])))
     # where each text begins: after the parts before it, the opening marker, the role and the newline
     step = lambda acc, i: F.struct(
@@ -108,7 +122,7 @@ def format_windows(turns: DataFrame, template: Template = Template(), budget: in
     found = F.aggregate(F.sequence(F.lit(0), F.size("turns") - 1), zero, step, lambda acc: acc["found"])
     return windows.select(
         "conv_id", "span", F.filter("turns", lambda t: t["new"])[0]["place"].alias("first_place"),
-        F.size(F.filter("turns", lambda t: ~t["new"])).alias("repeated"), F.array_join("parts", "").alias("text"), found.alias("targets"),
+        F.size(F.filter("turns", lambda t: ~t["new"])).alias("repeated"), F.array_join("parts", "").alias("text"), found.alias("targets"), (total(F.col("turns")) > budget).alias("over_budget"),
     )
 
 

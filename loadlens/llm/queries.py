@@ -21,9 +21,10 @@ from loadlens.llm.zip_warc import round_trip
 
 
 def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL beside fixes the number and the length of windows whose system turn and history come on top of the budget."""
     extra = spark.sql("select -7L as conv_id, t.turn, t.role, '</s>[INST] ok [/INST]' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return read_back(materialize(format_windows(turns), "windows"))
+    return read_back(materialize(format_windows(turns, keep_budget=False), "windows"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,6 +115,29 @@ def test_windows_keep_their_budget(spark):
         assert len(re.findall(r"\bw\b", w.text)) + 4 * n <= 100
 
 
+def test_windows_count_the_system_turn_and_history(spark):
+    rows = [(1, 0, "system", "w " * 300)] + [(1, i, "user" if i % 2 else "assistant", "w " * (250 if i % 3 else 40)) for i in range(1, 40)]
+    rows += [(2, 0, "system", "w " * 30)] + [(2, i, "assistant", "w " * (5000 if i == 5 else 60)) for i in range(1, 20)]
+    rows += [(3, 0, "system", "w " * 600), (3, 1, "user", "w"), (3, 2, "assistant", "w w")] + [(None, i, "user", "w " * 200) for i in range(9)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df = chat_windows.format_windows(turns, history=2).cache()
+    size = lambda w: len(re.findall(r"\bw\b", w.text)) + 4 * w.text.count("<|im_start|>")
+    for w in df.collect():
+        n = w.text.count("<|im_start|>")
+        assert w.over_budget == (size(w) > 512)
+        if w.over_budget:
+            assert n - w.repeated == 1 and (w.repeated == 0 or w.repeated == 1 and w.text.startswith("<|im_start|>system"))
+        if w.conv_id in (1, 2, 3) and w.first_place:
+            assert w.text.startswith("<|im_start|>system")
+    over = Counter(w.conv_id for w in df.collect() if w.over_budget)
+    assert over == {1: 26, 2: 1, 3: 3}  # turns that do not fit beside the system turn
+    assert max(w.repeated for w in df.where("conv_id = 2").collect()) == 3
+    want = defaultdict(list)
+    for c, _, r, t in rows:
+        want[c].append((r, t))
+    assert said(df) == digests(want)
+
+
 # 2
 
 
