@@ -68,7 +68,7 @@ def _kpis(v):
 
 
 QUERIES = [
-    Query("identity_match", _match, f"WITH {MATCH} SELECT l_id, r_id, quality, n_conflicts, matched FROM mt"),
+    Query("identity_match", lambda v: _match(v).select("l_id", "r_id", "quality", "n_conflicts", "matched"), f"WITH {MATCH} SELECT l_id, r_id, quality, n_conflicts, matched FROM mt"),
     Query("incident_overlap", lambda v: K.incident_overlap(v.samples.select(F.col("sample_order").alias("artifact_id"), F.concat(F.lit("src-"), F.col("sample_order") % 2).alias("window_id"), F.when(F.col("sample_order") % 17 != 0, F.col("capture_s") - 100).alias("at_s")), v.activity.groupBy(F.col("source_id").alias("window_id")).agg((F.min("capture_s") + 60).alias("first_s"), (F.max("capture_s") - 200).alias("last_s"))),
           "WITH a AS (SELECT sample_order AS artifact_id, concat('src-', sample_order % 2) AS window_id, CASE WHEN sample_order % 17 <> 0 THEN capture_s - 100 END AS t FROM samples), w AS (SELECT source_id AS window_id, min(capture_s) + 60 AS f, max(capture_s) - 200 AS l FROM activity GROUP BY 1) SELECT artifact_id, window_id, CASE WHEN t IS NULL THEN 'Unknown' WHEN t BETWEEN f AND l THEN 'Exact' WHEN t BETWEEN f - 30 AND l + 30 THEN 'Overlapping' ELSE 'Context only' END AS overlap FROM a LEFT JOIN w USING (window_id)"),
     Query("lock_resource_match", lambda v: K.lock_resource_match(v.locks), "WITH f AS (SELECT *, coalesce(description, '') AS about FROM locks WHERE entity_id IS NOT NULL AND (description IS NOT NULL OR resource_type NOT IN ('KEY', 'PAGE', 'RID'))) SELECT DISTINCT g.session_id AS holder, w.session_id AS waiter, g.resource_type, g.database_id, g.entity_id, g.about FROM f g JOIN f w ON g.request_status = 'GRANT' AND w.request_status = 'WAIT' AND g.resource_type = w.resource_type AND g.database_id = w.database_id AND g.entity_id = w.entity_id AND g.about = w.about WHERE g.session_id <> w.session_id"),
@@ -77,7 +77,7 @@ QUERIES = [
     Query("related_top5", lambda v: K.related_findings(_members(v)), f"WITH {_RELATED} SELECT finding_id, other, kind, shared, CAST(n AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY shared DESC, other) AS n FROM rel) z WHERE n <= 5"),
     Query("scheduler_blocking_link", lambda v: K.scheduler_blocking_link(found(v)), f"{ALL}, s AS (SELECT subject, subject AS root FROM findings WHERE rule_id = 'WIA-SCHEDULER-PRESSURE'), b AS (SELECT subject, split_part(subject, ':', 2) AS root FROM findings WHERE rule_id = 'WIA-BLOCKING') SELECT s.subject AS \"from\", b.subject AS \"to\" FROM s JOIN b USING (root) UNION ALL SELECT b.subject, s.subject FROM s JOIN b USING (root)"),
     Query("plan_record_link", lambda v: v.plan_stmts.alias("p").join(v.activity.alias("a"), F.col("p.statement_id") == F.col("a.row_number")).select("statement_id", "plan_id", "a.session_id", "a.source_id"), "SELECT statement_id, plan_id, session_id, source_id FROM plan_stmts JOIN activity ON statement_id = row_number"),
-    Query("sidecar_identity", lambda v: K.sidecar_identity(v.plan_stmts, v.spills.select(F.col("source_order").alias("sidecar_id"), F.concat(F.lit("plan-"), F.expr("cast(substr(query_hash, 2) as bigint) % 400")).alias("plan_id"), "query_hash", F.concat(F.lit("p"), F.expr("cast(substr(query_hash, 2) as bigint) % 50")).alias("plan_hash"), F.when(F.col("source_order") % 2 == 0, F.col("source_order") % 977).alias("qs_query_id"))),
+    Query("sidecar_identity", lambda v: K.sidecar_identity(v.plan_stmts, v.spills.select(F.col("source_order").alias("sidecar_id"), F.concat(F.lit("plan-"), F.expr("cast(substr(query_hash, 2) as bigint) % 400")).alias("plan_id"), "query_hash", F.concat(F.lit("p"), F.expr("cast(substr(query_hash, 2) as bigint) % 50")).alias("plan_hash"), F.when(F.col("source_order") % 2 == 0, F.col("source_order") % 977).alias("qs_query_id"))).drop("conflicts"),
           """WITH sc AS (SELECT source_order AS sidecar_id, concat('plan-', CAST(CAST(substr(query_hash, 2) AS BIGINT) % 400 AS VARCHAR)) AS plan_id, query_hash, concat('p', CAST(CAST(substr(query_hash, 2) AS BIGINT) % 50 AS VARCHAR)) AS plan_hash, CASE WHEN source_order % 2 = 0 THEN source_order % 977 END AS qs FROM spills),
  h AS (SELECT plan_id, query_hash, plan_hash, min(statement_id) AS x FROM plan_stmts GROUP BY ALL HAVING count(*) = 1), q AS (SELECT plan_id, qs_query_id, min(statement_id) AS x FROM plan_stmts WHERE qs_query_id IS NOT NULL GROUP BY ALL HAVING count(*) = 1), o AS (SELECT plan_id, min(statement_id) AS x FROM plan_stmts GROUP BY ALL HAVING count(*) = 1)
  SELECT sidecar_id, sc.plan_id, coalesce(h.x, q.x, o.x) AS statement_id, CASE WHEN h.x IS NOT NULL THEN 'hash' WHEN q.x IS NOT NULL THEN 'store' WHEN o.x IS NOT NULL THEN 'only' ELSE 'none' END AS tier FROM sc LEFT JOIN h ON h.plan_id = sc.plan_id AND h.query_hash = sc.query_hash AND h.plan_hash = sc.plan_hash LEFT JOIN q ON q.plan_id = sc.plan_id AND q.qs_query_id = sc.qs LEFT JOIN o ON o.plan_id = sc.plan_id"""),

@@ -21,15 +21,17 @@ def quality_rank(quality: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in QUALITY.items() for x in kv)), quality)
 
 
-def _sided(df: DataFrame, side: str) -> DataFrame:
+def _sided(df: DataFrame, side: str, *more: str) -> DataFrame:
     col = lambda k: S.handle_norm(F.col(k)) if k in _HANDLES else F.col(k)
-    return df.select(F.col("id").alias(f"{side}_id"), *((col(k) if k in df.columns else F.lit(None)).alias(f"{side}_{k}") for k in IDENTITY))
+    return df.select(F.col("id").alias(f"{side}_id"), *((col(k) if k in df.columns else F.lit(None)).alias(f"{side}_{k}") for k in (*IDENTITY, *more)))
 
 
 def identity_match(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l_id, r_id, quality, matched, n_conflicts) for each pair of identities that share a key. A conflict on a key that
-    both have blocks the match but leaves its quality."""
-    l_, r = _sided(left, "l"), _sided(right, "r")
+    """(l_id, r_id, quality, n_conflicts, same_plan, local, told, artifact, matched) for each pair of identities that share
+    a key. A conflict on a key that both have blocks the match but leaves its quality. same_plan: the plan handles agree;
+    local: no conflict but of the statement; told: offsets, hashes or the Query Store pair tell the statement from its
+    siblings; artifact: where the right one is from, null without such a column."""
+    l_, r = _sided(left, "l"), _sided(right, "r", "artifact")
     both = [l_.join(r, reduce(lambda x, y: x & y, (F.col(f"l_{k}") == F.col(f"r_{k}") for k in keys))) for keys in _MEETINGS]
     pairs = reduce(DataFrame.unionByName, both).dropDuplicates(["l_id", "r_id"])
     same = lambda *ks: reduce(lambda x, y: x & y, (F.coalesce(F.col(f"l_{k}") == F.col(f"r_{k}"), F.lit(False)) for k in ks))
@@ -45,7 +47,10 @@ def identity_match(left: DataFrame, right: DataFrame) -> DataFrame:
         .when(same("query_hash"), F.when(same("plan_hash"), "Strong").otherwise("Candidate"))
         .when(same("session_id", "request_id"), F.when(same("transaction_id"), "Exact").otherwise("Strong")).otherwise("None")
     )
-    return pairs.select("l_id", "r_id", quality.alias("quality"), n.alias("n_conflicts")).withColumn("matched", (F.col("n_conflicts") == 0) & (F.col("quality") != "None"))
+    local = ~reduce(lambda x, y: x | y, (differ(k) for k in ("plan_handle", "sql_handle", "database_id")))
+    told = same("sql_handle", "start_offset", "end_offset") | same("query_hash", "plan_hash") | same("database_id", "qs_query_id", "qs_plan_id")
+    more = [same("plan_handle").alias("same_plan"), local.alias("local"), told.alias("told"), F.col("r_artifact").cast("string").alias("artifact")]
+    return pairs.select("l_id", "r_id", quality.alias("quality"), n.alias("n_conflicts"), *more).withColumn("matched", (F.col("n_conflicts") == 0) & (F.col("quality") != "None"))
 
 
 def incident_overlap(artifacts: DataFrame, windows: DataFrame, tolerance: int = 30) -> DataFrame:
@@ -90,21 +95,51 @@ def scheduler_blocking_link(findings: DataFrame) -> DataFrame:
     return both.unionByName(both.select(F.col("to").alias("from"), F.col("from").alias("to")))
 
 
+_SIDECAR = ("sql_handle", "plan_handle", "query_hash", "plan_hash", "start_offset", "end_offset", "qs_query_id", "qs_plan_id", "database_id")
+
+
 def sidecar_identity(statements: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """Each sidecar row to exactly one statement of its plan: by a unique hash pair, else a unique Query Store id, else the only statement."""
-    per = lambda keys, name: statements.groupBy("plan_id", *keys).agg(F.count("*").alias("n"), F.min("statement_id").alias(name)).where("n = 1").drop("n").dropna()
-    tiers = sidecars.join(per(["query_hash", "plan_hash"], "by_hash"), ["plan_id", "query_hash", "plan_hash"], "left").join(per(["qs_query_id"], "by_store"), ["plan_id", "qs_query_id"], "left").join(per([], "only"), "plan_id", "left")
-    tier = F.when(F.col("by_hash").isNotNull(), "hash").when(F.col("by_store").isNotNull(), "store").when(F.col("only").isNotNull(), "only").otherwise("none")
-    return tiers.select("sidecar_id", "plan_id", F.coalesce("by_hash", "by_store", "only").alias("statement_id"), tier.alias("tier"))
+    """Each sidecar row to exactly one statement of its plan (sidecar_id, plan_id, statement_id, tier, conflicts): by unique
+    offsets, else a unique hash pair, else a unique Query Store pair, else the only statement.
+
+    conflicts names the fields of which both have different values; where there are any, the identities must not be merged.
+    A sql handle is exempt where the sidecar owns it: its plan handle agrees or is the only one, or the plan is from Query
+    Store (source_kind of statements) and the sidecar has the pair and the database. Fields that either side lacks as a
+    column are null, and a Query Store plan id that neither side has is not asked for.
+    """
+    filled = lambda df, keys: df.select(*keys, *((F.lower(F.trim(F.col(c).cast("string"))) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in (*_SIDECAR, "source_kind")))
+    st, sc = filled(statements, ["plan_id", "statement_id"]), filled(sidecars, ["sidecar_id", "plan_id"])
+    pair = ["qs_query_id"] if "qs_plan_id" not in statements.columns and "qs_plan_id" not in sidecars.columns else ["qs_query_id", "qs_plan_id"]
+    tiers = {"offset": ["start_offset", "end_offset"], "hash": ["query_hash", "plan_hash"], "store": pair, "only": []}
+    placed = sc.drop("source_kind")
+    for name, keys in tiers.items():
+        unique = st.groupBy("plan_id", *keys).agg(F.count("*").alias("n"), F.min("statement_id").alias(f"by_{name}")).where("n = 1").drop("n").dropna()
+        placed = placed.join(unique, ["plan_id", *keys], "left")
+    tier = F.coalesce(*(F.when(F.col(f"by_{name}").isNotNull(), F.lit(name)) for name in tiers), F.lit("none"))
+    placed = placed.withColumn("tier", tier).withColumn("statement_id", F.coalesce(*(f"by_{name}" for name in tiers)))
+    p, t = placed.alias("p"), st.alias("t")
+    both = p.join(t, (F.col("p.plan_id") == F.col("t.plan_id")) & (F.col("p.statement_id") == F.col("t.statement_id")), "left")
+    filled_in = lambda c: F.nullif(F.col(c), F.lit(""))
+    handle = filled_in("p.plan_handle")
+    owned = F.coalesce(handle.isNotNull() & (filled_in("t.plan_handle").isNull() | (handle == F.col("t.plan_handle"))), F.lit(False))
+    scoped = F.coalesce((F.col("t.source_kind") == "query store") & F.col("p.qs_query_id").isNotNull() & F.col("p.qs_plan_id").isNotNull() & F.col("p.database_id").isNotNull(), F.lit(False))
+    differ = lambda c: F.when((filled_in(f"p.{c}") != filled_in(f"t.{c}")) & (~(owned | scoped) if c == "sql_handle" else F.lit(True)), F.lit(c))
+    return both.select("p.sidecar_id", "p.plan_id", "p.statement_id", "p.tier", F.array_compact(F.array(*map(differ, _SIDECAR))).alias("conflicts"))
 
 
 def candidate_plan(matches: DataFrame, selections: DataFrame) -> DataFrame:
-    """The best statement for each candidate of matches (l_id, r_id, quality, matched, actual): Strong at least, actual plans
-    first. A conflicting statement at least as strong blocks; ties are ambiguous unless selections (l_id, chosen) picks one."""
+    """The best statement for each candidate of matches (identity_match with actual and, where known, cached): Strong at
+    least, actual plans before cached estimated ones before others. A conflicting statement at least as strong blocks, except
+    a sibling in the artifact and under the plan handle of an Exact match that its own discriminator tells from it; ties are
+    ambiguous unless selections (l_id, chosen) picks one."""
     strength = quality_rank(F.col("quality"))
     rows = matches.withColumn("strength", strength).where("strength >= 2")
-    blocked = rows.where("not matched").groupBy("l_id").agg(F.max("strength").alias("against"))
-    good = rows.where("matched").withColumn("score", F.col("strength") * 2 + F.col("actual").cast("int"))
+    told = rows.where("matched and quality = 'Exact' and same_plan and told").select("l_id", "artifact").distinct()
+    beside = rows.where("not matched and same_plan and local").join(told, ["l_id", "artifact"], "left_semi").select("l_id", "r_id")
+    blocked = rows.where("not matched").join(beside, ["l_id", "r_id"], "left_anti").groupBy("l_id").agg(F.max("strength").alias("against"))
+    cached = F.coalesce("cached", F.lit(False)) if "cached" in rows.columns else F.lit(False)
+    kind = F.when(F.col("actual"), 2).when(cached, 1).otherwise(0)
+    good = rows.where("matched").withColumn("score", F.col("strength") * 3 + kind)
     w = Window.partitionBy("l_id")
     top = good.withColumn("most", F.max("score").over(w)).where("score = most").groupBy("l_id").agg(F.count("*").alias("ties"), F.min("r_id").alias("first"), F.max("strength").alias("strength"), F.array_sort(F.collect_set("r_id")).alias("alternatives"))
     j = top.join(blocked, "l_id", "left").join(selections, "l_id", "left")

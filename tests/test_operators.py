@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from loadlens.functions import scalars as S
 from loadlens.operators import activity as A
 from loadlens.operators import blocking as B
+from loadlens.operators import correlation as K
 from loadlens.operators import rules as R
 from loadlens.plans.shred import shred_one
 from loadlens.sources import files as W
@@ -125,3 +126,33 @@ def test_entry_lists_without_session():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sibling_statements_do_not_block(spark):
+    kind = "id long, artifact string, plan_handle string, sql_handle string, start_offset long, end_offset long, query_hash string, plan_hash string"
+    left = spark.createDataFrame([(1, None, "h", "s", 0, 40, "q", "p"), (2, None, "h", None, None, None, None, None), (3, None, "h", "z", 0, 40, "q", "p")], kind)
+    batch = [(10, "a", "h", "s", 0, 40, "q", "p"), (11, "a", "h", "s", 42, 90, "q2", "p2")]
+
+    def states(rows, **kinds):
+        m = K.identity_match(left, spark.createDataFrame(rows, kind)).withColumn("actual", F.lit(False))
+        if kinds:
+            m = m.withColumn("actual", F.col("r_id").isin(kinds["actual"])).withColumn("cached", F.col("r_id").isin(kinds["cached"]))
+        return {r.l_id: (r.state, r.r_id) for r in K.candidate_plan(m, spark.createDataFrame([], "l_id long, chosen long")).collect()}
+
+    assert states(batch) == {1: ("resolved", 10), 2: ("ambiguous", None)}
+    assert states([batch[0], (11, "b", *batch[1][2:])])[1] == ("blocked", None)  # of another artifact
+    assert states([batch[0], (11, "a", "h", "other", 42, 90, "q2", "p2")])[1] == ("blocked", None)  # not a conflict of the statement alone
+    same = [(i, f"a{i}", "h", None, None, None, None, None) for i in (10, 11, 12)]
+    assert states(same, actual=[], cached=[11])[2] == ("resolved", 11)
+    assert states(same, actual=[12], cached=[11])[2] == ("resolved", 12)
+
+
+def test_sidecar_tiers_and_conflicts(spark):
+    kind = "plan_id string, {} long, plan_handle string, sql_handle string, query_hash string, plan_hash string, start_offset long, end_offset long, qs_query_id long, qs_plan_id long, database_id long"
+    st = spark.createDataFrame([("a", 1, None, "s", "q", "p", 0, 40, 7, 1, 5), ("a", 2, "h", "s", "q", "p", 42, 90, 7, 2, 5), ("b", 3, "h", "s", "q", "p", None, None, None, None, None)], kind.format("statement_id"))
+    sc = [
+        ("a", 1, None, None, None, None, 42, 90, None, None, None), ("a", 2, None, None, "q", "p", None, None, 7, 1, 5), ("a", 3, None, None, None, None, 42, 90, 7, 1, 6), ("a", 4, None, None, "q", "p", None, None, None, None, None),
+        ("b", 5, " H ", "x", None, None, None, None, None, None, None), ("b", 6, "g", "x", "Q", None, None, None, None, None, None),
+    ]
+    got = {r.sidecar_id: (r.statement_id, r.tier, r.conflicts) for r in K.sidecar_identity(st, spark.createDataFrame(sc, kind.format("sidecar_id"))).collect()}
+    assert got == {1: (2, "offset", []), 2: (1, "store", []), 3: (2, "offset", ["qs_plan_id", "database_id"]), 4: (None, "none", []), 5: (3, "only", []), 6: (3, "only", ["sql_handle", "plan_handle"])}
