@@ -68,7 +68,7 @@ def _ceiling(v):
 
 
 def _agree(v):
-    return C.compile_ratio(v.samples).agg(F.coalesce(F.max("ratio") >= 0.1, F.lit(False)).alias("corroborated"))
+    return C.compile_corroboration(v.samples, 0.1)
 
 
 def _rising(v):

@@ -40,3 +40,15 @@ def worker_ceiling(samples: DataFrame) -> DataFrame:
 def compile_ratio(samples: DataFrame) -> DataFrame:
     """Per source: the largest share of compilations in batches, over samples with batches."""
     return samples.groupBy("source_id").agg(F.max(F.when(F.col("batches") > 0, F.col("compilations") / F.col("batches"))).alias("ratio"))
+
+
+def compile_corroboration(samples: DataFrame, ratio: float) -> DataFrame:
+    """One row (corroborated): whether a source has a compilation ratio of at least ratio, waiters for the compile semaphore
+    (compile_waiters) and a plan-cache hit ratio (cache_hit_ratio) that falls from its first sample to its last. Samples
+    without one of these columns corroborate nothing."""
+    known = lambda c: F.col(c) if c in samples.columns else F.lit(None).cast("double")
+    share = F.max(F.when(F.col("batches") > 0, F.col("compilations") / F.col("batches")))
+    at = F.when(known("cache_hit_ratio").isNotNull(), F.col("sample_order"))
+    falling = F.max_by(known("cache_hit_ratio"), at) < F.min_by(known("cache_hit_ratio"), at)
+    each = samples.groupBy("source_id").agg(((share >= ratio) & (F.max(known("compile_waiters")) > 0) & falling).alias("all"))
+    return each.agg(F.coalesce(F.bool_or("all"), F.lit(False)).alias("corroborated"))

@@ -197,7 +197,7 @@ def all_findings(acts: DataFrame, samples: DataFrame, t: Thresholds = Thresholds
     """The union of all activity rules, with what is shared between them computed once."""
     acts = acts.cache()
     snapshots = B.blocking_snapshots(acts).cache()
-    ceiling, agree = C.worker_ceiling(samples).agg(F.coalesce(F.bool_or("ceiling"), F.lit(False)).alias("ceiling")), C.compile_ratio(samples).agg(F.coalesce(F.max("ratio") >= t.compiles.ratio, F.lit(False)).alias("corroborated"))
+    ceiling, agree = C.worker_ceiling(samples).agg(F.coalesce(F.bool_or("ceiling"), F.lit(False)).alias("ceiling")), C.compile_corroboration(samples, t.compiles.ratio)
     rising = C.counter_movement(samples).groupBy("source_id").agg(F.bool_and(F.col("last_value") > F.col("first_value")).alias("rising"))
     parts = [
         scheduler_pressure(acts, rising, snapshots, t), blocking_special(acts), blocking_findings(acts, t, B.blocking_episodes(snapshots, acts)), resource_findings(acts, t),

@@ -7,6 +7,7 @@ from loadlens.functions import scalars as S
 from loadlens.operators import activity as A
 from loadlens.operators import blocking as B
 from loadlens.operators import correlation as K
+from loadlens.operators import counters as C
 from loadlens.operators import rules as R
 from loadlens.plans.shred import shred_one
 from loadlens.sources import files as W
@@ -156,3 +157,19 @@ def test_sidecar_tiers_and_conflicts(spark):
     ]
     got = {r.sidecar_id: (r.statement_id, r.tier, r.conflicts) for r in K.sidecar_identity(st, spark.createDataFrame(sc, kind.format("sidecar_id"))).collect()}
     assert got == {1: (2, "offset", []), 2: (1, "store", []), 3: (2, "offset", ["qs_plan_id", "database_id"]), 4: (None, "none", []), 5: (3, "only", []), 6: (3, "only", ["sql_handle", "plan_handle"])}
+
+
+def test_compile_counters_must_all_agree(spark):
+    def agrees(*rows, drop=()):
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "sample_order long, source_id string, batches double, compilations double, compile_waiters double, cache_hit_ratio double").drop(*drop)
+        acts = capture(spark, {"session_id": 1, "wait_info": "(5ms)RESOURCE_SEMAPHORE_QUERY_COMPILE"})
+        samples = df.withColumns({"counter_name": F.lit("c"), "value": F.lit(1.0), "active_workers": F.lit(0), "max_workers": F.lit(9), "work_queue": F.lit(0)})
+        found = {r.rule_id: r.confidence for r in R.all_findings(acts, samples).collect()}["WIA-COMPILE-PRESSURE"]
+        assert C.compile_corroboration(df, 0.1).first().corroborated == (found == "High")
+        return found == "High"
+
+    first, last = ("a", 10.0, 1.0, 0.0, 90.0), ("a", 10.0, 0.0, 2.0, 80.0)
+    assert agrees(first, last) and agrees(first, last, ("a", 0.0, 0.0, 0.0, None))
+    assert not agrees(first, last, drop=["compile_waiters"]) and not agrees(first, last, drop=["cache_hit_ratio"])
+    assert not agrees(first, (*last[:4], 90.0)) and not agrees(first, (*last[:3], 0.0, 80.0)) and not agrees(("a", 10.0, 0.9, 0.0, 90.0), last)
+    assert not agrees(first, ("b", *last[1:])) and not agrees(first)
