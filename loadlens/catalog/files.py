@@ -23,13 +23,23 @@ def _read_capture(v):
     return W.read_capture(v.spark, path).select(F.col("_c0").cast("long").alias("row_number"), F.nullif("_c1", F.lit("")).alias("text"), F.col("_c2").alias("status"))
 
 
+#: Files of derived rows are bounded, so that their number grows with the tables.
+_ROWS_A_FILE = 2_000
+
+
+def _parted(rows):
+    parted = rows.withColumn("part", F.floor(F.col("row_number") / _ROWS_A_FILE))
+    return parted.repartition("part").sortWithinPartitions("part", "row_number")
+
+
 def _encodings(v):
+    """All of activity, written by turns in UTF-8 and UTF-16 and read back."""
     path = W.shared_path(v.spark, "encodings")
-    rows = v.nation.select(F.col("n_nationkey").cast("string"), F.concat(F.lit("é "), "n_name"))
-    rows.where("n_nationkey % 2 = 0").coalesce(1).write.csv(f"{path}/u8")
-    rows.where("n_nationkey % 2 = 1").coalesce(1).write.option("encoding", "UTF-16").csv(f"{path}/u16")
-    files = W.byte_order(v.spark, f"{path}/u8").unionByName(W.byte_order(v.spark, f"{path}/u16"))
-    return files.groupBy("encoding").count()
+    rows = _parted(v.activity).select("part", F.col("row_number").cast("string"), F.concat(F.lit("é "), F.coalesce("status", F.lit("none"))))
+    rows.where("part % 2 = 0").write.partitionBy("part").csv(f"{path}/encoding=u8")
+    rows.where("part % 2 = 1").write.partitionBy("part").option("encoding", "UTF-16").csv(f"{path}/encoding=u16")
+    back = W.read_any_encoding(v.spark, path)
+    return back.groupBy(F.col("_encoding").alias("encoding")).agg(F.countDistinct("_path").alias("count"), F.count("*").alias("n_rows"), F.count_if(F.col("_c1").startswith("é ")).alias("n_read"), F.sum(F.col("_c0").cast("long")).alias("row_numbers"))
 
 
 def _cells(v):
@@ -48,7 +58,9 @@ def _json(v):
 
 def _files(v):
     path = W.shared_path(v.spark, "evidence")
-    v.activity.select((F.col("row_number") % 5).cast("string").alias("k"), F.concat_ws(",", (F.col("row_number") % 3).cast("string"), F.col("status")).alias("value")).distinct().repartition(4, "value").write.partitionBy("k").text(path)
+    rows = _parted(v.activity).select("part", F.concat_ws(",", F.col("row_number").cast("string"), "status", "wait_info").alias("value"))
+    rows.write.partitionBy("part").text(f"{path}/first")
+    rows.where("part % 3 = 0").write.partitionBy("part").text(f"{path}/again")
     return v.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
 
@@ -89,6 +101,7 @@ QUERIES = [
     Query("write_activity", _write_activity, "SELECT row_number, source_id, session_id, capture_s, wait_type, status FROM acts"),
     Query("write_report", _write_report, f"{ALL} SELECT rule_id, count(*) AS count FROM findings GROUP BY rule_id"),
     Query("run_manifest", lambda v: W.run_manifest(_files(v).limit(0), activity=v.activity, plans=v.plan_stmts, findings=found(v)), f"{ALL} SELECT 'table' AS kind, 'activity' AS name, CAST(NULL AS VARCHAR) AS hash, count(*) AS n FROM acts UNION ALL SELECT 'table', 'plans', NULL, count(*) FROM plan_stmts UNION ALL SELECT 'table', 'findings', NULL, count(*) FROM findings"),
+    Query("source_manifest", lambda v: W.run_manifest(_files(v), activity=v.activity).select("kind", F.when(F.col("kind") == "table", F.col("name")).alias("name"), "hash", "n")),
     Query("processing_log", lambda v: W.processing_log(warning=acts(v).where("wait_info is not null and wait_type is null").select(F.concat(F.lit("row "), F.col("row_number")).alias("message")), error=v.inputs.where("line_no = 0").select(F.concat("input_id", F.lit(": "), "header").alias("message"))),
           "SELECT 'warning' AS kind, concat('row ', CAST(row_number AS VARCHAR)) AS message FROM acts WHERE wait_info IS NOT NULL AND wait_type IS NULL UNION ALL SELECT 'error', concat(input_id, ': ', header) FROM inputs WHERE line_no = 0"),
     Query("spill_header", lambda v: W.spill_header(v.inputs.withColumn("header", F.when(F.col("event_id") % 13 == 0, "TotalSpills").when(F.col("event_id") % 17 == 0, "Plan Handle").otherwise(F.col("header")))), "WITH h AS (SELECT input_id, line_no, CASE WHEN event_id % 13 = 0 THEN 'spill' WHEN event_id % 17 = 0 THEN 'handle' ELSE lower(header) END AS h FROM inputs) SELECT input_id, min(line_no) AS line_no FROM (SELECT input_id, line_no FROM h GROUP BY ALL HAVING bool_or(h LIKE '%spill%' OR h LIKE '%warning%') AND bool_or(regexp_matches(h, 'handle|hash|execution|cpu'))) z GROUP BY input_id"),

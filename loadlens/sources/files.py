@@ -31,7 +31,7 @@ def sniff_separator(spark: SparkSession, path: str, lines: int = 8) -> str:
 def byte_order(spark: SparkSession, path: str) -> DataFrame:
     """(path, encoding) of each file by its first bytes."""
     head = F.hex(F.substring("content", 1, 2))
-    return spark.read.format("binaryFile").load(path).select("path", F.when(head == "FFFE", "UTF-16LE").when(head == "FEFF", "UTF-16BE").otherwise("UTF-8").alias("encoding"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.when(head == "FFFE", "UTF-16LE").when(head == "FEFF", "UTF-16BE").otherwise("UTF-8").alias("encoding"))
 
 
 def read_capture(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -46,13 +46,14 @@ def read_capture(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Dat
 
 
 def read_any_encoding(spark: SparkSession, path: str) -> DataFrame:
-    """All files below path, each read in its encoding."""
+    """All files below path, each read in its encoding (_encoding, _path), without the mark of the byte order."""
     found = {}
     for r in byte_order(spark, path).collect():
         found.setdefault(r.encoding, []).append(r.path)
     out = None
     for encoding, paths in sorted(found.items()):
-        part = spark.read.option("encoding", encoding).option("multiLine", True).csv(paths).withColumn("_encoding", F.lit(encoding))
+        part = spark.read.option("encoding", encoding).option("multiLine", True).csv(paths)
+        part = part.withColumns({c: F.regexp_replace(c, "^\ufeff", "") for c in part.columns[:1]} | {"_encoding": F.lit(encoding), "_path": F.col("_metadata.file_path")})
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

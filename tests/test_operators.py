@@ -173,3 +173,16 @@ def test_compile_counters_must_all_agree(spark):
     assert not agrees(first, last, drop=["compile_waiters"]) and not agrees(first, last, drop=["cache_hit_ratio"])
     assert not agrees(first, (*last[:4], 90.0)) and not agrees(first, (*last[:3], 0.0, 80.0)) and not agrees(("a", 10.0, 0.9, 0.0, 90.0), last)
     assert not agrees(first, ("b", *last[1:])) and not agrees(first)
+
+
+def test_file_queries_take_all_rows(spark):
+    from loadlens import catalog
+
+    q, sf = catalog.queries(), "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{sf}/events.parquet").agg(F.count("*").alias("n"), F.sum("event_id").alias("s"), F.countDistinct(F.floor(F.col("event_id") / 2000)).alias("files")).first()
+    read = q["text_encoding"](spark, sf).collect()
+    assert len(read) == 2 and (sum(r.n_rows for r in read), sum(r.n_read for r in read), sum(r.row_numbers for r in read), sum(r["count"] for r in read)) == (n.n, n.n, n.s, n.files)
+    states = {r.state: r["count"] for r in q["dedupe_evidence"](spark, sf).collect()}
+    assert states["taken"] == n.files > 2 and 0 < states["copy"] < n.files
+    files = [r for r in q["source_manifest"](spark, sf).collect() if r.kind == "file"]
+    assert len(files) == sum(states.values()) and len({r.hash for r in files}) == n.files and all(r.n > 0 for r in files)
