@@ -51,8 +51,9 @@ def _cells(v):
 
 def _json(v):
     path = W.shared_path(v.spark, "json")
-    rows = v.activity.groupBy((F.col("row_number") % 64).alias("k")).agg(F.collect_list(F.struct("row_number", "status")).alias("rows"))
-    rows.select("k", F.to_json(F.struct("rows")).alias("value")).write.partitionBy("k").text(path)
+    # a file has at most _ROWS_A_FILE rows; every other one is an array without an object around it
+    rows = v.activity.groupBy(F.floor(F.col("row_number") / _ROWS_A_FILE).alias("k")).agg(F.collect_list(F.struct("row_number", "status")).alias("rows"))
+    rows.select("k", F.when(F.col("k") % 2 == 0, F.to_json(F.struct("rows"))).otherwise(F.to_json("rows")).alias("value")).write.partitionBy("k").text(path)
     return W.read_json_evidence(v.spark, path).select("row_number", "status")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadlens.sources.files import shared_path
+
 
 def spill_candidates(rows: DataFrame) -> DataFrame:
     """Typed candidates (source_order, total_pages, avg_pages, executions, last_execution, warnings): the average is derived
@@ -16,16 +18,21 @@ def spill_candidates(rows: DataFrame) -> DataFrame:
 
 def spill_rank(candidates: DataFrame) -> DataFrame:
     """Ranked: those with a total first, by total, average and last execution, then those with an average alone. Zero and
-    missing ones are kept without a rank. The ranking is global; only ranked keys pass through the one ordered window."""
+    missing ones are kept without a rank. The ranking is global: rows are dealt by ranges of the sort keys and written, and
+    the rank inside a range follows the number of rows in the ranges before it, so no task sees more than its range."""
     backed = F.col("total_pages") > 0
     only = ~F.coalesce(backed, F.lit(False)) & (F.col("average") > 0) & F.col("total_pages").isNull()
-    basis = F.when(backed, 1).when(only, 2)
-    keyed = candidates.withColumn("basis", basis)
-    w = Window.partitionBy("basis").orderBy(F.desc_nulls_last("total_pages"), F.desc_nulls_last("average"), F.desc_nulls_last("last_execution"), "source_order")
-    placed = keyed.where("basis is not null").withColumn("place", F.row_number().over(w))
-    first = placed.where("basis = 1").count()
-    rank = F.when(F.col("basis") == 1, F.col("place")).otherwise(F.col("place") + F.lit(first)).cast("long")
-    return placed.withColumn("rank", rank).drop("place").unionByName(keyed.where("basis is null").withColumn("rank", F.lit(None).cast("long")))
+    keyed = candidates.withColumn("basis", F.when(backed, 1).when(only, 2))
+    order = [F.asc("basis"), F.desc_nulls_last("total_pages"), F.desc_nulls_last("average"), F.desc_nulls_last("last_execution"), F.asc("source_order")]
+    ranged = keyed.where("basis is not null").repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    path = shared_path(candidates.sparkSession, "ranges")
+    ranged.write.parquet(path)  # the ranges are sampled, so they are fixed before they are counted
+    ranged = candidates.sparkSession.read.schema(ranged.schema).parquet(path)
+    # one row a range
+    before = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*order))).join(F.broadcast(before), "_range")
+    placed = placed.select(*keyed.columns, (F.col("_place") + F.col("_before")).cast("long").alias("rank"))
+    return placed.unionByName(keyed.where("basis is null").withColumn("rank", F.lit(None).cast("long")))
 
 
 def highest_per_execution(candidates: DataFrame) -> DataFrame:

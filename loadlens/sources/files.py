@@ -70,9 +70,21 @@ def normalize_activity(cells: DataFrame) -> DataFrame:
 
 
 def read_json_evidence(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of JSON files that hold an array or an object with rows."""
+    """Rows of JSON files that hold an array or an object with rows, side by side, with the union of their keys. A key of two
+    types is text."""
     df = spark.read.option("multiLine", True).json(path)
-    return df.select(F.explode("rows").alias("r")).select("r.*") if "rows" in df.columns else df
+    if "rows" not in df.columns:
+        return df
+    nested, plain = df.select(F.explode("rows").alias("r")).select("r.*"), df.where("rows is null").drop("rows")
+    # what objects with rows have beside them is not a row's key
+    used = plain.agg(*(F.count(F.col(f"`{c}`")).alias(c) for c in plain.columns)).first().asDict() if plain.columns else {}
+    plain = plain.select(*(F.col(f"`{c}`") for c in plain.columns if used[c]))
+    if not plain.columns:
+        return nested
+    kinds = dict(nested.dtypes)
+    clash = {c for c, kind in plain.dtypes if kinds.get(c, kind) != kind}
+    text = lambda d: d.select(*((F.to_json(F.col(f"`{c}`")) if kind.startswith(("struct", "array")) else F.col(f"`{c}`").cast("string")).alias(c) if c in clash else F.col(f"`{c}`") for c, kind in d.dtypes))
+    return text(nested).unionByName(text(plain), allowMissingColumns=True)
 
 
 def dedupe_evidence(files: DataFrame, known: DataFrame) -> DataFrame:

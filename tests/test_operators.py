@@ -9,6 +9,7 @@ from loadlens.operators import blocking as B
 from loadlens.operators import correlation as K
 from loadlens.operators import counters as C
 from loadlens.operators import rules as R
+from loadlens.operators import spill as P
 from loadlens.plans.shred import shred_one
 from loadlens.sources import files as W
 
@@ -186,3 +187,28 @@ def test_file_queries_take_all_rows(spark):
     assert states["taken"] == n.files > 2 and 0 < states["copy"] < n.files
     files = [r for r in q["source_manifest"](spark, sf).collect() if r.kind == "file"]
     assert len(files) == sum(states.values()) and len({r.hash for r in files}) == n.files and all(r.n > 0 for r in files)
+
+
+def test_json_arrays_beside_objects_with_rows(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"rows": [{"x": 1, "y": "a"}, {"x": 2, "z": "t"}], "made": "now"}')
+    (tmp_path / "b.json").write_text('[{"x": 3, "w": true}, {"x": 4, "z": 5}]')
+    got = W.read_json_evidence(spark, f"file://{tmp_path}")
+    assert sorted(got.columns) == ["w", "x", "y", "z"]
+    assert sorted((r.x, r.y, r.z, r.w) for r in got.collect()) == [(1, "a", None, None), (2, None, "t", None), (3, None, None, True), (4, None, "5", None)]
+
+
+def test_spill_ranks_over_many_ranges(spark):
+    rows = [(i, float(i * 7 % 50) if i % 5 else None, float(i * 11 % 40) if i % 3 else None, i % 9) for i in range(3000)]
+    df = spark.createDataFrame(rows, "source_order long, total_pages double, average double, last_execution long")
+    down = lambda x: (x is None, -(x or 0))
+    ranked = [r for r in rows if (r[1] or 0) > 0] + [r for r in rows if r[1] is None and (r[2] or 0) > 0]
+    ranked.sort(key=lambda r: (r[1] is None, down(r[1]), down(r[2]), down(r[3]), r[0]))
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", False)  # which would join ranges this small
+    try:
+        out = P.spill_rank(df)
+        assert {r.source_order: r["rank"] for r in out.collect()} == {r[0]: None for r in rows} | {r[0]: k + 1 for k, r in enumerate(ranked)}
+        assert out.columns == [*df.columns, "basis", "rank"]
+        assert "windowspecdefinition(basis" not in out._jdf.queryExecution().analyzed().toString()  # all rows of a basis in one task
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
