@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loadlens.catalog.activity import acts
 from loadlens.catalog.base import Query
-from loadlens.catalog.plans import _ops
+from loadlens.catalog.plans import _GOOD, read_operators
 from loadlens.catalog.rules import ALL, found
 from loadlens.operators import evidence as E
 from loadlens.operators import history as H
@@ -55,6 +55,11 @@ def _observed(v):
     return o.select(F.concat(F.lit("obj"), "object_no").alias("target"), (F.col("o_custkey") % 25).alias("server"), F.col("statement_id").alias("capture_id"), "issue", "seen_s")
 
 
+def _nearest(v):
+    ops = read_operators(v)
+    return H.nearest_target(ops, ops.where("spilled").select("statement_id", "node_id"))
+
+
 _SNAPV = "cap AS (SELECT s_suppkey AS snapshot_id, s_nationkey AS server, s_suppkey % 60 * 86400 AS captured_s, s_suppkey % 3 <> 0 AS compatible, s_suppkey % 4 <> 0 AS statistics, 14 + s_suppkey % 4 AS version FROM supplier)"
 
 
@@ -92,8 +97,8 @@ QUERIES = [
     Query("collection_status", lambda v: E.collection_status(v.events.select((F.col("user_id") % 700).alias("case_id"), (F.col("event_id") % 5 == 0).alias("recognised"))), "SELECT case_id, CASE WHEN n >= 3 THEN 'Imported' WHEN n > 0 THEN 'Partially imported' ELSE 'Not imported' END AS status FROM (SELECT user_id % 700 AS case_id, count(*) FILTER (WHERE event_id % 5 = 0) AS n FROM events GROUP BY 1) z"),
     Query("latest_snapshot", lambda v: E.latest_snapshot(_caps(v), "server"), f"WITH {_SNAPV} SELECT server, snapshot_id FROM (SELECT *, row_number() OVER (PARTITION BY server ORDER BY captured_s DESC, snapshot_id DESC) AS n FROM cap) z WHERE n = 1"),
     Query("history_captures", lambda v: H.history_captures(v.plan_stmts, v.plan_ops), "SELECT s.statement_id, s.plan_id, o.objects FROM plan_stmts s JOIN (SELECT statement_id, string_agg(CAST(object_no AS VARCHAR), ',' ORDER BY object_no) AS objects FROM (SELECT DISTINCT statement_id, object_no FROM plan_ops) z GROUP BY 1) o USING (statement_id) WHERE actual"),
-    Query("nearest_target", lambda v: H.nearest_target(_ops(v).withColumn("object_name", F.when(F.col("object_no") % 3 == 0, F.concat(F.lit("t"), "object_no"))), v.plan_ops.where("spilled").select("statement_id", "node_id")).select("statement_id", F.col("start").cast("long").alias("start"), "target", "via"),
-          "SELECT s.statement_id, CAST(s.node_id AS BIGINT) AS start, concat('t', CAST(t.object_no AS VARCHAR)) AS target, CASE WHEN t.node_id = s.node_id THEN 'Exact' ELSE 'Nearest access' END AS via FROM plan_ops s JOIN plan_ops t ON t.statement_id = s.statement_id AND t.node_id >= s.node_id AND t.object_no % 3 = 0 WHERE s.spilled AND NOT EXISTS (SELECT 1 FROM plan_ops u WHERE u.statement_id = s.statement_id AND u.node_id >= s.node_id AND u.node_id < t.node_id AND u.object_no % 3 = 0) AND (SELECT count(*) FROM plan_ops g WHERE g.statement_id = s.statement_id AND g.node_id BETWEEN s.node_id AND t.node_id) = t.node_id - s.node_id + 1"),
+    Query("nearest_target", lambda v: _nearest(v).select("statement_id", F.col("start").cast("long").alias("start"), "target", "via"),
+          "SELECT s.statement_id, CAST(s.node_id AS BIGINT) AS start, concat('dbo.t', CAST(t.object_no AS VARCHAR)) AS target, CASE WHEN t.node_id = s.node_id THEN 'Exact' ELSE 'Nearest access' END AS via FROM plan_ops s JOIN plan_ops t ON t.statement_id = s.statement_id AND t.node_id >= s.node_id AND t.object_no % 3 = 0 WHERE s.spilled AND s." + _GOOD.replace("AND statement_id", "AND s.statement_id") + " AND NOT EXISTS (SELECT 1 FROM plan_ops u WHERE u.statement_id = s.statement_id AND u.node_id >= s.node_id AND u.node_id < t.node_id AND u.object_no % 3 = 0)"),
     Query("history_observations", lambda v: H.history_observations(v.plan_ops), f"WITH {OBS} SELECT * FROM obs"),
     Query("history_targets", lambda v: H.history_targets(_observed(v)), f"WITH {OBS}, o2 AS (SELECT concat('obj', CAST(object_no AS VARCHAR)) AS target, o_custkey % 25 AS server, statement_id AS c, issue, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS seen_s FROM obs JOIN orders ON o_orderkey = statement_id) SELECT target, count(DISTINCT server) AS servers, count(DISTINCT c) AS captures, " + ", ".join(f"count(DISTINCT CASE WHEN issue = '{i}' THEN c END) AS {n}" for i, n in (("spill", "spills"), ("conversion", "conversions"), ("non-sargable", "non_sargable"), ("under-estimate", "under"), ("over-estimate", "over"))) + ", count(*) AS issues, min(seen_s) AS first_s, max(seen_s) AS last_s FROM o2 GROUP BY target"),
     Query("statistics_observations", lambda v: H.statistics_observations(v.part.select(F.col("p_partkey").alias("key"), F.when(F.col("p_partkey") % 5 != 0, F.lit(1)).alias("last_updated"), (F.col("p_partkey") % 7).alias("rows_sampled"), (F.col("p_partkey") % 3).alias("modifications"))), "SELECT key, i AS issue FROM (SELECT p_partkey AS key, unnest([CASE WHEN p_partkey % 5 = 0 THEN 'never-updated' END, CASE WHEN p_partkey % 7 = 0 THEN 'zero-sample' END, CASE WHEN p_partkey % 3 > 0 THEN 'changed-since-update' END]) AS i FROM part) z WHERE i IS NOT NULL"),

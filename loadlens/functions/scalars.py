@@ -7,14 +7,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Units of numbers, in order of their powers of 1000.
-_UNITS = "KMGTPE"
-_NUMBER = r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
-_GROUPED = r"(?:\d{1,3}(?:,\d{3})+|\d+)"
-_WAIT = rf"(?i)^\(\s*(?:({_GROUPED})x\s*:\s*)?({_GROUPED}\s*ms(?:\s*/\s*{_GROUPED}\s*ms){{0,2}})\s*\)\s*([^:\s]+)\s*(?::\s*(.*))?$"
-# Wait types and prefixes by class.
-_BENIGN = ("WAITFOR", "LAZYWRITER_SLEEP", "SLEEP_TASK", "BROKER_", "XE_TIMER_EVENT", "ONDEMAND_TASK_QUEUE")
-_PARALLEL = ("CXPACKET", "CXCONSUMER", "CXSYNC_PORT", "CXSYNC_CONSUMER")
+# Powers of 1000 of a number's unit, with and without B and i.
+_POWERS = {letter + tail: i for i, letter in enumerate(("", "K", "M", "G", "T", "P", "E")) for tail in ("", "B", "IB")}
+# The classes of waits in order, each with its prefixes and its whole types.
+WAIT_CLASSES = (
+    ("Benign / queue", ("WAITFOR", "LAZYWRITER_SLEEP", "SLEEP_TASK", "BROKER_", "XE_TIMER_EVENT", "ONDEMAND_TASK_QUEUE"), ()),
+    ("Locking", ("LCK_",), ()),
+    ("Storage I/O", ("PAGEIOLATCH_",), ("IO_COMPLETION", "ASYNC_IO_COMPLETION")),
+    ("Transaction log", (), ("WRITELOG",)),
+    ("Compilation", (), ("RESOURCE_SEMAPHORE_QUERY_COMPILE",)),
+    ("Memory grant", ("RESOURCE_SEMAPHORE",), ()),
+    ("Worker threads", (), ("THREADPOOL",)),
+    ("Network / client", (), ("ASYNC_NETWORK_IO",)),
+    ("Latch / tempdb", ("PAGELATCH_", "LATCH_"), ()),
+    ("Parallelism", (), ("CXPACKET", "CXCONSUMER", "CXSYNC_PORT", "CXSYNC_CONSUMER")),
+    ("External", ("PREEMPTIVE_",), ("OLEDB", "CLR_AUTO_EVENT")),
+)
+#: Words that say that there is no wait, and words that are no type of one.
+NO_WAIT, NO_TYPE = ("NONE", "N/A"), ("ON", "OFF", "TRUE", "FALSE", "NULL", "NONE")
+#: Words for a missing spill metric.
+NOT_GIVEN = ("null", "n/a", "none", "not supplied")
 
 
 def as_text(value: Column) -> Column:
@@ -28,13 +40,26 @@ def _match(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def _lookup(table: dict, key: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
+
+
+def _plain_number(text: Column) -> Column:
+    """A text that is digits, with a sign, a fraction or an exponent, as a number; else null."""
+    return F.when(text.rlike("^[-+]?[0-9]") & text.rlike("[0-9]$"), text.try_cast("double"))
+
+
 def as_number(value: Column) -> Column:
     """A number with an optional unit (a power of 1000), else the first number in the text."""
-    t = F.replace(as_text(value), F.lit(","), F.lit(""))
-    scaled = rf"(?i)^({_NUMBER})\s*([KMGTPE])?(?:I?B)?$"
-    power = F.when(_match(t, scaled, 2).isNotNull(), F.instr(F.lit(_UNITS), F.upper(_match(t, scaled, 2)))).otherwise(0)
-    first = _match(t, r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)", 1).try_cast("double")
-    return F.when(t.rlike(scaled), _match(t, scaled, 1).try_cast("double") * F.pow(F.lit(1000.0), power)).otherwise(first)
+
+    def parts(t: Column) -> Column:
+        unit = F.regexp_extract(t, "[A-Za-z]*$", 0)
+        body = F.rtrim(F.substring(t, F.lit(1), F.length(t) - F.length(unit)))
+        return F.struct(t.alias("t"), _plain_number(body).alias("n"), _lookup(_POWERS, F.upper(unit)).alias("power"))
+
+    first = lambda t: F.regexp_extract(t, r"-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?", 0).try_cast("double")
+    scaled = lambda p: F.coalesce(p["n"] * F.pow(F.lit(1000.0), p["power"]), first(p["t"]))
+    return _once(F.replace(as_text(value), F.lit(","), F.lit("")), lambda t: _once(parts(t), scaled))
 
 
 def excel_timestamp(serial: Column) -> Column:
@@ -49,11 +74,20 @@ def as_timestamp(value: Column) -> Column:
 
 
 def duration_seconds(value: Column) -> Column:
-    """Seconds of a text that begins with [days ]hh:mm:ss[.mmm]."""
-    t, p = as_text(value), r"^(?:(\d+)\s+)?(\d{1,2}):(\d{2}):(\d{2})(?:\.(\d{1,3}))?"
-    part = lambda i: F.coalesce(_match(t, p, i).try_cast("double"), F.lit(0.0))
-    fraction = F.coalesce(F.concat(F.lit("0."), _match(t, p, 5)).try_cast("double"), F.lit(0.0))
-    return F.when(t.rlike(p), part(1) * 86400 + part(2) * 3600 + part(3) * 60 + part(4) + fraction)
+    """Seconds of a text that begins with [days ]hh:mm:ss[.mmm]; what follows does not matter."""
+
+    def clock(words: Column) -> Column:
+        dated = words[0].rlike("^[0-9]+$")
+        days = F.when(dated, words[0].try_cast("double")).otherwise(0.0)
+        return F.struct(days.alias("days"), F.split(F.when(dated, F.get(words, F.lit(1))).otherwise(words[0]), ":").alias("p"))
+
+    def seconds(c: Column) -> Column:
+        hours, minutes, rest = (F.get(c["p"], F.lit(i)) for i in range(3))
+        fits = hours.rlike("^[0-9]{1,2}$") & minutes.rlike("^[0-9]{2}$") & rest.rlike("^[0-9]{2}")
+        fraction = F.coalesce(F.concat(F.lit("0."), _match(rest, "^..[.]([0-9]{1,3})", 1)).try_cast("double"), F.lit(0.0))
+        return F.when(fits, c["days"] * 86400 + hours.try_cast("double") * 3600 + minutes.try_cast("double") * 60 + F.substring(rest, 1, 2).try_cast("double") + fraction)
+
+    return _once(F.split(as_text(value), r"\s+"), lambda words: _once(clock(words), seconds))
 
 
 def difference_seconds(start: Column, end: Column) -> Column:
@@ -64,15 +98,11 @@ def difference_seconds(start: Column, end: Column) -> Column:
 
 def wait_category(kind: Column) -> Column:
     """The class of a wait type; the first that fits."""
-    u = F.upper(kind)
-    starts = lambda *p: _any(*(u.startswith(x) for x in p))
-    return (
-        F.when(u.isNull(), None).when(starts(*_BENIGN), "Benign / queue").when(starts("LCK_"), "Locking")
-        .when(starts("PAGEIOLATCH_") | u.isin("IO_COMPLETION", "ASYNC_IO_COMPLETION"), "Storage I/O").when(u == "WRITELOG", "Transaction log")
-        .when(u == "RESOURCE_SEMAPHORE_QUERY_COMPILE", "Compilation").when(starts("RESOURCE_SEMAPHORE"), "Memory grant").when(u == "THREADPOOL", "Worker threads")
-        .when(u == "ASYNC_NETWORK_IO", "Network / client").when(starts("PAGELATCH_", "LATCH_"), "Latch / tempdb").when(u.isin(*_PARALLEL), "Parallelism")
-        .when(starts("PREEMPTIVE_") | u.isin("OLEDB", "CLR_AUTO_EVENT"), "External").otherwise("Other")
-    )
+    u, out = F.upper(kind), F.lit("Other")
+    for name, prefixes, types in reversed(WAIT_CLASSES):
+        fits = [u.startswith(x) for x in prefixes] + ([u.isin(*types)] if types else [])
+        out = F.when(_any(*fits), name).otherwise(out)
+    return F.when(u.isNotNull(), out)
 
 
 def _any(first: Column, *rest: Column) -> Column:
@@ -86,32 +116,56 @@ def _once(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def parse_wait(value: Column) -> Column:
-    """struct<duration_ms, durations, task_count, type, detail, category> of a wait text; null if it is none."""
+def _whole(text: Column) -> Column:
+    """A whole number, plain or with a comma before each three digits; else null."""
+    groups = F.split(text, ",")
+    threes = F.forall(F.slice(groups, 2, 2**31 - 1), lambda g: g.rlike("^[0-9]{3}$")) & groups[0].rlike("^[0-9]{1,3}$")
+    return F.when(text.rlike("^[0-9]+$") | (text.contains(",") & threes), F.replace(text, F.lit(","), F.lit("")).try_cast("long"))
 
-    def parts(t: Column) -> Column:
-        native = t.rlike(_WAIT)
-        kind = F.when(native, _match(t, _WAIT, 3)).otherwise(_match(t, r"^([A-Za-z][A-Za-z0-9_]*)(?:[\s:]|$)", 1))
-        return F.struct(t.alias("t"), native.alias("native"), kind.alias("kind"))
+
+def _said_no(text: Column) -> Column:
+    return F.upper(text).isin(*NO_WAIT)
+
+
+def parse_wait(value: Column) -> Column:
+    """struct<duration_ms, durations, task_count, type, detail, category> of a wait text; null if it is none.
+
+    Two forms: (tasks x: duration/duration/duration)TYPE:detail, with up to three durations in ms and the tasks left out
+    for one; and TYPE detail, which may say waittime=duration. A wait without a duration is one all the same."""
+    ms = lambda x: _whole(F.rtrim(F.when(F.lower(x).endswith("ms"), F.substring(x, F.lit(1), F.length(x) - 2))))
+
+    def cut(t: Column) -> Column:
+        close = F.locate(")", t)
+        inside = F.split(F.when(t.startswith("(") & (close > 0), F.substring(t, F.lit(2), close - 2)), ":")
+        return F.struct(t.alias("t"), inside.alias("inside"), F.ltrim(F.when(t.startswith("("), F.substring(t, close + 1, F.length(t))).otherwise(t)).alias("rest"))
+
+    def read(c: Column) -> Column:
+        inside, rest = c["inside"], c["rest"]
+        head = F.when(F.size(inside) == 2, F.trim(inside[0]))
+        tasks = F.when(F.lower(head).endswith("x"), _whole(F.substring(head, F.lit(1), F.length(head) - 1)))
+        kind = F.regexp_extract(rest, r"^[^:\s]+", 0)
+        tail = F.ltrim(F.substring(rest, F.length(kind) + 1, F.length(rest)))
+        words = F.split(F.regexp_replace(rest, r"\s*=\s*", "="), r"\s+")
+        named = F.filter(words, lambda w: F.lower(w).startswith("waittime="))
+        return F.struct(c["t"].startswith("(").alias("native"), F.size(inside).alias("n"), head.alias("head"), tasks.alias("tasks"), kind.alias("kind"), tail.alias("tail"),
+                        F.transform(F.split(F.element_at(inside, -1), "/"), lambda x: ms(F.trim(x))).alias("times"), F.transform(F.slice(named, 1, 1), lambda w: _whole(F.substring(w, 10, 99))).alias("named"))
 
     def wait(p: Column) -> Column:
-        t, native, kind = p["t"], p["native"], p["kind"]
-        named = F.slice(F.regexp_extract_all(t, F.lit(rf"(?i)(?:^|\s)waittime\s*=\s*({_GROUPED})(?=\s|$)"), 1), 1, 1)
-        texts = F.when(native, F.regexp_extract_all(_match(t, _WAIT, 2), F.lit(rf"(?i)({_GROUPED})\s*ms"), 1)).otherwise(named)
-        durations = F.transform(texts, lambda d: F.replace(d, F.lit(","), F.lit("")).try_cast("long"))
-        tasks = F.when(native, F.coalesce(F.replace(_match(t, _WAIT, 1), F.lit(","), F.lit("")).try_cast("long"), F.lit(1).cast("long")))
-        rest = F.regexp_replace(F.when(native, _match(t, _WAIT, 4)).otherwise(F.substring(t, F.length(kind) + 1, F.length(t))), r"^\s+|\s+$", "")
-        bad = t.rlike(r"(?i)^(?:NONE|N/A)$") | (t.startswith("(") & ~native) | kind.isNull() | kind.rlike(r"(?i)^(?:ON|OFF|TRUE|FALSE|NULL|NONE)$")
-        out = lambda d: F.struct(F.array_max(d).alias("duration_ms"), d.alias("durations"), tasks.alias("task_count"), kind.alias("type"), F.nullif(rest, F.lit("")).alias("detail"), wait_category(kind).alias("category"))
-        return F.when(t.isNotNull() & ~bad & F.coalesce(tasks >= 1, F.lit(True)), _once(durations, out))
+        whole = (p["n"] <= 2) & (p["head"].isNull() | (p["tasks"] >= 1)) & (F.size(p["times"]) <= 3) & F.forall(p["times"], lambda x: x.isNotNull()) & ((p["tail"] == "") | p["tail"].startswith(":"))
+        fits = F.when(p["native"], whole).otherwise(p["kind"].rlike("^[A-Za-z][A-Za-z0-9_]*$"))
+        durations = F.when(p["native"], p["times"]).otherwise(F.filter(p["named"], lambda x: x.isNotNull()))
+        detail = F.when(p["native"], F.trim(F.substring(p["tail"], F.lit(2), F.length(p["tail"])))).otherwise(F.rtrim(p["tail"]))
+        tasks = F.when(p["native"], F.coalesce(p["tasks"], F.lit(1).cast("long")))
+        out = F.struct(F.array_max(durations).alias("duration_ms"), durations.alias("durations"), tasks.alias("task_count"), p["kind"].alias("type"), F.nullif(detail, F.lit("")).alias("detail"), wait_category(p["kind"]).alias("category"))
+        return F.when(F.coalesce(fits, F.lit(False)) & (p["kind"] != "") & ~F.upper(p["kind"]).isin(*NO_TYPE), out)
 
-    return _once(as_text(value), lambda t: _once(parts(t), wait))
+    return _once(as_text(value), lambda t: _once(cut(t), lambda c: F.when(~_said_no(c["t"]), _once(read(c), wait))))
 
 
 def wait_parse_warning(value: Column) -> Column:
     """Whether a wait text is there but says nothing that can be parsed."""
     t = as_text(value)
-    return F.coalesce(t.isNotNull() & ~t.rlike(r"(?i)^(?:NONE|N/A)$") & parse_wait(value).isNull(), F.lit(False))
+    return F.coalesce(t.isNotNull() & ~_said_no(t) & parse_wait(value).isNull(), F.lit(False))
 
 
 def statement_shape(value: Column) -> Column:
@@ -199,41 +253,59 @@ def handle_norm(value: Column) -> Column:
 def evidence_number(value: Column) -> Column:
     """A number that is the whole text, once commas and a unit at the end are gone."""
     t = F.trim(F.regexp_replace(F.replace(value, F.lit(","), F.lit("")), r"(?i)\s*(kb|mb|gb|ms|s|%)\s*$", ""))
-    return F.when(t.rlike(rf"^{_NUMBER}$"), t.try_cast("double"))
+    return _plain_number(t)
 
 
-# Pages of 8 KB to a unit.
+# Pages of 8 KB to a unit, and what else units are called.
 PAGES = {"pages": 1.0, "bytes": 1 / 8192, "kb": 1 / 8, "kib": 1 / 8, "mb": 128.0, "mib": 128.0, "gb": 131072.0, "gib": 131072.0}
+_CALLED = {u: u for u in PAGES} | {"page": "pages", "byte": "bytes"} | {f"8{k}{p}": "pages" for k in ("k", "kb") for p in ("", "page", "pages")}
+# Milliseconds of a unit of time, by its names.
+_MS = {n: 1.0 for n in ("ms", "msec", "msecs", "millisecond", "milliseconds")} | {n: 1000.0 for n in ("s", "sec", "secs", "second", "seconds")} | {n: 60_000.0 for n in ("min", "mins", "minute", "minutes")}
+_MS |= {n: 3_600_000.0 for n in ("hour", "hours", "hr", "hrs")} | {n: 86_400_000.0 for n in ("day", "days")}
+
 
+def spill_text(value: Column) -> Column:
+    """A trimmed cell of a spill export; null if it is empty or says that there is no value."""
+    t = F.regexp_replace(value.cast("string"), r"^\s+|\s+$", "")
+    return F.when((t != "") & ~F.lower(t).isin(*NOT_GIVEN), t)
 
-def spill_number(value: Column, column_unit: str | None = None) -> Column:
-    """struct<value, state>: a non-negative number with an optional unit, in pages. A unit in the cell must be that of the column, if both have one."""
-    t, p = as_text(value), r"(?i)^([+]?(?:\d+(?:\.\d+)?|\.\d+)(?:e[+-]?\d+)?)\s*(8\s*k(?:b)?(?:\s*pages?)?|pages?|bytes?|kib|mib|gib|kb|mb|gb)?$"
-    bare = F.replace(t, F.lit(","), F.lit(""))
-    word = F.regexp_replace(F.lower(_match(bare, p, 2)), r"\s+", "")
-    unit = F.when(word.rlike("^(page|pages|8k|8kb|8kpages?|8kbpages?)$"), "pages").when(word.rlike("^bytes?$"), "bytes").otherwise(word)
-    agrees = F.lit(True) if column_unit is None else F.coalesce(unit == column_unit, F.lit(True))
-    factor = F.element_at(F.create_map(*(F.lit(x) for kv in PAGES.items() for x in kv)), F.coalesce(unit, F.lit(column_unit or "pages")))
-    number = _match(bare, p, 1).try_cast("double") * factor
-    state = F.when(t.isNull(), "missing").when(~bare.rlike(p) | ~agrees, "invalid").when(number <= 0, "zero-or-nonpositive").otherwise("imported")
-    return F.struct(F.when(~state.isin("missing", "invalid"), number).alias("value"), state.alias("state"))
+
+def spill_number(value: Column, column_unit: str = "pages") -> Column:
+    """struct<value, state, explanation>: a number that is not negative, in pages, with an optional unit that must be the column's."""
+
+    def parts(t: Column) -> Column:
+        number = F.regexp_extract(t, r"^[+]?[0-9.]+([eE][+-]?[0-9]+)?", 0)
+        said = F.lower(F.regexp_replace(F.substring(t, F.length(number) + 1, F.length(t)), r"\s+", ""))
+        return F.struct(F.when(number.rlike("[0-9]$"), number.try_cast("double")).alias("n"), F.when(said != "", F.coalesce(_lookup(_CALLED, said), F.lit("?"))).alias("unit"))
+
+    def judged(p: Column) -> Column:
+        wrong, other = p["n"].isNull() | F.coalesce(p["unit"] == "?", F.lit(False)), p["unit"] != column_unit
+        pages = p["n"] * PAGES[column_unit]
+        state = F.when(wrong | F.coalesce(other, F.lit(False)), "invalid").when(pages <= 0, "zero-or-nonpositive").otherwise("imported")
+        why = F.when(wrong, "not a number with a known unit").when(other, F.concat(F.lit("the cell says "), p["unit"], F.lit(f", the column {column_unit}")))
+        return F.struct(F.when(state != "invalid", pages).alias("value"), state.alias("state"), why.alias("explanation"))
+
+    absent = F.struct(F.lit(None).cast("double").alias("value"), F.lit("missing").alias("state"), F.lit(None).cast("string").alias("explanation"))
+    return _once(F.replace(spill_text(value), F.lit(","), F.lit("")), lambda t: F.when(t.isNull(), absent).otherwise(_once(parts(t), judged)))
 
 
 def spill_duration_ms(value: Column) -> Column:
-    """Milliseconds of h:m:s or of a sum of terms with units that fill the text."""
-    t = as_text(value)
-    clock = r"^(\d+):([0-5]?\d):([0-5]?\d(?:\.\d+)?)$"
-    part = lambda i: _match(t, clock, i).try_cast("double")
-    term = r"(?i)[+]?(\d+(?:\.\d+)?|\.\d+)\s*(milliseconds?|msecs?|ms|seconds?|secs?|s|minutes?|mins?|hours?|hrs?|days?)"
-    units = F.transform(F.regexp_extract_all(t, F.lit(term), 2), lambda u: F.lower(u))
-    by = lambda u: F.when(u.startswith("d"), 86400000.0).when(u.startswith("h"), 3600000.0).when(u.startswith("ms") | u.startswith("mill"), 1.0).when(u.startswith("m"), 60000.0).otherwise(1000.0)
-    terms = F.zip_with(F.regexp_extract_all(t, F.lit(term), 1), units, lambda n, u: n.try_cast("double") * by(u))
-    filled = F.nullif(F.regexp_replace(F.regexp_replace(t, term, ""), r"[,\s]+", ""), F.lit("")).isNull()
-    return F.when(t.rlike(clock), ((part(1) * 60 + part(2)) * 60 + part(3)) * 1000).when(t.rlike(term) & filled, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
+    """Milliseconds of h:m:s or of a sum of amounts with units that fill the text."""
+    t = spill_text(value)
+    p = F.split(t, ":")
+    at = lambda i: F.when(p[i].rlike("^[0-9]+([.][0-9]+)?$" if i == 2 else "^[0-9]+$"), p[i].try_cast("double"))
+    clock = F.when((F.size(p) == 3) & (at(1) < 60) & (at(2) < 60), ((at(0) * 60 + at(1)) * 60 + at(2)) * 1000)
+    term = r"\+?([0-9]*\.?[0-9]+)\s*([A-Za-z]+)"
+    units = F.transform(F.regexp_extract_all(t, F.lit(term), 2), lambda u: _lookup(_MS, F.lower(u)))
+    terms = F.zip_with(F.regexp_extract_all(t, F.lit(term), 1), units, lambda n, u: n.try_cast("double") * u)
+    filled = F.regexp_replace(F.regexp_replace(t, term, ""), r"[,\s]+", "") == ""
+    # an amount of an unknown unit makes the sum null
+    return F.coalesce(clock, F.when(filled & (F.size(terms) > 0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
 
 
 def metric_state(raw: Column, number: Column) -> Column:
-    return F.when(as_text(raw).isNull(), "missing").when(number.isNull(), "invalid").when(number <= 0, "zero-or-nonpositive").otherwise("imported")
+    """What became of a cell: missing, invalid, zero or less, or imported."""
+    return F.when(spill_text(raw).isNull(), "missing").when(number.isNull() | (number < 0), "invalid").when(number <= 0, "zero-or-nonpositive").otherwise("imported")
 
 
 def spill_gib(pages: Column) -> Column:
@@ -241,8 +313,10 @@ def spill_gib(pages: Column) -> Column:
 
 
 def last_execution(value: Column) -> Column:
-    """A timestamp kept to its fraction, with a blank or T, or none."""
-    return as_timestamp(value)
+    """A timestamp kept to its fraction, with a blank or a T; else as month, day and year, or by the names of months."""
+    t = spill_text(value)
+    forms = [F.try_to_timestamp(t, F.lit(f)) for f in ("M/d/yyyy h:mm:ss a", "M/d/yyyy H:mm:ss", "M/d/yyyy", "MMM d yyyy h:mma", "d MMM yyyy HH:mm:ss")]
+    return F.coalesce(as_timestamp(t), *forms)
 
 
 def flag_value(value: Column, capability: bool = False) -> Column:
@@ -302,6 +376,7 @@ def header_norm_evidence(value: Column) -> Column:
 
 
 def header_norm_spill(value: Column) -> Column:
-    """Words of mixed case are parted, # is number, and 8 KB units are pages."""
+    """Words of mixed case are parted, # is number, 8 KB units are pages, and pages are said once."""
     t = F.lower(F.regexp_replace(F.trim(F.coalesce(value, F.lit(""))), "([a-z0-9])([A-Z])", "$1_$2"))
-    return _snake(F.regexp_replace(F.replace(t, F.lit("#"), F.lit(" number ")), r"8\s*k(?:b)?(?:\s*pages?)?", " pages "))
+    snake = _snake(F.regexp_replace(F.replace(t, F.lit("#"), F.lit(" number ")), r"8\s*kb?(\s*pages?)?", " pages "))
+    return F.regexp_replace(snake, "(pages_)+pages", "pages")

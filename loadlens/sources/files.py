@@ -16,11 +16,24 @@ MOST_BYTES = 100_000_000
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new place in the folder that the cluster shares, or in one of our own where none is configured."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new place in the folder that the cluster shares. Where none is configured, one of our own serves a local master; on a
+    cluster that is an error, as executors would not see it."""
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/loadlens-{label}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back: cuts the lineage, survives lost executors and is computed once."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sniff_separator(spark: SparkSession, path: str, lines: int = 8) -> str:
     """The separator that is most frequent outside quotes in the first lines."""
     text = [r.value for r in spark.read.text(path).where(F.trim("value") != "").limit(lines).collect()]

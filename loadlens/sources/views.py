@@ -98,17 +98,27 @@ FROM events""",
 }
 
 
-_G = r"(?:\d{1,3}(?:,\d{3})+|\d+)"
-_NATIVE = rf"(?i)^\(\s*(?:({_G})x\s*:\s*)?({_G}\s*ms(?:\s*/\s*{_G}\s*ms){{0,2}})\s*\)\s*([^:\s]+)\s*(?::\s*(.*))?$"
+def duck_wait(rows: str, text: str) -> str:
+    """DuckDB: rows with their wait text read: t, fine, kind, d (durations), tasks, detail and none (the text says that there
+    is no wait). Written from the two forms of a wait text, apart from functions.scalars.parse_wait."""
+    trimmed = f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
+    whole = lambda x: f"CASE WHEN regexp_full_match({x}, '[0-9]+') OR regexp_full_match({x}, '[0-9]{{1,3}}(,[0-9]{{3}})+') THEN CAST(replace({x}, ',', '') AS BIGINT) END"
+    return rf"""SELECT * EXCLUDE (par, inside, rest, tail), t IS NULL OR upper(t) IN ('NONE', 'N/A') AS none, CASE WHEN par THEN nullif(trim(substr(tail, 2)), '') ELSE nullif(rtrim(tail), '') END AS detail,
+ CASE WHEN par THEN coalesce(count, 1) END AS tasks, coalesce(NOT t IS NULL AND upper(t) NOT IN ('NONE', 'N/A') AND kind <> '' AND upper(kind) NOT IN ('ON', 'OFF', 'TRUE', 'FALSE', 'NULL', 'NONE') AND CASE WHEN par THEN
+ (len(inside) = 1 OR len(inside) = 2 AND count >= 1) AND len(d) <= 3 AND len(list_filter(d, lambda x: x IS NULL)) = 0 AND (tail = '' OR starts_with(tail, ':')) ELSE regexp_full_match(kind, '[A-Za-z][A-Za-z0-9_]*') END, false) AS fine
+FROM (SELECT *, ltrim(substr(rest, length(kind) + 1)) AS tail, CASE WHEN len(inside) = 2 AND lower(trim(inside[1])) LIKE '%x' THEN {whole("left(trim(inside[1]), -1)")} END AS count,
+ CASE WHEN par THEN list_transform(list_transform(string_split(inside[-1], '/'), lambda x: trim(x)), lambda x: CASE WHEN lower(x) LIKE '%ms' THEN {whole("rtrim(left(x, -2))")} END)
+  ELSE list_filter(list_transform(list_filter(string_split_regex(regexp_replace(rest, '\s*=\s*', '=', 'g'), '\s+'), lambda x: starts_with(lower(x), 'waittime='))[1:1], lambda x: {whole("substr(x, 10)")}), lambda x: x IS NOT NULL) END AS d
+FROM (SELECT *, regexp_extract(rest, '^[^:\s]+') AS kind FROM (SELECT *, CASE WHEN par AND strpos(t, ')') > 0 THEN string_split(substr(t, 2, strpos(t, ')') - 2), ':') END AS inside, CASE WHEN NOT par THEN t WHEN strpos(t, ')') > 0 THEN ltrim(substr(t, strpos(t, ')') + 1)) END AS rest
+FROM (SELECT *, coalesce(starts_with(t, '('), false) AS par FROM (SELECT *, CASE WHEN {trimmed} <> '' AND upper({trimmed}) <> 'NULL' THEN {trimmed} END AS t FROM {rows}) w1) w2) w3) w4) w5"""
+
+
 #: For DuckDB alone: activity with its wait parsed and its keys, as operators.activity.observed gives it.
 ORACLE_VIEWS = {
-    "acts": rf"""
-SELECT *, CASE WHEN regexp_matches(wait_info, '{_NATIVE}') THEN regexp_extract(wait_info, '{_NATIVE}', 3)
-    WHEN wait_info LIKE '(%' THEN NULL ELSE nullif(regexp_extract(wait_info, '^([A-Za-z][A-Za-z0-9_]*)(?:[\s:]|$)', 1), '') END AS wait_type,
-  CASE WHEN regexp_matches(wait_info, '{_NATIVE}') THEN list_max(list_transform(regexp_extract_all(regexp_extract(wait_info, '{_NATIVE}', 2), '({_G})\s*ms', 1), lambda x: CAST(replace(x, ',', '') AS BIGINT)))
-    WHEN wait_info LIKE '(%' THEN NULL ELSE TRY_CAST(replace(nullif(regexp_extract(wait_info, '(?i)(?:^|\s)waittime\s*=\s*({_G})(?:\s|$)', 1), ''), ',', '') AS BIGINT) END AS wait_ms,
+    "acts": f"""
+SELECT * EXCLUDE (t, kind, d, tasks, count, detail, none, fine), CASE WHEN fine THEN kind END AS wait_type, CASE WHEN fine THEN list_max(d) END AS wait_ms,
   concat(coalesce(CAST(session_id AS VARCHAR), '?'), ':', CAST(coalesce(request_id, 0) AS VARCHAR), ':', coalesce(CAST(coalesce(start_s, login_s) AS VARCHAR), '?')) AS episode
-FROM activity""",
+FROM ({duck_wait("activity", "wait_info")}) waits""",
 }
 
 

@@ -10,7 +10,8 @@ from loadlens.operators import correlation as K
 from loadlens.operators import counters as C
 from loadlens.operators import rules as R
 from loadlens.operators import spill as P
-from loadlens.plans.shred import shred_one
+from loadlens.plans import shred as H
+from loadlens.plans.reader import shred_one
 from loadlens.sources import files as W
 
 COLUMNS = "row_number long, source_id string, session_id long, request_id long, capture_s int, start_s int, login_s int, duration_seconds double, blocking_session_id long, blocked_session_count long, wait_info string, cpu double, reads double, writes double, used_memory double, tempdb_current double, status string, open_tran_count long, tran_start_s int, implicit_tran boolean, sql_text string"
@@ -212,3 +213,42 @@ def test_spill_ranks_over_many_ranges(spark):
         assert "windowspecdefinition(basis" not in out._jdf.queryExecution().analyzed().toString()  # all rows of a basis in one task
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", kept)
+
+
+def test_statement_warnings_go_to_an_operator():
+    xml = """<ShowPlanXML><StmtSimple StatementText="q" QueryHash="0xA" StatementSqlHandle="0xB" StatementStartOffset="12" RetrievedFromCache="TRUE"><QueryPlan CompileCPU="x" CompileMemory="7"><Warnings NoJoinPredicate="1"><PlanAffectingConvert Expression="CONVERT_IMPLICIT(int, a)"/><SpillToTempDb SpillLevel="2" SpilledThreadCount="1"/></Warnings>
+    <OptimizerStatsUsage><StatisticsInfo Table="[t]" Statistics="[s]" ModificationCount="3" SamplingPercent="12.5" LastUpdate="2024-01-01"/></OptimizerStatsUsage><MemoryGrantInfo GrantedMemory="8"/>
+    <RelOp NodeId="0" PhysicalOp="Nested Loops" LogicalOp="Inner Join"><RelOp NodeId="1" PhysicalOp="Sort" Parallel="1"><Warnings><HashSpillDetails WritesToTempDb="5" GrantedMemoryKB="9"/></Warnings><RelOp NodeId="2" PhysicalOp="Table Scan"><Predicate><ScalarOperator ScalarString="convert_implicit(int,  A) like N'%x'"/></Predicate><Object Database="d" Table="t"/></RelOp></RelOp></RelOp></QueryPlan></StmtSimple></ShowPlanXML>"""
+    st, join, sort, scan = shred_one(xml)
+    assert st["identity"] | {"sql_handle": "0xB", "query_hash": "0xA", "start_offset": 12, "plan_handle": None} == st["identity"] and st["from_cache"] and not st["actual"]
+    assert st["statistics"] == [{"database": None, "schema": None, "table": "[t]", "statistics": "[s]", "modifications": 3.0, "sampling_percent": 12.5, "last_update": "2024-01-01"}]
+    assert (st["compile_cpu"], st["compile_memory"], st["granted_kb"], st["used_kb"], len(st["notes"])) == (None, 7.0, 8.0, 0.0, 1)
+    assert join["warnings"] == ["No join predicate"] and sort["warnings"] == ["Runtime spill"] and scan["warnings"] == ["Plan-affecting conversion: CONVERT_IMPLICIT(int, a)"]
+    assert scan["ancestors"] == [1, 0] and scan["non_sargable"] and scan["object"]["database"] == "d" and scan["object_name"] == "t" and sort["parallel"]
+    assert [(s["kind"], s["pages_written"], s["granted_kb"], s["inferred"]) for s in sort["spills"]] == [("Hash", 5.0, 9.0, False)]
+
+
+def test_descent_reaches_the_bottom(spark):
+    """300 levels from an operator's children, without a cap; a ring is an error."""
+    ops = spark.createDataFrame([(1, i, [i + 1] if i < 300 else []) for i in range(301)] + [(2, 0, [1, 2]), (2, 1, []), (2, 2, [])], "statement_id long, node_id long, child_node_ids array<long>")
+    start = spark.createDataFrame([(1, 0), (1, 298), (2, 0)], "statement_id long, node_id long")
+    got = sorted((r.statement_id, r.start, r.node_id, r.depth) for r in H.descend(ops, start).collect())
+    assert got == sorted([(1, 0, i, i) for i in range(1, 301)] + [(1, 298, 299, 1), (1, 298, 300, 2), (2, 0, 1, 1), (2, 0, 2, 1)])
+    with pytest.raises(ValueError, match="below itself"):
+        H.with_ancestors(spark.createDataFrame([(1, 1, [2]), (1, 2, [3]), (1, 3, [1])], "statement_id long, node_id long, child_node_ids array<long>"))
+
+
+@pytest.mark.parametrize(("text", "unit", "want"), [("12 8KB pages", "pages", (12.0, "imported")), ("1,024 KiB", "kib", (128.0, "imported")), ("3 MB", "pages", (None, "invalid")), ("n/a", "pages", (None, "missing")), ("0", "gb", (0.0, "zero-or-nonpositive")), ("-1", "pages", (None, "invalid")), ("2 furlongs", "pages", (None, "invalid"))])
+def test_spill_number(spark, text, unit, want):
+    got = one(spark, text, lambda c: S.spill_number(c, unit))
+    assert (got.value, got.state) == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("1 02:03:04.5 more", 93784.5), ("00:00:59", 59.0), ("1:2:3", None), ("2 days", None), (None, None)])
+def test_duration_seconds(spark, text, want):
+    assert one(spark, text, S.duration_seconds) == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("1:00:02.5", 3602500.0), ("2 min, 3 secs", 123000.0), ("5 fortnights", None), ("not supplied", None), ("1:99:00", None)])
+def test_spill_duration(spark, text, want):
+    assert one(spark, text, S.spill_duration_ms) == want
