@@ -4,17 +4,21 @@ Unit vectors are projected on their leading principal dimensions, cut into cells
 sorted by cell. The sorted sequence is cut into blocks with bounding boxes. Projection shortens distances, so two blocks,
 or two intervals of blocks, whose boxes lie further apart than the threshold hold no link and are skipped. The rest are
 halved recursively down to small intervals, which are compared by matrix products in double precision.
+
+Runs of blocks are hosts. A host's vectors travel once, to one task; to it come the blocks that lie near one of its own,
+of half of the other hosts, the other half having it as a guest. So a vector travels at most half as often as there are
+hosts, whose number is fixed until they are full, and not at all where boxes tell hosts apart.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loadlens.llm.common import materialize
@@ -23,7 +27,10 @@ from loadlens.llm.graph import components
 #: Vectors used to find the principal dimensions. They decide the order of the work and no result.
 PCA_SAMPLE = 10_000
 _LEAF = 256
-_PAIRS_PER_TASK = 8
+#: Hosts that are wanted, and the least and most vectors of one: as many as fit 32 MB in double precision.
+_HOSTS, _HOST_LEAST, _HOST_BYTES = 24, 512, 32_000_000
+#: Bytes of guests that a task reads at once.
+_BATCH_BYTES, _BATCH_CONF = 16_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def principal(sample: np.ndarray, dims: int) -> np.ndarray:
@@ -58,9 +65,12 @@ def _blocks(axes: np.ndarray, size: int):
     def pack(number: int, ids: list, copies: list, vectors: list) -> pa.RecordBatch:
         x = np.asarray(vectors, np.float64)
         z = _unit(x) @ axes
+        with np.errstate(over="ignore", under="ignore"):
+            single = x.astype(np.float32)
+        short = bool((single.astype(np.float64) == x).all())  # single precision holds all of them exactly
         return pa.RecordBatch.from_pydict({
-            "block": [(TaskContext.get().partitionId() << 32) + number], "lo": [z.min(axis=0)], "hi": [z.max(axis=0)],
-            "ids": pa.array([ids], pa.list_(pa.int64())), "copies": pa.array([copies], pa.list_(pa.int64())), "x": [x.tobytes()],
+            "block": [(TaskContext.get().partitionId() << 32) + number], "n": pa.array([len(ids)], pa.int64()), "lo": [z.min(axis=0)], "hi": [z.max(axis=0)],
+            "ids": pa.array([ids], pa.list_(pa.int64())), "copies": pa.array([copies], pa.list_(pa.int64())), "short": [short], "x": [(single if short else x).tobytes()],
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,33 +149,46 @@ def join_blocks(u: np.ndarray, v: np.ndarray | None, zu: np.ndarray, zv: np.ndar
 
 
 def _compare(axes: np.ndarray, cosine: float, eps: float):
+    """(a, b, links) from blocks sorted by host, its own first: a's links, b being null, and edges between a and b."""
+    dim = len(axes)
+
+    def stacked(batch: pa.RecordBatch, at: list[int]):
+        col = {n: batch.column(batch.schema.get_field_index(n)) for n in ("ids", "copies", "short", "x")}
+        x = [np.frombuffer(col["x"][i].as_buffer(), np.float32 if col["short"][i].as_py() else np.float64).reshape(-1, dim).astype(np.float64) for i in at]
+        unit = _unit(np.concatenate(x))
+        return tuple(np.concatenate([np.asarray(col[n][i].values, np.int64) for i in at]) for n in ("ids", "copies")) + (unit, unit @ axes)
+
+    def found(names: np.ndarray, links: np.ndarray, edges: list) -> Iterator[pa.RecordBatch]:
+        at, e = np.flatnonzero(links), np.array(edges, np.int64).reshape(-1, 2)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([
+                pa.concat_arrays([pa.array(names[at]), pa.array(names[e[:, 0]])]), pa.concat_arrays([pa.nulls(len(at), pa.int64()), pa.array(names[e[:, 1]])]),
+                pa.concat_arrays([pa.array(links[at]), pa.nulls(len(e), pa.int64())]),
+            ], names=["a", "b", "links"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dim = len(axes)
+        host, own = None, []
         for batch in batches:
-            for k in range(batch.num_rows):
-                get = lambda i: batch.column(i)[k]  # noqa: B023, E731
-                same = get(0).as_py() == get(1).as_py()
-                ids = [np.asarray(get(i).values, np.int64) for i in ((2,) if same else (2, 5))]
-                copies = [np.asarray(get(i).values, np.int64) for i in ((3,) if same else (3, 6))]
-                unit = [_unit(np.frombuffer(get(i).as_buffer(), np.float64).reshape(-1, dim)) for i in ((4,) if same else (4, 7))]
-                z = [x @ axes for x in unit]
-                pick = lambda x: (x[0], None if same else x[1])  # noqa: B023, E731
-                links, edges = join_blocks(*pick(unit), *pick(z), *pick(copies), cosine, eps)
-                name = np.concatenate(ids)
-                at = np.flatnonzero(links)
-                n, e = len(at), np.array(edges, np.int64).reshape(-1, 2)
-                if n:  # link counts, then edges
-                    none = pa.nulls(len(e), pa.int64())
-                    yield pa.RecordBatch.from_arrays([
-                        pa.concat_arrays([pa.array(name[at]), pa.array(name[e[:, 0]])]),
-                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(name[e[:, 1]])]),
-                        pa.concat_arrays([pa.array(links[at]), none]),
-                    ], names=["a", "b", "links"])
+            hosts, guests = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            i = 0
+            while i < len(hosts):
+                j = i
+                while j < len(hosts) and (hosts[j], guests[j]) == (hosts[i], guests[i]):
+                    j += 1
+                if hosts[i] != host:
+                    host, own = hosts[i], []
+                part = stacked(batch, list(range(i, j)))
+                for mine in own:  # own blocks come in one batch, or in a few of bounded size
+                    yield from found(np.concatenate([mine[0], part[0]]), *join_blocks(mine[2], part[2], mine[3], part[3], mine[1], part[1], cosine, eps))
+                if not guests[i]:
+                    yield from found(part[0], *join_blocks(part[2], None, part[3], None, part[1], None, cosine, eps))
+                    own.append(part)
+                i = j
 
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, block: int = 2048, dims: int = 8, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, block: int = 512, dims: int = 8, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors.
 
     Two vectors link when their cosine, in double precision, is at least the threshold. n_links counts the other vectors
@@ -184,7 +207,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, block: int = 2048, di
     classes = materialize(classes.withColumn("dim", F.size("v")), "classes")
     found = None
     for dim in sorted(r.dim for r in classes.select("dim").distinct().collect()):
-        part = _join(classes.where(F.col("dim") == dim), cosine, block, min(dims, dim))
+        part = _bounded_batches(spark, lambda dim=dim: _join(classes.where(F.col("dim") == dim), cosine, block, min(dims, dim)))
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "a long, b long, links long")
@@ -199,6 +222,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, block: int = 2048, di
     return out.select("vec_id", links.alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
+def _bounded_batches(spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame:
+    """work(), which runs its jobs, while what is handed to Python at once is bounded in bytes, as blocks are large rows."""
+    before = spark.conf.get(_BATCH_CONF, None)
+    spark.conf.set(_BATCH_CONF, _BATCH_BYTES)
+    try:
+        return work()
+    finally:
+        spark.conf.unset(_BATCH_CONF) if before is None else spark.conf.set(_BATCH_CONF, before)
+
+
 def _join(classes: DataFrame, cosine: float, block: int, dims: int) -> DataFrame:
     n = classes.count()
     eps = math.sqrt(max(0.0, 2 - 2 * cosine)) * (1 + 1e-9) + 1e-9
@@ -208,20 +241,36 @@ def _join(classes: DataFrame, cosine: float, block: int, dims: int) -> DataFrame
     placed = classes.select("cls", "copies", "v").mapInArrow(_cells(axes, eps), "cls long, copies long, v array<double>, " + ", ".join(f"{c} int" for c in names))
     parts = max(1, -(-n // (4 * block)))
     ordered = placed.repartitionByRange(parts, *names, "cls").sortWithinPartitions(*names, "cls").select("cls", "copies", "v")
-    blocks = materialize(ordered.mapInArrow(_blocks(axes, block), "block long, lo array<double>, hi array<double>, ids array<long>, copies array<long>, x binary"), "blocks")
-
-    # blocks meet where their intervals on the first dimension come within one cell
-    box = blocks.select("block", "lo", "hi", F.floor(F.col("lo")[0] / eps).alias("from"), F.floor(F.col("hi")[0] / eps).alias("to"))
-    p = box.select("block", "lo", "hi", F.explode(F.sequence("from", "to")).alias("cell")).alias("p")
-    q = box.select("block", "lo", "hi", F.explode(F.sequence(F.col("from") - 1, F.col("to") + 1)).alias("cell")).alias("q")
-    gap = F.zip_with(F.zip_with("p.lo", "q.hi", lambda x, y: x - y), F.zip_with("q.lo", "p.hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
-    near = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x) <= eps * eps
-    pairs = p.join(q, F.col("p.cell") == F.col("q.cell")).where((F.col("p.block") <= F.col("q.block")) & near).select(F.col("p.block").alias("a"), F.col("q.block").alias("b")).distinct()
-    # a pair seen only from the larger block's side
-    back = p.join(q, F.col("p.cell") == F.col("q.cell")).where((F.col("p.block") > F.col("q.block")) & near).select(F.col("q.block").alias("a"), F.col("p.block").alias("b"))
-    pairs = materialize(pairs.unionByName(back).distinct(), "block_pairs")
-    tasks = max(1, -(-pairs.count() // _PAIRS_PER_TASK))
-    left = blocks.select(F.col("block").alias("a"), F.col("ids").alias("ids_a"), F.col("copies").alias("copies_a"), F.col("x").alias("x_a"))
-    right = blocks.select(F.col("block").alias("b"), F.col("ids").alias("ids_b"), F.col("copies").alias("copies_b"), F.col("x").alias("x_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ids_a", "copies_a", "x_a", "ids_b", "copies_b", "x_b").repartition(tasks, "a", "b")
-    return both.mapInArrow(_compare(axes, cosine, eps), "a long, b long, links long")
+    blocks = materialize(ordered.mapInArrow(_blocks(axes, block), "block long, n long, lo array<double>, hi array<double>, ids array<long>, copies array<long>, short boolean, x binary"), "blocks")
+    size = min(max(-(-n // _HOSTS), _HOST_LEAST), max(_HOST_BYTES // (8 * len(axes)), block))
+    # a row for each block passes through this window, without its vectors
+    upto = F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    box = materialize(blocks.select("block", F.floor((upto - F.col("n")) / size).alias("host"), "lo", "hi"), "boxes")
+    hosts = box.agg(F.max("host")).first()[0]
+    hosts = 1 if hosts is None else hosts + 1
+
+    # hosts and blocks meet where their intervals on the first two dimensions come within one cell
+    d = min(2, dims)
+    cells = [f"s{i}" for i in range(d)]
+
+    def celled(more: int, *columns: str) -> DataFrame:
+        out = box
+        for i, c in enumerate(cells):
+            at = lambda side: F.floor(F.col(side)[i] / eps).cast("long")  # noqa: B023, E731
+            out = out.withColumn(c, F.explode(F.sequence(at("lo") - more, at("hi") + more)))
+        return out.select(*columns, *cells).distinct()
+
+    p, q = celled(0, "host").alias("p"), celled(1, "host", "block").alias("q")
+    # of two hosts the one that the other follows within half the round takes the other's blocks as guests
+    ahead = F.pmod(F.col("q.host") - F.col("p.host"), F.lit(hosts))
+    takes = (ahead > 0) & ((2 * ahead < hosts) | ((2 * ahead == hosts) & (F.col("p.host") < F.col("q.host"))))
+    met = p.join(q, cells).where(takes).select(F.col("p.host").alias("taker"), F.col("q.block").alias("block")).distinct()
+    # a host has a bounded number of blocks
+    boxes = box.groupBy(F.col("host").alias("taker")).agg(F.collect_list(F.struct("lo", "hi")).alias("boxes"))
+    gap = lambda b: F.zip_with(F.zip_with(F.col("lo"), b["hi"], lambda x, y: x - y), F.zip_with(b["lo"], F.col("hi"), lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    near = lambda b: F.aggregate(gap(b), F.lit(0.0), lambda s, x: s + x * x) <= eps * eps
+    guests = met.join(box.select("block", "lo", "hi"), "block").join(boxes, "taker").where(F.exists("boxes", near)).select(F.col("taker").alias("host"), F.lit(True).alias("guest"), "block")
+    seats = materialize(box.select("host", F.lit(False).alias("guest"), "block").unionByName(guests), "seats")
+    sent = seats.join(blocks.select("block", "ids", "copies", "short", "x"), "block").select("host", "guest", "block", "ids", "copies", "short", "x")
+    sent = sent.repartition(max(1, hosts), "host").sortWithinPartitions("host", "guest", "block")
+    return materialize(sent.mapInArrow(_compare(axes, cosine, eps), "a long, b long, links long"), "found")
