@@ -10,6 +10,7 @@ from loadlens.catalog.plans import _GOOD, read_operators
 from loadlens.catalog.rules import ALL, found
 from loadlens.operators import evidence as E
 from loadlens.operators import history as H
+from loadlens.operators import inventory as J
 
 # Artifacts of the samples: one per source and capture; cases are sources.
 ART = """art AS (SELECT concat(source_id, ':', CAST(capture_s AS VARCHAR)) AS artifact_id, source_id AS case_id, capture_s % 45 = 0 AS correlated, coalesce(sum(runnable_tasks) > 0, false) AS rq, coalesce(bool_or(active_workers >= max_workers AND work_queue > 0), false) AS we,
@@ -82,12 +83,12 @@ QUERIES = [
     Query("evidence_shape", lambda v: E.evidence_shape(v.events.select((F.col("user_id") % 90).alias("artifact_id"), F.element_at(F.array(*map(F.lit, ("runnable_tasks", "active_workers", "max_workers", "compilations", "batches", "request_status", "resource_type", "granted_mb"))), (F.col("event_id") % 8 + 1).cast("int")).alias("column")).where("artifact_id % 7 <> 0 or column <> 'batches'")),
           "WITH c AS (SELECT user_id % 90 AS artifact_id, ['runnable_tasks', 'active_workers', 'max_workers', 'compilations', 'batches', 'request_status', 'resource_type', 'granted_mb'][CAST(event_id % 8 + 1 AS INTEGER)] AS c FROM events), g AS (SELECT artifact_id, list(DISTINCT c) AS l FROM c WHERE artifact_id % 7 <> 0 OR c <> 'batches' GROUP BY 1) SELECT artifact_id, concat_ws(',', CASE WHEN list_contains(l, 'runnable_tasks') THEN 'scheduler' END, CASE WHEN list_has_all(l, ['active_workers', 'max_workers']) THEN 'worker' END, CASE WHEN list_has_all(l, ['compilations', 'batches']) THEN 'compile' END, CASE WHEN list_has_all(l, ['request_status', 'resource_type']) THEN 'lock' END, CASE WHEN list_contains(l, 'granted_mb') THEN 'grant' END) AS shapes FROM g"),
     Query("evidence_signals", lambda v: _signals(v).select("artifact_id", "signal"), f"WITH {ART} SELECT artifact_id, signal FROM sig"),
-    Query("evidence_kinds", lambda v: _signals(v).groupBy("signal").count(), f"WITH {ART} SELECT signal, count(*) AS count FROM sig GROUP BY signal"),
+    Query("evidence_kinds", lambda v: J.counted(_signals(v), "signal"), f"WITH {ART} SELECT signal, count(*) AS count FROM sig GROUP BY signal"),
     Query("root_identity", lambda v: E.root_identity(acts(v), "episode"), "SELECT episode, arg_max(session_id, row_number) AS session_id, arg_max(database_name, row_number) AS database_name, arg_max(login_name, row_number) AS login_name FROM acts GROUP BY episode"),
     Query("incident_window", lambda v: E.incident_window(v.plan_stmts.select(F.col("plan_id").alias("finding_id")).distinct().withColumn("first_s", F.lit(-1)).withColumn("last_s", F.lit(-2)), acts(v).select(F.concat(F.lit("plan-"), F.col("session_id")).alias("finding_id"), "capture_s")),
           "SELECT p.plan_id AS finding_id, coalesce(min(a.capture_s), -1) AS first_s, coalesce(max(a.capture_s), -2) AS last_s FROM (SELECT DISTINCT plan_id FROM plan_stmts) p LEFT JOIN activity a ON concat('plan-', CAST(a.session_id AS VARCHAR)) = p.plan_id GROUP BY p.plan_id"),
     Query("assertion_states", _states, f"WITH {STATES} SELECT case_id, assertion, state FROM st"),
-    Query("state_counts", lambda v: _states(v).groupBy("state").count(), f"WITH {STATES} SELECT state, count(*) AS count FROM st GROUP BY state"),
+    Query("state_counts", lambda v: J.counted(_states(v), "state"), f"WITH {STATES} SELECT state, count(*) AS count FROM st GROUP BY state"),
     Query("causal_theory", lambda v: E.causal_theory(_states(v)), f"""WITH {STATES}, g AS (SELECT case_id, bool_or(assertion = 'worker-starvation' AND state IN ('Supported', 'Observed')) AS w, bool_or(assertion = 'compile-storm' AND state IN ('Supported', 'Observed')) AS c, bool_or(assertion = 'runnable-root' AND state IN ('Supported', 'Observed')) AS r, bool_or(assertion = 'open-transaction' AND state IN ('Supported', 'Observed')) AS t, bool_or(assertion = 'open-transaction' AND state = 'Contradicted') AS nt FROM st GROUP BY case_id)
  SELECT case_id, CASE WHEN nt THEN 'Not Evaluated' WHEN w THEN 'Worker starvation' WHEN r AND t THEN 'CPU-bound holder of locks' WHEN c THEN 'Compilation' WHEN t THEN 'Open transaction' ELSE 'Unanswered' END AS theory FROM g"""),
     Query("initial_assertions", lambda v: E.initial_assertions(found(v)), f"{ALL} SELECT rule_id, subject, a AS assertion, CASE WHEN a = 'chain' AND rule_id = 'WIA-BLOCKING' OR a = 'open-transaction' AND rule_id = 'WIA-TRANSACTION' THEN 'Observed' WHEN a = 'worker-starvation' AND rule_id = 'WIA-WORKER-EXHAUSTION' AND confidence = 'High' THEN 'Supported' ELSE 'Not Evaluated' END AS state FROM findings, (VALUES ('chain'), ('open-transaction'), ('worker-starvation')) x(a)"),
@@ -103,8 +104,8 @@ QUERIES = [
     Query("history_targets", lambda v: H.history_targets(_observed(v)), f"WITH {OBS}, o2 AS (SELECT concat('obj', CAST(object_no AS VARCHAR)) AS target, o_custkey % 25 AS server, statement_id AS c, issue, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS seen_s FROM obs JOIN orders ON o_orderkey = statement_id) SELECT target, count(DISTINCT server) AS servers, count(DISTINCT c) AS captures, " + ", ".join(f"count(DISTINCT CASE WHEN issue = '{i}' THEN c END) AS {n}" for i, n in (("spill", "spills"), ("conversion", "conversions"), ("non-sargable", "non_sargable"), ("under-estimate", "under"), ("over-estimate", "over"))) + ", count(*) AS issues, min(seen_s) AS first_s, max(seen_s) AS last_s FROM o2 GROUP BY target"),
     Query("statistics_observations", lambda v: H.statistics_observations(v.part.select(F.col("p_partkey").alias("key"), F.when(F.col("p_partkey") % 5 != 0, F.lit(1)).alias("last_updated"), (F.col("p_partkey") % 7).alias("rows_sampled"), (F.col("p_partkey") % 3).alias("modifications"))), "SELECT key, i AS issue FROM (SELECT p_partkey AS key, unnest([CASE WHEN p_partkey % 5 = 0 THEN 'never-updated' END, CASE WHEN p_partkey % 7 = 0 THEN 'zero-sample' END, CASE WHEN p_partkey % 3 > 0 THEN 'changed-since-update' END]) AS i FROM part) z WHERE i IS NOT NULL"),
     Query("history_upsert", lambda v: H.history_upsert(v.orders.select("o_orderkey", F.lit("old").alias("version")), v.orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("new").alias("version")), "o_orderkey"), "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM orders"),
-    Query("history_summary", lambda v: v.plan_stmts.agg(F.count_if(F.col("nonparallel_reason").isNull()).alias("resolved"), F.count_if(F.col("nonparallel_reason").isNotNull()).alias("unresolved"), F.countDistinct(F.when(F.col("actual"), F.col("plan_id"))).alias("actual_captures")), "SELECT count(*) FILTER (WHERE nonparallel_reason IS NULL) AS resolved, count(*) FILTER (WHERE nonparallel_reason IS NOT NULL) AS unresolved, count(DISTINCT CASE WHEN actual THEN plan_id END) AS actual_captures FROM plan_stmts"),
-    Query("tool_inventory", lambda v: _caps(v).agg(F.count_if("compatible").alias("installed"), F.count_if(F.col("compatible") & F.col("statistics")).alias("usable")), f"WITH {_SNAPV} SELECT count(*) FILTER (WHERE compatible) AS installed, count(*) FILTER (WHERE compatible AND statistics) AS usable FROM cap"),
+    Query("history_summary", lambda v: J.history_summary(v.orders.select((F.col("o_custkey") % 300).alias("case_id"), (F.col("o_orderstatus") == "F").alias("resolved")), v.plan_stmts.select(F.col("plan_id").alias("capture_id"), "actual")), "SELECT * FROM (SELECT count(*) FILTER (WHERE r) AS resolved, count(*) FILTER (WHERE NOT r) AS unresolved FROM (SELECT o_custkey % 300 AS c, bool_or(o_orderstatus = 'F') AS r FROM orders GROUP BY 1) z) a, (SELECT count(DISTINCT CASE WHEN actual THEN plan_id END) AS actual_captures FROM plan_stmts) b"),
+    Query("tool_inventory", lambda v: J.tool_inventory(_caps(v).select(F.col("compatible").alias("installed"), F.col("statistics").alias("usable"))), f"WITH {_SNAPV} SELECT count(*) FILTER (WHERE compatible) AS installed, count(*) FILTER (WHERE compatible AND statistics) AS usable FROM cap"),
     Query("eligible_servers", lambda v: H.eligible_servers(_caps(v), 59 * 86400), f"WITH {_SNAPV} SELECT DISTINCT server FROM cap WHERE compatible AND statistics AND 59 * 86400 - captured_s BETWEEN 0 AND 30 * 86400"),
     Query("capability_snapshot", lambda v: H.capability_snapshot(v.customer.select((F.col("c_custkey") % 400).alias("artifact_id"), F.when(F.col("c_custkey") % 11 == 0, F.lit("other")).otherwise("main").alias("server"), (F.col("c_custkey") % 50 * 86400).alias("captured_s"), F.lit(1).alias("version"), F.when(F.col("c_custkey") % 3 == 0, "Std").alias("edition"), (F.col("c_custkey") % 2 == 0).alias("installed")), 45 * 86400),
           "SELECT artifact_id, CASE WHEN n = 1 THEN one END AS server, CASE WHEN n > 1 THEN 'mixed contexts' END AS error, 1 AS version, concat_ws(',', CASE WHEN edition IS NULL THEN 'edition' END, CASE WHEN tools = 0 THEN 'tools' END, CASE WHEN 45 * 86400 - cs > 30 * 86400 THEN 'stale' END) AS warnings FROM (SELECT c_custkey % 400 AS artifact_id, count(DISTINCT CASE WHEN c_custkey % 11 = 0 THEN 'other' ELSE 'main' END) AS n, min(CASE WHEN c_custkey % 11 = 0 THEN 'other' ELSE 'main' END) AS one, max(c_custkey % 50 * 86400) AS cs, max(CASE WHEN c_custkey % 3 = 0 THEN 'Std' END) AS edition, count(*) FILTER (WHERE c_custkey % 2 = 0) AS tools FROM customer GROUP BY 1) z"),

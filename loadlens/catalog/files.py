@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.catalog.activity import acts
 from loadlens.catalog.base import Query
-from loadlens.catalog.rules import ALL, _shown, found
+from loadlens.catalog.reports import STEP_CTES, STEPS
+from loadlens.catalog.rules import ALL, CAPPED, _shown, found
 from loadlens.operators import guide as G
+from loadlens.operators import inventory as J
+from loadlens.operators import rules as R
+from loadlens.operators.thresholds import Thresholds
 from loadlens.sources import files as W
+from loadlens.sources import inputs as I
+from loadlens.sources.files import saved
 
 
 def _written(v, df, label, **options):
@@ -18,8 +27,11 @@ def _written(v, df, label, **options):
 
 
 def _read_capture(v):
+    """All of activity, a third of it by each separator, side by side."""
     rows = v.activity.select("row_number", F.when(F.col("row_number") % 50 != 0, F.concat(F.lit('said "x;y"\n'), F.coalesce("sql_text", F.lit("none")))).alias("text"), "status")
-    path = _written(v, rows, "capture", sep=";", escape='"', quoteAll=True)
+    path = W.shared_path(v.spark, "capture")
+    for i, sep in enumerate(W.SEPARATORS):
+        rows.where(F.col("row_number") % 3 == i).write.options(sep=sep, escape='"', quoteAll=True).csv(f"{path}/{i}")
     return W.read_capture(v.spark, path).select(F.col("_c0").cast("long").alias("row_number"), F.nullif("_c1", F.lit("")).alias("text"), F.col("_c2").alias("status"))
 
 
@@ -38,7 +50,7 @@ def _encodings(v):
     rows = _parted(v.activity).select("part", F.col("row_number").cast("string"), F.concat(F.lit("é "), F.coalesce("status", F.lit("none"))))
     rows.where("part % 2 = 0").write.partitionBy("part").csv(f"{path}/encoding=u8")
     rows.where("part % 2 = 1").write.partitionBy("part").option("encoding", "UTF-16").csv(f"{path}/encoding=u16")
-    back = W.read_any_encoding(v.spark, path)
+    back = W.read_capture(v.spark, path)
     return back.groupBy(F.col("_encoding").alias("encoding")).agg(F.countDistinct("_path").alias("count"), F.count("*").alias("n_rows"), F.count_if(F.col("_c1").startswith("é ")).alias("n_read"), F.sum(F.col("_c0").cast("long")).alias("row_numbers"))
 
 
@@ -58,6 +70,7 @@ def _json(v):
 
 
 def _files(v):
+    """Source files of bounded size, and some again: all of activity as text, written and read as bytes."""
     path = W.shared_path(v.spark, "evidence")
     rows = _parted(v.activity).select("part", F.concat_ws(",", F.col("row_number").cast("string"), "status", "wait_info").alias("value"))
     rows.write.partitionBy("part").text(f"{path}/first")
@@ -65,44 +78,73 @@ def _files(v):
     return v.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
 
+_PARTS = f"parts AS (SELECT floor(row_number / {_ROWS_A_FILE}) AS part, string_agg(concat_ws(',', CAST(row_number AS VARCHAR), status, wait_info) || chr(10), '' ORDER BY row_number) AS content FROM activity GROUP BY 1), copies AS (SELECT part, content, 'taken' AS state FROM parts UNION ALL SELECT part, content, 'copy' FROM parts WHERE part % 3 = 0)"
+_EXPORT = ("record", "rule_id", "severity", "confidence", "category", "subject", "impact", "n_rows", "first_row", "first_s", "last_s", "persistence")
+
+
 def _write_findings(v):
     path = W.shared_path(v.spark, "findings")
-    W.write_csv(_shown(found(v)), path)
+    f = saved(_shown(found(v)), "found")
+    W.write_csv(W.findings_export(R.finding_caps(f).drop("place"), R.cap_disclosure(f), G.guide_steps(f), Thresholds().digest()).select(*_EXPORT), path)
     back = v.spark.read.option("header", True).option("escape", '"').csv(path)
-    return back.select("rule_id", "severity", F.regexp_replace("subject", "^'", "").alias("subject"), F.col("impact").cast("double").alias("impact"))
+    typed = {"impact": "double", "n_rows": "long", "first_row": "long", "first_s": "long", "last_s": "long", "persistence": "double"}
+    return back.select(*(F.col(c).cast(typed.get(c, "string")).alias(c) for c in _EXPORT)).withColumn("subject", F.regexp_replace("subject", "^'", ""))
+
+
+_NONE = ", ".join(f"NULL AS {c}" for c in ("severity", "confidence", "category"))
+_REST = "NULL AS first_row, NULL AS first_s, NULL AS last_s, NULL AS persistence"
+_WRITTEN = f"""{CAPPED}, {STEP_CTES} SELECT 'finding' AS record, rule_id, severity, confidence, category, subject, round(impact, 6) AS impact, n_rows, first_row, first_s, last_s, persistence FROM capped WHERE kept
+ UNION ALL BY NAME SELECT 'cap' AS record, rule_id, {_NONE}, concat(c, ' of ', n, ' findings of ', rule_id, ' are shown') AS subject, NULL AS impact, n - c AS n_rows, {_REST} FROM (SELECT rule_id, count(*) FILTER (WHERE kept) AS c, count(*) AS n FROM capped GROUP BY rule_id HAVING count(*) FILTER (WHERE NOT kept) > 0) z
+ UNION ALL BY NAME SELECT 'step' AS record, kind AS rule_id, {_NONE}, concat('step ', step) AS subject, NULL AS impact, sources AS n_rows, {_REST} FROM st WHERE step <= 5
+ UNION ALL BY NAME SELECT 'profile' AS record, 'thresholds' AS rule_id, {_NONE}, '{Thresholds().digest()}' AS subject, NULL AS impact, NULL AS n_rows, {_REST}"""
 
 
 def _write_activity(v):
     path = W.shared_path(v.spark, "activity")
-    W.write_csv(acts(v).select("row_number", "source_id", "session_id", "capture_s", "wait_type", "status"), path)
-    back = v.spark.read.option("header", True).csv(path)
-    return back.select(F.col("row_number").cast("long").alias("row_number"), "source_id", F.col("session_id").cast("long").alias("session_id"), F.col("capture_s").cast("int").alias("capture_s"), "wait_type", "status")
+    a = acts(v)
+    W.write_csv(a, path)
+    back = v.spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    plain = lambda c: F.regexp_replace(c, "^'(?=[-=+@])", "")
+    return back.select(*((plain(c) if kind == "string" else plain(c).cast(kind)).alias(c) for c, kind in a.dtypes))
 
 
 def _write_guide(v):
     path = W.shared_path(v.spark, "guide")
     W.write_csv(G.guide_steps(found(v)), path)
-    return v.spark.read.option("header", True).csv(path).select("kind", F.col("sources").cast("long").alias("sources"))
+    return v.spark.read.option("header", True).csv(path).select(F.col("step").cast("int").alias("step"), "kind", F.col("priority").cast("int").alias("priority"), F.col("sources").cast("long").alias("sources"))
 
 
 def _write_report(v):
     path = W.shared_path(v.spark, "report")
-    W.write_report(_shown(found(v)), v.inputs.groupBy("input_id").count(), path)
-    return v.spark.read.json(f"{path}/findings").groupBy("finding.rule_id").count()
+    W.write_report(path, findings=_shown(found(v)), inputs=v.inputs.groupBy("input_id").count(), plans=J.plan_inventory(v.plan_stmts), quality=I.data_quality(v.inputs, acts(v)))
+    back = lambda name: v.spark.read.json(f"{path}/{name}").select(f"{name}.*")
+    parts = [back("findings").groupBy(F.concat(F.lit("finding "), "rule_id").alias("part")).agg(F.count("*").alias("n"), F.round(F.sum("impact"), 3).alias("total")),
+             back("inputs").groupBy(F.lit("inputs").alias("part")).agg(F.count("*").alias("n"), F.sum("count").cast("double").alias("total")),
+             back("plans").groupBy(F.lit("plans").alias("part")).agg(F.count("*").alias("n"), F.sum("statements").cast("double").alias("total")),
+             back("quality").groupBy(F.lit("quality").alias("part")).agg(F.count("*").alias("n"), F.sum("unparsed_waits").cast("double").alias("total"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _manifest(v):
+    m = W.run_manifest(_files(v), Thresholds().digest(), activity=v.activity, plans=v.plan_stmts, findings=found(v))
+    named = F.when(F.col("kind") == "file", F.lit("file")).otherwise(F.col("name"))
+    return m.select("kind", named.alias("name"), F.when(F.col("kind") != "run", F.col("hash")).alias("hash"), "n")
 
 
 QUERIES = [
     Query("read_capture", _read_capture, "SELECT row_number, CASE WHEN row_number % 50 <> 0 THEN concat('said \"x;y\"', chr(10), coalesce(sql_text, 'none')) END AS text, status FROM activity"),
-    Query("text_encoding", _encodings),
+    Query("text_encoding", _encodings, f"SELECT CASE WHEN part % 2 = 0 THEN 'UTF-8' ELSE 'UTF-16BE' END AS encoding, count(DISTINCT part) AS count, count(*) AS n_rows, count(*) AS n_read, sum(row_number) AS row_numbers FROM (SELECT row_number, CAST(floor(row_number / {_ROWS_A_FILE}) AS BIGINT) AS part FROM activity) z GROUP BY 1"),
     Query("normalize_activity", lambda v: W.normalize_activity(_cells(v)), "SELECT row_number, CAST(session_id AS DOUBLE) AS session_id, CAST(1704067200 + capture_s AS BIGINT) AS collection_s, CASE WHEN capture_s >= start_s THEN CAST(capture_s - start_s AS DOUBLE) END AS duration_seconds, CASE WHEN row_number % 4 = 0 THEN CAST(7 AS DOUBLE) ELSE cpu END AS cpu_ms, reads, status, wait_type FROM acts"),
     Query("read_json_evidence", _json, "SELECT row_number, status FROM activity"),
-    Query("dedupe_evidence", lambda v: W.dedupe_evidence(_files(v), v.spark.createDataFrame([], "hash string")).groupBy("state").count()),
-    Query("write_findings", _write_findings, f"{ALL} SELECT rule_id, severity, regexp_replace(subject, '^''', '') AS subject, round(impact, 6) AS impact FROM findings"),
-    Query("write_guide", _write_guide),
-    Query("write_activity", _write_activity, "SELECT row_number, source_id, session_id, capture_s, wait_type, status FROM acts"),
-    Query("write_report", _write_report, f"{ALL} SELECT rule_id, count(*) AS count FROM findings GROUP BY rule_id"),
-    Query("run_manifest", lambda v: W.run_manifest(_files(v).limit(0), activity=v.activity, plans=v.plan_stmts, findings=found(v)), f"{ALL} SELECT 'table' AS kind, 'activity' AS name, CAST(NULL AS VARCHAR) AS hash, count(*) AS n FROM acts UNION ALL SELECT 'table', 'plans', NULL, count(*) FROM plan_stmts UNION ALL SELECT 'table', 'findings', NULL, count(*) FROM findings"),
-    Query("source_manifest", lambda v: W.run_manifest(_files(v), activity=v.activity).select("kind", F.when(F.col("kind") == "table", F.col("name")).alias("name"), "hash", "n")),
+    Query("dedupe_evidence", lambda v: W.dedupe_evidence(_files(v), v.spark.createDataFrame([], "hash string")).groupBy("hash", "state").count(), f"WITH {_PARTS} SELECT sha256(content) AS hash, state, count(*) AS count FROM copies GROUP BY ALL"),
+    Query("write_findings", _write_findings, _WRITTEN),
+    Query("write_guide", _write_guide, f"{STEPS} SELECT CAST(step AS INTEGER) AS step, kind, priority, sources FROM st WHERE step <= 5"),
+    Query("write_activity", _write_activity, "SELECT * FROM acts"),
+    Query("write_report", _write_report, f"""{ALL} SELECT concat('finding ', rule_id) AS part, count(*) AS n, round(sum(round(impact, 6)), 3) AS total FROM findings GROUP BY rule_id UNION ALL SELECT 'inputs', count(DISTINCT input_id), CAST(count(*) AS DOUBLE) FROM inputs
+ UNION ALL SELECT 'plans', count(DISTINCT plan_id), CAST(count(*) AS DOUBLE) FROM plan_stmts UNION ALL SELECT 'quality', 1, CAST(count(*) AS DOUBLE) FROM acts WHERE wait_info IS NOT NULL AND wait_type IS NULL"""),
+    Query("run_manifest", _manifest, f"""{ALL}, {_PARTS}, m AS (SELECT 'file' AS kind, 'file' AS name, sha256(content) AS hash, octet_length(encode(content)) AS n FROM copies UNION ALL SELECT 'table', 'activity', NULL, count(*) FROM acts UNION ALL SELECT 'table', 'plans', NULL, count(*) FROM plan_stmts
+ UNION ALL SELECT 'table', 'findings', NULL, count(*) FROM findings UNION ALL SELECT 'profile', 'thresholds', '{Thresholds().digest()}', NULL) SELECT * FROM m UNION ALL SELECT 'run', 'run', NULL, count(*) FROM m"""),
+    Query("source_manifest", lambda v: W.run_manifest(_files(v), activity=v.activity).where("kind <> 'run'").select("kind", F.when(F.col("kind") == "table", F.col("name")).alias("name"), "hash", "n"), f"WITH {_PARTS} SELECT 'file' AS kind, NULL AS name, sha256(content) AS hash, octet_length(encode(content)) AS n FROM copies UNION ALL SELECT 'table', 'activity', NULL, count(*) FROM activity"),
     Query("processing_log", lambda v: W.processing_log(warning=acts(v).where("wait_info is not null and wait_type is null").select(F.concat(F.lit("row "), F.col("row_number")).alias("message")), error=v.inputs.where("line_no = 0").select(F.concat("input_id", F.lit(": "), "header").alias("message"))),
           "SELECT 'warning' AS kind, concat('row ', CAST(row_number AS VARCHAR)) AS message FROM acts WHERE wait_info IS NOT NULL AND wait_type IS NULL UNION ALL SELECT 'error', concat(input_id, ': ', header) FROM inputs WHERE line_no = 0"),
     Query("spill_header", lambda v: W.spill_header(v.inputs.withColumn("header", F.when(F.col("event_id") % 13 == 0, "TotalSpills").when(F.col("event_id") % 17 == 0, "Plan Handle").otherwise(F.col("header")))), "WITH h AS (SELECT input_id, line_no, CASE WHEN event_id % 13 = 0 THEN 'spill' WHEN event_id % 17 = 0 THEN 'handle' ELSE lower(header) END AS h FROM inputs) SELECT input_id, min(line_no) AS line_no FROM (SELECT input_id, line_no FROM h GROUP BY ALL HAVING bool_or(h LIKE '%spill%' OR h LIKE '%warning%') AND bool_or(regexp_matches(h, 'handle|hash|execution|cpu'))) z GROUP BY input_id"),

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from loadlens.catalog.activity import acts
 from loadlens.catalog.base import Query
-from loadlens.catalog.rules import ALL, found
+from loadlens.catalog.rules import _SEV, ALL, RULE_COLUMNS, RULE_VALUES, found
 from loadlens.operators import correlation as K
+from loadlens.operators import inventory as J
+from loadlens.operators import rules as R
 from loadlens.operators import spill as P
 from loadlens.sources import inputs as I
 
@@ -44,27 +46,18 @@ def _candidates(v):
     return K.candidate_plan(_match(v).withColumn("actual", F.col("r_id") % 3 != 0), _selections(v))
 
 
-def _members(v):
-    a = acts(v)
-    e = a.where("open_tran_count > 0").select(F.concat(F.lit("tran:"), "episode").alias("finding_id"), F.lit("transaction").alias("kind"), F.col("row_number").alias("record_id"))
-    return e.unionByName(a.where("wait_type is not null").select(F.concat_ws(":", "wait_type", "source_id").alias("finding_id"), F.lit("wait").alias("kind"), F.col("row_number").alias("record_id")))
-
-
-_RELATED = """mem AS (SELECT concat('tran:', episode) AS finding_id, 'transaction' AS kind, row_number AS record_id FROM acts WHERE open_tran_count > 0 UNION ALL SELECT concat(wait_type, ':', source_id), 'wait', row_number FROM acts WHERE wait_type IS NOT NULL),
-rel AS (SELECT a.finding_id, b.finding_id AS other, b.kind, count(DISTINCT a.record_id) AS shared FROM mem a JOIN mem b ON a.record_id = b.record_id AND a.finding_id <> b.finding_id GROUP BY ALL)"""
-
-
 def _spills(v):
     return P.spill_candidates(v.spills)
 
 
-def _kpis(v):
-    a = acts(v)
-    f = found(v)
-    rows = a.agg(F.count("*").alias("activity_rows"), F.countDistinct("capture_s").alias("capture_points"), (F.max("capture_s") - F.min("capture_s")).cast("long").alias("capture_span"), F.countDistinct("source_id").alias("sources"))
-    loud = f.agg(F.count_if(F.col("severity").isin("Critical", "High")).alias("urgent"), F.count("*").alias("findings"))
-    plans = v.plan_stmts.agg(F.countDistinct("plan_id").alias("plans"), F.count("*").alias("statements"))
-    return rows.crossJoin(loud).crossJoin(plans)
+def _missing_rules(v):
+    return R.rule_availability(v.inputs.select(F.lower(F.trim(F.regexp_replace("header", r"^\[|\]$", ""))).alias("column")), v.spark.createDataFrame(RULE_COLUMNS, "rule_id string, column string"))
+
+
+def _grants(v):
+    """Memory grants of the statements: every seventh has waited, every third is not granted yet."""
+    k = F.col("statement_id")
+    return v.plan_stmts.select("database_id", (F.col("granted_mb") * 1024).alias("requested_kb"), F.when(k % 3 != 0, k).alias("grant_time"), F.when(k % 7 == 0, k % 5000).alias("wait_ms"))
 
 
 QUERIES = [
@@ -73,10 +66,8 @@ QUERIES = [
           "WITH a AS (SELECT sample_order AS artifact_id, concat('src-', sample_order % 2) AS window_id, CASE WHEN sample_order % 17 <> 0 THEN capture_s - 100 END AS t FROM samples), w AS (SELECT source_id AS window_id, min(capture_s) + 60 AS f, max(capture_s) - 200 AS l FROM activity GROUP BY 1) SELECT artifact_id, window_id, CASE WHEN t IS NULL THEN 'Unknown' WHEN t BETWEEN f AND l THEN 'Exact' WHEN t BETWEEN f - 30 AND l + 30 THEN 'Overlapping' ELSE 'Context only' END AS overlap FROM a LEFT JOIN w USING (window_id)"),
     Query("lock_resource_match", lambda v: K.lock_resource_match(v.locks), "WITH f AS (SELECT *, coalesce(description, '') AS about FROM locks WHERE entity_id IS NOT NULL AND (description IS NOT NULL OR resource_type NOT IN ('KEY', 'PAGE', 'RID'))) SELECT DISTINCT g.session_id AS holder, w.session_id AS waiter, g.resource_type, g.database_id, g.entity_id, g.about FROM f g JOIN f w ON g.request_status = 'GRANT' AND w.request_status = 'WAIT' AND g.resource_type = w.resource_type AND g.database_id = w.database_id AND g.entity_id = w.entity_id AND g.about = w.about WHERE g.session_id <> w.session_id"),
     Query("shared_resources", lambda v: K.shared_resources(v.locks), "SELECT resource_type, database_id, entity_id, description FROM locks WHERE request_status = 'GRANT' INTERSECT SELECT resource_type, database_id, entity_id, description FROM locks WHERE request_status = 'WAIT'"),
-    Query("related_findings", lambda v: K.related_findings(_members(v), best=10**6).drop("place"), f"WITH {_RELATED} SELECT finding_id, other, kind, shared FROM rel"),
-    Query("related_top5", lambda v: K.related_findings(_members(v)), f"WITH {_RELATED} SELECT finding_id, other, kind, shared, CAST(n AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY shared DESC, other) AS n FROM rel) z WHERE n <= 5"),
     Query("scheduler_blocking_link", lambda v: K.scheduler_blocking_link(found(v)), f"{ALL}, s AS (SELECT subject, subject AS root FROM findings WHERE rule_id = 'WIA-SCHEDULER-PRESSURE'), b AS (SELECT subject, split_part(subject, ':', 2) AS root FROM findings WHERE rule_id = 'WIA-BLOCKING') SELECT s.subject AS \"from\", b.subject AS \"to\" FROM s JOIN b USING (root) UNION ALL SELECT b.subject, s.subject FROM s JOIN b USING (root)"),
-    Query("plan_record_link", lambda v: v.plan_stmts.alias("p").join(v.activity.alias("a"), F.col("p.statement_id") == F.col("a.row_number")).select("statement_id", "plan_id", "a.session_id", "a.source_id"), "SELECT statement_id, plan_id, session_id, source_id FROM plan_stmts JOIN activity ON statement_id = row_number"),
+    Query("plan_record_link", lambda v: J.plan_record_link(v.plan_stmts.select("statement_id", "plan_id", F.col("statement_id").alias("source_record")), v.activity), "SELECT statement_id, plan_id, session_id, source_id FROM plan_stmts JOIN activity ON statement_id = row_number"),
     Query("sidecar_identity", lambda v: K.sidecar_identity(v.plan_stmts, v.spills.select(F.col("source_order").alias("sidecar_id"), F.concat(F.lit("plan-"), F.expr("cast(substr(query_hash, 2) as bigint) % 400")).alias("plan_id"), "query_hash", F.concat(F.lit("p"), F.expr("cast(substr(query_hash, 2) as bigint) % 50")).alias("plan_hash"), F.when(F.col("source_order") % 2 == 0, F.col("source_order") % 977).alias("qs_query_id"))).drop("conflicts"),
           """WITH sc AS (SELECT source_order AS sidecar_id, concat('plan-', CAST(CAST(substr(query_hash, 2) AS BIGINT) % 400 AS VARCHAR)) AS plan_id, query_hash, concat('p', CAST(CAST(substr(query_hash, 2) AS BIGINT) % 50 AS VARCHAR)) AS plan_hash, CASE WHEN source_order % 2 = 0 THEN source_order % 977 END AS qs FROM spills),
  h AS (SELECT plan_id, query_hash, plan_hash, min(statement_id) AS x FROM plan_stmts GROUP BY ALL HAVING count(*) = 1), q AS (SELECT plan_id, qs_query_id, min(statement_id) AS x FROM plan_stmts WHERE qs_query_id IS NOT NULL GROUP BY ALL HAVING count(*) = 1), o AS (SELECT plan_id, min(statement_id) AS x FROM plan_stmts GROUP BY ALL HAVING count(*) = 1)
@@ -90,10 +81,12 @@ QUERIES = [
     Query("highest_per_execution", lambda v: P.highest_per_execution(_spills(v)).select("source_order", F.round("average", 4).alias("average")), f"WITH {_AVG} SELECT source_order, round(average, 4) AS average FROM spc WHERE average > 0 ORDER BY average DESC, source_order LIMIT 1"),
     Query("spill_import_summary", lambda v: P.spill_import_summary(_spills(v)), f"WITH {_AVG} SELECT count(*) AS n_rows, count(*) FILTER (WHERE total_pages > 0 OR (total_pages IS NULL AND average > 0)) AS rankable, count(*) FILTER (WHERE total_pages IS NULL AND avg_pages IS NULL) AS missing_metrics, count(*) FILTER (WHERE average_state = 'derived') AS derived, count(*) FILTER (WHERE total_pages IS NULL AND avg_pages IS NULL AND warnings IS NOT NULL) AS warning_only, count(*) FILTER (WHERE plan_handle IS NULL) AS incomplete_identity, count(*) FILTER (WHERE total_pages > 0 AND avg_pages > 0 AND executions > 0 AND abs(total_pages - avg_pages * executions) > 0.01 * total_pages) AS inconsistent_totals FROM spc"),
     Query("topn_disclosure", lambda v: P.topn_disclosure(v.spills, "query_hash"), "SELECT query_hash, count(*) AS n, count(*) = 10 AS probable_top_n FROM spills GROUP BY query_hash"),
-    Query("plan_inventory", lambda v: v.plan_stmts.groupBy("plan_id").agg(F.bool_or("actual").alias("actual"), F.count("*").alias("statements"), F.array_join(F.slice(F.array_sort(F.collect_set("statement_text")), 1, 4), "; ").alias("texts")), "SELECT plan_id, bool_or(actual) AS actual, count(*) AS statements, array_to_string(list_sort(list(DISTINCT statement_text))[1:4], '; ') AS texts FROM plan_stmts GROUP BY plan_id"),
-    Query("grant_pressure", lambda v: v.plan_stmts.groupBy("database_id").agg(F.count_if((F.col("granted_mb") > 0) & (F.col("used_mb") == 0)).alias("pending"), F.max("granted_mb").alias("largest")), "SELECT database_id, count(*) FILTER (WHERE granted_mb > 0 AND used_mb = 0) AS pending, max(granted_mb) AS largest FROM plan_stmts GROUP BY database_id"),
-    Query("single_use_plans", lambda v: v.spills.groupBy("database_id").agg(F.count("*").alias("plans"), F.count_if(F.col("executions") <= 1).alias("single")).withColumn("unstable", (F.col("plans") >= 1000) & (F.col("single") >= 0.9 * F.col("plans"))), "SELECT database_id, count(*) AS plans, count(*) FILTER (WHERE executions <= 1) AS single, count(*) >= 1000 AND count(*) FILTER (WHERE executions <= 1) >= 0.9 * count(*) AS unstable FROM spills GROUP BY database_id"),
-    Query("kpi_summary", _kpis, f"{ALL} SELECT * FROM (SELECT count(*) AS activity_rows, count(DISTINCT capture_s) AS capture_points, CAST(max(capture_s) - min(capture_s) AS BIGINT) AS capture_span, count(DISTINCT source_id) AS sources FROM acts) a, (SELECT count(*) FILTER (WHERE severity IN ('Critical', 'High')) AS urgent, count(*) AS findings FROM findings) f, (SELECT count(DISTINCT plan_id) AS plans, count(*) AS statements FROM plan_stmts) p"),
+    Query("plan_inventory", lambda v: J.plan_inventory(v.plan_stmts.withColumn("version", F.concat(F.lit("1."), F.expr("cast(substr(plan_id, 6) as int) % 7")))), "SELECT plan_id, CASE WHEN bool_or(actual) THEN 'actual' ELSE 'estimated' END AS kind, concat('1.', CAST(substr(plan_id, 6) AS INTEGER) % 7) AS version, count(*) AS statements, array_to_string(list(statement_text ORDER BY statement_id)[1:4], '; ') AS texts FROM plan_stmts GROUP BY plan_id"),
+    Query("grant_pressure", lambda v: J.grant_pressure(_grants(v), "database_id"), "SELECT database_id, count(*) FILTER (WHERE granted_mb > 0 AND statement_id % 3 = 0) AS pending, max(CASE WHEN granted_mb > 0 AND statement_id % 7 = 0 THEN statement_id % 5000 END) AS longest_wait_ms, count(*) FILTER (WHERE granted_mb > 0) AS requests, CASE WHEN count(*) FILTER (WHERE granted_mb > 0 AND statement_id % 3 = 0) > 0 THEN 'grant-pending' END AS signal FROM plan_stmts GROUP BY database_id"),
+    Query("single_use_plans", lambda v: J.single_use_plans(v.spills.select(F.col("database_id").cast("string").alias("source"), F.col("executions").alias("use_count")), "source").unionByName(J.single_use_plans(v.samples.select("source_id", F.col("sample_order").alias("total_plans"), (F.col("sample_order") * 0.95).alias("single_use")).withColumnRenamed("source_id", "source"), "source")),
+          "SELECT CAST(database_id AS VARCHAR) AS source, count(*) AS plans, count(*) FILTER (WHERE executions <= 1) AS single, count(*) >= 1000 AND count(*) FILTER (WHERE executions <= 1) >= 0.9 * count(*) AS unstable FROM spills GROUP BY 1 UNION ALL SELECT source_id, max(sample_order), CAST(floor(max(sample_order * 0.95)) AS BIGINT), max(sample_order) >= 1000 AND floor(max(sample_order * 0.95)) >= 0.9 * max(sample_order) FROM samples GROUP BY 1"),
+    Query("kpi_summary", lambda v: J.kpi_summary(acts(v), found(v), v.plan_stmts, I.present_columns(v.inputs), _missing_rules(v)), rf"""{ALL} SELECT * FROM (SELECT count(*) AS activity_rows, count(DISTINCT capture_s) AS capture_points, CAST(max(capture_s) - min(capture_s) AS BIGINT) AS capture_span, count(DISTINCT source_id) AS sources FROM acts) a, (SELECT arg_max(severity, {_SEV}) AS highest, count(*) FILTER (WHERE severity IN ('Critical', 'High')) AS urgent, count(*) AS findings FROM findings) f, (SELECT count(DISTINCT plan_id) AS plans, count(*) AS statements FROM plan_stmts) p,
+ (SELECT count(*) AS columns_present FROM (VALUES {_KNOWN}) t(name) WHERE lower(name) IN (SELECT {_NORM} FROM inputs)) c, (SELECT count(DISTINCT rule_id) AS rules_not_run FROM (VALUES {RULE_VALUES}) r(rule_id, c) WHERE c NOT IN (SELECT lower(trim(regexp_replace(header, '^\[|\]$', '', 'g'))) FROM inputs)) n"""),
     Query("canonical_headers", lambda v: I.canonical_headers(v.inputs), f"WITH n AS (SELECT *, trim(header) AS h, {_NORM} AS k FROM inputs), c AS (SELECT input_id, event_id, line_no, coalesce(kc.name, regexp_replace(regexp_replace(h, '^\\[|\\]$', '', 'g'), '\\s+', ' ', 'g')) AS base FROM n LEFT JOIN (SELECT name, lower(name) AS l FROM (VALUES {_KNOWN}) t(name)) kc ON kc.l = n.k), r AS (SELECT *, row_number() OVER (PARTITION BY input_id, line_no ORDER BY event_id) AS pos, row_number() OVER (PARTITION BY input_id, line_no, base ORDER BY event_id) AS nth FROM c) SELECT input_id, line_no, CAST(pos AS INTEGER) AS position, CASE WHEN nth = 1 THEN base ELSE concat(base, '__', CAST(pos AS VARCHAR)) END AS name FROM r"),
     Query("locate_header", lambda v: I.locate_header(v.inputs), f"WITH s AS (SELECT input_id, line_no, count(DISTINCT kc.name) AS score FROM (SELECT *, {_NORM} AS k FROM inputs) n JOIN (SELECT name, lower(name) AS l FROM (VALUES {_KNOWN}) t(name)) kc ON kc.l = n.k WHERE line_no < 20 GROUP BY ALL HAVING count(DISTINCT kc.name) >= 2) SELECT input_id, line_no, score FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY score DESC, line_no) AS n FROM s) z WHERE n = 1"),
     Query("schema_profile", lambda v: I.schema_profile(v.inputs), f"WITH n AS (SELECT input_id, {_NORM} AS k FROM inputs), j AS (SELECT input_id, k, kc.name FROM n LEFT JOIN (SELECT name, lower(name) AS l FROM (VALUES {_KNOWN}) t(name)) kc ON kc.l = n.k) SELECT input_id, string_agg(DISTINCT name, ',' ORDER BY name) AS recognised, string_agg(DISTINCT CASE WHEN name IS NULL THEN k END, ',' ORDER BY CASE WHEN name IS NULL THEN k END) AS unknown, count(DISTINCT name) < 5 AS few FROM j GROUP BY input_id"),
@@ -102,5 +95,5 @@ QUERIES = [
     Query("unknown_columns", lambda v: I.unknown_columns(v.inputs), f"SELECT DISTINCT {_NORM} AS name FROM inputs WHERE {_NORM} NOT IN (SELECT lower(name) FROM (VALUES {_KNOWN}) t(name))"),
     Query("evidence_gaps", lambda v: I.evidence_gaps(v.inputs), f"WITH w(family, name) AS (VALUES {_FAMILIES}) SELECT family, string_agg(name, ', ' ORDER BY name) AS missing FROM w WHERE lower(name) NOT IN (SELECT {_NORM} FROM inputs) GROUP BY family"),
     Query("data_quality", lambda v: I.data_quality(v.inputs, acts(v)), f"WITH k AS (SELECT DISTINCT {_NORM} AS k FROM inputs), t AS (SELECT name FROM (VALUES {_KNOWN}) t(name)) SELECT (SELECT count(*) FROM t WHERE lower(name) IN (SELECT k FROM k)) AS present, (SELECT count(*) FROM t WHERE lower(name) NOT IN (SELECT k FROM k)) AS missing, (SELECT count(*) FROM k WHERE k NOT IN (SELECT lower(name) FROM t)) AS unknown, (SELECT count(*) FROM acts WHERE wait_info IS NOT NULL AND wait_type IS NULL) AS unparsed_waits"),
-    Query("import_preview", lambda v: I.import_preview(v.inputs, acts(v)), f"SELECT input_id, n_headers, recognised, first_s, last_s FROM (SELECT input_id, count(*) AS n_headers, count(DISTINCT kc.name) AS recognised FROM (SELECT *, {_NORM} AS k FROM inputs) n LEFT JOIN (SELECT name, lower(name) AS l FROM (VALUES {_KNOWN}) t(name)) kc ON kc.l = n.k GROUP BY input_id) i LEFT JOIN (SELECT concat('file-', CAST(session_id % 6 AS VARCHAR)) AS input_id, min(capture_s) AS first_s, max(capture_s) AS last_s FROM acts GROUP BY 1) a USING (input_id)"),
+    Query("import_preview", lambda v: I.import_preview(v.inputs, acts(v).withColumn("input_id", F.concat(F.lit("file-"), F.col("session_id") % 6))), f"SELECT input_id, n_headers, recognised, first_s, last_s FROM (SELECT input_id, count(*) AS n_headers, count(DISTINCT kc.name) AS recognised FROM (SELECT *, {_NORM} AS k FROM inputs) n LEFT JOIN (SELECT name, lower(name) AS l FROM (VALUES {_KNOWN}) t(name)) kc ON kc.l = n.k GROUP BY input_id) i LEFT JOIN (SELECT concat('file-', CAST(session_id % 6 AS VARCHAR)) AS input_id, min(capture_s) AS first_s, max(capture_s) AS last_s FROM acts GROUP BY 1) a USING (input_id)"),
 ]

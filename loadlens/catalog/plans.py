@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loadlens.catalog.base import Query
+from loadlens.operators import inventory as J
 from loadlens.plans import shred as H
 
 
@@ -90,6 +91,7 @@ QUERIES = [
           "SELECT statement_id, CASE WHEN statement_id % 2 = 0 THEN 'spill' ELSE 'conversion' END AS warning, min(node_id) AS node_id FROM plan_ops WHERE (statement_id % 2 = 0 AND (physical_op LIKE '%Sort%' OR physical_op LIKE '%Hash%')) OR (statement_id % 2 = 1 AND object_no % 4 = 1) GROUP BY ALL"),
     Query("actual_spill_operators", lambda v: H.actual_spill_operators(v.plan_ops, v.plan_stmts), "SELECT statement_id, node_id, physical_op FROM plan_ops WHERE spilled AND statement_id IN (SELECT statement_id FROM plan_stmts WHERE actual)"),
     Query("feeding_estimate_error", lambda v: H.feeding_estimate_error(read_operators(v)).select("statement_id", "start", F.col("node_id").cast("long").alias("node_id"), "depth", "ratio"), f"{_WALK.format(start='spilled AND ' + _GOOD)} SELECT statement_id, start, CAST(node_id AS BIGINT) AS node_id, depth, round(ratio, 6) AS ratio FROM (SELECT d.*, {_RATIO} AS ratio, row_number() OVER (PARTITION BY d.statement_id, start ORDER BY depth DESC, {_RATIO} DESC, actual_rows DESC, d.node_id) AS n FROM down d JOIN plan_ops p ON p.statement_id = d.statement_id AND p.node_id = d.node_id WHERE depth > 0 AND actual_rows >= 10000 AND {_RATIO} >= 10) z WHERE n = 1"),
-    Query("plan_signals", lambda v: v.plan_ops.join(v.plan_stmts, "statement_id").groupBy("plan_id").agg(F.bool_or("actual").alias("actual"), F.bool_or(F.col("spilled") | F.col("converted")).alias("warning"), F.bool_or(F.col("nonparallel_reason").isNotNull()).alias("nonparallel"), F.coalesce(F.bool_or(F.col("granted_mb") >= 4 * F.col("used_mb")), F.lit(False)).alias("grant_waste"), F.bool_or("scalar_udf").alias("scalar_function")),
-          "SELECT plan_id, bool_or(actual) AS actual, bool_or(spilled OR converted) AS warning, bool_or(nonparallel_reason IS NOT NULL) AS nonparallel, coalesce(bool_or(granted_mb >= 4 * used_mb), false) AS grant_waste, bool_or(scalar_udf) AS scalar_function FROM plan_ops JOIN plan_stmts USING (statement_id) GROUP BY plan_id"),
+    Query("plan_signals", lambda v: J.plan_signals(v.plan_stmts.withColumn("query_hash", F.when(F.col("statement_id") % 3 != 0, F.col("query_hash"))).withColumn("plan_handle", F.when(F.col("statement_id") % 2 != 0, F.col("plan_handle"))), v.plan_ops.withColumn("non_sargable", (F.lower("physical_op").contains("scan")) & (F.col("object_no") % 4 == 1))),
+          """SELECT plan_id, true AS captured, bool_or(actual) AS actual, coalesce(bool_or(o.warning), false) AS warning, bool_or(nonparallel_reason IS NOT NULL) AS nonparallel, coalesce(bool_or(granted_mb > 0 AND granted_mb >= 4 * used_mb), false) AS grant_waste, coalesce(bool_or(o.scalar), false) AS scalar_function, coalesce(bool_or(o.bad), false) AS non_sargable, bool_or(s.statement_id % 6 = 0) AS missing_identity
+ FROM plan_stmts s LEFT JOIN (SELECT statement_id, bool_or(spilled OR converted) AS warning, bool_or(scalar_udf) AS scalar, bool_or(lower(physical_op) LIKE '%scan%' AND object_no % 4 = 1) AS bad FROM plan_ops GROUP BY 1) o USING (statement_id) GROUP BY plan_id"""),
 ]

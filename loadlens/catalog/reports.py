@@ -12,7 +12,8 @@ from loadlens.operators import guide as G
 _CONF = "CASE confidence WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END"
 _KIND = "CASE WHEN severity = 'Not Evaluated' THEN 'Not Evaluated' ELSE rule_id END"
 _PRIORITY = "CASE kind WHEN 'Not Evaluated' THEN 1 WHEN 'WIA-WORKER-EXHAUSTION' THEN 2 WHEN 'WIA-COMPILE-PRESSURE' THEN 2 WHEN 'WIA-SCHEDULER-PRESSURE' THEN 2 WHEN 'WIA-BLOCKING' THEN 2 WHEN 'WIA-RESOURCE' THEN 3 WHEN 'WIA-WAIT' THEN 5 WHEN 'WIA-TRANSACTION' THEN 6 ELSE 9 END"
-_STEPS = f"{ALL}, k AS (SELECT *, {_KIND} AS kind FROM findings WHERE severity <> 'Informational'), g AS (SELECT kind, max({_SEV}) AS worst, count(*) AS sources, max(impact) AS impact FROM k GROUP BY kind), st AS (SELECT row_number() OVER (ORDER BY {_PRIORITY}, worst DESC, impact DESC, kind) AS step, kind, {_PRIORITY} AS priority, sources FROM g)"
+STEP_CTES = f"k AS (SELECT *, {_KIND} AS kind FROM findings WHERE severity <> 'Informational'), g AS (SELECT kind, max({_SEV}) AS worst, count(*) AS sources, max(impact) AS impact FROM k GROUP BY kind), st AS (SELECT row_number() OVER (ORDER BY {_PRIORITY}, worst DESC, impact DESC, kind) AS step, kind, {_PRIORITY} AS priority, sources FROM g)"
+STEPS = f"{ALL}, {STEP_CTES}"
 
 
 def _touched(v):
@@ -26,7 +27,7 @@ def _not_evaluated(v):
 QUERIES = [
     Query("guide_conclusion", lambda v: G.guide_conclusion(_shown(found(v))), f"{ALL} SELECT rule_id, subject, severity FROM findings WHERE severity IN ('Critical', 'High') ORDER BY {_SEV} DESC, {_CONF} DESC, round(impact, 6) DESC, subject LIMIT 2"),
     Query("guide_subjects", lambda v: G.guide_subjects(acts(v), _touched(v)), f"{ALL} SELECT episode, min(row_number) AS first_row, arg_max(status, row(coalesce(capture_s, 4611686018427387904), row_number)) AS status, max(duration_seconds) AS duration, coalesce(bool_or(blocking_session_id > 0), false) AS blocked FROM acts WHERE episode IN (SELECT subject FROM findings WHERE rule_id IN ('WIA-RESOURCE', 'WIA-TRANSACTION') AND severity = 'High') GROUP BY episode ORDER BY first_row LIMIT 5"),
-    Query("guide_steps", lambda v: G.guide_steps(found(v)), f"{_STEPS} SELECT CAST(step AS INTEGER) AS step, kind, priority, sources FROM st WHERE step <= 5"),
+    Query("guide_steps", lambda v: G.guide_steps(found(v)), f"{STEPS} SELECT CAST(step AS INTEGER) AS step, kind, priority, sources FROM st WHERE step <= 5"),
     Query("missing_evidence", lambda v: G.missing_evidence(_not_evaluated(v)), "SELECT header AS subject, 1 AS n FROM (SELECT DISTINCT header FROM inputs) z ORDER BY header LIMIT 8"),
     Query("redact_findings", lambda v: G.redact_findings(v.activity.select(F.col("row_number").alias("finding_id"), F.array(F.struct(F.lit("SQL text").alias("label"), F.col("sql_text").alias("value")), F.struct(F.lit("Status").alias("label"), F.col("status").alias("value"))).alias("evidence"))).select("finding_id", F.array_join(F.transform("evidence", lambda e: F.concat_ws("=", e["label"], e["value"])), ";").alias("shown")),
           "SELECT row_number AS finding_id, concat('SQL text=[redacted];Status=', status) AS shown FROM activity"),

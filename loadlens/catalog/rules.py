@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.catalog.activity import EPISODES, SNAPS, acts
 from loadlens.catalog.base import Query
+from loadlens.catalog.plans import QUERIES as PLAN_QUERIES
 from loadlens.operators import blocking as B
 from loadlens.operators import counters as C
+from loadlens.operators import inventory as J
 from loadlens.operators import rules as R
 from loadlens.operators.thresholds import check_profiles
+from loadlens.plans import shred as P
+from loadlens.sources.files import saved
 
 _SPAN = "count(*) AS n_rows, min(row_number) AS first_row, min(capture_s) AS first_s, max(capture_s) AS last_s, CAST(coalesce(max(capture_s) - min(capture_s), 0) AS DOUBLE) AS persistence, count(DISTINCT capture_s) AS captures"
 _TAIL = "n_rows, first_row, first_s, last_s, persistence"
@@ -57,6 +64,37 @@ def found(v):
     return R.all_findings(acts(v), v.samples)
 
 
+def _plan_rules(v):
+    """The plan rules over all statements and operators."""
+    o, st = v.plan_ops, v.plan_stmts
+    parts = [P.plan_estimate(o), P.plan_spill(o), P.plan_convert(o), P.plan_residual(o, st), P.plan_scalar_udf(o), P.plan_serialization(st, o), P.plan_missing_index(st, o), P.plan_memory_grant(st), P.plan_runtime_unavailable(st)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _whole(v):
+    """All rules: activity, plans and what could not be evaluated."""
+    missing = R.rule_availability(v.inputs.select(F.lower(F.trim(F.regexp_replace("header", r"^\[|\]$", ""))).alias("column")), v.spark.createDataFrame(RULE_COLUMNS, "rule_id string, column string"))
+    return found(v).unionByName(R.plan_rule_findings(_plan_rules(v))).unionByName(R.unavailable_findings(missing))
+
+
+def _members(v):
+    """Evidence of the activity findings (their rows) and of the plan findings (their statements and the rows that carried them)."""
+    a = saved(acts(v), "acts")
+    chains = saved(B.blocking_chain(a), "walks")
+    snapshots = B.blocking_snapshots(a, chains)
+    f = saved(_shown(R.all_findings(a, v.samples).unionByName(R.plan_rule_findings(_plan_rules(v)))), "found")
+    records = R.finding_records(a, f, chains, B.blocking_episodes(snapshots, a))
+    rows = records.select("rule_id", "subject", F.lit("row").alias("kind"), F.col("row_number").alias("evidence"))
+    plans = f.where("rule_id like 'PLAN-%' and severity <> 'Not Evaluated'").select("rule_id", "subject", F.regexp_extract("subject", "^statement ([0-9]+)", 1).cast("long").alias("evidence"))
+    carried = plans.join(a.select(F.col("row_number").alias("evidence")), "evidence", "left_semi").select("rule_id", "subject", F.lit("row").alias("kind"), "evidence")
+    return f, rows.unionByName(carried).unionByName(plans.select("rule_id", "subject", F.lit("statement").alias("kind"), "evidence")).distinct()
+
+
+def _related(v, best):
+    f, members = _members(v)
+    return R.related_findings(f, members, best)
+
+
 def _shown(df):
     return df.select(*(F.round("impact", 6).alias("impact") if c == "impact" else c for c in R.FINDING))
 
@@ -75,8 +113,17 @@ def _rising(v):
     return C.counter_movement(v.samples).groupBy("source_id").agg(F.bool_and(F.col("last_value") > F.col("first_value")).alias("rising"))
 
 
-def _capped(v):
-    return R.finding_caps(_shown(found(v)))
+def _saved(v):
+    """Findings as they are shown, computed once for queries that read them more than once."""
+    return saved(_shown(found(v)), "findings")
+
+
+def _healthy(v):
+    """A session in one state is a group: most hold rows of a finding, some are calm."""
+    a = saved(acts(v).withColumn("kind", F.concat_ws(":", "source_id", "session_id", "status")), "kinds")
+    loud = R.transaction_findings(a).unionByName(R.wait_findings(a)).where("severity <> 'Informational'").select("subject", "severity")
+    rows = a.where("open_tran_count > 0").select("kind", F.col("episode").alias("subject")).unionByName(a.where("wait_type is not null").select("kind", F.concat_ws(":", "wait_type", "episode").alias("subject")))
+    return R.capture_healthy(a, rows.join(loud, "subject").select("kind", "severity"), "kind")
 
 
 
@@ -87,8 +134,25 @@ def _profiles(v):
     return check_profiles(p.withColumn("digest", F.when(F.col("medium") % 9 == 0, F.lit("tampered")).otherwise(F.sha2(text, 256))))
 
 
-_RULE_COLUMNS = [("WIA-BLOCKING", "blocking_session_id"), ("WIA-RESOURCE", "collection_time"), ("WIA-RESOURCE", "start_time"), ("WIA-WAIT", "wait_info"), ("WIA-TRANSACTION", "open_tran_count"), ("WIA-SCHEDULER-PRESSURE", "status"), ("WIA-SCHEDULER-PRESSURE", "cpu")]
-_RULE_VALUES = ", ".join(f"('{r}', '{c}')" for r, c in _RULE_COLUMNS)
+RULE_COLUMNS = [("WIA-BLOCKING", "blocking_session_id"), ("WIA-RESOURCE", "collection_time"), ("WIA-RESOURCE", "start_time"), ("WIA-WAIT", "wait_info"), ("WIA-TRANSACTION", "open_tran_count"), ("WIA-SCHEDULER-PRESSURE", "status"), ("WIA-SCHEDULER-PRESSURE", "cpu")]
+RULE_VALUES = ", ".join(f"('{r}', '{c}')" for r, c in RULE_COLUMNS)
+
+_PLAN_SQL = " UNION ALL BY NAME ".join(f"SELECT * FROM ({q.sql}) {q.name}" for q in PLAN_QUERIES if q.sql and "AS rule_id, " in q.sql)
+_PLAN_SUBJECT = "concat_ws(':', concat('statement ', CAST(statement_id AS VARCHAR)), concat('node ', CAST(node_id AS VARCHAR)))".replace("concat('node ', CAST(node_id AS VARCHAR))", "'node ' || CAST(node_id AS VARCHAR)")
+_MISSING = rf"SELECT rule_id, string_agg(c, ', ' ORDER BY c) AS missing FROM (VALUES {RULE_VALUES}) r(rule_id, c) WHERE c NOT IN (SELECT lower(trim(regexp_replace(header, '^\[|\]$', '', 'g'))) FROM inputs) GROUP BY rule_id"
+_TITLES = " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in R.TITLES.items())
+WHOLE = f"""{ALL}, planf AS ({_PLAN_SQL}), fin AS (SELECT {_COLS} FROM findings UNION ALL SELECT rule_id, severity, confidence, 'Execution plan', {_PLAN_SUBJECT}, round(impact, 6), 1, NULL, NULL, NULL, 0.0 FROM planf),
+whole AS (SELECT * FROM fin UNION ALL SELECT concat(rule_id, '-UNAVAILABLE'), 'Not Evaluated', 'High', 'Data quality', concat('missing: ', missing), 0.0, 0, NULL, NULL, NULL, 0.0 FROM ({_MISSING}) m)"""
+#: Members of related findings: the rows or statements that a finding rests on.
+_MEMBERS = f"""{WHOLE}, rec AS (SELECT 'WIA-BLOCKING-SPECIAL' AS rule_id, CAST(blocking_session_id AS VARCHAR) AS subject, row_number FROM acts WHERE blocking_session_id < 0
+ UNION ALL SELECT 'WIA-BLOCKING', concat(c.source_id, ':', CAST(c.root AS VARCHAR), ':', CAST(CAST(e.episode_no AS BIGINT) AS VARCHAR)), c.row_number FROM chains c JOIN eps e ON e.source_id = c.source_id AND e.capture_s IS NOT DISTINCT FROM c.capture_s AND e.root = c.root
+ UNION ALL SELECT 'WIA-RESOURCE', episode, row_number FROM ranked WHERE duration_seconds >= 30 AND busy > 0 AND coalesce(wait_type, '') NOT IN ('THREADPOOL', 'RESOURCE_SEMAPHORE_QUERY_COMPILE')
+ UNION ALL SELECT 'WIA-WORKER-EXHAUSTION', source_id, row_number FROM acts WHERE wait_type = 'THREADPOOL' UNION ALL SELECT 'WIA-COMPILE-PRESSURE', source_id, row_number FROM acts WHERE wait_type = 'RESOURCE_SEMAPHORE_QUERY_COMPILE'
+ UNION ALL SELECT 'WIA-WAIT', concat(wait_type, ':', episode), row_number FROM acts WHERE wait_type NOT IN ('THREADPOOL', 'RESOURCE_SEMAPHORE_QUERY_COMPILE') UNION ALL SELECT 'WIA-TRANSACTION', episode, row_number FROM acts WHERE open_tran_count > 0),
+mem AS (SELECT DISTINCT rule_id, subject, 'row' AS kind, row_number AS evidence FROM rec SEMI JOIN fin USING (rule_id, subject) UNION SELECT rule_id, {_PLAN_SUBJECT}, 'row', statement_id FROM planf WHERE severity <> 'Not Evaluated' AND statement_id IN (SELECT row_number FROM acts) UNION SELECT rule_id, {_PLAN_SUBJECT}, 'statement', statement_id FROM planf WHERE severity <> 'Not Evaluated'),
+rel AS (SELECT a.rule_id, a.subject, b.rule_id AS other_rule, b.subject AS other_subject, CASE WHEN bool_or(a.kind = 'row') AND starts_with(a.rule_id, 'PLAN-') <> starts_with(b.rule_id, 'PLAN-') THEN 'Embedded plan from the affected activity row' WHEN bool_or(a.kind = 'row') AND bool_or(a.kind = 'statement') THEN 'Shares activity and statement evidence' WHEN bool_or(a.kind = 'row') THEN 'Shares affected activity rows' ELSE 'Shares execution-plan statement evidence' END AS reason
+ FROM mem a JOIN mem b ON a.kind = b.kind AND a.evidence = b.evidence AND (a.rule_id <> b.rule_id OR a.subject <> b.subject) GROUP BY a.rule_id, a.subject, b.rule_id, b.subject)"""
+_RANKED = f"""SELECT r.*, CAST(row_number() OVER (PARTITION BY r.rule_id, r.subject ORDER BY {_SEV} DESC, CASE confidence WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END DESC, impact DESC, other_rule, other_subject) AS INTEGER) AS place FROM rel r JOIN fin f ON f.rule_id = r.other_rule AND f.subject = r.other_subject"""
 
 QUERIES = [
     Query("read_counters", lambda v: C.read_counters(v.samples, ["value", "runnable_tasks", "active_workers"], ["sample_order", "source_id"]), "SELECT sample_order, source_id, metric, value FROM (SELECT sample_order, source_id, CAST(value AS DOUBLE) AS value, CAST(runnable_tasks AS DOUBLE) AS runnable_tasks, CAST(active_workers AS DOUBLE) AS active_workers FROM samples) s UNPIVOT (value FOR metric IN (value, runnable_tasks, active_workers))".replace("CAST(value AS DOUBLE) AS value,", "CAST(value AS DOUBLE) AS value,")),
@@ -106,20 +170,25 @@ QUERIES = [
     Query("transient_rollup", lambda v: _shown(R.transient_rollup(R.wait_findings(acts(v)))), f"WITH {WAIT}, {ROLLUP} SELECT {_COLS} FROM rolled"),
     Query("transaction_findings", lambda v: _shown(R.transaction_findings(acts(v))), f"WITH {TRANSACTION} SELECT {_COLS} FROM transaction_"),
     Query("scheduler_pressure", lambda v: _shown(R.scheduler_pressure(acts(v), _rising(v), B.blocking_snapshots(acts(v)))), f"{SNAPS}, {SCHEDULER} SELECT {_COLS} FROM scheduler"),
-    Query("all_findings", lambda v: _shown(found(v)), f"{ALL} SELECT {_COLS} FROM findings"),
-    Query("finding_caps", lambda v: _capped(v).where("kept").select("rule_id", "subject", "place"), f"{CAPPED} SELECT rule_id, subject, CAST(n AS INTEGER) AS place FROM capped WHERE kept"),
-    Query("finding_cap_rows", lambda v: R.cap_disclosure(_capped(v)), f"{CAPPED} SELECT rule_id, retained, suppressed, concat(CAST(retained AS VARCHAR), ' of ', CAST(retained + suppressed AS VARCHAR), ' findings of ', rule_id, ' are shown') AS message FROM (SELECT rule_id, count(*) FILTER (WHERE kept) AS retained, count(*) FILTER (WHERE NOT kept) AS suppressed FROM capped GROUP BY rule_id) z WHERE suppressed > 0"),
+    Query("all_findings", lambda v: R.described(_shown(_whole(v))).select("finding_id", *R.FINDING, "title", F.array_join("limitations", " | ").alias("limitations"), "next_capture"),
+          f"""{WHOLE} SELECT sha256(concat_ws('|', rule_id, subject)) AS finding_id, *, CASE rule_id {_TITLES} ELSE rule_id END AS title, concat_ws(' | ', CASE WHEN first_s = last_s THEN 'Only one capture point was supplied, so persistence cannot be confirmed.' END, CASE WHEN first_s IS NULL THEN 'No capture time was supplied.' END, CASE WHEN confidence = 'Low' THEN 'The evidence is a single kind of observation.' END) AS limitations,
+ CASE WHEN first_s IS NULL OR first_s = last_s THEN 'Repeat a short delta capture to confirm persistence.' ELSE 'Re-capture the same sessions during the next occurrence.' END AS next_capture FROM whole"""),
+    Query("related_findings", lambda v: _related(v, None).groupBy("rule_id", "subject", "reason").agg(F.count("*").alias("others"), F.count_if(F.col("other_rule").startswith("PLAN-")).alias("plans"), F.max("place").alias("last")), f"{_MEMBERS} SELECT rule_id, subject, reason, count(*) AS others, count(*) FILTER (WHERE starts_with(other_rule, 'PLAN-')) AS plans, max(place) AS last FROM ({_RANKED}) z GROUP BY ALL"),
+    Query("related_top5", lambda v: _related(v, 5), f"{_MEMBERS} SELECT * FROM ({_RANKED}) z WHERE place <= 5"),
+    Query("finding_caps", lambda v: R.finding_caps(_saved(v)).select("rule_id", "subject", "place"), f"{CAPPED} SELECT rule_id, subject, CASE WHEN rule_id IN ('WIA-RESOURCE', 'WIA-WAIT', 'WIA-TRANSACTION') THEN CAST(n AS INTEGER) END AS place FROM capped WHERE kept"),
+    Query("finding_cap_rows", lambda v: R.cap_disclosure(_shown(found(v))), f"{CAPPED} SELECT rule_id, retained, suppressed, concat(CAST(retained AS VARCHAR), ' of ', CAST(retained + suppressed AS VARCHAR), ' findings of ', rule_id, ' are shown') AS message FROM (SELECT rule_id, count(*) FILTER (WHERE kept) AS retained, count(*) FILTER (WHERE NOT kept) AS suppressed FROM capped GROUP BY rule_id) z WHERE suppressed > 0"),
     Query("finding_order", lambda v: _shown(found(v)).orderBy(*R.finding_order()).select("rule_id", "subject"), f"{ALL} SELECT rule_id, subject FROM findings ORDER BY {_SEV} DESC, CASE confidence WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END DESC, round(impact, 6) DESC, subject"),
-    Query("findings_view", lambda v: _shown(found(v)).where((F.col("severity") == "High") & F.lower("subject").contains("1")).select("rule_id", "subject"), f"{ALL} SELECT rule_id, subject FROM findings WHERE severity = 'High' AND lower(subject) LIKE '%1%'"),
+    Query("findings_view", lambda v: J.findings_view(_shown(found(v)), severity="High", text="1").select("rule_id", "subject"), f"{ALL} SELECT rule_id, subject FROM findings WHERE severity = 'High' AND concat_ws(chr(10), lower(rule_id), lower(subject)) LIKE '%1%'"),
     Query("profile_routing", lambda v: found(v).select("rule_id", "subject", R.profile_routing(F.col("rule_id"), F.col("severity")).alias("profile")),
           f"{ALL} SELECT rule_id, subject, CASE WHEN severity NOT IN ('Informational', 'Not Evaluated') THEN CASE rule_id WHEN 'WIA-BLOCKING' THEN 'cpu-blocking' WHEN 'WIA-SCHEDULER-PRESSURE' THEN 'cpu-blocking' WHEN 'WIA-WORKER-EXHAUSTION' THEN 'worker-exhaustion' WHEN 'WIA-COMPILE-PRESSURE' THEN 'compile-pressure' WHEN 'WIA-RESOURCE' THEN 'actual-plan' END END AS profile FROM findings"),
-    Query("recommendation_order", lambda v: _shown(found(v)).where(R.profile_routing(F.col("rule_id"), F.col("severity")).isNotNull()).orderBy(R.rank(F.col("severity"), R.SEVERITIES).desc(), F.desc("impact"), "subject").select("rule_id", "subject", "severity"),
+    Query("recommendation_order", lambda v: R.recommendation_order(_shown(found(v))).select("rule_id", "subject", "severity"),
           f"{ALL} SELECT rule_id, subject, severity FROM findings WHERE severity NOT IN ('Informational', 'Not Evaluated') AND rule_id IN ('WIA-BLOCKING', 'WIA-SCHEDULER-PRESSURE', 'WIA-WORKER-EXHAUSTION', 'WIA-COMPILE-PRESSURE', 'WIA-RESOURCE') ORDER BY {_SEV} DESC, round(impact, 6) DESC, subject"),
-    Query("severity_profile", lambda v: v.spark.createDataFrame([(s,) for s in R.SEVERITIES], "severity string").join(found(v).groupBy("severity").count(), "severity", "left").select("severity", F.coalesce("count", F.lit(0)).alias("n")),
+    Query("severity_profile", lambda v: J.severity_profile(found(v)),
           f"{ALL} SELECT s.severity, count(f.rule_id) AS n FROM (VALUES ('Critical'), ('High'), ('Medium'), ('Low'), ('Informational'), ('Not Evaluated')) s(severity) LEFT JOIN findings f USING (severity) GROUP BY s.severity"),
     Query("suppressed_signals", lambda v: R.suppressed_signals(acts(v)), "SELECT count(*) FILTER (WHERE wait_type IS NOT NULL AND coalesce(wait_ms, 0) <= 0) AS zero_duration_waits, count(*) FILTER (WHERE open_tran_count > 0 AND coalesce(duration_seconds, 0) < 300) AS short_transactions, count(*) FILTER (WHERE duration_seconds < 30) AS short_resource_rows FROM acts"),
-    Query("capture_healthy", lambda v: _shown(R.capture_healthy(acts(v), found(v).where("severity = 'Critical' and impact < 0"))), f"SELECT 'WIA-CAPTURE-HEALTHY' AS rule_id, 'Informational' AS severity, 'Medium' AS confidence, 'Capture' AS category, 'capture' AS subject, CAST(0 AS DOUBLE) AS impact, {_TAIL} FROM (SELECT {_SPAN} FROM acts) g WHERE n_rows > 0 AND captures >= 2"),
-    Query("rule_availability", lambda v: R.rule_availability(v.inputs.select(F.lower(F.trim(F.regexp_replace("header", r"^\[|\]$", ""))).alias("column")), v.spark.createDataFrame(_RULE_COLUMNS, "rule_id string, column string")),
-          rf"SELECT rule_id, string_agg(c, ', ' ORDER BY c) AS missing FROM (VALUES {_RULE_VALUES}) r(rule_id, c) WHERE c NOT IN (SELECT lower(trim(regexp_replace(header, '^\[|\]$', '', 'g'))) FROM inputs) GROUP BY rule_id"),
+    Query("capture_healthy", lambda v: _shown(_healthy(v)), f"""WITH {WAIT}, {TRANSACTION}, kinds AS (SELECT *, concat(source_id, ':', CAST(session_id AS VARCHAR), ':', status) AS kind FROM acts), loud AS (SELECT kind FROM kinds WHERE open_tran_count > 0 AND episode IN (SELECT subject FROM transaction_ WHERE severity <> 'Informational') UNION ALL SELECT kind FROM kinds WHERE concat(wait_type, ':', episode) IN (SELECT subject FROM wait WHERE severity <> 'Informational'))
+ SELECT 'WIA-CAPTURE-HEALTHY' AS rule_id, 'Informational' AS severity, 'Medium' AS confidence, 'Capture' AS category, kind AS subject, CAST(0 AS DOUBLE) AS impact, {_TAIL} FROM (SELECT kind, {_SPAN} FROM kinds GROUP BY kind) g WHERE n_rows > 0 AND captures >= 2 AND kind NOT IN (SELECT kind FROM loud)"""),
+    Query("rule_availability", lambda v: R.rule_availability(v.inputs.select(F.lower(F.trim(F.regexp_replace("header", r"^\[|\]$", ""))).alias("column")), v.spark.createDataFrame(RULE_COLUMNS, "rule_id string, column string")),
+          rf"SELECT rule_id, string_agg(c, ', ' ORDER BY c) AS missing FROM (VALUES {RULE_VALUES}) r(rule_id, c) WHERE c NOT IN (SELECT lower(trim(regexp_replace(header, '^\[|\]$', '', 'g'))) FROM inputs) GROUP BY rule_id"),
     Query("threshold_profile", _profiles, "WITH p AS (SELECT DISTINCT concat('prof-', CAST(user_id % 40 AS VARCHAR)) AS profile_id, user_id % 3 AS version, user_id % 50 AS medium, event_id % 60 AS high, event_id % 11 AS pct FROM events), f AS (SELECT *, count(*) OVER (PARTITION BY profile_id, version) > 1 AS clash FROM p), x AS (SELECT profile_id, version, concat_ws('|', CASE WHEN medium > high THEN 'order' END, CASE WHEN medium < 1 OR pct NOT BETWEEN 0 AND 1 THEN 'range' END, CASE WHEN medium % 9 = 0 THEN 'digest' END, CASE WHEN clash THEN 'conflict' END) AS faults FROM f) SELECT profile_id, version, faults, faults = '' AS valid FROM x"),
 ]

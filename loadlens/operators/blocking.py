@@ -6,41 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadlens.operators.activity import CAPTURE, first_row_per_session
-
-#: Rounds of the walk between two cuts of the lineage.
-_CUT_EVERY = 8
-
+from loadlens.sources.files import saved
 
 def _key() -> Column:
     return F.concat_ws(":", "source_id", F.coalesce(F.col("capture_s").cast("string"), F.lit("unknown")))
 
 
-def blocking_chain(activity: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def _chains_up(activity: DataFrame) -> DataFrame:
+    """(pk, ps, above) for each session of a capture whose first row has a positive blocker: the sessions above it, to the end
+    of the chain or into a ring. Chains double in each round by one equi-join, so the rounds follow the logarithm of the
+    depth; a session walks once, whatever the rows that wait for it."""
+    first = first_row_per_session(activity)
+    edge = first.where("blocking_session_id > 0").select(F.col("capture_key").alias("pk"), F.col("session_id").alias("ps"), F.array("blocking_session_id").alias("above"), F.lit(False).alias("done"))
+    now = saved(edge, "chains")
+    while not now.where("not done").isEmpty():
+        a, b = now.alias("a"), now.alias("b")
+        joined = a.join(b, (F.col("a.pk") == F.col("b.pk")) & (F.element_at("a.above", -1) == F.col("b.ps")) & ~F.col("a.done"), "left")
+        longer = F.concat("a.above", F.coalesce("b.above", F.array().cast("array<long>")))
+        ring = F.size(F.array_distinct(F.concat(F.array("a.ps"), longer))) <= F.size(longer)
+        now = saved(joined.select("a.pk", "a.ps", longer.alias("above"), (F.col("a.done") | F.col("b.ps").isNull() | F.col("b.done") | ring).alias("done")), "chains")
+    return now.drop("done")
+
+
+def blocking_chain(activity: DataFrame) -> DataFrame:
     """(capture_key, source_id, capture_s, row_number, path, root, complete) for each row with a positive blocker.
 
     A walk goes from the row to its own blocker, then from first row to first row, until a session has no positive
-    blocker. If a session comes back, the walk is not complete and its root is the smallest visited. Each round extends
-    the unfinished walks alone by one equi-join, so there are as many rounds as the longest chain is deep.
+    blocker. If a session comes back, the walk is not complete and its root is the smallest visited.
     """
     rows = activity.withColumn("capture_key", _key())
-    parents = first_row_per_session(rows).select(F.col("capture_key").alias("pk"), F.col("session_id").alias("ps"), F.when(F.col("blocking_session_id") > 0, F.col("blocking_session_id")).alias("parent"))
+    up = _chains_up(rows)
     kept = ["capture_key", "source_id", "capture_s", "row_number"]
-    open_ = rows.where("session_id is not null and blocking_session_id > 0").select(*kept, F.array("session_id").alias("path"), F.col("blocking_session_id").alias("current"))
-    done = None
-    checkpoints = activity.sparkSession.sparkContext.getCheckpointDir() is not None
-    for depth in range(1, max_depth + 1):
-        again = F.array_contains("path", F.col("current"))
-        stepped = open_.join(parents, (F.col("capture_key") == F.col("pk")) & (F.col("current") == F.col("ps")), "left")
-        stepped = stepped.select(*kept, F.concat("path", F.array("current")).alias("longer"), again.alias("again"), F.array_min("path").alias("least"), "current", "parent")
-        if depth % _CUT_EVERY == 0 and checkpoints:
-            stepped = stepped.checkpoint()
-        stepped = stepped.cache()
-        ended = stepped.where("again or parent is null").select(*kept, F.col("longer").alias("path"), F.when(F.col("again"), F.col("least")).otherwise(F.col("current")).alias("root"), (~F.col("again")).alias("complete"))
-        done = ended if done is None else done.unionByName(ended)
-        open_ = stepped.where("not again and parent is not null").select(*kept, F.col("longer").alias("path"), F.col("parent").alias("current"))
-        if open_.isEmpty():
-            return done
-    raise RuntimeError("a chain is deeper than max_depth")
+    walks = rows.where("session_id is not null and blocking_session_id > 0").select(*kept, "session_id", "blocking_session_id")
+    walks = walks.join(up, (F.col("capture_key") == F.col("pk")) & (F.col("blocking_session_id") == F.col("ps")), "left")
+    walks = walks.select(*kept, F.concat(F.array("session_id", "blocking_session_id"), F.coalesce("above", F.array().cast("array<long>"))).alias("p"))
+    twice = F.filter(F.sequence(F.lit(2), F.size("p")), lambda i: F.array_position("p", F.element_at("p", i)) < i)
+    walks = walks.withColumn("cut", F.when(F.size(F.array_distinct("p")) < F.size("p"), F.element_at(twice, 1)))
+    path = F.when(F.col("cut").isNotNull(), F.slice("p", F.lit(1), F.col("cut"))).otherwise(F.col("p"))
+    root = F.when(F.col("cut").isNotNull(), F.array_min(F.slice("p", F.lit(1), F.greatest(F.col("cut") - 1, F.lit(1))))).otherwise(F.element_at("p", -1))
+    return walks.select(*kept, path.alias("path"), root.alias("root"), F.col("cut").isNull().alias("complete"))
 
 
 def blocking_snapshots(activity: DataFrame, chains: DataFrame | None = None) -> DataFrame:

@@ -78,14 +78,6 @@ def shared_resources(locks: DataFrame) -> DataFrame:
     return locks.where("request_status = 'GRANT'").select(*keys).intersect(locks.where("request_status = 'WAIT'").select(*keys))
 
 
-def related_findings(members: DataFrame, best: int = 5) -> DataFrame:
-    """For each finding of members (finding_id, kind, record_id), its best other findings by the number of shared records."""
-    a, b = members.alias("a"), members.alias("b")
-    pairs = a.join(b, (F.col("a.record_id") == F.col("b.record_id")) & (F.col("a.finding_id") != F.col("b.finding_id"))).groupBy(F.col("a.finding_id").alias("finding_id"), F.col("b.finding_id").alias("other"), F.col("b.kind").alias("kind")).agg(F.countDistinct("a.record_id").alias("shared"))
-    w = Window.partitionBy("finding_id").orderBy(F.desc("shared"), "other")
-    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= best)
-
-
 def scheduler_blocking_link(findings: DataFrame) -> DataFrame:
     """Scheduler and blocking findings of the same root session, linked both ways."""
     root = F.when(F.col("rule_id") == "WIA-BLOCKING", F.split_part("subject", F.lit(":"), F.lit(2))).when(F.col("rule_id") == "WIA-SCHEDULER-PRESSURE", F.col("subject"))

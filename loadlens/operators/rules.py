@@ -10,6 +10,7 @@ from loadlens.operators import activity as A
 from loadlens.operators import blocking as B
 from loadlens.operators import counters as C
 from loadlens.operators.thresholds import Thresholds
+from loadlens.sources.files import saved
 
 FINDING = ["rule_id", "severity", "confidence", "category", "subject", "impact", "n_rows", "first_row", "first_s", "last_s", "persistence"]
 # Ranks of severities and confidences.
@@ -153,31 +154,44 @@ def rule_availability(inputs_present: DataFrame, required: DataFrame) -> DataFra
     return gone.groupBy("rule_id").agg(F.array_join(F.array_sort(F.collect_set("column")), ", ").alias("missing"))
 
 
-def capture_healthy(acts: DataFrame, findings: DataFrame) -> DataFrame:
-    """One finding that nothing stands out, if there are rows, two captures and no finding but Not Evaluated ones."""
-    seen = acts.agg(*_span())
-    loud = findings.where("severity <> 'Not Evaluated'").limit(1).select(F.lit(1).alias("one"))
-    calm = seen.where("n_rows > 0 and captures >= 2").join(loud, F.lit(True), "left_anti")
-    return _finding(calm, "WIA-CAPTURE-HEALTHY", "Informational", "Medium", "Capture", F.lit("capture"), F.lit(0))
+def capture_healthy(acts: DataFrame, findings: DataFrame, *keys: str) -> DataFrame:
+    """For each group of captures (one in all without keys): one finding that nothing stands out, if there are rows, two
+    captures and no finding of the group but Not Evaluated ones."""
+    seen = acts.groupBy(*keys).agg(*_span())
+    loud = findings.where("severity <> 'Not Evaluated'")
+    loud = loud.select(*keys).distinct() if keys else loud.limit(1).select(F.lit(1).alias("one"))
+    calm = seen.where("n_rows > 0 and captures >= 2").join(loud, list(keys) if keys else F.lit(True), "left_anti")
+    return _finding(calm, "WIA-CAPTURE-HEALTHY", "Informational", "Medium", "Capture", F.concat_ws(":", *keys) if keys else F.lit("capture"), F.lit(0))
 
 
 def finding_caps(findings: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
-    """findings with their place in their rule and whether the cap of the rule keeps them, by impact, then subject."""
+    """The findings that the caps keep, with their place in a capped rule by impact, then subject; null in other rules.
+
+    The first of a rule are taken within each task before they meet."""
     w = Window.partitionBy("rule_id").orderBy(F.desc("impact"), "subject")
-    cap = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in caps.items() for x in kv)), F.col("rule_id")), F.lit(2**31 - 1))
-    return findings.withColumn("place", F.row_number().over(w)).withColumn("kept", F.col("place") <= cap)
+    kept = findings.where(~F.col("rule_id").isin(*caps)).withColumn("place", F.lit(None).cast("int"))
+    for rule, cap in caps.items():
+        kept = kept.unionByName(findings.where(F.col("rule_id") == rule).withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap))
+    return kept
 
 
-def cap_disclosure(capped: DataFrame) -> DataFrame:
+def cap_disclosure(findings: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
     """Per rule with a cap that bites: how many findings are kept and how many are not."""
-    g = capped.groupBy("rule_id").agg(F.count_if("kept").alias("retained"), F.count_if(~F.col("kept")).alias("suppressed")).where("suppressed > 0")
-    return g.withColumn("message", F.format_string("%d of %d findings of %s are shown", "retained", F.col("retained") + F.col("suppressed"), "rule_id"))
+    cap = F.element_at(F.create_map(*(F.lit(x) for kv in caps.items() for x in kv)), F.col("rule_id"))
+    g = findings.where(F.col("rule_id").isin(*caps)).groupBy("rule_id").agg(F.count("*").alias("n")).where(F.col("n") > cap)
+    return g.select("rule_id", cap.cast("long").alias("retained"), (F.col("n") - cap).alias("suppressed"), F.format_string("%d of %d findings of %s are shown", cap, "n", "rule_id").alias("message"))
 
 
 def finding_order() -> list[Column]:
     return [rank(F.col("severity"), SEVERITIES).desc(), rank(F.col("confidence"), CONFIDENCES).desc(), F.desc("impact"), F.asc("subject")]
 
 
+def recommendation_order(findings: DataFrame) -> DataFrame:
+    """Findings that have a profile, by severity, then impact."""
+    routed = findings.where(profile_routing(F.col("rule_id"), F.col("severity")).isNotNull())
+    return routed.orderBy(rank(F.col("severity"), SEVERITIES).desc(), F.desc("impact"), "subject")
+
+
 def profile_routing(rule: Column, severity: Column) -> Column:
     """The investigation profile of a finding; none for informational ones."""
     to = {"WIA-BLOCKING": "cpu-blocking", "WIA-WORKER-EXHAUSTION": "worker-exhaustion", "WIA-COMPILE-PRESSURE": "compile-pressure", "WIA-RESOURCE": "actual-plan", "WIA-SCHEDULER-PRESSURE": "cpu-blocking", "PLAN-SPILL": "spill", "PLAN-MEMORY-GRANT": "memory-grant"}
@@ -193,10 +207,82 @@ def suppressed_signals(acts: DataFrame, t: Thresholds = Thresholds()) -> DataFra
     return acts.agg(quiet.alias("zero_duration_waits"), short.alias("short_transactions"), F.count_if(F.col("duration_seconds") < t.resources.minimum_duration).alias("short_resource_rows"))
 
 
+# What the findings of a rule are called.
+TITLES = {
+    "WIA-SCHEDULER-PRESSURE": "CPU pressure prolongs a runnable root session", "WIA-BLOCKING-SPECIAL": "SQL Server special blocking owner observed", "WIA-BLOCKING": "Session is the root blocker",
+    "WIA-RESOURCE": "Long-running execution among the largest consumers", "WIA-WORKER-EXHAUSTION": "Worker thread exhaustion observed", "WIA-COMPILE-PRESSURE": "Query compilation pressure observed",
+    "WIA-WAIT": "Wait observed", "WIA-WAIT-TRANSIENT-SUMMARY": "Isolated minor waits", "WIA-TRANSACTION": "Open transaction", "WIA-CAPTURE-HEALTHY": "No systemic concern observed",
+}
+
+
+def described(findings: DataFrame) -> DataFrame:
+    """findings with finding_id (of rule and subject, so equal in each run), title, summary, limitations and next_capture."""
+    once = F.col("first_s").isNotNull() & (F.col("first_s") == F.col("last_s"))
+    title = F.coalesce(rank(F.col("rule_id"), TITLES), F.col("rule_id"))
+    limits = F.array_compact(F.array(F.when(once, "Only one capture point was supplied, so persistence cannot be confirmed."), F.when(F.col("first_s").isNull(), "No capture time was supplied."), F.when(F.col("confidence") == "Low", "The evidence is a single kind of observation.")))
+    summary = F.concat_ws(" ", F.col("n_rows").cast("string"), F.lit("rows of"), F.col("subject"), F.when(once, "in one capture").otherwise(F.concat(F.lit("over "), S.format_duration(F.col("persistence")))))
+    wanted = F.when(once | F.col("first_s").isNull(), "Repeat a short delta capture to confirm persistence.").otherwise("Re-capture the same sessions during the next occurrence.")
+    return findings.select(F.sha2(F.concat_ws("|", "rule_id", "subject"), 256).alias("finding_id"), "*", title.alias("title"), summary.alias("summary"), limits.alias("limitations"), wanted.alias("next_capture"))
+
+
+def finding_records(acts: DataFrame, findings: DataFrame, chains: DataFrame, episodes: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """(rule_id, subject, row_number): the activity rows that each finding rests on, long, so that no finding gathers its rows."""
+    part = lambda rule, rows, subject: rows.select(F.lit(rule).alias("rule_id"), subject.alias("subject"), "row_number")
+    upper = F.upper("wait_type")
+    busy = F.greatest(*(F.abs(F.coalesce(F.col(m).cast("double"), F.lit(0.0))) for m in _METRICS)) > 0
+    long_ = acts.where((F.col("duration_seconds") >= t.resources.minimum_duration) & busy & ~F.coalesce(upper.isin(*_SPECIAL_WAITS), F.lit(False)))
+    c, e = chains.alias("c"), episodes.alias("e")
+    same = (F.col("c.source_id") == F.col("e.source_id")) & F.col("c.capture_s").eqNullSafe(F.col("e.capture_s")) & (F.col("c.root") == F.col("e.root"))
+    blocked = c.join(e.select("source_id", "capture_s", "root", "episode_no"), same).select("c.row_number", F.concat_ws(":", "c.source_id", F.col("c.root").cast("string"), F.col("e.episode_no").cast("string")).alias("s"))
+    parts = [
+        part("WIA-BLOCKING-SPECIAL", acts.where("blocking_session_id < 0"), F.col("blocking_session_id").cast("string")), part("WIA-BLOCKING", blocked, F.col("s")), part("WIA-RESOURCE", long_, F.col("episode")),
+        part("WIA-WORKER-EXHAUSTION", acts.where(upper == "THREADPOOL"), F.col("source_id")), part("WIA-COMPILE-PRESSURE", acts.where(upper == "RESOURCE_SEMAPHORE_QUERY_COMPILE"), F.col("source_id")),
+        part("WIA-WAIT", acts.where(F.col("wait_type").isNotNull() & ~upper.isin(*_SPECIAL_WAITS)), F.concat_ws(":", "wait_type", "episode")), part("WIA-TRANSACTION", acts.where("open_tran_count > 0"), F.col("episode")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.join(findings.select("rule_id", "subject"), ["rule_id", "subject"], "left_semi")
+
+
+def unavailable_findings(missing: DataFrame) -> DataFrame:
+    """A Not Evaluated finding for each rule that rule_availability names (rule_id, missing)."""
+    rows = missing.select(F.concat("rule_id", F.lit("-UNAVAILABLE")).alias("rule_id"), F.concat(F.lit("missing: "), "missing").alias("subject"))
+    gone = lambda kind: F.lit(None).cast(kind)
+    return rows.select("rule_id", F.lit("Not Evaluated").alias("severity"), F.lit("High").alias("confidence"), F.lit("Data quality").alias("category"), "subject", F.lit(0.0).alias("impact"), F.lit(0).cast("long").alias("n_rows"),
+                       gone("long").alias("first_row"), gone("int").alias("first_s"), gone("int").alias("last_s"), F.lit(0.0).alias("persistence"))
+
+
+def plan_rule_findings(findings: DataFrame) -> DataFrame:
+    """Findings of the plan rules (rule_id, statement_id, node_id, severity, confidence, impact) in the form of all others."""
+    gone = lambda kind: F.lit(None).cast(kind)
+    subject = F.concat_ws(":", F.concat(F.lit("statement "), F.col("statement_id")), F.concat(F.lit("node "), F.col("node_id")))
+    return findings.select("rule_id", "severity", "confidence", F.lit("Execution plan").alias("category"), subject.alias("subject"), "impact", F.lit(1).cast("long").alias("n_rows"),
+                           gone("long").alias("first_row"), gone("int").alias("first_s"), gone("int").alias("last_s"), F.lit(0.0).alias("persistence"))
+
+
+def related_findings(findings: DataFrame, members: DataFrame, best: int | None = 5) -> DataFrame:
+    """(rule_id, subject, other_rule, other_subject, reason, place): for each finding the best others that share evidence of
+    members (rule_id, subject, kind, evidence; kind is row or statement), by severity, confidence, impact and title.
+
+    Members meet on one piece of evidence at a time, which few findings share; equal pairs are counted before they meet again."""
+    a, b = members.alias("a"), members.alias("b")
+    apart = (F.col("a.rule_id") != F.col("b.rule_id")) | (F.col("a.subject") != F.col("b.subject"))
+    met = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.evidence") == F.col("b.evidence")) & apart)
+    shared = met.groupBy(F.col("a.rule_id").alias("rule_id"), F.col("a.subject").alias("subject"), F.col("b.rule_id").alias("other_rule"), F.col("b.subject").alias("other_subject")).agg(F.bool_or(F.col("a.kind") == "row").alias("rows"), F.bool_or(F.col("a.kind") == "statement").alias("statements"))
+    is_plan = lambda c: F.col(c).startswith("PLAN-")
+    reason = F.when(F.col("rows") & (is_plan("rule_id") != is_plan("other_rule")), "Embedded plan from the affected activity row").when(F.col("rows") & F.col("statements"), "Shares activity and statement evidence").when(F.col("rows"), "Shares affected activity rows").otherwise("Shares execution-plan statement evidence")
+    about = findings.select(F.col("rule_id").alias("other_rule"), F.col("subject").alias("other_subject"), rank(F.col("severity"), SEVERITIES).alias("s"), rank(F.col("confidence"), CONFIDENCES).alias("c"), "impact")
+    w = Window.partitionBy("rule_id", "subject").orderBy(F.desc("s"), F.desc("c"), F.desc("impact"), "other_rule", "other_subject")
+    out = shared.withColumn("reason", reason).join(about, ["other_rule", "other_subject"]).withColumn("place", F.row_number().over(w))
+    out = out if best is None else out.where(F.col("place") <= best)
+    return out.select("rule_id", "subject", "other_rule", "other_subject", "reason", "place")
+
+
 def all_findings(acts: DataFrame, samples: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """The union of all activity rules, with what is shared between them computed once."""
-    acts = acts.cache()
-    snapshots = B.blocking_snapshots(acts).cache()
+    acts = saved(acts, "acts")
+    snapshots = saved(B.blocking_snapshots(acts), "snapshots")
     ceiling, agree = C.worker_ceiling(samples).agg(F.coalesce(F.bool_or("ceiling"), F.lit(False)).alias("ceiling")), C.compile_corroboration(samples, t.compiles.ratio)
     rising = C.counter_movement(samples).groupBy("source_id").agg(F.bool_and(F.col("last_value") > F.col("first_value")).alias("rising"))
     parts = [

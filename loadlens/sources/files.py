@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,41 +35,39 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sniff_separator(spark: SparkSession, path: str, lines: int = 8) -> str:
-    """The separator that is most frequent outside quotes in the first lines."""
-    text = [r.value for r in spark.read.text(path).where(F.trim("value") != "").limit(lines).collect()]
-    bare = ["".join(part for i, part in enumerate(t.split('"')) if i % 2 == 0) for t in text]
-    return max(SEPARATORS, key=lambda s: (sum(t.count(s) for t in bare), -SEPARATORS.index(s)))
+#: Characters of a file that are looked at for its separator and its byte order.
+_HEAD = 65_536
 
 
-def byte_order(spark: SparkSession, path: str) -> DataFrame:
-    """(path, encoding) of each file by its first bytes."""
-    head = F.hex(F.substring("content", 1, 2))
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.when(head == "FFFE", "UTF-16LE").when(head == "FEFF", "UTF-16BE").otherwise("UTF-8").alias("encoding"))
+def heads(spark: SparkSession, path: str) -> DataFrame:
+    """(path, encoding, separator) of each file below path: the encoding by the mark of the byte order, the separator by which
+    of them is most frequent outside quotes in the first eight lines that are not empty, earlier ones first on ties."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.substring("content", 1, _HEAD).alias("head"))
+    mark = F.hex(F.substring("head", 1, 2))
+    encoding = F.when(mark == "FFFE", "UTF-16LE").when(mark == "FEFF", "UTF-16BE").otherwise("UTF-8")
+    # an odd last byte of a cut head is no matter: what is counted lies before it
+    text = F.when(encoding == "UTF-16LE", F.decode("head", "UTF-16LE")).when(encoding == "UTF-16BE", F.decode("head", "UTF-16BE")).otherwise(F.decode("head", "UTF-8"))
+    lines = F.slice(F.filter(F.split("text", r"\r\n|\r|\n"), lambda x: F.trim(x) != ""), 1, 8)
+    bare = F.array_join(F.transform("lines", lambda x: F.array_join(F.filter(F.split(x, '"'), lambda part, i: i % 2 == 0), "")), "\n")
+    times = lambda s: F.length("bare") - F.length(F.replace(F.col("bare"), F.lit(s), F.lit("")))
+    best = F.array_max(F.array(*(F.struct(times(s).alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(SEPARATORS))))["s"]
+    return files.select("path", encoding.alias("encoding"), text.alias("text")).withColumn("lines", lines).withColumn("bare", bare).select("path", "encoding", best.alias("separator"))
 
 
-def read_capture(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Delimited text as rows _c0, _c1, …, headers included; blank rows are dropped, quoted cells may span lines."""
-    sep = sniff_separator(spark, path)
-    rows = spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"').option("sep", sep).option("encoding", encoding).csv(path)
-    filled = None
-    for c in rows.columns:
-        one = F.coalesce(F.trim(c) != "", F.lit(False))
-        filled = one if filled is None else filled | one
-    return rows.where(filled) if filled is not None else rows
-
-
-def read_any_encoding(spark: SparkSession, path: str) -> DataFrame:
-    """All files below path, each read in its encoding (_encoding, _path), without the mark of the byte order."""
-    found = {}
-    for r in byte_order(spark, path).collect():
-        found.setdefault(r.encoding, []).append(r.path)
+def read_capture(spark: SparkSession, path: str) -> DataFrame:
+    """Delimited text as rows _c0, _c1, …, headers included, each file by its own separator and encoding; _path and _encoding
+    say where a row is from. Blank rows are dropped, quoted cells may span lines."""
+    # a row for each form of file comes to the driver, with the paths that Spark's reader needs there
+    forms = heads(spark, path).groupBy("encoding", "separator").agg(F.collect_list("path").alias("paths")).orderBy("encoding", "separator").collect()
     out = None
-    for encoding, paths in sorted(found.items()):
-        part = spark.read.option("encoding", encoding).option("multiLine", True).csv(paths)
-        part = part.withColumns({c: F.regexp_replace(c, "^\ufeff", "") for c in part.columns[:1]} | {"_encoding": F.lit(encoding), "_path": F.col("_metadata.file_path")})
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    for form in forms:
+        rows = spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"').option("sep", form.separator).option("encoding", form.encoding).csv(form.paths)
+        if not rows.columns:
+            continue
+        filled = reduce(lambda x, y: x | y, (F.coalesce(F.trim(c) != "", F.lit(False)) for c in rows.columns))
+        rows = rows.where(filled).withColumns({rows.columns[0]: F.regexp_replace(rows.columns[0], "^\ufeff", ""), "_encoding": F.lit(form.encoding), "_path": F.col("_metadata.file_path")})
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out if out is not None else spark.createDataFrame([], "_c0 string, _encoding string, _path string")
 
 
 def normalize_activity(cells: DataFrame) -> DataFrame:
@@ -122,18 +121,36 @@ def write_csv(df: DataFrame, path: str) -> None:
     as_text_columns(df).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
-def write_report(findings: DataFrame, inputs: DataFrame, path: str) -> None:
-    """Findings nested per rule with their inputs, as JSON lines; a rule's findings are one row each, so no group is gathered."""
-    findings.select(F.struct(*findings.columns).alias("finding")).write.json(f"{path}/findings")
-    inputs.write.json(f"{path}/inputs")
+def findings_export(findings: DataFrame, caps: DataFrame, steps: DataFrame, profile: str) -> DataFrame:
+    """The rows of a findings file: findings, then what caps left out, the guide's steps and the profile that was used."""
+    told = lambda df, kind, rule, text, n: df.select(F.lit(kind).alias("record"), rule.alias("rule_id"), text.alias("subject"), n.cast("long").alias("n_rows"))
+    extra = [told(caps, "cap", F.col("rule_id"), F.col("message"), F.col("suppressed")), told(steps, "step", F.col("kind"), F.concat(F.lit("step "), F.col("step")), F.col("sources")),
+             told(findings.sparkSession.range(1), "profile", F.lit("thresholds"), F.lit(profile), F.lit(None))]
+    out = findings.withColumn("record", F.lit("finding"))
+    for df in extra:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def write_report(path: str, **tables: DataFrame) -> None:
+    """Each table of a report (findings, inputs, plans, quality and others) as JSON lines below path, a row nested in a line, so
+    that no group is gathered."""
+    for name, df in tables.items():
+        df.select(F.struct(*df.columns).alias(name)).write.json(f"{path}/{name}")
 
 
-def run_manifest(files: DataFrame, **tables: DataFrame) -> DataFrame:
-    """One row per source file (hash, bytes) and one per table (count)."""
-    out = files.select(F.lit("file").alias("kind"), F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("hash"), F.col("length").alias("n"))
+def run_manifest(files: DataFrame, profile: str | None = None, **tables: DataFrame) -> DataFrame:
+    """One row per source file (hash, bytes), one per table (count), one for the profile (its digest), and one for the run,
+    whose id is the hash of all the others: equal inputs give equal ids."""
+    kept = lambda kind, name, h, n: [F.lit(kind).alias("kind"), name.alias("name"), h.cast("string").alias("hash"), n.cast("long").alias("n")]
+    out = files.select(*kept("file", F.element_at(F.split("path", "/"), -1), F.sha2("content", 256), F.col("length")))
     for name, df in tables.items():
-        out = out.unionByName(df.agg(F.count("*").alias("n")).select(F.lit("table").alias("kind"), F.lit(name).alias("name"), F.lit(None).cast("string").alias("hash"), "n"))
-    return out
+        out = out.unionByName(df.agg(F.count("*").alias("n")).select(*kept("table", F.lit(name), F.lit(None), F.col("n"))))
+    if profile:
+        out = out.unionByName(files.sparkSession.range(1).select(*kept("profile", F.lit("thresholds"), F.lit(profile), F.lit(None))))
+    # an order of the rows would gather them; a sum of their hashes does not
+    run = out.agg(F.count("*").alias("n"), F.sum(F.xxhash64("kind", F.coalesce("hash", "name"), "n").cast("decimal(38,0)")).alias("h"))
+    return out.unionByName(run.select(*kept("run", F.lit("run"), F.sha2(F.col("h").cast("string"), 256), F.col("n"))))
 
 
 def processing_log(**messages: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def data_quality(headers: DataFrame, acts: DataFrame) -> DataFrame:
 
 
 def import_preview(headers: DataFrame, acts: DataFrame) -> DataFrame:
-    """Per input: its headers, how many are recognised, and the first and last capture."""
+    """Per input: its headers, how many are recognised, and the first and last capture of its rows (acts has input_id)."""
     h = _named(headers).groupBy("input_id").agg(F.count("*").alias("n_headers"), F.countDistinct("name").alias("recognised"))
-    t = acts.groupBy(F.concat(F.lit("file-"), F.col("session_id") % 6).alias("input_id")).agg(F.min("capture_s").alias("first_s"), F.max("capture_s").alias("last_s"))
+    t = acts.groupBy("input_id").agg(F.min("capture_s").alias("first_s"), F.max("capture_s").alias("last_s"))
     return h.join(t, "input_id", "left")
