@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loadlens.llm.common import discard, materialize
+from loadlens.llm.common import discard, materialize, scratch_path
 
 _BITS = 18
 _MULTIPLIERS = {3: 0x9E3779B97F4A7C15, 4: 0xD6E8FEB86659FD93, 5: 0xA24BAED4963EE407, 6: 0xC2B2AE3D27D4EB4F}
@@ -34,7 +36,7 @@ class ToxicityModel:
 
 
 def _grams(text: str | None, orders: tuple[int, ...], keep: np.ndarray | None = None) -> np.ndarray:
-    """Distinct buckets of a text's byte n-grams, lower-cased and with a blank at either end; only those in keep, if given."""
+    """Distinct buckets, ascending, of a text's byte n-grams, lower-cased and with a blank at either end; only those in keep, if given."""
     data = b" " + (text or "").encode("utf-8", "surrogatepass").lower() + b" "
     found = []
     for start in range(0, len(data), _PIECE):
@@ -63,22 +65,30 @@ def _count(orders: tuple[int, ...]):
     return run
 
 
-def _features(orders: tuple[int, ...], keep: np.ndarray, rank: np.ndarray):
+def _features(orders: tuple[int, ...], keep: np.ndarray, rank: np.ndarray, scale: np.ndarray):
+    """Rows as the vector type stores them: sparse, of this many values."""
+    vector = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                out = [np.sort(rank[_grams(t.as_py(), orders, keep)]) for t in batch.column(0)]
-                yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.float64()), pa.array(out, pa.list_(pa.int32()))], names=["label", "at"])
+                for start in range(0, batch.num_rows, 64):
+                    some = batch.slice(start, 64)
+                    at = [rank[_grams(t.as_py(), orders, keep)] for t in some.column(0)]  # ranks ascend with the buckets
+                    rows = [{"type": 0, "size": len(scale), "indices": a, "values": scale[a]} for a in at]
+                    yield pa.RecordBatch.from_arrays([some.column(1).cast(pa.float64()), pa.array(rows, vector)], names=["label", "features"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = (4, 6), max_rows: int = 20_000, max_features: int = 20_000, alpha: float = 1.0, reg: float = 1e-4, seed: int = 11) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = (4, 6), max_rows: int = 20_000, alpha: float = 1.0, chance: float = 10.0, reg: float = 1e-5, seed: int = 11) -> ToxicityModel:
     """Fit on rows of docs (doc_id, text) that have a label in labels (doc_id, toxic).
 
     At most about max_rows labelled documents are used, chosen by a seeded hash of doc_id: the documented bound of the
-    fit. Null doc_id and null toxic are left out; with one class only or no rows, the model gives the share of the
-    toxic label for every text (0 where there are none). max_features bounds the buckets that may get a weight.
+    fit. Every bucket that they fill takes part, so a weight vector holds 2**18 numbers at most (2 MB); its
+    log-count ratio is drawn towards 0 by as many standard errors as leave about `chance` buckets a weight by chance alone. Null doc_id and
+    null toxic are left out; repeated rows count as often as they stand. With one class only or no rows, as for empty
+    tables, the model gives the share of the toxic label for every text (0 where there are none).
     """
     marked = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") != 0).cast("int").alias("label"))
     n = marked.count()
@@ -91,33 +101,40 @@ def train(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = (4, 6),
         discard(rows)
         return flat
     # one row for each bucket at most: bounded by the number of buckets, not by the rows
-    counted = rows.mapInArrow(_count(orders), "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean"), F.sum("toxic")).toPandas().to_numpy(np.int64)
+    counted = rows.mapInArrow(_count(orders), "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean"), F.sum("toxic")).orderBy("bucket").toPandas().to_numpy(np.int64)
     at, clean, toxic = counted.T
-    ratio = np.log((toxic + alpha) / (toxic + alpha).sum()) - np.log((clean + alpha) / (clean + alpha).sum())
-    often = clean + toxic >= 3
-    # buckets in which the label matters most: the log-count ratio in units of its standard error
-    score = np.where(often, np.abs(ratio) / np.sqrt(1 / (clean + alpha) + 1 / (toxic + alpha)), -1.0)
-    best = np.sort(at[np.lexsort((at, -score))[:max_features]])
-    keep, rank, r = np.zeros(1 << _BITS, bool), np.zeros(1 << _BITS, np.int32), np.zeros(1 << _BITS)
-    keep[best], rank[best], r[at] = True, np.arange(len(best), dtype=np.int32), ratio
-    scale = r[best]
-
-    width = len(best)
-    as_vector = F.udf(lambda i: SparseVector(width, i, scale[i]), VectorUDT())
-    features = materialize(rows.mapInArrow(_features(orders, keep, rank), "label double, at array<int>"), "features")
-    data = features.select("label", as_vector("at").alias("features"))
-    fitted = LogisticRegression(maxIter=60, regParam=reg, standardization=False, tol=1e-5).fit(data)
+    # alpha documents of the usual mixture are added to each bucket
+    prior = sizes[1] / (sizes[0] + sizes[1])
+    t, c = toxic + alpha * prior, clean + alpha * (1 - prior)
+    ratio, error = np.log(t / (sizes[1] + alpha * prior)) - np.log(c / (sizes[0] + alpha * (1 - prior))), np.sqrt(1 / t + 1 / c)
+    # the nearest ratio to 0 that the counts leave likely; where that is 0 the feature is 0 in every text
+    sure = NormalDist().inv_cdf(1 - min(0.5, chance / len(at)))
+    full = np.zeros(1 << _BITS)
+    full[at] = np.sign(ratio) * np.maximum(np.abs(ratio) - sure * error, 0)
+    at = np.flatnonzero(full)
+    scale, keep, rank = full[at], full != 0, np.zeros(1 << _BITS, np.int32)
+    rank[at] = np.arange(len(at), dtype=np.int32)
+    if not len(at):
+        discard(rows)
+        return ToxicityModel(full, float(np.log(prior / (1 - prior))), orders)
+
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "features")
+    stored = "label double, features struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+    rows.mapInArrow(_features(orders, keep, rank, scale), stored).write.parquet(path)
+    data = spark.read.schema(StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())])).parquet(path)
+    fitted = LogisticRegression(maxIter=40, regParam=reg, standardization=False, tol=1e-5).fit(data)
     weights = np.zeros(1 << _BITS)
-    weights[best] = fitted.coefficients.toArray() * scale
+    weights[at] = fitted.coefficients.toArray() * scale
     discard(rows)
-    discard(features)
+    discard(path, spark)
     return ToxicityModel(weights, float(fitted.intercept), orders)
 
 
 def score(docs: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
     """The columns keep of docs, then score (0 to 1) and predicted (1 from 0.5), for the whole text of each row.
 
-    Null and empty texts have no n-grams beyond the blanks at the ends and get the score of the intercept.
+    Null and empty texts have no n-grams beyond the blanks at the ends and get the score of the intercept. Each row is
+    scored by itself, repeated rows alike; an empty table gives an empty table.
     """
     schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
     weights, bias, orders = model.weights, model.intercept, model.orders
