@@ -3,7 +3,8 @@
 Arrivals are appended as small immutable shards. Shards of similar size form a tier; where a tier has enough of them,
 they are merged into shards of up to the target size. What is current is told by a manifest alone: each change writes a
 new version under a temporary name and renames it to a name that must not exist yet, so that readers see one version or
-the next, and of two writers one fails.
+the next. A version says which shards came and which went, and every few versions it lists all. Of two writers of one
+version the second applies its change to what the first has made of the list.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from functools import reduce
 
@@ -21,6 +23,8 @@ from loadlens.llm.common import hadoop_fs, scratch_path
 
 #: Merges that one job carries out side by side.
 _MERGES_PER_JOB = 128
+#: Every version with a number of this kind lists all shards; the others say what changed.
+_LIST_EVERY = 16
 _UNION = "spark.sql.unionOutputPartitioning"
 
 
@@ -52,18 +56,25 @@ class ShardStore:
 
     def shards(self, version: int | None = None) -> list[Shard]:
         """The shards of a version, the latest by default; none before the first commit."""
-        versions = self.versions()
+        versions = [v for v in self.versions() if version is None or v <= version]
         if not versions:
             return []
-        text = self.spark.read.text(f"{self.root}/manifest/v{(version or versions[-1]):08d}.json", wholetext=True).first()[0]
-        return [Shard(**s) for s in json.loads(text)["shards"]]
-
-    def commit(self, version: int, shards: list[Shard]) -> None:
+        full = [v for v in versions if v % _LIST_EVERY == 0]
+        wanted = [v for v in versions if v >= (full[-1] if full else 0)]
+        texts = self.spark.read.text([f"{self.root}/manifest/v{v:08d}.json" for v in wanted], wholetext=True).collect()
+        now: dict[str, Shard] = {}
+        for change in sorted((json.loads(r.value) for r in texts), key=lambda c: c["version"]):
+            now = {} if change["all"] else {k: s for k, s in now.items() if k not in set(change["gone"])}
+            now |= {s["path"]: Shard(**s) for s in change["came"]}
+        return list(now.values())
+
+    def commit(self, version: int, came: list[Shard], gone: list[str] = (), all_: bool = False) -> None:
+        """Write a version: the shards that came and the paths of those that went, or the list of all. CommitConflict if it exists."""
         jvm = self.spark.sparkContext._jvm
         name = f"{self.root}/manifest/v{version:08d}.json"
         fs, temporary = hadoop_fs(self.spark, f"{self.root}/manifest/_{uuid.uuid4().hex}")
         out = fs.create(temporary, False)
-        out.write(bytearray(json.dumps({"version": version, "shards": [asdict(s) for s in shards]}).encode()))
+        out.write(bytearray(json.dumps({"version": version, "all": all_, "came": [asdict(s) for s in came], "gone": list(gone)}).encode()))
         out.close()
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(temporary.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
@@ -75,6 +86,23 @@ class ShardStore:
                 raise CommitConflict(name) from e
             raise
 
+    def change(self, make: Callable[[list[Shard]], tuple[list[Shard], list[str]]], list_all: bool = False, tries: int = 20) -> int:
+        """Commit what make gives for the current shards: those that come, and the paths of those that go. The version is
+        taken before the shards are read, so a commit by another in between is a conflict, upon which make is asked anew."""
+        for _ in range(tries):
+            version = (self.versions() or [0])[-1] + 1
+            now = self.shards(version - 1)
+            came, gone = make(now)
+            try:
+                if version % _LIST_EVERY and not list_all:
+                    self.commit(version, came, gone)
+                else:
+                    self.commit(version, [s for s in now if s.path not in set(gone)] + came, all_=True)
+            except CommitConflict:
+                continue
+            return version
+        raise CommitConflict(f"{self.root}: {tries} times")
+
     # Shards
 
     def tier(self, size: int) -> int:
@@ -87,12 +115,21 @@ class ShardStore:
         return [Shard(p, n, self.tier(n)) for p, n in sorted(files)]
 
     def append(self, df: DataFrame) -> int:
-        """Add the rows of df as shards, one for each of its partitions that has rows; the new version. No shuffle."""
+        """Add the rows of df as shards, one for each of its partitions that has rows; the new version. No shuffle. Every row
+        and column is kept; a table without rows adds nothing or a shard without rows."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.parquet(folder)
-        version = (self.versions() or [0])[-1] + 1
-        self.commit(version, self.shards() + self._written(folder))
-        return version
+        return self.add(self._written(folder))
+
+    def add(self, fresh: list[Shard]) -> int:
+        return self.change(lambda now: (fresh, []))
+
+    def write_arrivals(self, df: DataFrame, arrival: str) -> list[list[Shard]]:
+        """Write df once, apart for each value of the column arrival, which is left out; the shards of each, uncommitted."""
+        folder = f"{self.root}/data/{uuid.uuid4().hex}"
+        df.write.partitionBy(arrival).parquet(folder)
+        fs, at = hadoop_fs(self.spark, folder)
+        return [self._written(s.getPath().toString()) for s in fs.listStatus(at) if s.isDirectory()]
 
     def plan(self, shards: list[Shard], final: bool = False) -> list[list[Shard]]:
         """Merges that are due: runs of at least fanout similarly sized shards (of two, if final), each up to the target."""
@@ -115,17 +152,23 @@ class ShardStore:
 
     def compact(self, final: bool = False) -> int:
         """Carry out the merges that are due until none is; the current version. Each merge is one task that reads and
-        writes up to the target size, and many run in one job, without a shuffle."""
-        while merges := self.plan(self.shards(), final):
-            merges = merges[:_MERGES_PER_JOB]
+        writes up to the target size, and many run in one job, without a shuffle. What others append meanwhile stays; a
+        merge of shards that another has merged meanwhile is dropped."""
+        while merges := self.plan(self.shards(), final)[:_MERGES_PER_JOB]:
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
             parts = [self.spark.read.parquet(*(s.path for s in m)).coalesce(1) for m in merges]
             self._write_apart(reduce(DataFrame.union, parts), folder)
-            gone = {s.path for m in merges for s in m}
-            before = self.shards()
-            fresh = self._written(folder)
-            self.commit(self.versions()[-1] + 1, [s for s in before if s.path not in gone] + fresh)
-            if len(before) - len(gone) + len(fresh) >= len(before):
+            fresh: dict[int, list[Shard]] = {}
+            for s in self._written(folder):  # the files of the n-th task are those of the n-th merge
+                fresh.setdefault(int(s.path.rpartition("/")[2].split("-")[1]), []).append(s)
+
+            def make(now: list[Shard], merges=merges, fresh=fresh) -> tuple[list[Shard], list[str]]:
+                here = {s.path for s in now}
+                good = [i for i, m in enumerate(merges) if all(s.path in here for s in m)]
+                return [s for i in good for s in fresh.get(i, [])], [s.path for i in good for s in merges[i]]
+
+            self.change(make, list_all=final)
+            if sum(map(len, fresh.values())) >= sum(map(len, merges)):
                 break
         return (self.versions() or [0])[-1]
 
@@ -140,24 +183,24 @@ class ShardStore:
             self.spark.conf.set(_UNION, before)
 
     def vacuum(self) -> int:
-        """Delete shards that the latest version does not name, and older manifests; the number of shards deleted.
-        Only for when no reader of an older version is left."""
-        keep = {s.path.rpartition("/data/")[2] for s in self.shards()}
-        fs, at = hadoop_fs(self.spark, f"{self.root}/data")
-        gone = 0
-        for folder in fs.listStatus(at) if fs.exists(at) else []:
-            files = [f.getPath() for f in fs.listStatus(folder.getPath())]
-            live = [f for f in files if f"{folder.getPath().getName()}/{f.getName()}" in keep]
-            if not live:
-                fs.delete(folder.getPath(), True)
-                gone += sum(f.getName().endswith(".parquet") for f in files)
-                continue
-            for f in files:
-                if f.getName().endswith(".parquet") and f not in live:
-                    fs.delete(f, False)
-                    gone += 1
+        """Delete the shards that older versions named and the latest does not, and older manifests; the number of shards
+        deleted. Only for when no reader of an older version is left; files that no version names yet are left alone, as
+        a writer may be about to commit them."""
+        versions = self.versions()
+        if not versions:
+            return 0
+        latest = self.shards(versions[-1])
+        texts = self.spark.read.text([f"{self.root}/manifest/v{v:08d}.json" for v in versions], wholetext=True).collect()
+        named = {p for r in texts for c in [json.loads(r.value)] for p in [*c["gone"], *(s["path"] for s in c["came"])]}
+        dead = named - {s.path for s in latest}
+        fs, _ = hadoop_fs(self.spark, self.root)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        gone = sum(bool(fs.delete(path(p), False)) for p in sorted(dead))
+        # the latest version must list all before the changes that led to it are deleted
+        if not max(((c := json.loads(r.value))["version"], c["all"]) for r in texts)[1]:
+            self.change(lambda now: ([], []), list_all=True)
         for v in self.versions()[:-1]:
-            fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest/v{v:08d}.json"), False)
+            fs.delete(path(f"{self.root}/manifest/v{v:08d}.json"), False)
         return gone
 
     def read(self, schema=None) -> DataFrame:
@@ -166,15 +209,16 @@ class ShardStore:
 
 
 def shard_documents(docs: DataFrame, arrivals: int = 4, target_bytes: int = 64_000_000, fanout: int = 4) -> tuple[ShardStore, DataFrame]:
-    """Append docs in a number of arrivals (by a hash of all their columns), compacting after each; the store and its rows.
+    """Append docs in a number of arrivals (by a hash of doc_id), compacting after each; the store and its rows.
 
-    Every row and column is kept, repeated rows, nulls and empty texts included; an empty table gives a store of empty
-    shards. Text of any length stays one row.
+    Every row and column is kept, repeated rows, nulls and empty texts included; an empty table gives an empty store. Text
+    of any length stays one row. docs are read and written once, whatever the number of arrivals.
     """
     spark = docs.sparkSession
     store = ShardStore(spark, scratch_path(spark, "shards"), target_bytes, fanout)
-    for k in range(arrivals):
-        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == k))
+    name = next(n for n in ("arrival", "arrival_", "arrival__") if n not in {c.lower() for c in docs.columns})
+    for fresh in store.write_arrivals(docs.withColumn(name, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))), name):
+        store.add(fresh)
         store.compact()
         store.vacuum()
     store.compact(final=True)
@@ -190,4 +234,4 @@ def shard_map(docs: DataFrame, **options) -> DataFrame:
     # a row per shard, about target_bytes of documents each
     names = spark.createDataFrame([(s.path.rpartition("/")[2], i, s.bytes) for i, s in enumerate(shards)], "file string, shard int, shard_bytes long")
     placed = rows.select("doc_id", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
-    return placed.join(names, "file", "left").select("doc_id", "shard", "shard_bytes", F.lit(store.versions()[-1]).alias("version"))
+    return placed.join(names, "file", "left").select("doc_id", "shard", "shard_bytes", F.lit((store.versions() or [0])[-1]).alias("version"))
