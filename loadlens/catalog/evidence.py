@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.catalog.activity import acts
@@ -12,32 +15,65 @@ from loadlens.operators import evidence as E
 from loadlens.operators import history as H
 from loadlens.operators import inventory as J
 
-# Artifacts of the samples: one per source and capture; cases are sources.
-ART = """art AS (SELECT concat(source_id, ':', CAST(capture_s AS VARCHAR)) AS artifact_id, source_id AS case_id, capture_s % 45 = 0 AS correlated, coalesce(sum(runnable_tasks) > 0, false) AS rq, coalesce(bool_or(active_workers >= max_workers AND work_queue > 0), false) AS we,
- coalesce(max(CASE WHEN batches > 0 THEN compilations / batches END) >= 0.3, false) AS cp, coalesce(bool_or(sample_order % 401 = 0), false) AS lm, coalesce(bool_or(sample_order % 397 = 0), false) AS nt FROM samples GROUP BY source_id, capture_s),
-sig AS (SELECT artifact_id, case_id, correlated, s AS signal FROM (SELECT artifact_id, case_id, correlated, unnest([CASE WHEN rq THEN 'runnable-queue' END, CASE WHEN we THEN 'worker-exhausted' END, CASE WHEN cp THEN 'compile-pressure' END, CASE WHEN lm THEN 'lock-match' END, CASE WHEN nt THEN 'no-open-transaction' END]) AS s FROM art) z WHERE s IS NOT NULL)"""
-_VALUES = ", ".join(f"('{a}', [{', '.join(repr(x) for x in pro)}], CAST([{', '.join(repr(x) for x in con)}] AS VARCHAR[]))" for a, (pro, con) in E.ASSERTIONS.items())
-STATES = f"""{ART}, asr(assertion, pro, con) AS (VALUES {_VALUES}), asked AS (SELECT DISTINCT case_id, assertion, pro, con FROM art, asr), st AS (SELECT case_id, assertion, CASE WHEN against AND NOT tied THEN 'Contradicted' WHEN tied THEN 'Supported' WHEN seen THEN 'Observed' ELSE 'Not Evaluated' END AS state FROM (
- SELECT a.case_id, a.assertion, coalesce(bool_or(list_contains(pro, signal) AND correlated), false) AS tied, coalesce(bool_or(list_contains(pro, signal)), false) AS seen, coalesce(bool_or(list_contains(con, signal)), false) AS against FROM asked a LEFT JOIN sig s ON s.case_id = a.case_id GROUP BY ALL) z)"""
+# Evidence of five cases: counter samples by capture, locks, memory grants, the plan cache, and plan look-ups.
+_K = "CAST(CAST(substr(plan_id, 6) AS INTEGER) % 5 AS VARCHAR)"
+ART = f"""art AS (SELECT DISTINCT concat(source_id, ':', CAST(capture_s AS VARCHAR)) AS artifact_id, source_id AS case_id, capture_s AS at_s FROM samples UNION ALL SELECT DISTINCT concat('locks-', CAST(session_id % 50 AS VARCHAR)), concat('ctr-', CAST(session_id % 5 AS VARCHAR)), NULL FROM locks
+ UNION ALL SELECT DISTINCT concat('grants-', CAST(database_id AS VARCHAR)), concat('ctr-', CAST(database_id AS VARCHAR)), NULL FROM plan_stmts UNION ALL SELECT DISTINCT concat('cache-', CAST(database_id AS VARCHAR)), concat('ctr-', CAST(database_id AS VARCHAR)), NULL FROM spills
+ UNION ALL SELECT DISTINCT plan_id, concat('ctr-', {_K}), CASE WHEN CAST(substr(plan_id, 6) AS INTEGER) % 4 > 0 THEN CAST(substr(plan_id, 6) AS INTEGER) % 40 * 15 END FROM plan_stmts),
+root AS (SELECT concat('ctr-', {_K}) AS case_id, arg_min(query_hash, statement_id) AS h FROM plan_stmts GROUP BY 1), tied AS (SELECT DISTINCT plan_id AS artifact_id FROM plan_stmts p JOIN root r ON r.case_id = concat('ctr-', {_K}) AND r.h = p.query_hash),
+win AS (SELECT source_id AS case_id, min(capture_s) + 60 AS f, max(capture_s) - 200 AS l FROM samples GROUP BY 1),
+flags AS (SELECT concat(source_id, ':', CAST(capture_s AS VARCHAR)) AS artifact_id, [CASE WHEN bool_or(active_workers >= max_workers AND work_queue > 0) THEN 'worker-exhaustion-confirmed' END, CASE WHEN bool_or(work_queue > 0) THEN 'worker-queue' END, CASE WHEN bool_or(batches > 0 AND compilations >= 0.1 * batches) THEN 'compilation-pressure' END] AS s FROM samples GROUP BY 1
+ UNION ALL SELECT artifact_id, [CASE WHEN count(*) FILTER (WHERE tasks > 0) > 0 THEN 'scheduler-runnable-queue' END, CASE WHEN count(*) FILTER (WHERE tasks > 0) >= 2 AND bool_or(NOT starts_with(k, 'r')) THEN 'scheduler-pressure-sustained' END] FROM (SELECT concat(source_id, ':', CAST(capture_s AS VARCHAR)) AS artifact_id, CASE WHEN sample_id IS NOT NULL THEN 's' || sample_id WHEN capture_s IS NOT NULL THEN 't' || capture_s ELSE 'r' || sample_order END AS k, sum(runnable_tasks) AS tasks FROM samples GROUP BY 1, 2) q GROUP BY 1
+ UNION ALL SELECT concat('locks-', CAST(session_id % 50 AS VARCHAR)), [CASE WHEN bool_or(session_id % 3 = 0 AND request_status = 'GRANT') THEN 'root-locks-granted' END] FROM locks GROUP BY 1
+ UNION ALL SELECT DISTINCT artifact_id, ['lock-resource-match'] FROM (SELECT concat('locks-', CAST(session_id % 50 AS VARCHAR)) AS artifact_id, resource_type, database_id, entity_id, description FROM locks WHERE session_id % 3 = 0 AND request_status = 'GRANT' AND entity_id IS NOT NULL AND (description IS NOT NULL OR resource_type NOT IN ('KEY', 'PAGE', 'RID'))
+  INTERSECT SELECT concat('locks-', CAST(session_id % 50 AS VARCHAR)), resource_type, database_id, entity_id, description FROM locks WHERE request_status = 'WAIT' AND entity_id IS NOT NULL AND (description IS NOT NULL OR resource_type NOT IN ('KEY', 'PAGE', 'RID'))) m
+ UNION ALL SELECT concat('grants-', CAST(database_id AS VARCHAR)), [CASE WHEN bool_or(granted_mb > 0 AND statement_id % 3 = 0) THEN 'pending-memory-grant' END] FROM plan_stmts GROUP BY 1
+ UNION ALL SELECT concat('cache-', CAST(database_id AS VARCHAR)), [CASE WHEN count(*) >= 1000 AND count(*) FILTER (WHERE executions <= 6) >= 0.9 * count(*) THEN 'plan-cache-instability-measured' END] FROM spills GROUP BY 1
+ UNION ALL SELECT plan_id, [CASE WHEN bool_or(actual) THEN 'plan-captured' END, CASE WHEN bool_or(NOT actual) THEN 'plan-lookup-null' END, CASE WHEN bool_or(nonparallel_reason IS NOT NULL) THEN 'nonparallel-reason' END, CASE WHEN bool_or(granted_mb > 0 AND granted_mb >= 4 * used_mb) THEN 'plan-memory-overgrant' END, CASE WHEN bool_or(granted_mb > 0 AND granted_mb >= 4 * used_mb AND NOT actual) THEN 'unused-memory-grant' END] FROM plan_stmts GROUP BY 1),
+sg AS (SELECT artifact_id, signal FROM (SELECT artifact_id, unnest(s) AS signal FROM flags) z WHERE signal IS NOT NULL),
+sig AS (SELECT a.case_id, s.artifact_id, signal, CASE WHEN at_s IS NULL OR f IS NULL OR l IS NULL THEN 'Unknown' WHEN at_s BETWEEN f AND l THEN 'Exact' WHEN at_s BETWEEN f - 30 AND l + 30 THEN 'Overlapping' ELSE 'Context only' END AS overlap, s.artifact_id IN (SELECT artifact_id FROM tied) AS correlated FROM sg s JOIN art a USING (artifact_id) LEFT JOIN win w ON w.case_id = a.case_id)"""
+_VALUES = ", ".join(f"({i}, '{a}', '{sg}', {str(c).lower()}, {str(w).lower()}, '{state}')" for i, (a, on, c, w, state) in enumerate(E.RULES) for sg in on)
+STATES = f"""{ART}, rules(rule, assertion, signal, tied, timed, state) AS (VALUES {_VALUES}), met AS (SELECT case_id, assertion, rule, state, count(DISTINCT artifact_id) AS artifacts FROM sig JOIN rules USING (signal) WHERE overlap <> 'Context only' AND (NOT tied OR correlated) AND (NOT timed OR overlap IN ('Exact', 'Overlapping')) GROUP BY ALL),
+st AS (SELECT c.case_id, a.assertion, coalesce(b.state, 'Not Evaluated') AS state, coalesce(b.artifacts, 0) AS artifacts FROM (SELECT DISTINCT source_id AS case_id FROM samples) c CROSS JOIN (SELECT DISTINCT assertion FROM rules) a LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, assertion ORDER BY rule) AS n FROM met) z WHERE n = 1) b ON b.case_id = c.case_id AND b.assertion = a.assertion)"""
+_PROFILES = list(E.THEORIES)
+
+
+def _artifacts(v):
+    """The evidence tables with their artifacts, and (artifact_id, case_id, at_s) of all."""
+    n, case = F.expr("cast(substr(plan_id, 6) as int)"), lambda c: F.concat(F.lit("ctr-"), c.cast("string"))
+    samples = v.samples.withColumn("artifact_id", F.concat_ws(":", "source_id", F.col("capture_s").cast("string")))
+    locks = v.locks.withColumn("artifact_id", F.concat(F.lit("locks-"), F.col("session_id") % 50)).withColumn("is_root", F.col("session_id") % 3 == 0)
+    grants = v.plan_stmts.select(F.concat(F.lit("grants-"), "database_id").alias("artifact_id"), "database_id", (F.col("granted_mb") * 1024).alias("requested_kb"), F.when(F.col("statement_id") % 3 != 0, F.col("statement_id")).alias("grant_time"))
+    cache = v.spills.select(F.concat(F.lit("cache-"), "database_id").alias("artifact_id"), "database_id", (F.col("executions") - 5).alias("use_count"))
+    plans = v.plan_stmts.withColumn("artifact_id", F.col("plan_id")).withColumn("query_plan", F.when(F.col("actual"), "<plan/>"))
+    none = F.lit(None).cast("int").alias("at_s")
+    parts = [samples.select("artifact_id", F.col("source_id").alias("case_id"), "capture_s"), locks.select("artifact_id", case(F.col("session_id") % 5).alias("case_id"), none), grants.select("artifact_id", case(F.col("database_id")).alias("case_id"), none),
+             cache.select("artifact_id", case(F.col("database_id")).alias("case_id"), none), plans.select("artifact_id", case(n % 5).alias("case_id"), F.when(n % 4 > 0, n % 40 * 15).alias("at_s"))]
+    known = reduce(DataFrame.unionByName, (p.toDF("artifact_id", "case_id", "at_s").distinct() for p in parts))
+    return E.evidence_signals(samples, locks, grants, cache, plans), known, plans.withColumn("case_id", case(n % 5))
 
 
-def _art(v):
-    no = lambda c: F.coalesce(c, F.lit(False))
-    s = v.samples
-    g = s.groupBy("source_id", "capture_s").agg(
-        no(F.sum("runnable_tasks") > 0).alias("runnable-queue"), no(F.bool_or((F.col("active_workers") >= F.col("max_workers")) & (F.col("work_queue") > 0))).alias("worker-exhausted"),
-        no(F.max(F.when(F.col("batches") > 0, F.col("compilations") / F.col("batches"))) >= 0.3).alias("compile-pressure"), no(F.bool_or(F.col("sample_order") % 401 == 0)).alias("lock-match"), no(F.bool_or(F.col("sample_order") % 397 == 0)).alias("no-open-transaction"))
-    return g.withColumn("artifact_id", F.concat_ws(":", "source_id", F.col("capture_s").cast("string")))
+def _signals(v):
+    signals, known, plans = _artifacts(v)
+    root = plans.groupBy("case_id").agg(F.min_by("query_hash", "statement_id").alias("query_hash"))
+    windows = v.samples.groupBy(F.col("source_id").alias("case_id")).agg((F.min("capture_s") + 60).alias("first_s"), (F.max("capture_s") - 200).alias("last_s"))
+    return E.placed_signals(signals, known, windows, plans.join(root, ["case_id", "query_hash"]).select("artifact_id"))
 
 
-def _signals(v):
-    a = _art(v)
-    s = E.evidence_signals(a.drop("source_id", "capture_s"))
-    return s.join(a.select("artifact_id", F.col("source_id").alias("case_id"), (F.col("capture_s") % 45 == 0).alias("correlated")), "artifact_id")
+def _cases(v):
+    """A case for each source of samples, its profile by its number."""
+    c = v.samples.select(F.col("source_id").alias("case_id")).distinct()
+    return c.withColumn("profile", F.element_at(F.array(*map(F.lit, _PROFILES)), F.expr("cast(substr(case_id, 5) as int)") % 5 + 1))
 
 
 def _states(v):
-    return E.assertion_states(v.samples.select(F.col("source_id").alias("case_id")).distinct(), _signals(v))
+    return E.assertion_states(_cases(v), _signals(v))
+
+
+def _starts(v):
+    """Starting states of the cases: of each, what is seen of the sessions of its number."""
+    a = acts(v).groupBy(F.concat(F.lit("ctr-"), F.col("session_id") % 5).alias("case_id")).agg(F.bool_or(F.col("blocking_session_id") > 0).alias("blocking-chain"), F.bool_or(F.col("status") == "runnable").alias("root-runnable"), F.bool_or(F.col("open_tran_count") > 0).alias("open-transactions"))
+    return a.unpivot(["case_id"], ["blocking-chain", "root-runnable", "open-transactions"], "assertion", "on").select("case_id", "assertion", F.when(F.col("on"), "Observed").otherwise("Not Evaluated").alias("state"))
 
 
 _HIST = "hist AS (SELECT concat('case-', CAST(user_id % 50 AS VARCHAR)) AS case_id, concat('a', CAST(user_id % 3 AS VARCHAR)) AS assertion, event_id AS import_order, CASE WHEN event_type IN ('view', 'click') THEN 'Observed' ELSE 'Supported' END AS state FROM events)"
@@ -75,26 +111,31 @@ def _steps(v):
 
 
 _STEPS = "steps AS (SELECT source_order AS candidate_id, unnest(['query-store', 'last-actual-plan', 'cached-plan', 'reproduce']) AS step, unnest([1, 2, 3, 4]) AS priority, unnest([14 + source_order % 4 >= 16 AND database_id < 3 AND query_hash IS NOT NULL, 14 + source_order % 4 >= 15 AND plan_handle IS NOT NULL, plan_handle IS NOT NULL, true]) AS usable FROM spills)"
+_SHAPE_COLUMNS = ('runnable_tasks', 'active_workers', 'max_workers', 'compilations', 'batches', 'request_status', 'resource_type', 'requested_kb', 'counter_name', 'value', 'use_count', 'query_plan', 'open_tran_count')
 _ALIAS = {"session": ["spid", "session_id"], "rows": ["n_rows", "reads"], "none": ["absent"]}
 
 QUERIES = [
-    Query("evidence_observations", lambda v: E.evidence_observations(v.samples, ["runnable_tasks", "active_workers", "compilations"], ["sample_order", "source_id"], "scheduler"), "SELECT sample_order, source_id, metric, value, 'scheduler' AS shape FROM (SELECT sample_order, source_id, CAST(runnable_tasks AS DOUBLE) AS runnable_tasks, CAST(active_workers AS DOUBLE) AS active_workers, CAST(compilations AS DOUBLE) AS compilations FROM samples) z UNPIVOT (value FOR metric IN (runnable_tasks, active_workers, compilations))"),
+    Query("evidence_observations", lambda v: E.evidence_observations(v.samples.withColumnRenamed("source_id", "source"), ["sample_order", "source"]).unionByName(E.evidence_observations(v.activity.select(F.col("row_number").alias("sample_order"), F.col("source_id").alias("source"), "open_tran_count", "tran_start_s"), ["sample_order", "source"])),
+          """WITH m(metric, shape, unit, directness) AS (VALUES ('runnable_tasks', 'scheduler', 'tasks', 'direct'), ('active_workers', 'worker', 'workers', 'direct'), ('max_workers', 'worker', 'workers', 'direct'), ('work_queue', 'worker', 'requests', 'direct'), ('compilations', 'compile', 'per second', 'derived'), ('batches', 'compile', 'per second', 'derived'), ('value', 'counter', 'count', 'derived'), ('open_tran_count', 'transaction', 'transactions', 'direct'), ('tran_start_s', 'transaction', 'seconds', 'direct')),
+ u AS (SELECT sample_order, source_id AS source, metric, v AS value FROM (SELECT sample_order, source_id, CAST(runnable_tasks AS DOUBLE) AS runnable_tasks, CAST(active_workers AS DOUBLE) AS active_workers, CAST(max_workers AS DOUBLE) AS max_workers, CAST(work_queue AS DOUBLE) AS work_queue, CAST(compilations AS DOUBLE) AS compilations, CAST(batches AS DOUBLE) AS batches, CAST(value AS DOUBLE) AS value FROM samples) z UNPIVOT (v FOR metric IN (runnable_tasks, active_workers, max_workers, work_queue, compilations, batches, value))
+ UNION ALL SELECT row_number, source_id, metric, v FROM (SELECT row_number, source_id, CAST(open_tran_count AS DOUBLE) AS open_tran_count, CAST(tran_start_s AS DOUBLE) AS tran_start_s FROM activity) y UNPIVOT (v FOR metric IN (open_tran_count, tran_start_s))) SELECT sample_order, source, shape, metric, value, unit, directness FROM u JOIN m USING (metric)"""),
     Query("read_evidence_tables", lambda v: E.read_evidence_tables(v.activity.withColumn("spid", F.when(F.col("row_number") % 2 == 0, F.col("session_id"))), _ALIAS).select("session", "rows", F.col("none").cast("string").alias("none")), "SELECT session_id AS session, reads AS rows, CAST(NULL AS VARCHAR) AS none FROM activity"),
-    Query("evidence_shape", lambda v: E.evidence_shape(v.events.select((F.col("user_id") % 90).alias("artifact_id"), F.element_at(F.array(*map(F.lit, ("runnable_tasks", "active_workers", "max_workers", "compilations", "batches", "request_status", "resource_type", "granted_mb"))), (F.col("event_id") % 8 + 1).cast("int")).alias("column")).where("artifact_id % 7 <> 0 or column <> 'batches'")),
-          "WITH c AS (SELECT user_id % 90 AS artifact_id, ['runnable_tasks', 'active_workers', 'max_workers', 'compilations', 'batches', 'request_status', 'resource_type', 'granted_mb'][CAST(event_id % 8 + 1 AS INTEGER)] AS c FROM events), g AS (SELECT artifact_id, list(DISTINCT c) AS l FROM c WHERE artifact_id % 7 <> 0 OR c <> 'batches' GROUP BY 1) SELECT artifact_id, concat_ws(',', CASE WHEN list_contains(l, 'runnable_tasks') THEN 'scheduler' END, CASE WHEN list_has_all(l, ['active_workers', 'max_workers']) THEN 'worker' END, CASE WHEN list_has_all(l, ['compilations', 'batches']) THEN 'compile' END, CASE WHEN list_has_all(l, ['request_status', 'resource_type']) THEN 'lock' END, CASE WHEN list_contains(l, 'granted_mb') THEN 'grant' END) AS shapes FROM g"),
-    Query("evidence_signals", lambda v: _signals(v).select("artifact_id", "signal"), f"WITH {ART} SELECT artifact_id, signal FROM sig"),
+    Query("evidence_shape", lambda v: E.evidence_shape(v.events.select((F.col("user_id") % 90).alias("artifact_id"), F.element_at(F.array(*map(F.lit, _SHAPE_COLUMNS)), (F.col("event_id") % 13 + 1).cast("int")).alias("column")).where("artifact_id % 7 <> 0 or column <> 'batches'")),
+          "WITH c AS (SELECT user_id % 90 AS artifact_id, [" + ", ".join(f"'{c}'" for c in _SHAPE_COLUMNS) + "][CAST(event_id % 13 + 1 AS INTEGER)] AS c FROM events), g AS (SELECT artifact_id, list(DISTINCT c) AS l FROM c WHERE artifact_id % 7 <> 0 OR c <> 'batches' GROUP BY 1) SELECT artifact_id, concat_ws(',', CASE WHEN list_contains(l, 'runnable_tasks') THEN 'scheduler' END, CASE WHEN list_has_all(l, ['active_workers', 'max_workers']) THEN 'worker' END, CASE WHEN list_has_all(l, ['compilations', 'batches']) THEN 'compile' END, CASE WHEN list_has_all(l, ['request_status', 'resource_type']) THEN 'lock' END, CASE WHEN list_contains(l, 'open_tran_count') THEN 'transaction' END, CASE WHEN list_contains(l, 'requested_kb') THEN 'grant' END, CASE WHEN list_has_all(l, ['counter_name', 'value']) THEN 'counter' END, CASE WHEN list_contains(l, 'use_count') THEN 'plan-cache' END, CASE WHEN list_contains(l, 'query_plan') THEN 'plan-lookup' END) AS shapes FROM g"),
+    Query("evidence_signals", lambda v: _signals(v), f"WITH {ART} SELECT case_id, artifact_id, signal, overlap, correlated FROM sig"),
     Query("evidence_kinds", lambda v: J.counted(_signals(v), "signal"), f"WITH {ART} SELECT signal, count(*) AS count FROM sig GROUP BY signal"),
-    Query("root_identity", lambda v: E.root_identity(acts(v), "episode"), "SELECT episode, arg_max(session_id, row_number) AS session_id, arg_max(database_name, row_number) AS database_name, arg_max(login_name, row_number) AS login_name FROM acts GROUP BY episode"),
+    Query("root_identity", lambda v: E.root_identity(acts(v).withColumn("query_hash", F.sha2("sql_text", 256)), "episode"), "SELECT episode, " + ", ".join(f"r.{c} AS {c}" for c in ("session_id", "request_id", "database_name", "login_name", "query_hash")) + " FROM (SELECT episode, arg_max(struct_pack(session_id := session_id, request_id := request_id, database_name := database_name, login_name := login_name, query_hash := sha256(sql_text)), row_number) AS r FROM acts GROUP BY episode) z"),
     Query("incident_window", lambda v: E.incident_window(v.plan_stmts.select(F.col("plan_id").alias("finding_id")).distinct().withColumn("first_s", F.lit(-1)).withColumn("last_s", F.lit(-2)), acts(v).select(F.concat(F.lit("plan-"), F.col("session_id")).alias("finding_id"), "capture_s")),
           "SELECT p.plan_id AS finding_id, coalesce(min(a.capture_s), -1) AS first_s, coalesce(max(a.capture_s), -2) AS last_s FROM (SELECT DISTINCT plan_id FROM plan_stmts) p LEFT JOIN activity a ON concat('plan-', CAST(a.session_id AS VARCHAR)) = p.plan_id GROUP BY p.plan_id"),
-    Query("assertion_states", _states, f"WITH {STATES} SELECT case_id, assertion, state FROM st"),
+    Query("assertion_states", _states, f"WITH {STATES} SELECT case_id, assertion, state, artifacts FROM st"),
     Query("state_counts", lambda v: J.counted(_states(v), "state"), f"WITH {STATES} SELECT state, count(*) AS count FROM st GROUP BY state"),
-    Query("causal_theory", lambda v: E.causal_theory(_states(v)), f"""WITH {STATES}, g AS (SELECT case_id, bool_or(assertion = 'worker-starvation' AND state IN ('Supported', 'Observed')) AS w, bool_or(assertion = 'compile-storm' AND state IN ('Supported', 'Observed')) AS c, bool_or(assertion = 'runnable-root' AND state IN ('Supported', 'Observed')) AS r, bool_or(assertion = 'open-transaction' AND state IN ('Supported', 'Observed')) AS t, bool_or(assertion = 'open-transaction' AND state = 'Contradicted') AS nt FROM st GROUP BY case_id)
- SELECT case_id, CASE WHEN nt THEN 'Not Evaluated' WHEN w THEN 'Worker starvation' WHEN r AND t THEN 'CPU-bound holder of locks' WHEN c THEN 'Compilation' WHEN t THEN 'Open transaction' ELSE 'Unanswered' END AS theory FROM g"""),
-    Query("initial_assertions", lambda v: E.initial_assertions(found(v)), f"{ALL} SELECT rule_id, subject, a AS assertion, CASE WHEN a = 'chain' AND rule_id = 'WIA-BLOCKING' OR a = 'open-transaction' AND rule_id = 'WIA-TRANSACTION' THEN 'Observed' WHEN a = 'worker-starvation' AND rule_id = 'WIA-WORKER-EXHAUSTION' AND confidence = 'High' THEN 'Supported' ELSE 'Not Evaluated' END AS state FROM findings, (VALUES ('chain'), ('open-transaction'), ('worker-starvation')) x(a)"),
+    Query("causal_theory", lambda v: E.causal_theory(_cases(v), _signals(v), _starts(v)), f"""WITH {STATES}, seen AS (SELECT case_id, list(DISTINCT signal) AS s FROM sig WHERE overlap <> 'Context only' GROUP BY 1), own AS (SELECT concat('ctr-', CAST(session_id % 5 AS VARCHAR)) AS case_id, bool_or(blocking_session_id > 0) AND bool_or(status = 'runnable') AND bool_or(open_tran_count > 0) AS ok FROM acts GROUP BY 1),
+ c AS (SELECT DISTINCT source_id AS case_id, {_PROFILES}[CAST(substr(source_id, 5) AS INTEGER) % 5 + 1] AS profile FROM samples)
+ SELECT c.case_id, profile, CASE WHEN CASE profile WHEN 'worker-exhaustion' THEN list_contains(s, 'worker-exhaustion-confirmed') WHEN 'compile-pressure' THEN list_contains(s, 'compilation-pressure') AND list_has_any(s, ['plan-cache-pressure-wide', 'plan-cache-instability-measured']) WHEN 'plan-specific' THEN true WHEN 'transaction-blocking' THEN list_contains(s, 'lock-resource-match') ELSE list_contains(s, 'scheduler-pressure-sustained') AND list_contains(s, 'lock-resource-match') AND ok END THEN 'Supported' ELSE 'Not Evaluated' END AS theory FROM c LEFT JOIN seen USING (case_id) LEFT JOIN own USING (case_id)"""),
+    Query("initial_assertions", lambda v: E.initial_assertions(found(v)), f"{ALL}, starts(rule_id, assertion, state) AS (VALUES " + ", ".join(f"('{r}', '{a}', '{x}')" for r, m in E.STARTS.items() for a, x in m.items()) + ") SELECT rule_id, subject, assertion, state FROM findings JOIN starts USING (rule_id)"),
     Query("state_transitions", lambda v: E.state_transitions(_hist(v)), f'WITH {_HIST} SELECT case_id, assertion, import_order, state, before FROM (SELECT *, lag(state) OVER (PARTITION BY case_id, assertion ORDER BY import_order) AS before FROM hist) z WHERE before <> state'),
-    Query("capture_attempts", lambda v: E.capture_attempts(v.plan_stmts.select(F.col("plan_id").alias("artifact_id"), F.when(F.col("actual"), "plan-captured").when(F.col("statement_id") % 3 == 0, "plan-null").otherwise("other").alias("signal"))), "SELECT DISTINCT plan_id AS artifact_id, CASE WHEN actual THEN 'captured' ELSE 'null' END AS outcome FROM plan_stmts WHERE actual OR statement_id % 3 = 0"),
-    Query("case_narrative", lambda v: E.case_narrative(_states(v)), f"WITH {STATES} SELECT case_id, " + ", ".join(f"coalesce(string_agg(CASE WHEN state = '{s}' THEN assertion END, ',' ORDER BY assertion), '') AS {n}" for s, n in (("Observed", "established"), ("Supported", "supported"), ("Contradicted", "contradicted"), ("Not Evaluated", "unanswered"))) + " FROM st GROUP BY case_id"),
+    Query("capture_attempts", lambda v: E.capture_attempts(_artifacts(v)[0].withColumn("method", F.when(F.expr("try_cast(substr(artifact_id, 6) as int)") % 3 == 0, "query store").otherwise("plan cache"))), f"WITH {ART} SELECT artifact_id, CASE WHEN TRY_CAST(substr(artifact_id, 6) AS INTEGER) % 3 = 0 THEN 'query store' ELSE 'plan cache' END AS method, CASE signal WHEN 'plan-captured' THEN 'captured' ELSE 'null' END AS outcome FROM sg WHERE signal IN ('plan-captured', 'plan-lookup-null')"),
+    Query("case_narrative", lambda v: E.case_narrative(_states(v)), f"WITH {STATES} SELECT case_id, " + ", ".join(f"coalesce(string_agg(CASE WHEN state = '{s}' THEN assertion END, ',' ORDER BY assertion), '') AS {n}" for s, n in (("Observed", "established"), ("Supported", "supported"), ("Contradicted", "contradicted"), ("Not Evaluated", "unanswered"))) + ", min(CASE WHEN state = 'Not Evaluated' THEN assertion END) AS next_check FROM st GROUP BY case_id"),
     Query("collection_status", lambda v: E.collection_status(v.events.select((F.col("user_id") % 700).alias("case_id"), (F.col("event_id") % 5 == 0).alias("recognised"))), "SELECT case_id, CASE WHEN n >= 3 THEN 'Imported' WHEN n > 0 THEN 'Partially imported' ELSE 'Not imported' END AS status FROM (SELECT user_id % 700 AS case_id, count(*) FILTER (WHERE event_id % 5 = 0) AS n FROM events GROUP BY 1) z"),
     Query("latest_snapshot", lambda v: E.latest_snapshot(_caps(v), "server"), f"WITH {_SNAPV} SELECT server, snapshot_id FROM (SELECT *, row_number() OVER (PARTITION BY server ORDER BY captured_s DESC, snapshot_id DESC) AS n FROM cap) z WHERE n = 1"),
     Query("history_captures", lambda v: H.history_captures(v.plan_stmts, v.plan_ops), "SELECT s.statement_id, s.plan_id, o.objects FROM plan_stmts s JOIN (SELECT statement_id, string_agg(CAST(object_no AS VARCHAR), ',' ORDER BY object_no) AS objects FROM (SELECT DISTINCT statement_id, object_no FROM plan_ops) z GROUP BY 1) o USING (statement_id) WHERE actual"),

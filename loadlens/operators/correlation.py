@@ -72,9 +72,9 @@ def lock_resource_match(locks: DataFrame) -> DataFrame:
     return side("GRANT", "holder").join(side("WAIT", "waiter"), keys).where("holder <> waiter").select("holder", "waiter", *keys)
 
 
-def shared_resources(locks: DataFrame) -> DataFrame:
-    """Resources that are both held and waited for."""
-    keys = ["resource_type", "database_id", "entity_id", "description"]
+def shared_resources(locks: DataFrame, *also: str) -> DataFrame:
+    """Resources that are both held and waited for, in each group of the columns also."""
+    keys = [*also, "resource_type", "database_id", "entity_id", "description"]
     return locks.where("request_status = 'GRANT'").select(*keys).intersect(locks.where("request_status = 'WAIT'").select(*keys))
 
 

@@ -1,27 +1,81 @@
 """Evidence of a case: observations, signals, assertions and what they say together.
 
-observations are long: (artifact_id, case_id, shape, metric, value, at_s, import_order).
+Evidence tables are recognised by their columns. Each shape gives observations (a row for each number) and signals (a row for
+each thing that an artifact shows). Signals that are usable in a case's incident window decide its assertions by a table of
+rules: of an assertion's rules that some signal meets, the first gives the state.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# The signals that speak for and against each assertion.
-ASSERTIONS = {
-    "runnable-root": (("runnable-queue", "sustained-scheduler"), ()),
-    "worker-starvation": (("worker-exhausted",), ()),
-    "compile-storm": (("compile-pressure",), ()),
-    "open-transaction": (("lock-match",), ("no-open-transaction",)),
-    "memory-grant": (("grant-pending",), ()),
+from loadlens.operators import counters as C
+from loadlens.operators.correlation import incident_overlap, shared_resources
+
+# The columns by which a shape of evidence is known, and its numbers with their units.
+SHAPES = {
+    "scheduler": (("runnable_tasks",), {"runnable_tasks": "tasks"}),
+    "worker": (("active_workers", "max_workers"), {"active_workers": "workers", "max_workers": "workers", "work_queue": "requests"}),
+    "compile": (("compilations", "batches"), {"compilations": "per second", "batches": "per second"}),
+    "lock": (("request_status", "resource_type"), {"entity_id": "id"}),
+    "transaction": (("open_tran_count",), {"open_tran_count": "transactions", "tran_start_s": "seconds"}),
+    "grant": (("requested_kb",), {"requested_kb": "KB", "granted_kb": "KB", "wait_ms": "ms"}),
+    "counter": (("counter_name", "value"), {"value": "count"}),
+    "plan-cache": (("use_count",), {"use_count": "executions"}),
+    "plan-lookup": (("query_plan",), {}),
+}
+# Assertions with their rules in order: signals, whether the artifact must be tied to the root, whether its time
+# must lie in the incident window, and the state.
+RULES = (
+    ("scheduler-pressure", ("scheduler-pressure-sustained",), False, False, "Supported"),
+    ("scheduler-pressure", ("scheduler-runnable-queue",), False, False, "Not Evaluated"),
+    ("worker-exhaustion", ("worker-exhaustion-confirmed",), False, False, "Observed"),
+    ("worker-exhaustion", ("worker-queue",), False, False, "Supported"),
+    ("worker-ceiling", ("worker-exhaustion-confirmed", "worker-queue"), False, False, "Supported"),
+    ("root-lock-owner", ("lock-resource-match",), False, False, "Observed"),
+    ("root-lock-owner", ("root-locks-granted",), False, False, "Supported"),
+    ("plan-cache-pressure", ("plan-cache-instability-measured", "plan-cache-pressure-wide", "plan-cache-warning"), False, False, "Supported"),
+    ("compilation-pressure", ("compilation-pressure", "compilation-timeout"), False, False, "Supported"),
+    ("serialization", ("nonparallel-reason",), True, True, "Observed"),
+    ("serialization", ("nonparallel-reason", "forced-serialization"), True, False, "Supported"),
+    ("memory-grant-symptom", ("plan-memory-overgrant",), True, True, "Observed"),
+    ("memory-grant-symptom", ("unused-memory-grant",), True, False, "Supported"),
+    ("memory-grant-pressure", ("pending-memory-grant",), False, False, "Supported"),
+    ("plan-captured", ("plan-captured",), True, True, "Observed"),
+    ("plan-captured", ("plan-captured",), True, False, "Supported"),
+)
+# What must be shown for the theory of an investigation's profile; all sets of signals, and states of its own.
+THEORIES = {
+    "worker-exhaustion": ((("worker-exhaustion-confirmed",),), ()),
+    "compile-pressure": ((("compilation-pressure",), ("plan-cache-pressure-wide", "plan-cache-instability-measured")), ()),
+    "plan-specific": ((), ()),
+    "transaction-blocking": ((("lock-resource-match",),), ()),
+    "cpu-blocking": ((("scheduler-pressure-sustained",), ("lock-resource-match",)), ("blocking-chain", "root-runnable", "open-transactions")),
+}
+# The states that an investigation starts from, by the rule of its finding.
+STARTS = {
+    "WIA-BLOCKING": {"blocking-chain": "Observed", "open-transactions": "Not Evaluated", "root-runnable": "Not Evaluated"},
+    "WIA-SCHEDULER-PRESSURE": {"blocking-chain": "Observed", "root-runnable": "Observed", "scheduler-pressure": "Supported"},
+    "WIA-TRANSACTION": {"open-transactions": "Observed", "root-lock-owner": "Not Evaluated"},
+    "WIA-WORKER-EXHAUSTION": {"worker-exhaustion": "Observed", "worker-ceiling": "Not Evaluated"},
+    "WIA-COMPILE-PRESSURE": {"compilation-pressure": "Not Evaluated", "plan-cache-pressure": "Not Evaluated"},
 }
 
 
-def evidence_observations(table: DataFrame, metrics: list[str], keys: list[str], shape: str) -> DataFrame:
-    """Wide evidence rows of one shape to observations; cells that are no number are left out."""
-    wide = table.select(*keys, *(F.col(m).cast("double").alias(m) for m in metrics))
-    return wide.unpivot(keys, metrics, "metric", "value").where("value is not null").withColumn("shape", F.lit(shape))
+def evidence_observations(table: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, shape, metric, value, unit, directness) for the numbers of each shape that table has the columns of; cells that
+    are no number are left out. What is counted at the server is direct, what is summed up since its start is derived."""
+    parts = []
+    for shape, (needed, metrics) in SHAPES.items():
+        here = {m: u for m, u in metrics.items() if m in table.columns and m not in keys}
+        if here and all(c in table.columns for c in needed):
+            wide = table.select(*keys, *(F.col(m).cast("double").alias(m) for m in here))
+            units = F.element_at(F.create_map(*(F.lit(x) for kv in here.items() for x in kv)), F.col("metric"))
+            parts.append(wide.unpivot(keys, list(here), "metric", "value").where("value is not null").select(*keys, F.lit(shape).alias("shape"), "metric", "value", units.alias("unit"), F.lit("derived" if shape in ("compile", "counter", "plan-cache") else "direct").alias("directness")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_evidence_tables(table: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
@@ -33,21 +87,53 @@ def evidence_shape(columns: DataFrame) -> DataFrame:
     """Which shapes an artifact has, from its columns (artifact_id, column)."""
     has = lambda *c: F.forall(F.array(*map(F.lit, c)), lambda x: F.array_contains("cols", x))
     g = columns.groupBy("artifact_id").agg(F.collect_set("column").alias("cols"))
-    shapes = F.array_compact(F.array(
-        F.when(has("runnable_tasks"), "scheduler"), F.when(has("active_workers", "max_workers"), "worker"), F.when(has("compilations", "batches"), "compile"),
-        F.when(has("request_status", "resource_type"), "lock"), F.when(has("granted_mb"), "grant")))
+    shapes = F.array_compact(F.array(*(F.when(has(*needed), shape) for shape, (needed, _) in SHAPES.items())))
     return g.select("artifact_id", F.array_join(shapes, ",").alias("shapes"))
 
 
-def evidence_signals(artifacts: DataFrame) -> DataFrame:
-    """(artifact_id, signal) from one row of booleans per artifact: a column per signal."""
-    names = [c for c in artifacts.columns if c != "artifact_id"]
-    return artifacts.unpivot(["artifact_id"], names, "signal", "on").where("on").select("artifact_id", "signal")
+def evidence_signals(samples: DataFrame | None = None, locks: DataFrame | None = None, grants: DataFrame | None = None, cache: DataFrame | None = None, plans: DataFrame | None = None, ratio: float = 0.1) -> DataFrame:
+    """(artifact_id, signal) of evidence tables, each with artifact_id: counter samples, locks (is_root says whose), memory grants,
+    cached plans (use_count) and plan look-ups (query_plan, nonparallel_reason, granted_mb, used_mb)."""
+    yes = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    parts = []
+
+    def told(flags: DataFrame) -> None:
+        names = [c for c in flags.columns if c != "artifact_id"]
+        parts.append(flags.unpivot(["artifact_id"], names, "signal", "on").where("on").select("artifact_id", "signal"))
+
+    if samples is not None:
+        told(samples.groupBy("artifact_id").agg(
+            yes((F.col("active_workers") >= F.col("max_workers")) & (F.col("work_queue") > 0)).alias("worker-exhaustion-confirmed"), yes(F.col("work_queue") > 0).alias("worker-queue"),
+            yes((F.col("batches") > 0) & (F.col("compilations") >= ratio * F.col("batches"))).alias("compilation-pressure")))
+        queue = C.scheduler_samples(samples.withColumn("source_id", F.col("artifact_id")))
+        told(queue.select(F.col("source_id").alias("artifact_id"), (F.col("positive") > 0).alias("scheduler-runnable-queue"), F.col("sustained").alias("scheduler-pressure-sustained")))
+    if locks is not None:
+        told(locks.groupBy("artifact_id").agg(yes(F.col("is_root") & (F.col("request_status") == "GRANT")).alias("root-locks-granted")))
+        both = shared_resources(locks.where("is_root or request_status = 'WAIT'").where("entity_id is not null and (description is not null or resource_type not in ('KEY', 'PAGE', 'RID'))"), "artifact_id")
+        parts.append(both.select("artifact_id", F.lit("lock-resource-match").alias("signal")).distinct())
+    if grants is not None:
+        told(grants.groupBy("artifact_id").agg(yes((F.col("requested_kb") > 0) & F.col("grant_time").isNull()).alias("pending-memory-grant")))
+    if cache is not None:
+        told(cache.groupBy("artifact_id").agg(((F.count("*") >= 1000) & (F.count_if(F.col("use_count") <= 1) >= 0.9 * F.count("*"))).alias("plan-cache-instability-measured")))
+    if plans is not None:
+        waste = (F.col("granted_mb") > 0) & (F.col("granted_mb") >= 4 * F.col("used_mb"))
+        told(plans.groupBy("artifact_id").agg(yes(F.col("query_plan").isNotNull()).alias("plan-captured"), yes(F.col("query_plan").isNull()).alias("plan-lookup-null"), yes(F.col("nonparallel_reason").isNotNull()).alias("nonparallel-reason"), yes(waste).alias("plan-memory-overgrant"), yes(waste & F.col("query_plan").isNull()).alias("unused-memory-grant")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def placed_signals(signals: DataFrame, artifacts: DataFrame, windows: DataFrame, tied: DataFrame) -> DataFrame:
+    """signals with their case, how their artifact (artifact_id, case_id, at_s) overlaps the case's window (case_id, first_s,
+    last_s), and whether the artifact is among those tied to the root (artifact_id)."""
+    o = incident_overlap(artifacts.select("artifact_id", F.col("case_id").alias("window_id"), "at_s"), windows.withColumnRenamed("case_id", "window_id"))
+    t = tied.select("artifact_id").distinct().withColumn("tied", F.lit(True))
+    j = signals.join(o.withColumnRenamed("window_id", "case_id"), "artifact_id").join(t, "artifact_id", "left")
+    return j.select("case_id", "artifact_id", "signal", "overlap", F.coalesce("tied", F.lit(False)).alias("correlated"))
 
 
 def root_identity(rows: DataFrame, *keys: str) -> DataFrame:
-    """What identifies the root of each group: from its last row."""
-    return rows.groupBy(*keys).agg(F.max_by(F.struct("session_id", "database_name", "login_name"), "row_number").alias("r")).select(*keys, "r.*")
+    """What identifies the root of each group, from its last row: all keys of an identity that the rows have, and its names."""
+    known = [c for c in ("session_id", "request_id", "transaction_id", "database_id", "database_name", "login_name", "sql_handle", "plan_handle", "query_hash", "plan_hash", "start_offset", "end_offset", "qs_query_id", "qs_plan_id") if c in rows.columns and c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*known), "row_number").alias("r")).select(*keys, "r.*")
 
 
 def incident_window(findings: DataFrame, rows: DataFrame) -> DataFrame:
@@ -56,40 +142,40 @@ def incident_window(findings: DataFrame, rows: DataFrame) -> DataFrame:
     return findings.join(span, "finding_id", "left").select("finding_id", F.coalesce("a", "first_s").alias("first_s"), F.coalesce("b", "last_s").alias("last_s"))
 
 
-def _cases() -> Column:
-    entries = F.array(*(F.struct(F.lit(a).alias("assertion"), F.array(*map(F.lit, pro)).alias("pro"), (F.array(*map(F.lit, con)) if con else F.array().cast("array<string>")).alias("con")) for a, (pro, con) in ASSERTIONS.items()))
-    return F.explode(entries)
-
-
 def assertion_states(cases: DataFrame, signals: DataFrame) -> DataFrame:
-    """The state of each assertion of each case, from the signals of its artifacts (case_id, signal, correlated)."""
-    asked = cases.select("case_id", _cases().alias("x")).select("case_id", "x.*")
-    s = signals.select(F.col("case_id").alias("c"), "signal", "correlated")
-    j = asked.join(s, F.col("case_id") == F.col("c"), "left")
-    pro, con = F.array_contains("pro", F.col("signal")), F.array_contains("con", F.col("signal"))
-    yes = lambda x: F.coalesce(F.bool_or(x), F.lit(False))
-    g = j.groupBy("case_id", "assertion").agg(yes(pro & F.col("correlated")).alias("tied"), yes(pro).alias("seen"), yes(con).alias("against"))
-    state = F.when(F.col("against") & ~F.col("tied"), "Contradicted").when(F.col("tied"), "Supported").when(F.col("seen"), "Observed").otherwise("Not Evaluated")
-    return g.select("case_id", "assertion", state.alias("state"))
-
-
-def causal_theory(states: DataFrame) -> DataFrame:
-    """One theory per case from its assertion states."""
-    up = lambda a: F.bool_or((F.col("assertion") == a) & F.col("state").isin("Supported", "Observed"))
-    down = lambda a: F.bool_or((F.col("assertion") == a) & (F.col("state") == "Contradicted"))
-    g = states.groupBy("case_id").agg(up("worker-starvation").alias("w"), up("compile-storm").alias("c"), up("runnable-root").alias("r"), up("open-transaction").alias("t"), down("open-transaction").alias("nt"))
-    theory = F.when(F.col("nt"), "Not Evaluated").when(F.col("w"), "Worker starvation").when(F.col("r") & F.col("t"), "CPU-bound holder of locks").when(F.col("c"), "Compilation").when(F.col("t"), "Open transaction").otherwise("Unanswered")
-    return g.select("case_id", theory.alias("theory"))
+    """(case_id, assertion, state, artifacts): of the rules of each assertion that a usable signal of the case meets, the first
+    decides; artifacts is how many meet it. What no signal meets is not evaluated."""
+    spark = cases.sparkSession
+    rules = spark.createDataFrame([(i, a, s, c, w, state) for i, (a, on, c, w, state) in enumerate(RULES) for s in on], "rule int, assertion string, signal string, tied boolean, timed boolean, state string")
+    usable = signals.where("overlap <> 'Context only'")
+    met = usable.join(F.broadcast(rules), "signal").where((~F.col("tied") | F.col("correlated")) & (~F.col("timed") | F.col("overlap").isin("Exact", "Overlapping")))
+    per = met.groupBy("case_id", "assertion", "rule").agg(F.first("state").alias("state"), F.countDistinct("artifact_id").alias("artifacts"))
+    best = per.groupBy("case_id", "assertion").agg(F.min_by(F.struct("state", "artifacts"), "rule").alias("b"))
+    asked = cases.select("case_id").distinct().crossJoin(F.broadcast(spark.createDataFrame([(a,) for a in dict.fromkeys(r[0] for r in RULES)], "assertion string")))
+    return asked.join(best, ["case_id", "assertion"], "left").select("case_id", "assertion", F.coalesce("b.state", F.lit("Not Evaluated")).alias("state"), F.coalesce("b.artifacts", F.lit(0)).cast("long").alias("artifacts"))
+
+
+def causal_theory(cases: DataFrame, signals: DataFrame, starts: DataFrame) -> DataFrame:
+    """(case_id, profile, theory): Supported where the usable signals of a case (case_id, profile) and its starting states
+    (case_id, assertion, state) show all that its profile's theory wants, else Not Evaluated. An open transaction that is
+    contradicted while root locks are granted leaves the theory of CPU-bound blocking open."""
+    usable = signals.where("overlap <> 'Context only'").groupBy("case_id").agg(F.collect_set("signal").alias("seen"))
+    states = starts.groupBy("case_id").agg(F.collect_set(F.when(F.col("state") == "Observed", F.col("assertion"))).alias("observed"), F.coalesce(F.bool_or((F.col("assertion") == "open-transactions") & (F.col("state") == "Contradicted")), F.lit(False)).alias("no_tran"))
+    none = F.array().cast("array<string>")
+    j = cases.join(usable, "case_id", "left").join(states, "case_id", "left").withColumns({"seen": F.coalesce("seen", none), "observed": F.coalesce("observed", none), "no_tran": F.coalesce("no_tran", F.lit(False))})
+    theory = F.lit("Not Evaluated")
+    for profile, (sets, own) in THEORIES.items():
+        shown = [F.arrays_overlap("seen", F.array(*map(F.lit, s))) for s in sets] + [F.array_contains("observed", a) for a in own]
+        if profile == "cpu-blocking":
+            shown.append(~(F.col("no_tran") & F.array_contains("seen", "root-locks-granted")))
+        theory = F.when(reduce(lambda x, y: x & y, shown, F.col("profile") == profile), "Supported").otherwise(theory)
+    return j.select("case_id", "profile", theory.alias("theory"))
 
 
 def initial_assertions(findings: DataFrame) -> DataFrame:
-    """The states an investigation starts from, by the rule of its finding."""
-    rule = F.col("rule_id")
-    starts = F.array(
-        F.struct(F.lit("chain").alias("assertion"), F.when(rule == "WIA-BLOCKING", "Observed").otherwise("Not Evaluated").alias("state")),
-        F.struct(F.lit("open-transaction").alias("assertion"), F.when(rule == "WIA-TRANSACTION", "Observed").otherwise("Not Evaluated").alias("state")),
-        F.struct(F.lit("worker-starvation").alias("assertion"), F.when((rule == "WIA-WORKER-EXHAUSTION") & (F.col("confidence") == "High"), "Supported").otherwise("Not Evaluated").alias("state")))
-    return findings.select("rule_id", "subject", F.explode(starts).alias("x")).select("rule_id", "subject", "x.*")
+    """(rule_id, subject, assertion, state): the states an investigation starts from, by the rule of its finding."""
+    starts = findings.sparkSession.createDataFrame([(r, a, s) for r, states in STARTS.items() for a, s in states.items()], "rule_id string, assertion string, state string")
+    return findings.select("rule_id", "subject").join(F.broadcast(starts), "rule_id")
 
 
 def state_transitions(history: DataFrame) -> DataFrame:
@@ -99,15 +185,16 @@ def state_transitions(history: DataFrame) -> DataFrame:
 
 
 def capture_attempts(signals: DataFrame) -> DataFrame:
-    """Per artifact, whether a plan was captured or its look-up gave none."""
-    outcome = F.when(F.col("signal") == "plan-captured", "captured").when(F.col("signal") == "plan-null", "null")
-    return signals.withColumn("outcome", outcome).where("outcome is not null").select("artifact_id", "outcome").dropDuplicates()
+    """Per artifact, whether a plan was captured or its look-up gave none, and by which method (a column of signals) it was tried."""
+    outcome = F.when(F.col("signal") == "plan-captured", "captured").when(F.col("signal") == "plan-lookup-null", "null")
+    return signals.withColumn("outcome", outcome).where("outcome is not null").select("artifact_id", "method", "outcome").dropDuplicates()
 
 
 def case_narrative(states: DataFrame) -> DataFrame:
-    """Per case, its assertions by state."""
+    """Per case, its assertions by state, and the next check: the first of those that are not evaluated."""
     of = lambda s: F.array_join(F.array_sort(F.collect_list(F.when(F.col("state") == s, F.col("assertion")))), ",")
-    return states.groupBy("case_id").agg(of("Observed").alias("established"), of("Supported").alias("supported"), of("Contradicted").alias("contradicted"), of("Not Evaluated").alias("unanswered"))
+    open_ = F.min(F.when(F.col("state") == "Not Evaluated", F.col("assertion")))
+    return states.groupBy("case_id").agg(of("Observed").alias("established"), of("Supported").alias("supported"), of("Contradicted").alias("contradicted"), of("Not Evaluated").alias("unanswered"), open_.alias("next_check"))
 
 
 def collection_status(artifacts: DataFrame, whole: int = 3) -> DataFrame:
