@@ -50,6 +50,27 @@ def _spills(v):
     return P.spill_candidates(v.spills)
 
 
+def _raw_spills(v):
+    """Rows of plan-cache exports as they are written: other headers, units, words for nothing, and faults."""
+    k, text = F.col("source_order"), lambda c: F.col(c).cast("string")
+    total = F.when(k % 11 == 0, "not supplied").when(k % 13 == 0, "-5").when(k % 17 == 0, F.concat(text("t"), F.lit(" MB"))).otherwise(text("t"))
+    r = v.spills.withColumn("t", F.col("total_pages").cast("long"))
+    cells = F.map_filter(F.create_map(
+        F.when(k % 3 == 0, "TotalSpills").when(k % 3 == 1, "Total Spills (KB)").otherwise("Total Spills 8 KB pages"), total, F.lit("Avg Spills"), F.col("avg_pages").cast("long").cast("string"), F.lit("# Executions"), text("executions"),
+        F.lit("Last Execution"), F.when(k % 19 == 0, "some day").otherwise(F.date_format("last_execution", "yyyy-MM-dd HH:mm:ss")), F.when(k % 2 == 0, "Plan Handle").otherwise("SQL Handle"), F.col("plan_handle"),
+        F.lit("Query Hash"), F.when(k % 5 > 1, F.col("query_hash")), F.lit("Warnings"), F.col("warnings")), lambda _, x: x.isNotNull())
+    return r.select("source_order", cells.alias("cells"))
+
+
+def _imported(v):
+    return P.spill_candidates(P.read_candidates(_raw_spills(v)))
+
+
+_IMPORT = """raw AS (SELECT *, CAST(total_pages AS BIGINT) AS t, CAST(avg_pages AS BIGINT) AS g, source_order AS k FROM spills), imp AS (SELECT k, t, CASE WHEN k % 11 = 0 OR (k % 13 <> 0 AND t IS NULL) THEN 'missing' WHEN k % 13 = 0 OR k % 17 = 0 THEN 'invalid' WHEN t = 0 THEN 'zero-or-nonpositive' ELSE 'imported' END AS total_state, k % 11 <> 0 AND k % 13 <> 0 AND k % 17 = 0 AND t IS NOT NULL AS clash,
+ CASE WHEN g IS NULL THEN 'missing' WHEN g = 0 THEN 'zero-or-nonpositive' ELSE 'imported' END AS avg_state, CAST(g AS DOUBLE) AS avg_pages, executions, k % 19 = 0 AS bad_time, CASE WHEN k % 2 = 0 THEN plan_handle END AS plan_handle, CASE WHEN k % 2 = 1 THEN plan_handle END AS sql_handle, CASE WHEN k % 5 > 1 THEN query_hash END AS query_hash, warnings FROM raw),
+im AS (SELECT *, CASE WHEN total_state IN ('imported', 'zero-or-nonpositive') THEN t / CASE WHEN k % 3 = 1 THEN 8.0 ELSE 1.0 END END AS total_pages FROM imp), ic AS (SELECT *, coalesce(avg_pages, CASE WHEN total_pages > 0 AND executions > 0 THEN total_pages / executions END) AS average, CASE WHEN avg_pages IS NULL AND total_pages > 0 AND executions > 0 THEN 'derived' ELSE avg_state END AS average_state FROM im)"""
+
+
 def _missing_rules(v):
     return R.rule_availability(v.inputs.select(F.lower(F.trim(F.regexp_replace("header", r"^\[|\]$", ""))).alias("column")), v.spark.createDataFrame(RULE_COLUMNS, "rule_id string, column string"))
 
@@ -75,11 +96,14 @@ QUERIES = [
     Query("candidate_plan", _candidates, f"WITH {CANDIDATES} SELECT l_id, state, CASE state WHEN 'resolved' THEN first_id WHEN 'selected' THEN chosen END AS r_id, ties FROM cand"),
     Query("manual_selection_valid", lambda v: K.manual_selection_valid(_candidates(v), _match(v), _selections(v)), f"WITH {CANDIDATES} SELECT l_id, chosen FROM sel WHERE l_id IN (SELECT l_id FROM cand WHERE state IN ('ambiguous', 'selected')) AND (l_id, chosen) IN (SELECT (l_id, r_id) FROM mt WHERE matched)"),
     Query("correlated_evidence", lambda v: K.correlated_evidence(_match(v), v.ident.where("session_id = 7").select(F.col("id").alias("artifact_id"))), f"WITH {MATCH} SELECT l_id AS artifact_id FROM mt WHERE matched AND strength > 1 UNION SELECT id FROM ident WHERE session_id = 7"),
-    Query("spill_candidates", lambda v: _spills(v).select("source_order", F.round("average", 6).alias("average"), "average_state", F.array_join("warning_list", "/").alias("warnings")), f"WITH {_AVG} SELECT source_order, round(average, 6) AS average, average_state, coalesce(replace(replace(warnings, '; ', '/'), '|', '/'), '') AS warnings FROM spc"),
+    Query("spill_candidates", lambda v: _imported(v).select("source_order", F.round("total_pages", 6).alias("total_pages"), "total_state", F.round("average", 6).alias("average"), "average_state", "executions", "bad_time", "plan_handle", "sql_handle", "query_hash", F.array_join("warning_list", "/").alias("warnings")),
+          f"WITH {_IMPORT} SELECT k AS source_order, round(total_pages, 6) AS total_pages, total_state, round(average, 6) AS average, average_state, executions, bad_time, plan_handle, sql_handle, query_hash, coalesce(replace(replace(warnings, '; ', '/'), '|', '/'), '') AS warnings FROM ic"),
     Query("spill_rank", lambda v: P.spill_rank(_spills(v)).select("source_order", "rank"), f"WITH {_AVG}, k AS (SELECT source_order, row_number() OVER (ORDER BY CASE WHEN total_pages > 0 THEN 1 ELSE 2 END, total_pages DESC NULLS LAST, average DESC NULLS LAST, last_execution DESC NULLS LAST, source_order) AS r FROM spc WHERE total_pages > 0 OR (total_pages IS NULL AND average > 0)) SELECT source_order, k.r AS rank FROM spc LEFT JOIN k USING (source_order)"),
     Query("spill_combine", lambda v: P.spill_rank(_spills(v).where("source_order % 2 = 0").unionByName(_spills(v).where("source_order % 2 = 1"))).where("rank is not null").select("source_order", "rank"), f"WITH {_AVG}, k AS (SELECT source_order, row_number() OVER (ORDER BY CASE WHEN total_pages > 0 THEN 1 ELSE 2 END, total_pages DESC NULLS LAST, average DESC NULLS LAST, last_execution DESC NULLS LAST, source_order) AS rank FROM spc WHERE total_pages > 0 OR (total_pages IS NULL AND average > 0)) SELECT * FROM k"),
     Query("highest_per_execution", lambda v: P.highest_per_execution(_spills(v)).select("source_order", F.round("average", 4).alias("average")), f"WITH {_AVG} SELECT source_order, round(average, 4) AS average FROM spc WHERE average > 0 ORDER BY average DESC, source_order LIMIT 1"),
-    Query("spill_import_summary", lambda v: P.spill_import_summary(_spills(v)), f"WITH {_AVG} SELECT count(*) AS n_rows, count(*) FILTER (WHERE total_pages > 0 OR (total_pages IS NULL AND average > 0)) AS rankable, count(*) FILTER (WHERE total_pages IS NULL AND avg_pages IS NULL) AS missing_metrics, count(*) FILTER (WHERE average_state = 'derived') AS derived, count(*) FILTER (WHERE total_pages IS NULL AND avg_pages IS NULL AND warnings IS NOT NULL) AS warning_only, count(*) FILTER (WHERE plan_handle IS NULL) AS incomplete_identity, count(*) FILTER (WHERE total_pages > 0 AND avg_pages > 0 AND executions > 0 AND abs(total_pages - avg_pages * executions) > 0.01 * total_pages) AS inconsistent_totals FROM spc"),
+    Query("spill_import_summary", lambda v: P.spill_import_summary(_imported(v)), f"""WITH {_IMPORT} SELECT count(*) AS n_rows, count(*) FILTER (WHERE total_pages > 0 OR (total_pages IS NULL AND average > 0)) AS rankable, count(*) FILTER (WHERE total_state = 'missing' AND avg_state = 'missing') AS missing_metrics, count(*) FILTER (WHERE total_state = 'invalid') AS invalid, count(*) FILTER (WHERE k % 3 = 1 AND total_pages IS NOT NULL) AS converted, count(*) FILTER (WHERE clash) AS conflicting,
+ count(*) FILTER (WHERE average_state = 'derived') AS derived, count(*) FILTER (WHERE total_state IN ('missing', 'invalid') AND avg_state = 'missing' AND warnings IS NOT NULL) AS warning_only, count(*) FILTER (WHERE bad_time) AS bad_times, count(*) FILTER (WHERE plan_handle IS NULL AND sql_handle IS NULL AND query_hash IS NULL) AS incomplete_identity, count(*) FILTER (WHERE sql_handle IS NOT NULL AND query_hash IS NULL) AS batch_only_handles,
+ count(*) FILTER (WHERE total_pages > 0 AND avg_pages > 0 AND executions > 0 AND abs(total_pages - avg_pages * executions) > 0.01 * total_pages) AS inconsistent_totals FROM ic"""),
     Query("topn_disclosure", lambda v: P.topn_disclosure(v.spills, "query_hash"), "SELECT query_hash, count(*) AS n, count(*) = 10 AS probable_top_n FROM spills GROUP BY query_hash"),
     Query("plan_inventory", lambda v: J.plan_inventory(v.plan_stmts.withColumn("version", F.concat(F.lit("1."), F.expr("cast(substr(plan_id, 6) as int) % 7")))), "SELECT plan_id, CASE WHEN bool_or(actual) THEN 'actual' ELSE 'estimated' END AS kind, concat('1.', CAST(substr(plan_id, 6) AS INTEGER) % 7) AS version, count(*) AS statements, array_to_string(list(statement_text ORDER BY statement_id)[1:4], '; ') AS texts FROM plan_stmts GROUP BY plan_id"),
     Query("grant_pressure", lambda v: J.grant_pressure(_grants(v), "database_id"), "SELECT database_id, count(*) FILTER (WHERE granted_mb > 0 AND statement_id % 3 = 0) AS pending, max(CASE WHEN granted_mb > 0 AND statement_id % 7 = 0 THEN statement_id % 5000 END) AS longest_wait_ms, count(*) FILTER (WHERE granted_mb > 0) AS requests, CASE WHEN count(*) FILTER (WHERE granted_mb > 0 AND statement_id % 3 = 0) > 0 THEN 'grant-pending' END AS signal FROM plan_stmts GROUP BY database_id"),
@@ -93,7 +117,8 @@ QUERIES = [
     Query("present_columns", lambda v: I.present_columns(v.inputs), f"SELECT DISTINCT kc.name FROM (SELECT {_NORM} AS k FROM inputs) n JOIN (SELECT name, lower(name) AS l FROM (VALUES {_KNOWN}) t(name)) kc ON kc.l = n.k"),
     Query("missing_columns", lambda v: I.missing_columns(v.inputs), f"SELECT name FROM (VALUES {_KNOWN}) t(name) WHERE lower(name) NOT IN (SELECT {_NORM} FROM inputs)"),
     Query("unknown_columns", lambda v: I.unknown_columns(v.inputs), f"SELECT DISTINCT {_NORM} AS name FROM inputs WHERE {_NORM} NOT IN (SELECT lower(name) FROM (VALUES {_KNOWN}) t(name))"),
-    Query("evidence_gaps", lambda v: I.evidence_gaps(v.inputs), f"WITH w(family, name) AS (VALUES {_FAMILIES}) SELECT family, string_agg(name, ', ' ORDER BY name) AS missing FROM w WHERE lower(name) NOT IN (SELECT {_NORM} FROM inputs) GROUP BY family"),
-    Query("data_quality", lambda v: I.data_quality(v.inputs, acts(v)), f"WITH k AS (SELECT DISTINCT {_NORM} AS k FROM inputs), t AS (SELECT name FROM (VALUES {_KNOWN}) t(name)) SELECT (SELECT count(*) FROM t WHERE lower(name) IN (SELECT k FROM k)) AS present, (SELECT count(*) FROM t WHERE lower(name) NOT IN (SELECT k FROM k)) AS missing, (SELECT count(*) FROM k WHERE k NOT IN (SELECT lower(name) FROM t)) AS unknown, (SELECT count(*) FROM acts WHERE wait_info IS NOT NULL AND wait_type IS NULL) AS unparsed_waits"),
+    Query("evidence_gaps", lambda v: I.evidence_gaps(v.inputs), f"WITH w(family, name) AS (VALUES {_FAMILIES}), p AS (SELECT DISTINCT {_NORM} AS k FROM inputs), m AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE list_contains(string_split(lower(name), ' or '), k))) SELECT family, string_agg(name, ', ' ORDER BY name) AS missing FROM m GROUP BY family"),
+    Query("data_quality", lambda v: I.data_quality(v.inputs, acts(v), _missing_rules(v)), rf"""WITH k AS (SELECT DISTINCT {_NORM} AS k FROM inputs), t AS (SELECT name FROM (VALUES {_KNOWN}) t(name)) SELECT (SELECT count(*) FROM t WHERE lower(name) IN (SELECT k FROM k)) AS present, (SELECT count(*) FROM t WHERE lower(name) NOT IN (SELECT k FROM k)) AS missing, (SELECT count(*) FROM k WHERE k NOT IN (SELECT lower(name) FROM t)) AS unknown, (SELECT count(*) FROM acts WHERE wait_info IS NOT NULL AND wait_type IS NULL) AS unparsed_waits,
+ (SELECT concat_ws(' | ', (SELECT CASE WHEN count(*) > 0 THEN concat(count(*), ' wait_info observations could not be parsed.') END FROM acts WHERE wait_info IS NOT NULL AND wait_type IS NULL), CASE WHEN 'tempdb_current' IN (SELECT k FROM k) OR 'tempdb_allocations' IN (SELECT k FROM k) THEN 'TempDB pages show request-level consumption only.' END)) AS warnings, coalesce((SELECT string_agg(DISTINCT rule_id, ', ' ORDER BY rule_id) FROM (VALUES {RULE_VALUES}) r(rule_id, c) WHERE c NOT IN (SELECT lower(trim(regexp_replace(header, '^\[|\]$', '', 'g'))) FROM inputs)), '') AS not_run"""),
     Query("import_preview", lambda v: I.import_preview(v.inputs, acts(v).withColumn("input_id", F.concat(F.lit("file-"), F.col("session_id") % 6))), f"SELECT input_id, n_headers, recognised, first_s, last_s FROM (SELECT input_id, count(*) AS n_headers, count(DISTINCT kc.name) AS recognised FROM (SELECT *, {_NORM} AS k FROM inputs) n LEFT JOIN (SELECT name, lower(name) AS l FROM (VALUES {_KNOWN}) t(name)) kc ON kc.l = n.k GROUP BY input_id) i LEFT JOIN (SELECT concat('file-', CAST(session_id % 6 AS VARCHAR)) AS input_id, min(capture_s) AS first_s, max(capture_s) AS last_s FROM acts GROUP BY 1) a USING (input_id)"),
 ]

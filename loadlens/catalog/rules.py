@@ -14,7 +14,7 @@ from loadlens.operators import blocking as B
 from loadlens.operators import counters as C
 from loadlens.operators import inventory as J
 from loadlens.operators import rules as R
-from loadlens.operators.thresholds import check_profiles
+from loadlens.operators.thresholds import Thresholds, check_profiles
 from loadlens.plans import shred as P
 from loadlens.sources.files import saved
 
@@ -129,9 +129,14 @@ def _healthy(v):
 
 
 def _profiles(v):
-    p = v.events.selectExpr("concat('prof-', cast(user_id % 40 as string)) as profile_id", "user_id % 3 as version", "cast(user_id % 50 as int) as medium", "cast(event_id % 60 as int) as high", "cast(event_id % 11 as int) as percentile").distinct()
-    text = F.concat_ws(",", F.col("medium").cast("string"), F.col("high").cast("string"), F.col("percentile").cast("string"))
-    return check_profiles(p.withColumn("digest", F.when(F.col("medium") % 9 == 0, F.lit("tampered")).otherwise(F.sha2(text, 256))))
+    """Threshold profiles as they are kept: the default with other numbers, some with a key too many, too few or tampered with."""
+    p = v.events.selectExpr("concat('prof-', cast(user_id % 40 as string)) as profile_id", "user_id % 3 as version", "cast(user_id % 50 as int) as medium", "cast(event_id % 60 as int) as high", "cast(event_id % 11 as int) as percentile", "cast(event_id % 7 as int) as k").distinct()
+    body = F.lit(Thresholds().canonical())
+    for key, column in (("medium_victims", "medium"), ("high_victims", "high"), ("high_percentile", "percentile")):
+        body = F.regexp_replace(body, f'"{key}":[0-9.]+', F.concat(F.lit(f'"{key}":'), F.col(column).cast("string")))
+    canonical = body
+    body = F.when(F.col("k") == 1, F.regexp_replace(body, '"medium_victims"', '"medium_victim"')).when(F.col("k") == 2, F.regexp_replace(body, '"waits":', '"waits" : ')).otherwise(body)
+    return check_profiles(p.select("profile_id", "version", body.alias("body"), F.when(F.col("medium") % 9 == 0, F.lit("tampered")).otherwise(F.sha2(F.when(F.col("k") == 1, body).otherwise(canonical), 256)).alias("digest")))
 
 
 RULE_COLUMNS = [("WIA-BLOCKING", "blocking_session_id"), ("WIA-RESOURCE", "collection_time"), ("WIA-RESOURCE", "start_time"), ("WIA-WAIT", "wait_info"), ("WIA-TRANSACTION", "open_tran_count"), ("WIA-SCHEDULER-PRESSURE", "status"), ("WIA-SCHEDULER-PRESSURE", "cpu")]
@@ -185,10 +190,12 @@ QUERIES = [
           f"{ALL} SELECT rule_id, subject, severity FROM findings WHERE severity NOT IN ('Informational', 'Not Evaluated') AND rule_id IN ('WIA-BLOCKING', 'WIA-SCHEDULER-PRESSURE', 'WIA-WORKER-EXHAUSTION', 'WIA-COMPILE-PRESSURE', 'WIA-RESOURCE') ORDER BY {_SEV} DESC, round(impact, 6) DESC, subject"),
     Query("severity_profile", lambda v: J.severity_profile(found(v)),
           f"{ALL} SELECT s.severity, count(f.rule_id) AS n FROM (VALUES ('Critical'), ('High'), ('Medium'), ('Low'), ('Informational'), ('Not Evaluated')) s(severity) LEFT JOIN findings f USING (severity) GROUP BY s.severity"),
-    Query("suppressed_signals", lambda v: R.suppressed_signals(acts(v)), "SELECT count(*) FILTER (WHERE wait_type IS NOT NULL AND coalesce(wait_ms, 0) <= 0) AS zero_duration_waits, count(*) FILTER (WHERE open_tran_count > 0 AND coalesce(duration_seconds, 0) < 300) AS short_transactions, count(*) FILTER (WHERE duration_seconds < 30) AS short_resource_rows FROM acts"),
+    Query("suppressed_signals", lambda v: R.suppressed_signals(acts(v), R.transient_rollup(R.wait_findings(acts(v)))), f"""WITH {WAIT}, {ROLLUP}, own AS (SELECT DISTINCT blocking_session_id AS s FROM acts WHERE blocking_session_id > 0) SELECT count(*) FILTER (WHERE wait_ms = 0 AND coalesce(blocking_session_id, 0) <= 0 AND wait_type NOT IN ('THREADPOOL', 'RESOURCE_SEMAPHORE_QUERY_COMPILE')) AS zero_duration_waits,
+ count(*) FILTER (WHERE open_tran_count > 0 AND coalesce(duration_seconds, 0) < 300 AND session_id NOT IN (SELECT s FROM own) AND NOT coalesce(implicit_tran, false)) AS short_transactions, count(*) FILTER (WHERE coalesce(duration_seconds, 0) < 30 AND greatest({', '.join(f'coalesce({m}, 0)' for m in _M)}) > 0) AS short_resource_rows, (SELECT coalesce(sum(n_rows), 0) FROM rolled WHERE rule_id = 'WIA-WAIT-TRANSIENT-SUMMARY') AS rolled_up_waits FROM acts"""),
     Query("capture_healthy", lambda v: _shown(_healthy(v)), f"""WITH {WAIT}, {TRANSACTION}, kinds AS (SELECT *, concat(source_id, ':', CAST(session_id AS VARCHAR), ':', status) AS kind FROM acts), loud AS (SELECT kind FROM kinds WHERE open_tran_count > 0 AND episode IN (SELECT subject FROM transaction_ WHERE severity <> 'Informational') UNION ALL SELECT kind FROM kinds WHERE concat(wait_type, ':', episode) IN (SELECT subject FROM wait WHERE severity <> 'Informational'))
  SELECT 'WIA-CAPTURE-HEALTHY' AS rule_id, 'Informational' AS severity, 'Medium' AS confidence, 'Capture' AS category, kind AS subject, CAST(0 AS DOUBLE) AS impact, {_TAIL} FROM (SELECT kind, {_SPAN} FROM kinds GROUP BY kind) g WHERE n_rows > 0 AND captures >= 2 AND kind NOT IN (SELECT kind FROM loud)"""),
     Query("rule_availability", lambda v: R.rule_availability(v.inputs.select(F.lower(F.trim(F.regexp_replace("header", r"^\[|\]$", ""))).alias("column")), v.spark.createDataFrame(RULE_COLUMNS, "rule_id string, column string")),
           rf"SELECT rule_id, string_agg(c, ', ' ORDER BY c) AS missing FROM (VALUES {RULE_VALUES}) r(rule_id, c) WHERE c NOT IN (SELECT lower(trim(regexp_replace(header, '^\[|\]$', '', 'g'))) FROM inputs) GROUP BY rule_id"),
-    Query("threshold_profile", _profiles, "WITH p AS (SELECT DISTINCT concat('prof-', CAST(user_id % 40 AS VARCHAR)) AS profile_id, user_id % 3 AS version, user_id % 50 AS medium, event_id % 60 AS high, event_id % 11 AS pct FROM events), f AS (SELECT *, count(*) OVER (PARTITION BY profile_id, version) > 1 AS clash FROM p), x AS (SELECT profile_id, version, concat_ws('|', CASE WHEN medium > high THEN 'order' END, CASE WHEN medium < 1 OR pct NOT BETWEEN 0 AND 1 THEN 'range' END, CASE WHEN medium % 9 = 0 THEN 'digest' END, CASE WHEN clash THEN 'conflict' END) AS faults FROM f) SELECT profile_id, version, faults, faults = '' AS valid FROM x"),
+    Query("threshold_profile", lambda v: _profiles(v).groupBy("profile_id", "version", "faults", "valid").agg(F.count("*").alias("n")), """WITH p AS (SELECT DISTINCT concat('prof-', CAST(user_id % 40 AS VARCHAR)) AS profile_id, user_id % 3 AS version, user_id % 50 AS medium, event_id % 60 AS high, event_id % 11 AS pct, event_id % 7 AS k FROM events), d AS (SELECT DISTINCT profile_id, version, medium, high, pct, k = 1 AS odd FROM p), c AS (SELECT profile_id, version, count(*) > 1 AS clash FROM d GROUP BY ALL)
+ SELECT profile_id, version, faults, faults = '' AS valid, count(*) AS n FROM (SELECT p.*, concat_ws('|', CASE WHEN k = 1 THEN 'keys' END, CASE WHEN k <> 1 AND medium > high OR pct < 0.9 THEN 'order' END, CASE WHEN k <> 1 AND medium < 1 OR high < 1 OR pct > 1 THEN 'range' END, CASE WHEN medium % 9 = 0 THEN 'digest' END, CASE WHEN clash THEN 'conflict' END) AS faults FROM p JOIN c USING (profile_id, version)) z GROUP BY ALL"""),
 ]

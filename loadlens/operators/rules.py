@@ -199,12 +199,17 @@ def profile_routing(rule: Column, severity: Column) -> Column:
     return F.when(~severity.isin("Informational", "Not Evaluated"), F.coalesce(route, F.when(rule.startswith("PLAN-"), "plan-specific")))
 
 
-def suppressed_signals(acts: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """One row of counts of what the rules leave out."""
-    waits = acts.where("wait_type is not null")
-    quiet = F.count_if((F.coalesce("wait_ms", F.lit(0)) <= 0) & F.col("wait_type").isNotNull())
-    short = F.count_if((F.col("open_tran_count") > 0) & (F.coalesce("duration_seconds", F.lit(0.0)) < t.transactions.medium_age))
-    return acts.agg(quiet.alias("zero_duration_waits"), short.alias("short_transactions"), F.count_if(F.col("duration_seconds") < t.resources.minimum_duration).alias("short_resource_rows"))
+def suppressed_signals(acts: DataFrame, findings: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """One row of counts of what the rules leave out: waits in the roll-up, waits of no duration that block nothing, short open
+    transactions of sessions that block nobody, and short rows that used something."""
+    named = acts.where("blocking_session_id > 0").select(F.col("blocking_session_id").alias("session_id")).distinct().withColumn("named", F.lit(True))
+    rows = acts.join(named, "session_id", "left")
+    quiet = (F.col("wait_ms") == 0) & (F.coalesce("blocking_session_id", F.lit(0)) <= 0) & ~F.upper("wait_type").isin(*_SPECIAL_WAITS)
+    short = (F.col("open_tran_count") > 0) & (F.coalesce("duration_seconds", F.lit(0.0)) < t.transactions.medium_age) & F.col("named").isNull() & ~F.coalesce("implicit_tran", F.lit(False))
+    used = F.greatest(*(F.coalesce(F.col(m).cast("double"), F.lit(0.0)) for m in _METRICS)) > 0
+    brief = (F.coalesce("duration_seconds", F.lit(0.0)) < t.resources.minimum_duration) & used
+    counts = rows.agg(F.count_if(quiet).alias("zero_duration_waits"), F.count_if(short).alias("short_transactions"), F.count_if(brief).alias("short_resource_rows"))
+    return counts.crossJoin(findings.where("rule_id = 'WIA-WAIT-TRANSIENT-SUMMARY'").agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rolled_up_waits")))
 
 
 # What the findings of a rule are called.

@@ -6,7 +6,7 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The default thresholds, by rule family.
@@ -86,21 +86,39 @@ class Thresholds:
     transactions: Transactions = field(default_factory=Transactions)
     plans: Plans = field(default_factory=Plans)
 
+    def canonical(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True, separators=(",", ":"))
+
     def digest(self) -> str:
-        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        return hashlib.sha256(self.canonical().encode()).hexdigest()
 
 
-def _ordered(low: str, high: str) -> Column:
-    return F.col(low) <= F.col(high)
+def _pairs() -> list[tuple[str, str, str]]:
+    """(family, lower, higher) of all numbers of which one must not be above the other, by their names."""
+    out = []
+    for family, numbers in asdict(Thresholds()).items():
+        for name in numbers:
+            for low, high in (("low", "medium"), ("medium", "high")):
+                if name.startswith(low + "_") and (other := high + name.removeprefix(low)) in numbers:
+                    out.append((family, name, other))
+    return out
 
 
 def check_profiles(profiles: DataFrame) -> DataFrame:
-    """profiles (profile_id, version, medium, high, percentile, digest) with what is wrong with each: the order of its
-    cutoffs, their ranges, the digest of its canonical text, and a clash with another profile of the same id and version."""
-    text = F.concat_ws(",", F.col("medium").cast("string"), F.col("high").cast("string"), F.col("percentile").cast("string"))
-    rows = profiles.withColumn("fresh", F.sha2(text, 256))
+    """profiles (profile_id, version, body, digest) with what is wrong with each: the exact keys of its JSON, the order of its
+    cutoffs, the ranges of its numbers (shares up to 1, others not below 0, counts from 1), the digest of its canonical form
+    (keys in order, no blanks), and a clash with another profile of the same id and version."""
+    families = asdict(Thresholds())
+    keys = sorted(f"{f}.{n}" for f, numbers in families.items() for n in numbers)
+    rows = profiles.withColumn("m", F.from_json("body", "map<string, map<string, string>>"))
+    inner = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ",")
+    groups = F.transform(F.array_sort(F.map_keys("m")), lambda f: F.concat(F.lit('"'), f, F.lit('":{'), inner(F.element_at("m", f)), F.lit("}")))
+    rows = rows.withColumn("fresh", F.sha2(F.concat(F.lit("{"), F.array_join(groups, ","), F.lit("}")), 256))
+    here = F.array_sort(F.flatten(F.transform(F.map_entries("m"), lambda e: F.transform(F.map_keys(e["value"]), lambda n: F.concat_ws(".", e["key"], n)))))
+    number = lambda f, n: F.element_at(F.element_at("m", f), n).try_cast("double")
+    some = lambda tests: F.coalesce(F.exists(F.array(*tests), lambda x: F.coalesce(x, F.lit(False))), F.lit(False))
+    unordered = some([number(f, a) > number(f, b) for f, a, b in _pairs()])
+    beyond = some([(number(f, n) < (1 if isinstance(x, int) and n.endswith(("victims", "captures", "rows", "variants", "concurrency")) else 0)) | ((number(f, n) > 1) if n.endswith("percentile") else F.lit(False)) for f, numbers in families.items() for n, x in numbers.items()])
     clash = rows.groupBy("profile_id", "version").agg((F.countDistinct("fresh") > 1).alias("clash"))
-    faults = F.array_compact(F.array(
-        F.when(~_ordered("medium", "high"), "order"), F.when((F.col("medium") < 1) | ~F.col("percentile").between(0, 1), "range"),
-        F.when(F.col("digest") != F.col("fresh"), "digest"), F.when(F.col("clash"), "conflict")))
+    faults = F.array_compact(F.array(F.when(~F.coalesce(here == F.array(*map(F.lit, keys)), F.lit(False)), "keys"), F.when(unordered, "order"), F.when(beyond, "range"), F.when(F.col("digest") != F.col("fresh"), "digest"), F.when(F.col("clash"), "conflict")))
     return rows.join(clash, ["profile_id", "version"]).select("profile_id", "version", F.array_join(faults, "|").alias("faults"), (F.size(faults) == 0).alias("valid"))

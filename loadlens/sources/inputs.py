@@ -15,7 +15,11 @@ COLUMNS = (
     "blocking_session_id", "blocked_session_count", "percent_complete", "host_name", "login_name", "database_name", "program_name", "additional_info", "start_time", "login_time",
     "request_id", "collection_time", "sql_text", "sql_command", "query_plan", "locks", "memory_info", "requested_memory", "granted_memory", "max_used_memory", "max_used_memory_delta",
 )
-FAMILY_COLUMNS = {"blocking": ("locks", "tran_start_time", "sql_text"), "resource": ("query_plan",), "wait": ("query_plan", "memory_info"), "transaction": ("tran_start_time", "locks", "sql_command")}
+#: Columns that would help a family of findings; of names with "or" between them one is enough.
+FAMILY_COLUMNS = {
+    "blocking": ("locks", "tran_start_time", "query_plan", "sql_text or sql_command"), "resource": ("query_plan", "sql_text or sql_command"),
+    "wait": ("query_plan", "memory_info", "sql_text or sql_command"), "transaction": ("tran_start_time", "locks", "sql_text or sql_command"),
+}
 
 
 def known(df: DataFrame) -> DataFrame:
@@ -63,15 +67,23 @@ def unknown_columns(headers: DataFrame) -> DataFrame:
 
 
 def evidence_gaps(headers: DataFrame) -> DataFrame:
-    """Per family of findings, the columns that would help and were not captured."""
-    wanted = headers.sparkSession.createDataFrame([(f, c) for f, cs in FAMILY_COLUMNS.items() for c in cs], "family string, name string")
-    return wanted.join(present_columns(headers), "name", "left_anti").groupBy("family").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("missing"))
+    """Per family of findings, the columns that would help and were not captured, and so what to capture next."""
+    wanted = headers.sparkSession.createDataFrame([(f, c, n) for f, cs in FAMILY_COLUMNS.items() for c in cs for n in c.split(" or ")], "family string, wanted string, name string")
+    seen = wanted.join(present_columns(headers).withColumn("here", F.lit(True)), "name", "left").groupBy("family", "wanted").agg(F.bool_or("here").alias("here"))
+    return seen.where("here is null").groupBy("family").agg(F.array_join(F.array_sort(F.collect_list("wanted")), ", ").alias("missing"))
 
 
-def data_quality(headers: DataFrame, acts: DataFrame) -> DataFrame:
+def data_quality(headers: DataFrame, acts: DataFrame, not_run: DataFrame | None = None) -> DataFrame:
+    """One row: columns present, missing and unknown, waits that could not be parsed, warnings, and rules that were not run
+    (not_run has rule_id)."""
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    waits = acts.where("wait_info is not null and wait_type is null")
-    return one(present_columns(headers), "present").crossJoin(one(missing_columns(headers), "missing")).crossJoin(one(unknown_columns(headers), "unknown")).crossJoin(one(waits, "unparsed_waits"))
+    waits = one(acts.where("wait_info is not null and wait_type is null"), "unparsed_waits")
+    present = present_columns(headers)
+    out = one(present, "present").crossJoin(one(missing_columns(headers), "missing")).crossJoin(one(unknown_columns(headers), "unknown")).crossJoin(waits)
+    out = out.crossJoin(present.agg(F.coalesce(F.bool_or(F.col("name").isin("tempdb_current", "tempdb_allocations")), F.lit(False)).alias("tempdb")))
+    rules = (not_run if not_run is not None else headers.sparkSession.createDataFrame([], "rule_id string")).agg(F.array_join(F.array_sort(F.collect_set("rule_id")), ", ").alias("not_run"))
+    warnings = F.concat_ws(" | ", F.when(F.col("unparsed_waits") > 0, F.concat(F.col("unparsed_waits").cast("string"), F.lit(" wait_info observations could not be parsed."))), F.when(F.col("tempdb"), "TempDB pages show request-level consumption only."))
+    return out.withColumn("warnings", warnings).drop("tempdb").crossJoin(rules)
 
 
 def import_preview(headers: DataFrame, acts: DataFrame) -> DataFrame:

@@ -121,7 +121,11 @@ def test_plan_with_nested_operators():
 @pytest.mark.parametrize("sep", [",", ";", "\t"])
 def test_capture_with_any_separator(spark, tmp_path, sep):
     (tmp_path / "c.csv").write_text(f'a{sep}b\n"x{sep}\ny"{sep}"say ""hi"""\n\n1{sep}2\n')
-    got = [tuple(r) for r in W.read_capture(spark, str(tmp_path / "c.csv")).collect()]
+    other = ";" if sep == "," else ","
+    (tmp_path / "d.csv").write_text(f'{other.join("cdef")}\n', encoding="utf-16")
+    rows = W.read_capture(spark, f"file://{tmp_path}").collect()
+    assert [(r._c0, r._c3, r._encoding) for r in rows if r._path.endswith("d.csv")] == [("c", "f", "UTF-16LE")]
+    got = [(r._c0, r._c1) for r in rows if r._path.endswith("c.csv")]
     assert got == [("a", "b"), (f"x{sep}\ny", 'say "hi"'), ("1", "2")]
 
 
@@ -184,7 +188,7 @@ def test_file_queries_take_all_rows(spark):
     n = spark.read.parquet(f"{sf}/events.parquet").agg(F.count("*").alias("n"), F.sum("event_id").alias("s"), F.countDistinct(F.floor(F.col("event_id") / 2000)).alias("files")).first()
     read = q["text_encoding"](spark, sf).collect()
     assert len(read) == 2 and (sum(r.n_rows for r in read), sum(r.n_read for r in read), sum(r.row_numbers for r in read), sum(r["count"] for r in read)) == (n.n, n.n, n.s, n.files)
-    states = {r.state: r["count"] for r in q["dedupe_evidence"](spark, sf).collect()}
+    states = {r.state: r["sum(count)"] for r in q["dedupe_evidence"](spark, sf).groupBy("state").sum("count").collect()}
     assert states["taken"] == n.files > 2 and 0 < states["copy"] < n.files
     files = [r for r in q["source_manifest"](spark, sf).collect() if r.kind == "file"]
     assert len(files) == sum(states.values()) and len({r.hash for r in files}) == n.files and all(r.n > 0 for r in files)
@@ -252,3 +256,43 @@ def test_duration_seconds(spark, text, want):
 @pytest.mark.parametrize(("text", "want"), [("1:00:02.5", 3602500.0), ("2 min, 3 secs", 123000.0), ("5 fortnights", None), ("not supplied", None), ("1:99:00", None)])
 def test_spill_duration(spark, text, want):
     assert one(spark, text, S.spill_duration_ms) == want
+
+
+def test_deep_chains_in_few_rounds(spark, monkeypatch):
+    """200 sessions in a row, and a ring of 50 with a tail: as many rounds as the logarithm of the depth."""
+    rows = [{"session_id": i, "blocking_session_id": i - 1 if i > 1 else None} for i in range(1, 201)] + [{"session_id": 500 + i, "blocking_session_id": 500 + (i + 1) % 50} for i in range(50)] + [{"session_id": 900, "blocking_session_id": 510}]
+    rounds, plain = [], B.saved
+    monkeypatch.setattr(B, "saved", lambda *a: rounds.append(1) or plain(*a))
+    got = {r.row_number: r for r in B.blocking_chain(capture(spark, *rows)).collect()}
+    assert len(rounds) <= 10
+    assert got[199].path == list(range(200, 0, -1)) and got[199].root == 1 and got[199].complete
+    assert (got[200].root, got[200].complete, len(got[200].path)) == (500, False, 51) and (got[250].root, len(got[250].path)) == (500, 52)
+
+
+def test_healthy_only_without_loud_findings(spark):
+    acts = capture(spark, {"session_id": 1, "capture_s": 0}, {"session_id": 1, "capture_s": 15})
+    finding = R.wait_findings(capture(spark, {"session_id": 1, "wait_info": "(2000ms)WRITELOG"}))
+    assert R.capture_healthy(acts, finding.where("false")).count() == 1
+    assert R.capture_healthy(acts, finding).count() == 0
+    assert R.capture_healthy(acts, finding.withColumn("severity", F.lit("Not Evaluated"))).count() == 1
+    assert R.capture_healthy(acts.where("capture_s = 0"), finding.where("false")).count() == 0
+
+
+def test_caps_and_their_disclosure(spark):
+    f = spark.createDataFrame([("WIA-RESOURCE", f"s{i:02d}", float(i)) for i in range(25)] + [("WIA-BLOCKING", "b", 1.0)], "rule_id string, subject string, impact double")
+    kept = R.finding_caps(f).collect()
+    assert sorted(r.place for r in kept if r.rule_id == "WIA-RESOURCE") == list(range(1, 21)) and {r.subject for r in kept if r.place == 1} == {"s24"}
+    assert [(r.retained, r.suppressed) for r in R.cap_disclosure(f).collect()] == [(20, 5)]
+
+
+def test_threshold_profiles(spark):
+    from loadlens.operators.thresholds import Thresholds, check_profiles
+
+    t = Thresholds()
+    high = t.canonical().replace('"medium_victims":2', '"medium_victims":9')
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [("a", 1, t.canonical(), t.digest()), ("b", 1, t.canonical().replace(",", ", "), t.digest()), ("c", 1, high, sha(high)), ("d", 1, t.canonical(), "0"), ("e", 1, "{}", sha("{}")), ("f", 1, t.canonical(), t.digest()), ("f", 1, high, sha(high)), ("g", 1, "no json", "x")]
+    got = sorted((r.profile_id, r.faults) for r in check_profiles(spark.createDataFrame(rows, "profile_id string, version int, body string, digest string")).collect())
+    assert got == [("a", ""), ("b", ""), ("c", "order"), ("d", "digest"), ("e", "keys"), ("f", "conflict"), ("f", "order|conflict"), ("g", "keys")]
