@@ -41,7 +41,7 @@ def _pressure(wait: str) -> str:
 
 WORKER = f"""ceil AS (SELECT coalesce(bool_or(active_workers >= max_workers AND work_queue > 0), false) AS ceiling FROM samples),
 worker AS (SELECT 'WIA-WORKER-EXHAUSTION' AS rule_id, CASE WHEN ceiling THEN 'Critical' WHEN captures >= 2 AND peak >= 2 THEN 'High' ELSE 'Medium' END AS severity, CASE WHEN ceiling OR captures >= 2 THEN 'High' ELSE 'Medium' END AS confidence, 'Worker threads' AS category, source_id AS subject, CAST(100000 + peak * 100 + persistence AS DOUBLE) AS impact, {_TAIL} FROM ({_pressure('THREADPOOL')}) w, ceil)"""
-COMPILE = f"""agree AS (SELECT coalesce(max(CASE WHEN batches > 0 THEN compilations / batches END) >= 0.1, false) AS corroborated FROM samples),
+COMPILE = f"""agree AS (SELECT coalesce(bool_or(a), false) AS corroborated FROM (SELECT max(CASE WHEN batches > 0 THEN compilations / batches END) >= 0.1 AND max(compile_waiters) > 0 AND arg_max(cache_hit_ratio, sample_order) FILTER (WHERE cache_hit_ratio IS NOT NULL) < arg_min(cache_hit_ratio, sample_order) FILTER (WHERE cache_hit_ratio IS NOT NULL) AS a FROM samples GROUP BY source_id) s),
 compile AS (SELECT 'WIA-COMPILE-PRESSURE' AS rule_id, CASE WHEN captures >= 3 AND peak >= 4 THEN 'High' ELSE 'Medium' END AS severity, CASE WHEN corroborated OR captures >= 2 AND variants >= 2 THEN 'High' ELSE 'Medium' END AS confidence, 'Compilation' AS category, source_id AS subject, CAST(80000 + peak * 100 + persistence AS DOUBLE) AS impact, {_TAIL} FROM ({_pressure('RESOURCE_SEMAPHORE_QUERY_COMPILE')}) w, agree)"""
 WAIT = f"""wait AS (SELECT 'WIA-WAIT' AS rule_id, CASE WHEN calm AND NOT blocked THEN 'Informational' WHEN w >= 1000 AND (persistence >= 60 OR blocked AND captures >= 2) THEN 'High' WHEN w >= 1000 THEN 'Medium' WHEN captures = 1 AND NOT blocked THEN 'Informational' ELSE 'Low' END AS severity, CASE WHEN n_rows >= 2 THEN 'Medium' ELSE 'Low' END AS confidence, 'Waits' AS category,
  concat(wait_type, ':', episode) AS subject, CAST(w + persistence AS DOUBLE) AS impact, {_TAIL} FROM (SELECT wait_type, episode, {_CALM} AS calm, coalesce(max(wait_ms), 0) AS w, coalesce(bool_or(blocking_session_id > 0), false) AS blocked, {_SPAN} FROM acts WHERE wait_type IS NOT NULL AND wait_type NOT IN ('THREADPOOL', 'RESOURCE_SEMAPHORE_QUERY_COMPILE') GROUP BY wait_type, episode) g

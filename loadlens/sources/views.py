@@ -77,7 +77,8 @@ FROM orders""",
     "samples": """
 SELECT event_id AS sample_order, concat('ctr-', CAST(user_id % 5 AS $STR)) AS source_id, 15 * (day(ts) - 1) AS capture_s, event_type AS counter_name,
   CASE WHEN event_id % 43 = 0 THEN NULL WHEN user_id % 5 = 0 THEN value + event_id ELSE value END AS value, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 60 END AS sample_id, user_id % 3 AS runnable_tasks,
-  user_id % 30 AS active_workers, 25 AS max_workers, CASE WHEN user_id % 11 = 0 THEN 1 ELSE 0 END AS work_queue, value AS batches, value * (user_id % 4) / 10 AS compilations
+  user_id % 30 AS active_workers, 25 AS max_workers, CASE WHEN user_id % 11 = 0 THEN 1 ELSE 0 END AS work_queue, value AS batches, value * (user_id % 4) / 10 AS compilations, user_id % 3 AS compile_waiters,
+  CASE WHEN event_id % 7 = 0 THEN NULL WHEN user_id % 5 = 0 THEN 90 - event_id / 1000000.0 ELSE 80 + event_id / 1000000.0 END AS cache_hit_ratio
 FROM events""",
     "locks": """
 SELECT event_id AS id, user_id AS session_id, CASE WHEN event_type IN ('view', 'signup') THEN 'GRANT' ELSE 'WAIT' END AS request_status,
