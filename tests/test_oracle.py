@@ -43,6 +43,5 @@ def test_same_as_duckdb(spark, duck, name):
     spark.catalog.clearCache()
 
 
-@pytest.mark.parametrize("name", [n for n, q in catalog.queries().items() if not q.oracle])
-def test_runs(spark, name):
-    assert catalog.queries()[name](spark, SF).count() >= 0
+def test_every_query_has_sql():
+    assert all(q.oracle for q in catalog.queries().values())
