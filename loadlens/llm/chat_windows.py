@@ -68,7 +68,7 @@ def _by_size(turns: DataFrame, block: int) -> DataFrame:
     return placed.drop("nth", "upto", "block")
 
 
-def format_windows(turns: DataFrame, template: Template = Template(), budget: int = 512, history: int = 2, overhead: int = 4, block: int = 1024, keep_budget: bool = True) -> DataFrame:
+def format_windows(turns: DataFrame, template: Template = Template(), budget: int = 512, history: int = 2, overhead: int = 4, block: int = 1024) -> DataFrame:
     """One row per window of each conversation of turns (conv_id, turn, role, text): conv_id, span, first_place, repeated,
     text, targets, over_budget.
 
@@ -78,17 +78,14 @@ def format_windows(turns: DataFrame, template: Template = Template(), budget: in
     conversation's system turn is its first turn if that has the role system; it is retained in every window. Rows with a
     null conv_id are a conversation of their own. Equal rows are turns of their own. An empty table gives none.
 
-    With keep_budget only a window whose one new turn does not fit beside the system turn is over budget. Without it the
-    spans alone are held to the budget: the system turn and the history come on top, uncounted.
+    Only a window whose one new turn does not fit beside the system turn is over budget.
     """
     base = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("text_hash", F.sha2("text", 256)).withColumn("tokens", word_count(F.col("text")) + overhead)
     placed = _by_size(base, block)
     system = placed.where("place = 0 and role = 'system'").select(F.col("conv_id").alias("sys_conv"), F.col("role").alias("sys_role"), F.col("text").alias("sys_text"), F.col("tokens").alias("sys_tokens"))
-    half = F.lit(budget // 2)
-    if keep_budget:
-        half = F.greatest(F.floor((budget - F.coalesce("sys_tokens", F.lit(0))) / 2), F.lit(1))
-        placed = placed.join(system.select("sys_conv", "sys_tokens"), F.col("conv_id").eqNullSafe(F.col("sys_conv")), "left")
+    half = F.greatest(F.floor((budget - F.coalesce("sys_tokens", F.lit(0))) / 2), F.lit(1))
+    placed = placed.join(system.select("sys_conv", "sys_tokens"), F.col("conv_id").eqNullSafe(F.col("sys_conv")), "left")
     # A turn's span is the half budget in which it begins. A longer turn is alone in an odd span: what follows it begins later.
     placed = placed.withColumn("span", 2 * F.floor(F.col("start") / half) + (F.col("tokens") > half).cast("long")).drop("sys_conv", "sys_tokens")
     # a turn is history for the spans of the next few turns
@@ -106,11 +103,10 @@ def format_windows(turns: DataFrame, template: Template = Template(), budget: in
     # the system turn is put first where the span and its history do not hold it
     windows = windows.withColumn("turns", F.when(F.col("sys_role").isNotNull() & ~present, F.concat(F.array(sys_turn), "turns")).otherwise(F.col("turns")))
     total = lambda turns: F.aggregate(turns, F.lit(0).cast("long"), lambda n, t: n + t["tokens"])
-    if keep_budget:
-        fixed = lambda t: t["new"] | ((t["place"] == 0) & F.col("sys_role").isNotNull())
-        windows = windows.withColumn("room", budget - total(F.filter("turns", fixed))).withColumn("past", F.filter("turns", lambda t: ~fixed(t)))
-        # a turn of the history stays where it and all later ones fit
-        windows = windows.withColumn("turns", F.filter("turns", lambda t: fixed(t) | (total(F.filter("past", lambda x: x["place"] >= t["place"])) <= F.col("room"))))
+    fixed = lambda t: t["new"] | ((t["place"] == 0) & F.col("sys_role").isNotNull())
+    windows = windows.withColumn("room", budget - total(F.filter("turns", fixed))).withColumn("past", F.filter("turns", lambda t: ~fixed(t)))
+    # a turn of the history stays where it and all later ones fit
+    windows = windows.withColumn("turns", F.filter("turns", lambda t: fixed(t) | (total(F.filter("past", lambda x: x["place"] >= t["place"])) <= F.col("room"))))
     windows = windows.withColumn("parts", F.transform("turns", lambda t: template.render(t["role"], t["text"])))
     # where each text begins: after the parts before it, the opening marker, the role and the newline
     step = lambda acc, i: F.struct(
@@ -128,7 +124,10 @@ def format_windows(turns: DataFrame, template: Template = Template(), budget: in
 
 def read_back(windows: DataFrame, template: Template = Template()) -> DataFrame:
     """Per conversation, from formatted windows alone: n_turns, turns_sha256 (role, newline, text, newline per turn),
-    loss_chars, loss_sha256 (all text under the loss mask, unescaped) and formatted_chars."""
+    loss_chars, loss_sha256 (all text under the loss mask, unescaped) and formatted_chars.
+
+    windows are those of format_windows, one row for each conv_id and span; a null conv_id is a conversation. The digests
+    need the whole conversation, so its windows meet in one row. An empty table gives an empty table."""
     parsed = windows.withColumn("all", template.turns(F.col("text")))
     own = F.slice("all", F.col("repeated") + 1, F.greatest(F.size("all") - F.col("repeated"), F.lit(0)))
     said = F.array_join(F.transform(own, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

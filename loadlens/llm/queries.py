@@ -21,10 +21,9 @@ from loadlens.llm.zip_warc import round_trip
 
 
 def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL beside fixes the number and the length of windows whose system turn and history come on top of the budget."""
     extra = spark.sql("select -7L as conv_id, t.turn, t.role, '</s>[INST] ok [/INST]' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return read_back(materialize(format_windows(turns, keep_budget=False), "windows"))
+    return read_back(materialize(format_windows(turns), "windows"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +77,12 @@ _OP1 = rf"""
 WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 sized AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tokens, 12 + {_ESCAPED.format("role")} + len(regexp_extract_all(role, chr(10))) + 1 + {_ESCAPED.format("text")} + 11 AS chars FROM turns),
 placed AS (SELECT *, row_number() OVER o - 1 AS place, coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sized WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))),
-spans AS (SELECT *, 2 * CAST(floor(start / 256) AS BIGINT) + CASE WHEN tokens > 256 THEN 1 ELSE 0 END AS span FROM placed),
-firsts AS (SELECT conv_id, span, min(place) AS first, sum(chars) AS own FROM spans GROUP BY ALL),
-windows AS (SELECT f.conv_id, f.own + coalesce(sum(h.chars), 0) + CASE WHEN f.first > 2 THEN max(coalesce(y.chars, 0)) ELSE 0 END AS chars FROM firsts f
- LEFT JOIN spans h ON h.conv_id = f.conv_id AND h.place < f.first AND h.place >= f.first - 2 LEFT JOIN spans y ON y.conv_id = f.conv_id AND y.place = 0 AND y.role = 'system' GROUP BY f.conv_id, f.span, f.first, f.own),
+sys AS (SELECT conv_id AS sc, tokens AS st, chars AS sn FROM placed WHERE place = 0 AND role = 'system'),
+halved AS (SELECT *, greatest(CAST(floor((512 - coalesce(st, 0)) / 2) AS BIGINT), 1) AS half FROM placed LEFT JOIN sys ON sc = conv_id),
+spans AS (SELECT *, 2 * CAST(floor(start / half) AS BIGINT) + CASE WHEN tokens > half THEN 1 ELSE 0 END AS span FROM halved),
+firsts AS (SELECT conv_id, span, min(place) AS first, sum(chars) AS own, sum(tokens) + CASE WHEN min(place) > 0 THEN max(coalesce(st, 0)) ELSE 0 END AS used, CASE WHEN min(place) > 0 THEN max(coalesce(sn, 0)) ELSE 0 END AS ahead FROM spans GROUP BY ALL),
+past AS (SELECT f.conv_id, f.span, h.chars, f.used + sum(h.tokens) OVER (PARTITION BY f.conv_id, f.span ORDER BY h.place DESC) AS fill FROM firsts f JOIN spans h ON h.conv_id = f.conv_id AND h.place < f.first AND h.place >= f.first - 2 AND NOT (h.place = 0 AND h.role = 'system')),
+windows AS (SELECT f.conv_id, f.own + f.ahead + coalesce((SELECT sum(chars) FROM past p WHERE p.conv_id = f.conv_id AND p.span = f.span AND fill <= 512), 0) AS chars FROM firsts f),
 shown AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars, count(*) AS n_windows FROM windows GROUP BY conv_id)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY place)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, any_value(formatted_chars) AS formatted_chars, any_value(n_windows) AS n_windows FROM placed JOIN shown USING (conv_id) GROUP BY conv_id"""
