@@ -13,13 +13,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.dataset as pads
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadlens.llm.common import scratch_path
+
 #: Text of the items that one automaton holds. A larger benchmark is scanned in blocks of about this size.
 BLOCK_CHARS = 4_000_000
-#: Items shorter than this many code points occur by chance, so they only count unedited and as whole words.
-SHORT = 24
 
 
 def normalise(text: str | None) -> str:
@@ -29,7 +31,7 @@ def normalise(text: str | None) -> str:
 
 def pieces_of(item: str, rate: float) -> tuple[int, list[tuple[int, str]]]:
     """The error budget of an item and its budget-plus-one pieces with their offsets."""
-    budget = int(len(item) * rate) if len(item) >= SHORT else 0
+    budget = int(len(item) * rate)
     cuts = [len(item) * i // (budget + 1) for i in range(budget + 2)]
     return budget, [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -103,8 +105,17 @@ def _automaton(items: tuple[tuple[int, str], ...], rate: float):
     return a, known
 
 
-def matches(text: str, items: tuple[tuple[int, str], ...], rate: float) -> Iterator[tuple[int, int, int]]:
-    """(item number, edit distance, end in the normalised text) of each item that text holds within its budget."""
+@lru_cache(maxsize=2)
+def _items(path: str) -> tuple[tuple[int, str], ...]:
+    """The items of a block, from the shared folder, in order; blank ones are left out."""
+    system, inside = pafs.FileSystem.from_uri(path)
+    rows = pads.dataset(inside, filesystem=system, format="parquet").to_table(columns=["item_id", "text"]).to_pylist()
+    return tuple(sorted({(r["item_id"], t) for r in rows if (t := normalise(r["text"]))}, key=lambda x: (x[0] is not None, x[0] or 0, x[1])))
+
+
+def matches(text: str, items: tuple[tuple[int, str], ...], rate: float, whole_words: int = 0) -> Iterator[tuple[int, int, int]]:
+    """(item number, edit distance, end in the normalised text) of each item that text holds within its budget. Items of
+    fewer than whole_words code points only count unedited, between blanks."""
     automaton, known = _automaton(items, rate)
     text = normalise(text)
     starts: dict[int, set[int]] = {}
@@ -122,10 +133,11 @@ def matches(text: str, items: tuple[tuple[int, str], ...], rate: float) -> Itera
     for k, at in starts.items():
         item, (e, _, _, _, eq) = items[k][1], known[k]
         m, best = len(item), None
+        e = 0 if m < whole_words else e
         for start in at:
             if start >= 0 and text.startswith(item, start):
                 stop = start + m
-                if m >= SHORT or (start == 0 or text[start - 1] == " ") and (stop == len(text) or text[stop] == " "):
+                if m >= whole_words or (start == 0 or text[start - 1] == " ") and (stop == len(text) or text[stop] == " "):
                     best = (0, stop) if best is None else min(best, (0, stop))
         if best is None and e:
             # starts that lie close share a window
@@ -143,36 +155,39 @@ def matches(text: str, items: tuple[tuple[int, str], ...], rate: float) -> Itera
             yield k, *best
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, whole_words: int = 0) -> DataFrame:
     """(doc_id, item_id, distance, end) for each document and each benchmark item that it holds, whole texts searched.
 
     docs has doc_id and text, benchmark item_id and text. Case and runs of white space do not count. An item of n code
-    points may have floor(n*rate) edits; one shorter than SHORT only counts unedited, between blanks. end is the offset
-    after the best passage in the normalised text. Null and empty texts and items match nothing; a null id is kept as
-    null. Rows that share ids give one row, the nearest. Items go to the workers in blocks of bounded size, each of which
-    scans the documents once, so the benchmark may have any length. Empty tables give an empty table.
+    points may have floor(n*rate) edits, whatever its length; with whole_words, items of fewer code points only count
+    unedited and between blanks. end is the offset after the best passage in the normalised text. Null and empty texts and
+    items match nothing; a null id is kept as null. Rows that share ids give one row, the nearest. Items lie in blocks of
+    bounded size in the shared folder, from which workers read the block at hand; each block scans the documents once, so
+    the benchmark may have any length and never passes through the driver. Empty tables give an empty table; other columns
+    are ignored.
     """
-    items = benchmark.where("text is not null").select("item_id", "text").distinct()
+    spark = docs.sparkSession
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     n_chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-n_chars // BLOCK_CHARS))
+    blocks = -(-n_chars // BLOCK_CHARS)
     schema = docs.select("doc_id").schema.add("item_id", "long").add("distance", "integer").add("end", "long")
-    out = None
-    for block in range(blocks):
-        some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        chosen = tuple((r.item_id, t) for r in some.orderBy("item_id", "text").collect() if (t := normalise(r.text)))
-        if not chosen:
-            continue
-
-        def scan(batches: Iterator[pa.RecordBatch], chosen=chosen) -> Iterator[pa.RecordBatch]:
+    root = scratch_path(spark, "items")
+    items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(blocks, 1)))).repartition("block").write.partitionBy("block").parquet(root)
+
+    def of(path: str):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chosen = _items(path)
             for batch in batches:
-                rows = [(i, chosen[k][0], d, end) for i, t in enumerate(batch.column(1)) if t.is_valid for k, d, end in matches(t.as_py(), chosen, rate)]
+                rows = [(i, chosen[k][0], d, end) for i, t in enumerate(batch.column(1)) if t.is_valid for k, d, end in matches(t.as_py(), chosen, rate, whole_words)]
                 if rows:
                     at, item, d, end = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(item, pa.int64()), pa.array(d, pa.int32()), pa.array(end, pa.int64())], names=schema.fieldNames())
 
-        part = docs.select("doc_id", "text").mapInArrow(scan, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], schema)
+        return docs.select("doc_id", "text").mapInArrow(scan, schema)
+
+    out = spark.createDataFrame([], schema)
+    # a block is empty only where hashes leave it so
+    for block in sorted(r.block for r in spark.read.parquet(root).select("block").distinct().collect()) if blocks else []:
+        out = out.unionByName(of(f"{root}/block={block}"))
     best = F.min(F.struct("distance", "end")).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.distance", "best.end")
