@@ -58,12 +58,13 @@ def _digits(x: Column) -> Column:
 
 
 def _relay(shape: Column, fresh: Column, kind: str = "[0-9]") -> Column:
-    """shape with its characters of this kind replaced by those of fresh, in order."""
+    """shape with its characters of this kind replaced by those of fresh, in order; capitals stay capitals where they can."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def put(s, c):
         hit = c.rlike(kind)
-        return F.struct(F.concat(s["out"], F.when(hit, F.substring(fresh, s["at"], 1)).otherwise(c)).alias("out"), (s["at"] + hit.cast("int")).alias("at"))
+        new = F.substring(fresh, s["at"], 1)
+        return F.struct(F.concat(s["out"], F.when(hit & (c != F.lower(c)), F.upper(new)).when(hit, new).otherwise(c)).alias("out"), (s["at"] + hit.cast("int")).alias("at"))
 
     return F.aggregate(F.regexp_extract_all(shape, F.lit(r"([\s\S])"), 1), start, put, lambda s: s["out"])
 
@@ -151,7 +152,8 @@ def _ipv4(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """Year first, day first, or month first where day first is no date; the separators and the order stay, numbers get two digits."""
+    """Year first, day first, or month first where day first is no date; the separators and the order stay. Day and month
+    have the widths they had; a number of two digits takes two."""
     sep = F.regexp_extract(m, "[0-9]+([-/.])", 1)
     part = lambda i: F.split(m, "[-/.]")[i]
     iso = lambda y, mo, d: F.try_to_timestamp(F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
@@ -163,17 +165,19 @@ def _date(m: Column, key: str) -> Column:
     def show(n):
         s = feistel(F.floor(n / _DAYS[1]), n % _DAYS[1], *_DAYS, key, "date")
         fresh = _named(s, lambda t: F.date_add(F.lit("1900-01-01").cast("date"), (t["left"] * _DAYS[1] + t["right"]).cast("int")))
-        parts = lambda f, order: F.concat(F.date_format(f, order[0]), sep, F.date_format(f, order[1]), sep, F.date_format(f, order[2]))
-        return _named(fresh, lambda f: F.when(shape == "y", parts(f, ("yyyy", "MM", "dd"))).when(shape == "d", parts(f, ("dd", "MM", "yyyy"))).otherwise(parts(f, ("MM", "dd", "yyyy"))))
+        wide = lambda x, i: F.when(F.length(part(i)) == 2, _pad(x, 2)).otherwise(x.cast("string"))
+        parts = lambda *x: F.concat(*(c for i, y in enumerate(x) for c in (*((sep,) if i else ()), y.cast("string"))))
+        day_of, month, year = F.dayofmonth, F.month, F.year
+        return _named(fresh, lambda f: F.when(shape == "y", parts(year(f), wide(month(f), 1), wide(day_of(f), 2))).when(shape == "d", parts(wide(day_of(f), 0), wide(month(f), 1), year(f))).otherwise(parts(wide(month(f), 0), wide(day_of(f), 1), year(f))))
 
     number = F.datediff(day, F.lit("1900-01-01").cast("date")).cast("long")
     return _named(number, lambda n: F.when(n.isNotNull() & (n >= 0) & (n < _DAYS[0] * _DAYS[1]), show(n)).otherwise(m))
 
 
 def _email(m: Column, key: str) -> Column:
-    """The letters and digits of the local part, in lower case, are permuted in base 36 within their number; the domain
-    stays. Beyond 22 of them, the last ones tweak the permutation of the first 22 and are then permuted on their own."""
-    local, domain = F.lower(F.regexp_extract(m, "^([^@]+)@", 1)), F.regexp_extract(m, "(@.*)$", 1)
+    """The letters and digits of the local part are permuted in base 36 within their number, whatever their case, which is
+    laid over the result; the domain stays. Beyond 22 of them, the last ones tweak the permutation of the first 22 and are then permuted on their own."""
+    local, domain = F.regexp_extract(m, "^([^@]+)@", 1), F.regexp_extract(m, "(@.*)$", 1)
     pow36 = lambda n: F.element_at(F.array(*(F.lit(36**i).cast("long") for i in range(12))), (n + 1).cast("int"))
 
     def base36(s, tweak, tag):
@@ -188,7 +192,7 @@ def _email(m: Column, key: str) -> Column:
         head, mid, tail = F.substring(s, 1, 22), F.substring(s, 23, 22), F.substring(s, 45, 22)
         return F.concat(base36(head, F.concat(mid, tail), "mail1"), base36(mid, tail, "mail2"), base36(tail, F.lit(""), "mail3"))
 
-    return _named(local, lambda x: F.concat(_relay(x, fresh(F.regexp_replace(x, "[^a-z0-9]", "")), "[a-z0-9]"), domain))
+    return _named(local, lambda x: F.concat(_relay(x, fresh(F.lower(F.regexp_replace(x, "[^A-Za-z0-9]", ""))), "[A-Za-z0-9]"), domain))
 
 
 def pseudonym(m: Column, key: str) -> Column:
