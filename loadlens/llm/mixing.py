@@ -24,7 +24,7 @@ _RANKED = 256
 
 def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int, seed: int | tuple[int, ...] = 17) -> np.ndarray:
     """How many documents to take of each length so that their words come as near to budget as the search finds, without
-    passing it. Every length is first taken in proportion; fractions are rounded by the
+    passing it: the nearest sum there is, if a table of dp_words holds the budget. Every length is first taken in proportion; fractions are rounded by the
     seed but for a reserve of half a table, so that of lengths with few documents the seed chooses and not the size. The dynamic programme covers what is
     left, in words up to dp_words and in larger units above, and has lengths in seeded order too. No document that
     still fits is left."""
@@ -73,6 +73,10 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int
         if budget - int((sizes * kept).sum()) >= left:
             break
         take = kept
+    if int((sizes * take).sum()) < budget and budget // int(np.gcd.reduce(sizes[sizes > 0])) <= dp_words:
+        best = _table(sizes, counts, budget, dp_words, order)  # a table holds all of it, so it finds the best sum there is
+        if int((sizes * best).sum()) > int((sizes * take).sum()):
+            return best
     return take
 
 
