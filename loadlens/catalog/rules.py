@@ -90,6 +90,11 @@ def _members(v):
     return f, rows.unionByName(carried).unionByName(plans.select("rule_id", "subject", F.lit("statement").alias("kind"), "evidence")).distinct()
 
 
+def _routed(v):
+    a = saved(acts(v), "acts")
+    return R.profile_routing(_shown(_whole(v)), B.blocking_episodes(B.blocking_snapshots(a), a))
+
+
 def _related(v, best):
     f, members = _members(v)
     return R.related_findings(f, members, best)
@@ -159,8 +164,13 @@ rel AS (SELECT a.rule_id, a.subject, b.rule_id AS other_rule, b.subject AS other
  FROM mem a JOIN mem b ON a.kind = b.kind AND a.evidence = b.evidence AND (a.rule_id <> b.rule_id OR a.subject <> b.subject) GROUP BY a.rule_id, a.subject, b.rule_id, b.subject)"""
 _RANKED = f"""SELECT r.*, CAST(row_number() OVER (PARTITION BY r.rule_id, r.subject ORDER BY {_SEV} DESC, CASE confidence WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END DESC, impact DESC, other_rule, other_subject) AS INTEGER) AS place FROM rel r JOIN fin f ON f.rule_id = r.other_rule AND f.subject = r.other_subject"""
 
+_ROUTED = f"""{WHOLE}, roots AS (SELECT concat(source_id, ':', CAST(root AS VARCHAR), ':', CAST(CAST(episode_no AS BIGINT) AS VARCHAR)) AS s, arg_max(root_status, coalesce(capture_s, 4611686018427387904)) FILTER (WHERE root_status IS NOT NULL) AS state FROM eps GROUP BY 1),
+routed AS (SELECT w.*, CASE WHEN severity = 'Informational' THEN NULL WHEN rule_id = 'WIA-BLOCKING' THEN CASE WHEN state = 'runnable' THEN 'cpu-backed-blocking' ELSE 'transaction-blocking' END WHEN rule_id = 'WIA-WAIT' AND upper(subject) LIKE '%RESOURCE_SEMAPHORE%' THEN 'memory-grants' ELSE CASE rule_id {" ".join(f"WHEN '{k}' THEN '{x}'" for k, x in R.PROFILES.items())} END END AS profile FROM whole w LEFT JOIN roots ON rule_id = 'WIA-BLOCKING' AND s = subject)"""
+
 QUERIES = [
-    Query("read_counters", lambda v: C.read_counters(v.samples, ["value", "runnable_tasks", "active_workers"], ["sample_order", "source_id"]), "SELECT sample_order, source_id, metric, value FROM (SELECT sample_order, source_id, CAST(value AS DOUBLE) AS value, CAST(runnable_tasks AS DOUBLE) AS runnable_tasks, CAST(active_workers AS DOUBLE) AS active_workers FROM samples) s UNPIVOT (value FOR metric IN (value, runnable_tasks, active_workers))".replace("CAST(value AS DOUBLE) AS value,", "CAST(value AS DOUBLE) AS value,")),
+    Query("read_counters", lambda v: C.read_counters(v.samples.select("sample_order", "source_id", F.col("compilations").alias("SQL Compilations per Sec"), F.col("batches").alias(" Batch Requests per sec"), F.col("cache_hit_ratio").alias("Cache Hit Ratio (Plan Cache) pct"), F.col("value").alias("something else")), ["sample_order", "source_id"])
+          .unionByName(C.read_counters(v.samples.select("sample_order", "source_id", F.col("active_workers").alias("Active Worker Threads"), F.col("max_workers").alias("max_worker_threads"), F.col("work_queue").alias("[Work Queue] Count")), ["sample_order", "source_id"])),
+          "SELECT sample_order, source_id, 'Compilation counters' AS kind, metric, value FROM (SELECT sample_order, source_id, CAST(compilations AS DOUBLE) AS sql_compilations_per_sec_, CAST(batches AS DOUBLE) AS batch_requests_per_sec_, CAST(cache_hit_ratio AS DOUBLE) AS cache_hit_ratio_plan_cache_pct FROM samples) s UNPIVOT (value FOR metric IN (sql_compilations_per_sec_, batch_requests_per_sec_, cache_hit_ratio_plan_cache_pct)) UNION ALL SELECT sample_order, source_id, 'Worker counters', metric, value FROM (SELECT sample_order, source_id, CAST(active_workers AS DOUBLE) AS active_worker_threads, CAST(max_workers AS DOUBLE) AS max_worker_threads, CAST(work_queue AS DOUBLE) AS work_queue_count FROM samples) s UNPIVOT (value FOR metric IN (active_worker_threads, max_worker_threads, work_queue_count))".replace("per_sec_", "per_sec")),
     Query("counter_movement", lambda v: C.counter_movement(v.samples), "SELECT source_id, counter_name, arg_min(value, sample_order) AS first_value, arg_max(value, sample_order) AS last_value, count(*) AS n FROM samples WHERE value IS NOT NULL GROUP BY ALL"),
     Query("counter_delta", lambda v: C.counter_delta(v.samples), "SELECT source_id, counter_name, greatest(arg_max(value, sample_order) - arg_min(value, sample_order), 0) AS delta FROM samples WHERE value IS NOT NULL GROUP BY ALL"),
     Query("scheduler_samples", lambda v: C.scheduler_samples(v.samples), "SELECT source_id, positive, positive >= 2 AND scoped AS sustained FROM (SELECT source_id, count(*) FILTER (WHERE tasks > 0) AS positive, bool_or(NOT starts_with(k, 'r')) AS scoped FROM (SELECT source_id, coalesce(concat('s', CAST(sample_id AS VARCHAR)) , '') AS x, CASE WHEN sample_id IS NOT NULL THEN 's' || sample_id WHEN capture_s IS NOT NULL THEN 't' || capture_s ELSE 'r' || sample_order END AS k, sum(runnable_tasks) AS tasks FROM samples GROUP BY ALL) y GROUP BY source_id) z"),
@@ -184,10 +194,9 @@ QUERIES = [
     Query("finding_cap_rows", lambda v: R.cap_disclosure(_shown(found(v))), f"{CAPPED} SELECT rule_id, retained, suppressed, concat(CAST(retained AS VARCHAR), ' of ', CAST(retained + suppressed AS VARCHAR), ' findings of ', rule_id, ' are shown') AS message FROM (SELECT rule_id, count(*) FILTER (WHERE kept) AS retained, count(*) FILTER (WHERE NOT kept) AS suppressed FROM capped GROUP BY rule_id) z WHERE suppressed > 0"),
     Query("finding_order", lambda v: _shown(found(v)).orderBy(*R.finding_order()).select("rule_id", "subject"), f"{ALL} SELECT rule_id, subject FROM findings ORDER BY {_SEV} DESC, CASE confidence WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END DESC, round(impact, 6) DESC, subject"),
     Query("findings_view", lambda v: J.findings_view(_shown(found(v)), severity="High", text="1").select("rule_id", "subject"), f"{ALL} SELECT rule_id, subject FROM findings WHERE severity = 'High' AND concat_ws(chr(10), lower(rule_id), lower(subject)) LIKE '%1%'"),
-    Query("profile_routing", lambda v: found(v).select("rule_id", "subject", R.profile_routing(F.col("rule_id"), F.col("severity")).alias("profile")),
-          f"{ALL} SELECT rule_id, subject, CASE WHEN severity NOT IN ('Informational', 'Not Evaluated') THEN CASE rule_id WHEN 'WIA-BLOCKING' THEN 'cpu-blocking' WHEN 'WIA-SCHEDULER-PRESSURE' THEN 'cpu-blocking' WHEN 'WIA-WORKER-EXHAUSTION' THEN 'worker-exhaustion' WHEN 'WIA-COMPILE-PRESSURE' THEN 'compile-pressure' WHEN 'WIA-RESOURCE' THEN 'actual-plan' END END AS profile FROM findings"),
-    Query("recommendation_order", lambda v: R.recommendation_order(_shown(found(v))).select("rule_id", "subject", "severity"),
-          f"{ALL} SELECT rule_id, subject, severity FROM findings WHERE severity NOT IN ('Informational', 'Not Evaluated') AND rule_id IN ('WIA-BLOCKING', 'WIA-SCHEDULER-PRESSURE', 'WIA-WORKER-EXHAUSTION', 'WIA-COMPILE-PRESSURE', 'WIA-RESOURCE') ORDER BY {_SEV} DESC, round(impact, 6) DESC, subject"),
+    Query("profile_routing", lambda v: _routed(v).select("rule_id", "subject", "profile"), f"{_ROUTED} SELECT rule_id, subject, profile FROM routed"),
+    Query("recommendation_order", lambda v: R.recommendation_order(_routed(v)).select("rule_id", "subject", "severity"),
+          f"{_ROUTED} SELECT rule_id, subject, severity FROM routed WHERE profile IS NOT NULL ORDER BY {_SEV} DESC, impact DESC, subject"),
     Query("severity_profile", lambda v: J.severity_profile(found(v)),
           f"{ALL} SELECT s.severity, count(f.rule_id) AS n FROM (VALUES ('Critical'), ('High'), ('Medium'), ('Low'), ('Informational'), ('Not Evaluated')) s(severity) LEFT JOIN findings f USING (severity) GROUP BY s.severity"),
     Query("suppressed_signals", lambda v: R.suppressed_signals(acts(v), R.transient_rollup(R.wait_findings(acts(v)))), f"""WITH {WAIT}, {ROLLUP}, own AS (SELECT DISTINCT blocking_session_id AS s FROM acts WHERE blocking_session_id > 0) SELECT count(*) FILTER (WHERE wait_ms = 0 AND coalesce(blocking_session_id, 0) <= 0 AND wait_type NOT IN ('THREADPOOL', 'RESOURCE_SEMAPHORE_QUERY_COMPILE')) AS zero_duration_waits,

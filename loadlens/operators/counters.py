@@ -2,13 +2,45 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def read_counters(samples: DataFrame, metrics: list[str], keys: list[str]) -> DataFrame:
-    """Wide counter rows to (keys, metric, value), cells without a number left out."""
-    return samples.select(*keys, *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(keys, metrics, "metric", "value").where("value is not null")
+# The metrics that counter exports may have, and the columns by which their kinds are known, in order.
+METRICS = (
+    "processor_pct_time", "sqlserver_processes_pct_time", "signal_wait_time_pct", "batch_requests_per_sec", "runnable_tasks_count", "sql_compilations_per_sec", "sql_re_compilations_per_sec", "cache_hit_ratio_plan_cache_pct",
+    "resource_semaphore_query_compile_waiting_tasks", "active_worker_threads", "max_worker_threads", "work_queue_count", "pending_diskio_count", "memory_grants_pending", "memory_grants_outstanding", "granted_workspace_memory_kb",
+    "tempdb_data_file_size_kb", "resource_semaphore_waiting_tasks",
+)
+KINDS = (
+    ("Scheduler counters", ("processor_pct_time", "signal_wait_time_pct", "runnable_tasks_count")), ("Compilation counters", ("sql_compilations_per_sec", "batch_requests_per_sec")),
+    ("Worker counters", ("active_worker_threads", "max_worker_threads", "work_queue_count")), ("Memory counters", ("memory_grants_pending", "granted_workspace_memory_kb", "tempdb_data_file_size_kb")),
+    ("Query Store", ("query_id", "plan_id", "avg_duration_ms")), ("Query Store", ("query_id", "plan_id", "query_sql_text")),
+)
+
+
+def counter_kind(headers: list[str]) -> str | None:
+    """The kind of an export by its headers; null if it is none."""
+    there = {plain_header(h) for h in headers}
+    return next((kind for kind, needed in KINDS if there.issuperset(needed)), None)
+
+
+def plain_header(header: str) -> str:
+    return re.sub("[^a-z0-9]+", "_", header.removeprefix("\ufeff").strip().lower()).strip("_")
+
+
+def read_counters(table: DataFrame, keys: list[str]) -> DataFrame:
+    """A counter export, its columns under any spelling, to (keys, kind, metric, value); cells without a number are left out, and
+    so are columns that are no metric. A table of no known kind is an error."""
+    kind = counter_kind(table.columns)
+    if kind is None:
+        raise ValueError(f"no counter export: {', '.join(table.columns)}")
+    found = {m: c for c in table.columns if c not in keys and (m := plain_header(c)) in METRICS}
+    number = lambda c: F.replace(F.col(f"`{c}`").cast("string"), F.lit(","), F.lit("")).try_cast("double")
+    wide = table.select(*keys, *(number(c).alias(m) for m, c in found.items()))
+    return wide.unpivot(keys, list(found), "metric", "value").where("value is not null").select(*keys, F.lit(kind).alias("kind"), "metric", "value")
 
 
 def counter_movement(samples: DataFrame) -> DataFrame:

@@ -186,17 +186,28 @@ def finding_order() -> list[Column]:
     return [rank(F.col("severity"), SEVERITIES).desc(), rank(F.col("confidence"), CONFIDENCES).desc(), F.desc("impact"), F.asc("subject")]
 
 
-def recommendation_order(findings: DataFrame) -> DataFrame:
-    """Findings that have a profile, by severity, then impact."""
-    routed = findings.where(profile_routing(F.col("rule_id"), F.col("severity")).isNotNull())
-    return routed.orderBy(rank(F.col("severity"), SEVERITIES).desc(), F.desc("impact"), "subject")
+# The investigation profile of a rule's findings; that of blocking depends on the root.
+PROFILES = {
+    "WIA-WORKER-EXHAUSTION": "worker-exhaustion", "WIA-COMPILE-PRESSURE": "compile-pressure", "PLAN-SPILL": "spill-triage", "PLAN-MEMORY-GRANT": "memory-grants", "PLAN-SERIALIZATION": "plan-specific",
+    "PLAN-SCALAR-UDF": "plan-specific", "PLAN-CONVERT": "plan-specific", "PLAN-RESIDUAL-PREDICATE": "plan-specific", "PLAN-ESTIMATE": "plan-specific", "PLAN-RUNTIME-UNAVAILABLE": "actual-plan",
+}
+
+
+def profile_routing(findings: DataFrame, episodes: DataFrame) -> DataFrame:
+    """findings with their investigation profile, null for informational ones and rules without one. Blocking goes by the last
+    known state of its root, from the episodes of snapshots: runnable, or else a matter of its transaction."""
+    last = F.max_by("root_status", F.when(F.col("root_status").isNotNull(), F.coalesce("capture_s", F.lit(2**62))))
+    subject = F.concat_ws(":", "source_id", F.col("root").cast("string"), F.col("episode_no").cast("string"))
+    roots = episodes.groupBy("source_id", "root", "episode_no").agg(last.alias("root_state")).select(F.lit("WIA-BLOCKING").alias("rule_id"), subject.alias("subject"), "root_state")
+    blocking = F.when(F.col("root_state") == "runnable", "cpu-backed-blocking").otherwise("transaction-blocking")
+    grants = (F.col("rule_id") == "WIA-WAIT") & F.upper("subject").contains("RESOURCE_SEMAPHORE")
+    route = F.when(F.col("rule_id") == "WIA-BLOCKING", blocking).when(grants, "memory-grants").otherwise(rank(F.col("rule_id"), PROFILES))
+    return findings.join(roots, ["rule_id", "subject"], "left").withColumn("profile", F.when(F.col("severity") != "Informational", route)).drop("root_state")
 
 
-def profile_routing(rule: Column, severity: Column) -> Column:
-    """The investigation profile of a finding; none for informational ones."""
-    to = {"WIA-BLOCKING": "cpu-blocking", "WIA-WORKER-EXHAUSTION": "worker-exhaustion", "WIA-COMPILE-PRESSURE": "compile-pressure", "WIA-RESOURCE": "actual-plan", "WIA-SCHEDULER-PRESSURE": "cpu-blocking", "PLAN-SPILL": "spill", "PLAN-MEMORY-GRANT": "memory-grant"}
-    route = F.element_at(F.create_map(*(F.lit(x) for kv in to.items() for x in kv)), rule)
-    return F.when(~severity.isin("Informational", "Not Evaluated"), F.coalesce(route, F.when(rule.startswith("PLAN-"), "plan-specific")))
+def recommendation_order(routed: DataFrame) -> DataFrame:
+    """Findings that have a profile, by severity, then impact."""
+    return routed.where("profile is not null").orderBy(rank(F.col("severity"), SEVERITIES).desc(), F.desc("impact"), "subject")
 
 
 def suppressed_signals(acts: DataFrame, findings: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
