@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +70,20 @@ def rows_with(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, name, "left_semi")
 
 
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 16_000_000):
+    """Within it, jobs hand at most about so many bytes to Python at once; else a batch is bounded by its rows alone."""
+    before = spark.conf.get(_BATCH_CONF, None)
+    spark.conf.set(_BATCH_CONF, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH_CONF) if before is None else spark.conf.set(_BATCH_CONF, before)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from loadlens.llm.common import discard, materialize, rows_with
+from loadlens.llm.common import discard, materialize, rows_with, small_batches
 from loadlens.llm.graph import components
 
 _MASK48 = np.uint64((1 << 48) - 1)
@@ -49,7 +49,7 @@ class _Words(dict):
     """64-bit hashes of words; emptied when large, so that memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -200,7 +200,7 @@ def _keys(n: int, percent: int, hot: frozenset, every: int = 1):
                         fp = _fingerprint(h)
                         if fp in met:
                             continue
-                        if len(met) > 200_000:
+                        if len(met) > 100_000:
                             met.clear()
                         met.add(fp)
                     k = sketch_keys(h, percent)
@@ -324,6 +324,11 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc
     a doc_id are one vertex, linked by any of their texts; a null doc_id links with nothing and has a null
     component_id. Other columns are ignored. An empty table gives an empty table.
     """
+    with small_batches(docs.sparkSession):  # all that goes through Python is written before it returns
+        return _components(docs, shingle, percent, doc_id, text)
+
+
+def _components(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str) -> DataFrame:
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = materialize(base.mapInArrow(_sets(shingle), "doc_id long, n_shingles long, fp_hi long, fp_lo long, coarse array<long>, fine array<long>"), "sets")
     alive = sets.where("n_shingles > 0 and doc_id is not null")
