@@ -12,10 +12,26 @@ from loadlens.llm import edit_decontam, mixing, nblr_toxicity, parity_join, tier
 from loadlens.llm.common import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The key of a row inside a stage; no column of docs comes into a stage's own tables but COLUMNS and this.
+KEY = "__row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with COLUMNS and a key for each row: doc_id where that is unique, else a number in the order of doc_id, nulls last,
+    then of the texts' hashes; equal rows have keys of their own."""
+    rows = docs.select(*COLUMNS)
+    shared = rows.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if shared.isEmpty():
+        return rows.withColumn(KEY, F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text", "lang", "source", "n_chars")]
+    return materialize(rows.orderBy(*order).withColumn(KEY, F.monotonically_increasing_id()), "keyed")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose whole text the classifier does not call toxic. It learns from all labelled documents but the held-out fifth."""
+    """Rows whose whole text the classifier does not call toxic. It learns from all labelled documents but the held-out fifth.
+
+    Each row is judged by its text alone, so null and repeated doc_ids, null and empty texts and ties are no matter; columns
+    beyond COLUMNS are dropped; an empty table gives an empty table."""
     learn = table(spark, sf_dir, "documents").where(~nblr_toxicity.held_out())
     model = nblr_toxicity.train(learn, table(spark, sf_dir, "labels"))
     columns = docs.select(*COLUMNS)
@@ -23,31 +39,42 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each component of five-word shingle sets at 0.8, one if rows share it; rows
-    with a null doc_id stay."""
-    found = parity_join.jaccard_components(docs, shingle=5, percent=80)
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """One row of each component of five-word shingle sets at 0.8: that with the smallest doc_id.
+
+    Rows are compared as rows, also those that share a doc_id or have none (they come last); of equal doc_ids the one with
+    the smallest hash stays, of equal rows one. Null, empty and blank texts link with nothing and all stay. Columns beyond
+    COLUMNS are dropped; an empty table gives an empty table."""
+    rows = _keyed(docs)
+    found = parity_join.jaccard_components(rows, shingle=5, percent=80, doc_id=KEY)
+    others = found.where("doc_id <> component_id").select(F.col("doc_id").alias(KEY))
+    return rows.join(others, KEY, "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark item within its edit budget."""
-    leaky = edit_decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(leaky, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows that hold no benchmark item within its edit budget.
+
+    Each row is judged by its own text, also where rows share a doc_id or have none; null and empty texts hold nothing.
+    Columns beyond COLUMNS are dropped; an empty table gives an empty table."""
+    rows = _keyed(docs)
+    leaky = edit_decontam.leaks(rows.select(F.col(KEY).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(KEY)).distinct()
+    return rows.join(leaky, KEY, "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it: not at all, once or twice."""
-    times = mixing.mix_sources(docs).where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times"))
-    t, d = times.alias("t"), docs.select(*COLUMNS).alias("d")
-    taken = d.join(t, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))).select("d.*", F.explode(F.sequence(F.lit(1), "times")).alias("nth"))
-    return taken.select(*COLUMNS)
+    """Each row as often as the mix takes it: not at all, once or twice.
+
+    Rows are drawn one by one, also where they share a doc_id or have none, so the words per source meet the targets.
+    A null source is a source; rows without words are not taken. Columns beyond COLUMNS are dropped; an empty table gives
+    an empty table."""
+    rows = _keyed(docs)
+    times = mixing.mix_sources(rows.select(F.col(KEY).alias("doc_id"), "text", "source")).where("times > 0").select(F.col("doc_id").alias(KEY), "times")
+    return rows.join(times, KEY).select(*COLUMNS, F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, shard, shard_bytes, version) for each row, from the shards that were written."""
-    return tier_compaction.shard_map(docs)
+    """(doc_id, shard, shard_bytes, version) for each row, from the shards that were written: repeated rows, null doc_ids and
+    null or empty texts have a row each. An empty table gives an empty table."""
+    return tier_compaction.shard_map(docs.select(*COLUMNS))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
