@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
@@ -26,6 +27,12 @@ _MERGES_PER_JOB = 128
 #: Every version with a number of this kind lists all shards; the others say what changed.
 _LIST_EVERY = 16
 _UNION = "spark.sql.unionOutputPartitioning"
+#: A shard's place in the store: the write that made it, the arrival if there is one, and the file.
+_PLACE = r"/data/([0-9a-f]{32}/(?:[^/]+/)?[^/]+\.parquet)$"
+
+
+def _below(path: str) -> str:
+    return re.search(_PLACE, path)[1]
 
 
 @dataclass(frozen=True)
@@ -231,7 +238,7 @@ def shard_map(docs: DataFrame, **options) -> DataFrame:
     store, rows = shard_documents(docs, **options)
     spark = docs.sparkSession
     shards = store.shards()
-    # a row per shard, about target_bytes of documents each
-    names = spark.createDataFrame([(s.path.rpartition("/")[2], i, s.bytes) for i, s in enumerate(shards)], "file string, shard int, shard_bytes long")
-    placed = rows.select("doc_id", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
+    # a row per shard, about target_bytes of documents each; files of one task share their name, so the place below data/ tells
+    names = spark.createDataFrame([(_below(s.path), i, s.bytes) for i, s in enumerate(shards)], "file string, shard int, shard_bytes long")
+    placed = rows.select("doc_id", F.regexp_extract(F.input_file_name(), _PLACE, 1).alias("file"))
     return placed.join(names, "file", "left").select("doc_id", "shard", "shard_bytes", F.lit((store.versions() or [0])[-1]).alias("version"))

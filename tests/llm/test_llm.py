@@ -591,6 +591,22 @@ def test_shards_keep_every_row(spark):
     assert tier_compaction.shard_map(none(spark), arrivals=2).count() == 0
 
 
+@pytest.mark.parametrize("target", [20_000, 100_000, 64_000_000])
+def test_shard_map_names_the_shard_that_holds_the_row(spark, target):
+    """Also shards above the target, which no merge ever renames: each row once, with the place of the shard that holds it."""
+    docs = table(spark, "documents").repartition(3)
+    docs = docs.unionByName(docs.limit(1))
+    placed = tier_compaction.shard_map(docs, arrivals=4, target_bytes=target).collect()
+    assert Counter(r.doc_id for r in placed) == Counter(r.doc_id for r in docs.collect())
+    assert all(r.shard is not None and r.shard_bytes > 0 for r in placed)
+    store, rows = tier_compaction.shard_documents(docs, arrivals=4, target_bytes=target)
+    held = {(tuple(sorted(r.doc_id for r in spark.read.parquet(s.path).collect())), s.bytes) for s in store.shards()}
+    shards = defaultdict(list)
+    for r in placed:
+        shards[r.shard, r.shard_bytes].append(r.doc_id)
+    assert sorted(tuple(sorted(v)) for v in shards.values()) == sorted(ids for ids, _ in held)
+
+
 def test_compaction_reaches_the_target(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     store = tier_compaction.ShardStore(spark, tier_compaction.scratch_path(spark, "t"), target_bytes=400_000, fanout=4)
