@@ -16,6 +16,7 @@ from loadlens.llm.feistel_pii import pseudonymise
 from loadlens.llm.mixing import mix_sources
 from loadlens.llm.parity_join import jaccard_components
 from loadlens.llm.resync_tokens import token_counts
+from loadlens.llm.spelling_variants import group_variants
 from loadlens.llm.tier_compaction import shard_map
 from loadlens.llm.zip_warc import round_trip
 
@@ -66,8 +67,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(table(spark, sf_dir, "documents"), delete_every=31)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_windows, op2_source_mix, op3_ngram_jaccard, op4_decontamination, op5_warc_zip, op6_pseudonyms, op7_toxicity, op8_embedding_links, op9_shards, op10_token_counts)
+    found = (op1_chat_windows, op2_source_mix, op3_ngram_jaccard, op4_decontamination, op5_warc_zip, op6_pseudonyms, op7_toxicity, op8_embedding_links, op9_shards, op10_token_counts, op13_spelling_variants)
     return {f.__name__: f for f in found}
 
 
