@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loadlens.llm import nblr_toxicity
 from loadlens.llm.chat_windows import format_windows, read_back
 from loadlens.llm.common import materialize, table
+from loadlens.llm.cover_negatives import mine
 from loadlens.llm.edit_decontam import leaks
 from loadlens.llm.ego_join import near_vectors
 from loadlens.llm.feistel_pii import pseudonymise
@@ -67,12 +68,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of every seventh vector are moved on by one, and components become whole numbers, as the contract has it."""
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(256 * x))
+    fine = F.forall(F.col("embedding").cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return mine(table(spark, sf_dir, "embeddings").where(fine).select("vec_id", label.alias("label"), whole.alias("v")), F.col("vec_id") % 100 == 0)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(table(spark, sf_dir, "documents"), delete_every=31)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_windows, op2_source_mix, op3_ngram_jaccard, op4_decontamination, op5_warc_zip, op6_pseudonyms, op7_toxicity, op8_embedding_links, op9_shards, op10_token_counts, op13_spelling_variants)
+    found = (op1_chat_windows, op2_source_mix, op3_ngram_jaccard, op4_decontamination, op5_warc_zip, op6_pseudonyms, op7_toxicity, op8_embedding_links, op9_shards, op10_token_counts, op11_hard_negatives, op13_spelling_variants)
     return {f.__name__: f for f in found}
 
 
@@ -106,7 +115,16 @@ WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embedd
 links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM fine x JOIN fine y ON x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.95), {_REACH.format(id="vec_id", table="embeddings")}
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN (SELECT v, min(u) AS component_id FROM reach GROUP BY v) r ON r.v = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = vec_id"""
 
+_OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+pairs AS (SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor, other, score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5)
+SELECT p.anchor AS anchor_id, p.other AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+WINDOW w AS (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other) QUALIFY row_number() OVER w <= 5"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express. The others are tested against brute force, round trips and held-out accuracy."""
-    return {"op1_chat_windows": _OP1.strip(), "op3_ngram_jaccard": _OP3.strip(), "op5_warc_zip": _OP5.strip(), "op8_embedding_links": _OP8.strip()}
+    return {"op1_chat_windows": _OP1.strip(), "op3_ngram_jaccard": _OP3.strip(), "op5_warc_zip": _OP5.strip(), "op8_embedding_links": _OP8.strip(), "op11_hard_negatives": _OP11.strip()}
