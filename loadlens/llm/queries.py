@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.llm import nblr_toxicity
+from loadlens.llm import maxent_lm, nblr_toxicity
 from loadlens.llm.chat_windows import format_windows, read_back
 from loadlens.llm.common import materialize, table
 from loadlens.llm.cover_negatives import mine
@@ -76,12 +76,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(table(spark, sf_dir, "embeddings").where(fine).select("vec_id", label.alias("label"), whole.alias("v")), F.col("vec_id") % 100 == 0)
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score_texts(table(spark, sf_dir, "documents"), maxent_lm.held_out())
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(table(spark, sf_dir, "documents"), delete_every=31)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_windows, op2_source_mix, op3_ngram_jaccard, op4_decontamination, op5_warc_zip, op6_pseudonyms, op7_toxicity, op8_embedding_links, op9_shards, op10_token_counts, op11_hard_negatives, op13_spelling_variants)
+    found = (op1_chat_windows, op2_source_mix, op3_ngram_jaccard, op4_decontamination, op5_warc_zip, op6_pseudonyms, op7_toxicity, op8_embedding_links, op9_shards, op10_token_counts, op11_hard_negatives, op12_lm_scores, op13_spelling_variants)
     return {f.__name__: f for f in found}
 
 
