@@ -15,6 +15,7 @@ from loadlens.operators import guide as G
 from loadlens.operators import inventory as J
 from loadlens.operators import rules as R
 from loadlens.operators.thresholds import Thresholds
+from loadlens.sources import delimited as D
 from loadlens.sources import files as W
 from loadlens.sources import inputs as I
 from loadlens.sources.files import saved
@@ -27,12 +28,12 @@ def _written(v, df, label, **options):
 
 
 def _read_capture(v):
-    """All of activity, a third of it by each separator, side by side."""
+    """All of activity, a third of it by each separator, side by side, with cells over two lines and quotes in quotes."""
     rows = v.activity.select("row_number", F.when(F.col("row_number") % 50 != 0, F.concat(F.lit('said "x;y"\n'), F.coalesce("sql_text", F.lit("none")))).alias("text"), "status")
     path = W.shared_path(v.spark, "capture")
-    for i, sep in enumerate(W.SEPARATORS):
+    for i, sep in enumerate(D.SEPARATORS):
         rows.where(F.col("row_number") % 3 == i).write.options(sep=sep, escape='"', quoteAll=True).csv(f"{path}/{i}")
-    return W.read_capture(v.spark, path).select(F.col("_c0").cast("long").alias("row_number"), F.nullif("_c1", F.lit("")).alias("text"), F.col("_c2").alias("status"))
+    return D.read_capture(v.spark, path).select(F.col("cells")[0].cast("long").alias("row_number"), F.nullif(F.col("cells")[1], F.lit("")).alias("text"), F.col("cells")[2].alias("status"))
 
 
 #: Files of derived rows are bounded, so that their number grows with the tables.
@@ -50,8 +51,8 @@ def _encodings(v):
     rows = _parted(v.activity).select("part", F.col("row_number").cast("string"), F.concat(F.lit("é "), F.coalesce("status", F.lit("none"))))
     rows.where("part % 2 = 0").write.partitionBy("part").csv(f"{path}/encoding=u8")
     rows.where("part % 2 = 1").write.partitionBy("part").option("encoding", "UTF-16").csv(f"{path}/encoding=u16")
-    back = W.read_capture(v.spark, path)
-    return back.groupBy(F.col("_encoding").alias("encoding")).agg(F.countDistinct("_path").alias("count"), F.count("*").alias("n_rows"), F.count_if(F.col("_c1").startswith("é ")).alias("n_read"), F.sum(F.col("_c0").cast("long")).alias("row_numbers"))
+    back = D.read_capture(v.spark, path)
+    return back.groupBy("encoding").agg(F.countDistinct("path").alias("count"), F.count("*").alias("n_rows"), F.count_if(F.col("cells")[1].startswith("é ")).alias("n_read"), F.sum(F.col("cells")[0].cast("long")).alias("row_numbers"))
 
 
 def _cells(v):

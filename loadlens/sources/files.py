@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loadlens.functions import scalars as S
 
-SEPARATORS = (",", "\t", ";")
 #: Files from this size are reported and not read.
 MOST_BYTES = 100_000_000
 
@@ -35,41 +33,6 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Characters of a file that are looked at for its separator and its byte order.
-_HEAD = 65_536
-
-
-def heads(spark: SparkSession, path: str) -> DataFrame:
-    """(path, encoding, separator) of each file below path: the encoding by the mark of the byte order, the separator by which
-    of them is most frequent outside quotes in the first eight lines that are not empty, earlier ones first on ties."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.substring("content", 1, _HEAD).alias("head"))
-    mark = F.hex(F.substring("head", 1, 2))
-    encoding = F.when(mark == "FFFE", "UTF-16LE").when(mark == "FEFF", "UTF-16BE").otherwise("UTF-8")
-    # an odd last byte of a cut head is no matter: what is counted lies before it
-    text = F.when(encoding == "UTF-16LE", F.decode("head", "UTF-16LE")).when(encoding == "UTF-16BE", F.decode("head", "UTF-16BE")).otherwise(F.decode("head", "UTF-8"))
-    lines = F.slice(F.filter(F.split("text", r"\r\n|\r|\n"), lambda x: F.trim(x) != ""), 1, 8)
-    bare = F.array_join(F.transform("lines", lambda x: F.array_join(F.filter(F.split(x, '"'), lambda part, i: i % 2 == 0), "")), "\n")
-    times = lambda s: F.length("bare") - F.length(F.replace(F.col("bare"), F.lit(s), F.lit("")))
-    best = F.array_max(F.array(*(F.struct(times(s).alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(SEPARATORS))))["s"]
-    return files.select("path", encoding.alias("encoding"), text.alias("text")).withColumn("lines", lines).withColumn("bare", bare).select("path", "encoding", best.alias("separator"))
-
-
-def read_capture(spark: SparkSession, path: str) -> DataFrame:
-    """Delimited text as rows _c0, _c1, …, headers included, each file by its own separator and encoding; _path and _encoding
-    say where a row is from. Blank rows are dropped, quoted cells may span lines."""
-    # a row for each form of file comes to the driver, with the paths that Spark's reader needs there
-    forms = heads(spark, path).groupBy("encoding", "separator").agg(F.collect_list("path").alias("paths")).orderBy("encoding", "separator").collect()
-    out = None
-    for form in forms:
-        rows = spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"').option("sep", form.separator).option("encoding", form.encoding).csv(form.paths)
-        if not rows.columns:
-            continue
-        filled = reduce(lambda x, y: x | y, (F.coalesce(F.trim(c) != "", F.lit(False)) for c in rows.columns))
-        rows = rows.where(filled).withColumns({rows.columns[0]: F.regexp_replace(rows.columns[0], "^\ufeff", ""), "_encoding": F.lit(form.encoding), "_path": F.col("_metadata.file_path")})
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out if out is not None else spark.createDataFrame([], "_c0 string, _encoding string, _path string")
-
-
 def normalize_activity(cells: DataFrame) -> DataFrame:
     """Typed rows from text cells: reported deltas before cumulative counters, duration from its text or from the times."""
     n = lambda c: S.as_number(F.col(c)) if c in cells.columns else F.lit(None).cast("double")

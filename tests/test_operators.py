@@ -13,6 +13,7 @@ from loadlens.operators import spill as P
 from loadlens.plans import shred as H
 from loadlens.plans.reader import shred_one
 from loadlens.sources import files as W
+from loadlens.sources.delimited import read_capture
 
 COLUMNS = "row_number long, source_id string, session_id long, request_id long, capture_s int, start_s int, login_s int, duration_seconds double, blocking_session_id long, blocked_session_count long, wait_info string, cpu double, reads double, writes double, used_memory double, tempdb_current double, status string, open_tran_count long, tran_start_s int, implicit_tran boolean, sql_text string"
 
@@ -123,9 +124,9 @@ def test_capture_with_any_separator(spark, tmp_path, sep):
     (tmp_path / "c.csv").write_text(f'a{sep}b\n"x{sep}\ny"{sep}"say ""hi"""\n\n1{sep}2\n')
     other = ";" if sep == "," else ","
     (tmp_path / "d.csv").write_text(f'{other.join("cdef")}\n', encoding="utf-16")
-    rows = W.read_capture(spark, f"file://{tmp_path}").collect()
-    assert [(r._c0, r._c3, r._encoding) for r in rows if r._path.endswith("d.csv")] == [("c", "f", "UTF-16LE")]
-    got = [(r._c0, r._c1) for r in rows if r._path.endswith("c.csv")]
+    rows = sorted(read_capture(spark, f"file://{tmp_path}").collect(), key=lambda r: r.line)
+    assert [(r.cells[0], r.cells[3], r.encoding) for r in rows if r.path.endswith("d.csv")] == [("c", "f", "UTF-16LE")]
+    got = [tuple(r.cells) for r in rows if r.path.endswith("c.csv")]
     assert got == [("a", "b"), (f"x{sep}\ny", 'say "hi"'), ("1", "2")]
 
 
