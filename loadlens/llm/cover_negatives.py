@@ -32,7 +32,7 @@ from loadlens.llm.common import materialize, small_batches
 PIVOT_SAMPLE, _PIVOTS = 10_000, 64
 #: Most vectors and bytes of a block, which has _LEAST vectors of any length; members of a leaf, children of a node, and nodes
 #: that are opened at once.
-_BLOCK, _BLOCK_BYTES, _LEAST, _LEAF, _FANOUT, _OPENED = 4096, 16_000_000, 256, 32, 32, 64
+_BLOCK, _BLOCK_BYTES, _LEAST, _LEAF, _FANOUT, _OPENED = 4096, 16_000_000, 256, 64, 16, 64
 #: Anchors that travel together; bits of a row's place inside its block.
 _TOGETHER, _PLACE_BITS = 64, 20
 _ANY = 1 << 62
@@ -98,49 +98,64 @@ class CoverTree:
         spans = [sorted_[a:b] if b > a else sorted_[:1] for a, b in zip(start, stop, strict=True)]
         return cls(x, labels, order, centre, radius * (1 + 1e-9) + 1e-6, start, stop, first, last, np.array([s.min() for s in spans]), np.array([s.max() for s in spans]))
 
-    def nearest(self, ids: np.ndarray, q: np.ndarray, label: int, same: bool, own: int, windows: list[tuple[int, int]], count: int, top: float) -> list[list[tuple[int, int]]]:
-        """For each window (low, high): the first count (score, id) with a score in it, by falling score, then id, among the
-        rows that have the label (same) or another; own is a row that is left out."""
-        found: list[list[tuple[int, int]]] = [[] for _ in windows]
-        low, high = np.array([w[0] for w in windows], np.float64), np.array([w[1] for w in windows], np.float64)
+    def nearest(self, ids: np.ndarray, q: np.ndarray, label: np.ndarray, same: bool, own: np.ndarray, windows: list[list[tuple[int, int]]], count: int, top: float) -> list[list[list[tuple[int, int]]]]:
+        """For each anchor, a row of q, and each of its windows (low, high): the first count (score, id) with a score in it, by
+        falling score, then id, among the rows that have the anchor's label (same) or another; own is a row that is left out,
+        or -1. The anchors descend together, each node as long as one of them wants it."""
+        wide = max(map(len, windows), default=0)
+        found: list[list[list[tuple[int, int]]]] = [[[] for _ in w] for w in windows]
+        low, high = np.full((wide, len(q)), np.inf), np.full((wide, len(q)), -np.inf)
+        for a, ws in enumerate(windows):
+            for w, (least, most) in enumerate(ws):
+                low[w, a], high[w, a] = least, most
         floor = low.copy()  # no lower score is wanted any more
-        sum_ = float(q @ q) + top
+        sum_ = np.einsum("ij,ij->i", q, q) + top
         slack = 0.5 + 1e-9 * sum_  # scores are whole numbers
 
-        def bounds(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            d, r = np.sqrt(np.maximum(0.0, sum_ - 2 * (self.x[self.centre[nodes]] @ q))), self.radius[nodes]
-            return (sum_ - np.maximum(0.0, d - r) ** 2) / 2 + slack, (sum_ - (d + r) ** 2) / 2 - slack
-
-        def wanted(nodes: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
-            fits = ((upper[:, None] >= floor) & (lower[:, None] <= high)).any(axis=1)
-            return fits & ((self.least[nodes] <= label) & (label <= self.most[nodes]) if same else (self.least[nodes] != label) | (self.most[nodes] != label))
-
-        heap: list[tuple[float, float, int]] = []
+        def wanted(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Whether some anchor wants a node, and the highest bound among those that do."""
+            d, r = np.sqrt(np.maximum(0.0, sum_ - 2 * (self.x[self.centre[nodes]] @ q.T))), self.radius[nodes][:, None]
+            upper, lower = (sum_ - np.maximum(0.0, d - r) ** 2) / 2 + slack, (sum_ - (d + r) ** 2) / 2 - slack
+            least, most = self.least[nodes][:, None], self.most[nodes][:, None]
+            fits = np.zeros(upper.shape, bool)
+            for w in range(wide):
+                fits |= (upper >= floor[w]) & (lower <= high[w])
+            fits &= (least <= label) & (label <= most) if same else (least != label) | (most != label)
+            return fits.any(axis=1), np.where(fits, upper, -np.inf).max(axis=1, initial=-np.inf)
 
         def offer(nodes: np.ndarray) -> None:
-            upper, lower = bounds(nodes)
-            for i in np.flatnonzero(wanted(nodes, upper, lower)):
-                heapq.heappush(heap, (-upper[i], lower[i], int(nodes[i])))
-
+            some, upper = wanted(nodes)
+            for i in np.flatnonzero(some):
+                heapq.heappush(heap, (-upper[i], int(nodes[i])))
+
+        def verify(rows: np.ndarray) -> None:
+            scores = self.x[rows] @ q.T
+            fit = ((self.labels[rows][:, None] == label) == same) & (rows[:, None] != own)
+            for w in range(wide):
+                r, a = np.nonzero(fit & (scores >= floor[w]) & (scores <= high[w]))
+                if not len(r):
+                    continue
+                hit, name = scores[r, a], ids[rows[r]]
+                order = np.lexsort((name, -hit, a))
+                a, hit, name = a[order], hit[order], name[order]
+                begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+                for i, j in zip(begin, np.append(begin[1:], len(a)), strict=True):
+                    k, j = int(a[i]), min(j, i + count)
+                    best = sorted([*found[k][w], *zip(hit[i:j].astype(np.int64).tolist(), name[i:j].tolist(), strict=True)], key=lambda f: (-f[0], f[1]))[:count]
+                    found[k][w] = best
+                    if len(best) == count:
+                        floor[w, k] = max(floor[w, k], best[-1][0])
+
+        heap: list[tuple[float, int]] = []
         offer(np.zeros(1, np.int64))
-        while heap and -heap[0][0] >= floor.min():
-            batch = [heapq.heappop(heap) for _ in range(min(_OPENED, len(heap)))]
-            up, lo, at = (np.array(c) for c in zip(*batch, strict=True))
-            at = at[wanted(at, -up, lo)]  # found since they were offered
+        while heap:
+            at = np.array([heapq.heappop(heap)[1] for _ in range(min(_OPENED, len(heap)))])
+            at = at[wanted(at)[0]]  # found since they were offered
             leaves, inner = at[self.first[at] == 0], at[self.first[at] > 0]
             if len(leaves):
-                rows = np.concatenate([self.order[a:b] for a, b in zip(self.start[leaves], self.stop[leaves], strict=True)])
-                rows = rows[((self.labels[rows] == label) == same) & (rows != own)]
-                scores = self.x[rows] @ q
-                for w in range(len(windows)):
-                    hit = np.flatnonzero((scores >= floor[w]) & (scores <= high[w]))
-                    if len(hit):
-                        best = hit[np.lexsort((ids[rows[hit]], -scores[hit]))[:count]]
-                        found[w] = sorted([*found[w], *((int(scores[i]), int(ids[rows[i]])) for i in best)], key=lambda f: (-f[0], f[1]))[:count]
-                        if len(found[w]) == count:
-                            floor[w] = max(floor[w], found[w][-1][0])
+                verify(np.concatenate([self.order[i:j] for i, j in zip(self.start[leaves], self.stop[leaves], strict=True)]))
             if len(inner):
-                offer(np.concatenate([np.arange(a, b) for a, b in zip(self.first[inner], self.last[inner], strict=True)]))
+                offer(np.concatenate([np.arange(i, j) for i, j in zip(self.first[inner], self.last[inner], strict=True)]))
         return found
 
 
@@ -215,7 +230,10 @@ def _anchors(pivots: np.ndarray, dim: int, top: float, count: int):
                 ids, tree = _open(row, dim, top)
                 q = tree.x[at]
                 gaps = np.sqrt(np.maximum(0.0, np.einsum("ij,ij->i", q, q)[:, None] + top - 2 * q @ pivots.T))
-                own = [tree.nearest(ids, q[i], int(tree.labels[k]), True, int(k), [(-_ANY, _ANY)], count, top)[0] for i, k in enumerate(at)]
+                own = []
+                for i in range(0, len(at), _TOGETHER):
+                    some = at[i : i + _TOGETHER]
+                    own += [f[0] for f in tree.nearest(ids, tree.x[some], tree.labels[some], True, some, [[(-_ANY, _ANY)]] * len(some), count, top)]
                 key = (row["block"] << _PLACE_BITS) + at
                 yield pa.RecordBatch.from_pydict({
                     "key": pa.array(key), "together": pa.array((row["block"] << _PLACE_BITS) + np.arange(len(at)) // _TOGETHER), "anchor_id": pa.array(ids[at]), "label": pa.array(tree.labels[at]), "q": list(q), "gaps": list(gaps),
@@ -237,10 +255,11 @@ def _search(dim: int, top: float, same: bool, count: int):
                 if row["who"] is None:
                     block, (ids, tree) = row["block"], _open(row, dim, top)
                     continue
-                for a in row["who"]:
-                    own = a["key"] & ((1 << _PLACE_BITS) - 1) if a["key"] >> _PLACE_BITS == block else -1
-                    found = tree.nearest(ids, np.array(a["q"], np.float64), a["label"], same, own, [(w["low"], w["high"]) for w in a["windows"]], count, top)
-                    out += [(a["key"], w["window"], id_, score) for w, f in zip(a["windows"], found, strict=True) for score, id_ in f]
+                who = row["who"]
+                own = np.array([a["key"] & ((1 << _PLACE_BITS) - 1) if a["key"] >> _PLACE_BITS == block else -1 for a in who])
+                windows = [[(w["low"], w["high"]) for w in a["windows"]] for a in who]
+                found = tree.nearest(ids, np.array([a["q"] for a in who], np.float64), np.array([a["label"] for a in who]), same, own, windows, count, top)
+                out += [(a["key"], w["window"], id_, score) for a, fs in zip(who, found, strict=True) for w, f in zip(a["windows"], fs, strict=True) for score, id_ in f]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["key", "window", "id", "score"])
 

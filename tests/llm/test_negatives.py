@@ -80,8 +80,10 @@ def test_empty(spark):
     assert mine(spark.createDataFrame(vectors(20), ROWS), F.lit(False)).count() == 0
 
 
-def test_descent_opens_few_nodes():
+def test_descent_opens_few_nodes(monkeypatch):
     """Far clusters are never verified: their nodes' bounds exclude them."""
+    for name, value in (("_LEAF", 16), ("_OPENED", 8)):
+        monkeypatch.setattr(cover_negatives, name, value)
     rng = np.random.default_rng(1)
     centres = rng.integers(-200, 200, (64, 16))
     x = np.concatenate([c + rng.integers(-3, 3, (60, 16)) for c in centres]).astype(float)
@@ -97,7 +99,7 @@ def test_descent_opens_few_nodes():
     tree.x = x.view(Watched)
     for k in range(0, len(x), 311):
         seen.clear()
-        got = tree.nearest(ids, x[k], int(labels[k]), True, k, [(-(1 << 62), 1 << 62)], 5, top)[0]
+        got = tree.nearest(ids, x[k : k + 1], labels[k : k + 1], True, np.array([k]), [[(-(1 << 62), 1 << 62)]], 5, top)[0][0]
         scores = x @ x[k]
         assert got == [(int(scores[i]), int(i)) for i in np.lexsort((ids, -scores)) if labels[i] == labels[k] and i != k][:5]
         assert sum(seen) < len(x) / 2
