@@ -6,7 +6,7 @@ from importlib import import_module
 
 from loadlens.catalog.base import Query
 
-MODULES = ("scalars", "activity", "rules", "joins", "plans", "evidence", "reports", "files")
+MODULES = ("scalars", "activity", "rules", "joins", "plans", "adapters", "evidence", "reports", "files")
 
 
 def queries() -> dict[str, Query]:

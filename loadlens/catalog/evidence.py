@@ -2,78 +2,110 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadlens.catalog import adapters as A2
 from loadlens.catalog.activity import acts
+from loadlens.catalog.adapters import SIGNALS
 from loadlens.catalog.base import Query
 from loadlens.catalog.plans import _GOOD, read_operators
-from loadlens.catalog.rules import ALL, found
+from loadlens.operators import adapters as X
 from loadlens.operators import evidence as E
 from loadlens.operators import history as H
 from loadlens.operators import inventory as J
-
-# Evidence of five cases: counter samples by capture, locks, memory grants, the plan cache, and plan look-ups.
-_K = "CAST(CAST(substr(plan_id, 6) AS INTEGER) % 5 AS VARCHAR)"
-ART = f"""art AS (SELECT DISTINCT concat(source_id, ':', CAST(capture_s AS VARCHAR)) AS artifact_id, source_id AS case_id, capture_s AS at_s FROM samples UNION ALL SELECT DISTINCT concat('locks-', CAST(session_id % 50 AS VARCHAR)), concat('ctr-', CAST(session_id % 5 AS VARCHAR)), NULL FROM locks
- UNION ALL SELECT DISTINCT concat('grants-', CAST(database_id AS VARCHAR)), concat('ctr-', CAST(database_id AS VARCHAR)), NULL FROM plan_stmts UNION ALL SELECT DISTINCT concat('cache-', CAST(database_id AS VARCHAR)), concat('ctr-', CAST(database_id AS VARCHAR)), NULL FROM spills
- UNION ALL SELECT DISTINCT plan_id, concat('ctr-', {_K}), CASE WHEN CAST(substr(plan_id, 6) AS INTEGER) % 4 > 0 THEN CAST(substr(plan_id, 6) AS INTEGER) % 40 * 15 END FROM plan_stmts),
-root AS (SELECT concat('ctr-', {_K}) AS case_id, arg_min(query_hash, statement_id) AS h FROM plan_stmts GROUP BY 1), tied AS (SELECT DISTINCT plan_id AS artifact_id FROM plan_stmts p JOIN root r ON r.case_id = concat('ctr-', {_K}) AND r.h = p.query_hash),
-win AS (SELECT source_id AS case_id, min(capture_s) + 60 AS f, max(capture_s) - 200 AS l FROM samples GROUP BY 1),
-flags AS (SELECT concat(source_id, ':', CAST(capture_s AS VARCHAR)) AS artifact_id, [CASE WHEN bool_or(active_workers >= max_workers AND work_queue > 0) THEN 'worker-exhaustion-confirmed' END, CASE WHEN bool_or(work_queue > 0) THEN 'worker-queue' END, CASE WHEN bool_or(batches > 0 AND compilations >= 0.1 * batches) THEN 'compilation-pressure' END] AS s FROM samples GROUP BY 1
- UNION ALL SELECT artifact_id, [CASE WHEN count(*) FILTER (WHERE tasks > 0) > 0 THEN 'scheduler-runnable-queue' END, CASE WHEN count(*) FILTER (WHERE tasks > 0) >= 2 AND bool_or(NOT starts_with(k, 'r')) THEN 'scheduler-pressure-sustained' END] FROM (SELECT concat(source_id, ':', CAST(capture_s AS VARCHAR)) AS artifact_id, CASE WHEN sample_id IS NOT NULL THEN 's' || sample_id WHEN capture_s IS NOT NULL THEN 't' || capture_s ELSE 'r' || sample_order END AS k, sum(runnable_tasks) AS tasks FROM samples GROUP BY 1, 2) q GROUP BY 1
- UNION ALL SELECT concat('locks-', CAST(session_id % 50 AS VARCHAR)), [CASE WHEN bool_or(session_id % 3 = 0 AND request_status = 'GRANT') THEN 'root-locks-granted' END] FROM locks GROUP BY 1
- UNION ALL SELECT DISTINCT artifact_id, ['lock-resource-match'] FROM (SELECT concat('locks-', CAST(session_id % 50 AS VARCHAR)) AS artifact_id, resource_type, database_id, entity_id, description FROM locks WHERE session_id % 3 = 0 AND request_status = 'GRANT' AND entity_id IS NOT NULL AND (description IS NOT NULL OR resource_type NOT IN ('KEY', 'PAGE', 'RID'))
-  INTERSECT SELECT concat('locks-', CAST(session_id % 50 AS VARCHAR)), resource_type, database_id, entity_id, description FROM locks WHERE request_status = 'WAIT' AND entity_id IS NOT NULL AND (description IS NOT NULL OR resource_type NOT IN ('KEY', 'PAGE', 'RID'))) m
- UNION ALL SELECT concat('grants-', CAST(database_id AS VARCHAR)), [CASE WHEN bool_or(granted_mb > 0 AND statement_id % 3 = 0) THEN 'pending-memory-grant' END] FROM plan_stmts GROUP BY 1
- UNION ALL SELECT concat('cache-', CAST(database_id AS VARCHAR)), [CASE WHEN count(*) >= 1000 AND count(*) FILTER (WHERE executions <= 6) >= 0.9 * count(*) THEN 'plan-cache-instability-measured' END] FROM spills GROUP BY 1
- UNION ALL SELECT plan_id, [CASE WHEN bool_or(actual) THEN 'plan-captured' END, CASE WHEN bool_or(NOT actual) THEN 'plan-lookup-null' END, CASE WHEN bool_or(nonparallel_reason IS NOT NULL) THEN 'nonparallel-reason' END, CASE WHEN bool_or(granted_mb > 0 AND granted_mb >= 4 * used_mb) THEN 'plan-memory-overgrant' END, CASE WHEN bool_or(granted_mb > 0 AND granted_mb >= 4 * used_mb AND NOT actual) THEN 'unused-memory-grant' END] FROM plan_stmts GROUP BY 1),
-sg AS (SELECT artifact_id, signal FROM (SELECT artifact_id, unnest(s) AS signal FROM flags) z WHERE signal IS NOT NULL),
-sig AS (SELECT a.case_id, s.artifact_id, signal, CASE WHEN at_s IS NULL OR f IS NULL OR l IS NULL THEN 'Unknown' WHEN at_s BETWEEN f AND l THEN 'Exact' WHEN at_s BETWEEN f - 30 AND l + 30 THEN 'Overlapping' ELSE 'Context only' END AS overlap, s.artifact_id IN (SELECT artifact_id FROM tied) AS correlated FROM sg s JOIN art a USING (artifact_id) LEFT JOIN win w ON w.case_id = a.case_id)"""
-_VALUES = ", ".join(f"({i}, '{a}', '{sg}', {str(c).lower()}, {str(w).lower()}, '{state}')" for i, (a, on, c, w, state) in enumerate(E.RULES) for sg in on)
-STATES = f"""{ART}, rules(rule, assertion, signal, tied, timed, state) AS (VALUES {_VALUES}), met AS (SELECT case_id, assertion, rule, state, count(DISTINCT artifact_id) AS artifacts FROM sig JOIN rules USING (signal) WHERE overlap <> 'Context only' AND (NOT tied OR correlated) AND (NOT timed OR overlap IN ('Exact', 'Overlapping')) GROUP BY ALL),
-st AS (SELECT c.case_id, a.assertion, coalesce(b.state, 'Not Evaluated') AS state, coalesce(b.artifacts, 0) AS artifacts FROM (SELECT DISTINCT source_id AS case_id FROM samples) c CROSS JOIN (SELECT DISTINCT assertion FROM rules) a LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, assertion ORDER BY rule) AS n FROM met) z WHERE n = 1) b ON b.case_id = c.case_id AND b.assertion = a.assertion)"""
-_PROFILES = list(E.THEORIES)
-
-
-def _artifacts(v):
-    """The evidence tables with their artifacts, and (artifact_id, case_id, at_s) of all."""
-    n, case = F.expr("cast(substr(plan_id, 6) as int)"), lambda c: F.concat(F.lit("ctr-"), c.cast("string"))
-    samples = v.samples.withColumn("artifact_id", F.concat_ws(":", "source_id", F.col("capture_s").cast("string")))
-    locks = v.locks.withColumn("artifact_id", F.concat(F.lit("locks-"), F.col("session_id") % 50)).withColumn("is_root", F.col("session_id") % 3 == 0)
-    grants = v.plan_stmts.select(F.concat(F.lit("grants-"), "database_id").alias("artifact_id"), "database_id", (F.col("granted_mb") * 1024).alias("requested_kb"), F.when(F.col("statement_id") % 3 != 0, F.col("statement_id")).alias("grant_time"))
-    cache = v.spills.select(F.concat(F.lit("cache-"), "database_id").alias("artifact_id"), "database_id", (F.col("executions") - 5).alias("use_count"))
-    plans = v.plan_stmts.withColumn("artifact_id", F.col("plan_id")).withColumn("query_plan", F.when(F.col("actual"), "<plan/>"))
-    none = F.lit(None).cast("int").alias("at_s")
-    parts = [samples.select("artifact_id", F.col("source_id").alias("case_id"), "capture_s"), locks.select("artifact_id", case(F.col("session_id") % 5).alias("case_id"), none), grants.select("artifact_id", case(F.col("database_id")).alias("case_id"), none),
-             cache.select("artifact_id", case(F.col("database_id")).alias("case_id"), none), plans.select("artifact_id", case(n % 5).alias("case_id"), F.when(n % 4 > 0, n % 40 * 15).alias("at_s"))]
-    known = reduce(DataFrame.unionByName, (p.toDF("artifact_id", "case_id", "at_s").distinct() for p in parts))
-    return E.evidence_signals(samples, locks, grants, cache, plans), known, plans.withColumn("case_id", case(n % 5))
-
-
-def _signals(v):
-    signals, known, plans = _artifacts(v)
-    root = plans.groupBy("case_id").agg(F.min_by("query_hash", "statement_id").alias("query_hash"))
-    windows = v.samples.groupBy(F.col("source_id").alias("case_id")).agg((F.min("capture_s") + 60).alias("first_s"), (F.max("capture_s") - 200).alias("last_s"))
-    return E.placed_signals(signals, known, windows, plans.join(root, ["case_id", "query_hash"]).select("artifact_id"))
+from loadlens.sources.files import saved
+
+#: Cases: each profile for each of five sources, whose number is that of their artifacts; artifacts are imported in batches.
+_PROFILES = list(E.ASSERTIONS)
+_PLANS = list(E.SPILL_PLANS)[:5]
+_NUM = "CAST(split_part(artifact_id, '-', 2) AS INTEGER)"
+_K = "CAST(substr(plan_id, 6) AS INTEGER)"
+_SQ = lambda x: "'" + x.replace("'", "''") + "'"
+SIG = f"""{SIGNALS}, planned AS (SELECT plan_id AS artifact_id, ['plan-captured', CASE WHEN bool_or(actual) THEN 'actual-plan' END, CASE WHEN bool_or(nonparallel_reason IS NOT NULL) THEN 'nonparallel-reason' END, CASE WHEN bool_or(granted_mb > 0 AND granted_mb >= 4 * used_mb) THEN 'plan-memory-overgrant' END, CASE WHEN bool_or(granted_mb > 0 AND granted_mb >= 4 * used_mb) THEN 'unused-memory-grant' END] AS s FROM plan_stmts GROUP BY 1),
+sg AS (SELECT artifact_id, signal FROM signals UNION ALL SELECT artifact_id, signal FROM (SELECT artifact_id, unnest(s) AS signal FROM planned) z WHERE signal IS NOT NULL),
+art AS (SELECT artifact_id, concat('ctr-', CAST({_NUM} % 5 AS VARCHAR)) AS source_id, {_NUM} % 17 AS import_order, CASE split_part(artifact_id, '-', 1) WHEN 'smp' THEN CAST(split_part(artifact_id, '-', 3) AS INTEGER) WHEN 'lkp' THEN CASE WHEN {_NUM} % 4 > 0 THEN {_NUM} * 15 END WHEN 'plan' THEN CASE WHEN {_NUM} % 4 > 0 THEN {_NUM} % 40 * 15 END
+  WHEN 'cnt' THEN (SELECT min(capture_s) FROM samples s WHERE substr(s.source_id, 5) = split_part(artifact_id, '-', 2)) WHEN 'trn' THEN (SELECT min(capture_s) FROM activity a WHERE row_number % 3 = 0 AND session_id % 20 = {_NUM}) END AS at_s FROM (SELECT DISTINCT artifact_id FROM sg) d),
+root AS (SELECT concat('ctr-', CAST({_K} % 5 AS VARCHAR)) AS source_id, arg_min(plan_handle, statement_id) AS h FROM plan_stmts GROUP BY 1),
+tied AS (SELECT DISTINCT plan_id AS artifact_id FROM plan_stmts JOIN root ON h = plan_handle UNION SELECT concat('lkp-', CAST({_K} % 40 AS VARCHAR)) FROM plan_stmts JOIN root ON h = plan_handle UNION SELECT concat('rpt-', CAST(database_id AS VARCHAR)) FROM spills JOIN root ON h = plan_handle),
+scoped AS (SELECT concat('rpt-', CAST(database_id AS VARCHAR)) AS artifact_id, bool_or(coalesce(plan_handle = h, false)) AS own FROM spills JOIN root ON source_id = concat('ctr-', CAST(database_id AS VARCHAR)) WHERE source_order % 5 = 0 GROUP BY 1),
+win AS (SELECT source_id, min(capture_s) + 60 AS f, max(capture_s) - 200 AS l FROM samples GROUP BY 1),
+sig AS (SELECT a.source_id, s.artifact_id, signal, import_order, CASE WHEN at_s IS NULL OR f IS NULL OR l IS NULL THEN 'Unknown' WHEN at_s BETWEEN f AND l THEN 'Exact' WHEN at_s BETWEEN f - 30 AND l + 30 THEN 'Overlapping' ELSE 'Context only' END AS overlap,
+  CASE WHEN own IS NOT NULL AND signal IN ({", ".join(sorted({_SQ(x) for x in X.REPORT_TERMS.values()}))}) THEN own ELSE s.artifact_id IN (SELECT artifact_id FROM tied) END AS correlated FROM sg s JOIN art a USING (artifact_id) LEFT JOIN win w ON w.source_id = a.source_id LEFT JOIN scoped c ON c.artifact_id = s.artifact_id)"""
+_MARKED = ", ".join(f"({_SQ(p)}, {_SQ(a.rstrip('!'))}, {str(a.endswith('!')).lower()})" for p, each in E.ASSERTIONS.items() for a in each)
+STARTS = f"""marked(profile, assertion, given) AS (VALUES {_MARKED}), src AS (SELECT concat('ctr-', CAST(session_id % 5 AS VARCHAR)) AS source_id, session_id % 5 AS k, bool_or(blocking_session_id > 0) AS chain, arg_min(status, row_number) AS root_status, arg_min(open_tran_count, row_number) AS trans FROM acts GROUP BY 1, 2),
+cases AS (SELECT concat(source_id, ':', profile) AS case_id, s.*, profile FROM src s CROSS JOIN (SELECT DISTINCT profile FROM marked) m),
+starts AS (SELECT case_id, source_id, k, profile, assertion, CASE WHEN given THEN 'Observed' WHEN assertion = 'blocking-chain' AND coalesce(chain, false) THEN 'Observed' WHEN assertion = 'root-runnable' AND lower(root_status) = 'runnable' THEN 'Observed' WHEN assertion = 'root-runnable' AND root_status IS NOT NULL THEN 'Contradicted'
+  WHEN assertion = 'open-transactions' AND trans > 0 THEN 'Observed' WHEN assertion = 'open-transactions' AND trans IS NOT NULL AND profile = 'cpu-backed-blocking' THEN 'Contradicted' WHEN assertion = 'plan-captured' AND profile = 'memory-grants' AND k % 2 = 0 THEN 'Observed' ELSE 'Not Evaluated' END AS state FROM cases JOIN marked USING (profile))"""
+_LISTED = ", ".join(f"({i}, {_SQ(a)}, {_SQ(x)}, {str(t).lower()}, {str(w).lower()}, {_SQ(state)}, {_SQ(why)}, {_SQ('|'.join(lacks))})" for i, (a, on, (t, w), state, why, lacks) in enumerate(E.RULES) for x in on)
+_SPILLS = ", ".join(f"({_SQ(p)}, {_SQ(s)}, {_SQ(b)}, {_SQ('|'.join(m))})" for p, (s, b, m) in E.SPILL_PLANS.items())
+MET = f"""{SIG}, {STARTS}, rules(rule, assertion, signal, tied, timed, state, why, lacks) AS (VALUES {_LISTED}),
+met AS (SELECT case_id, s.assertion, rule, r.state, why, lacks, min(import_order) AS since, count(DISTINCT artifact_id) AS artifacts FROM starts s JOIN sig USING (source_id) JOIN rules r ON r.signal = sig.signal AND r.assertion = s.assertion WHERE overlap <> 'Context only' AND (NOT tied OR correlated) AND (NOT timed OR overlap IN ('Exact', 'Overlapping'))
+  AND NOT (profile = 'spill-triage' AND s.assertion = 'plan-captured') GROUP BY ALL)"""
+THEORY = f"""seen AS (SELECT case_id, list(DISTINCT signal) AS s, count(DISTINCT CASE WHEN CASE profile WHEN 'worker-exhaustion' THEN signal = 'worker-exhaustion-confirmed' WHEN 'compile-pressure' THEN signal IN ('compilation-pressure', 'plan-cache-pressure-wide', 'plan-cache-instability-measured') WHEN 'transaction-blocking' THEN signal = 'lock-resource-match' WHEN 'plan-specific' THEN false
+  ELSE signal IN ({", ".join(map(_SQ, E._WIDE))}) END THEN artifact_id END) AS artifacts, bool_or(signal IN ('plan-captured', 'embedded-plan-captured') AND correlated) AS root_plan FROM cases JOIN sig USING (source_id) WHERE overlap <> 'Context only' GROUP BY 1),
+own AS (SELECT case_id, max(state) FILTER (WHERE assertion = 'blocking-chain') AS chain, max(state) FILTER (WHERE assertion = 'root-runnable') AS runnable, max(state) FILTER (WHERE assertion = 'open-transactions') AS tran FROM starts GROUP BY 1),
+base AS (SELECT st.case_id, st.profile, artifacts, root_plan, tran, coalesce(s, []) AS s, list_contains(coalesce(s, []), 'scheduler-pressure-sustained') AS queue, list_contains(coalesce(s, []), 'lock-resource-match') AS locks, list_has_any(coalesce(s, []), ['plan-cache-instability-measured', 'compilation-pressure', 'plan-cache-warning']) AS cache,
+  coalesce(tran = 'Contradicted', false) AND list_contains(coalesce(s, []), 'root-locks-granted') AS apart, coalesce(chain = 'Observed', false) AND coalesce(runnable = 'Observed', false) AND coalesce(tran = 'Observed', false) AS links FROM starts st LEFT JOIN seen USING (case_id) JOIN own USING (case_id) WHERE assertion = 'causal-theory'),
+judged AS (SELECT *, CASE profile WHEN 'worker-exhaustion' THEN list_contains(s, 'worker-exhaustion-confirmed') WHEN 'compile-pressure' THEN list_contains(s, 'compilation-pressure') AND list_has_any(s, ['plan-cache-pressure-wide', 'plan-cache-instability-measured']) WHEN 'plan-specific' THEN true WHEN 'transaction-blocking' THEN locks ELSE NOT apart AND links AND queue AND locks END AS yes FROM base),
+theory AS (SELECT case_id, profile, CASE WHEN yes THEN 'Supported' ELSE 'Not Evaluated' END AS theory, CASE profile WHEN 'worker-exhaustion' THEN CASE WHEN yes THEN 'thread waits and workers at their ceiling' ELSE 'thread waits alone' END WHEN 'compile-pressure' THEN CASE WHEN yes THEN 'compile waits, many compilations and little reuse' ELSE 'compile waits, not all of their cause' END WHEN 'plan-specific' THEN 'the plan names the cause'
+  WHEN 'transaction-blocking' THEN CASE WHEN yes THEN 'an idle open transaction holds what victims wait for' ELSE 'an idle open transaction' END ELSE CASE WHEN apart THEN 'no open transaction at first, root locks later' WHEN yes AND cache THEN 'chain, runnable root, transaction, queues and locks agree; the plan cache may add to it' WHEN yes THEN 'chain, runnable root, transaction, queues and locks agree' ELSE 'not all links are shown' END END AS basis,
+  CASE profile WHEN 'worker-exhaustion' THEN CASE WHEN yes THEN 'what took the workers' ELSE 'workers and queue of the incident' END WHEN 'compile-pressure' THEN CASE WHEN yes THEN 'where the variants come from' WHEN NOT list_contains(s, 'compilation-pressure') THEN 'repeated compilation rates' ELSE 'reuse of the plan cache' END WHEN 'plan-specific' THEN 'a run after the change' WHEN 'transaction-blocking' THEN CASE WHEN yes THEN 'the owner of the connection' ELSE 'granted and waiting locks|the outer command' END
+  ELSE CASE WHEN apart THEN 'transactions, locks and queues of one time' WHEN yes AND coalesce(root_plan, false) THEN 'the same pattern again' WHEN yes AND cache THEN 'a plan of the root' WHEN yes THEN 'plan cache, compilations and a plan of the root' ELSE concat_ws('|', CASE WHEN NOT queue THEN 'queues in several samples' END, CASE WHEN NOT locks THEN 'a lock of the root that victims wait for' END, CASE WHEN coalesce(tran, '') <> 'Observed' THEN 'an open transaction of the time' END) END END AS missing, coalesce(artifacts, 0) AS artifacts FROM judged)"""
+STATES = f"""{MET}, {THEORY}, plans(plan, pstate, pbasis, pmissing) AS (VALUES {_SPILLS}), spilled AS (SELECT database_id AS k, count(*) FILTER (WHERE total_pages > 0 OR avg_pages > 0) AS ranked, count(*) AS candidates FROM spills GROUP BY 1),
+picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, assertion ORDER BY rule) AS n FROM met) z WHERE n = 1),
+st AS (SELECT s.case_id, s.profile, s.assertion, CASE WHEN s.profile = 'spill-triage' AND s.assertion = 'plan-captured' THEN pstate WHEN s.profile = 'spill-triage' AND s.assertion = 'spill-candidates' THEN CASE WHEN ranked > 0 THEN 'Observed' ELSE 'Not Evaluated' END ELSE coalesce(b.state, s.state) END AS state, coalesce(b.why, CASE WHEN s.profile = 'spill-triage' AND s.assertion = 'plan-captured' THEN pbasis END) AS decided, coalesce(b.artifacts, 0) AS artifacts
+  FROM starts s LEFT JOIN picked b ON b.case_id = s.case_id AND b.assertion = s.assertion LEFT JOIN plans ON plan = {_PLANS}[CAST(s.k + 1 AS INTEGER)] LEFT JOIN spilled sp ON sp.k = s.k WHERE s.assertion <> 'causal-theory' UNION ALL SELECT case_id, profile, 'causal-theory', theory, basis, artifacts FROM theory)"""
+
+
+def _evidence(v):
+    """(signals, shapes, observations) of the evidence tables, with the signals of the plans, which are artifacts too."""
+    rows = saved(A2.typed(v), "evidence")
+    shapes = saved(X.evidence_shape(rows), "shapes")
+    waste = F.col("granted_mb") >= 4 * F.col("used_mb")
+    yes = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    plans = v.plan_stmts.groupBy(F.col("plan_id").alias("artifact_id")).agg(yes(F.col("actual")).alias("actual"), yes(F.col("nonparallel_reason").isNotNull()).alias("serial"), yes((F.col("granted_mb") > 0) & waste).alias("waste"))
+    of = F.array_compact(F.array(F.lit("plan-captured"), F.when(F.col("actual"), "actual-plan"), F.when(F.col("serial"), "nonparallel-reason"), F.when(F.col("waste"), "plan-memory-overgrant"), F.when(F.col("waste"), "unused-memory-grant")))
+    return rows, shapes, X.evidence_signals(rows, shapes).unionByName(plans.select("artifact_id", F.explode(of).alias("signal")))
+
+
+def _placed(v):
+    rows, shapes, signals = _evidence(v)
+    n = F.split_part("artifact_id", F.lit("-"), F.lit(2)).cast("int")
+    source = F.concat(F.lit("ctr-"), n % 5)
+    number = F.expr("cast(substr(plan_id, 6) as int)")
+    seconds = F.unix_seconds("captured_at") - A2.EPOCH
+    plans = v.plan_stmts.select(F.col("plan_id").alias("artifact_id"), F.when(number % 4 > 0, number % 40 * 15).cast("long").alias("at_s")).distinct()
+    known = shapes.select("artifact_id", seconds.alias("at_s")).unionByName(plans).withColumns({"source_id": source, "import_order": n % 17})
+    roots = v.plan_stmts.groupBy(F.concat(F.lit("ctr-"), number % 5).alias("source_id")).agg(F.min_by("plan_handle", "statement_id").alias("plan_handle"))
+    named = rows.where("plan_handle is not null").select("artifact_id", "plan_handle").unionByName(v.plan_stmts.select(F.col("plan_id").alias("artifact_id"), "plan_handle")).withColumn("source_id", source)
+    tied = named.join(roots, ["source_id", "plan_handle"]).select("artifact_id").distinct()
+    reported = X.evidence_observations(rows, shapes).where("size(signals) > 0").select("artifact_id", F.explode("signals").alias("signal"), F.col("plan_handle").alias("own_handle"), source.alias("source_id"))
+    scoped = reported.join(roots, "source_id").select("artifact_id", "signal", F.coalesce(F.col("own_handle") == F.col("plan_handle"), F.lit(False)).alias("tied"))
+    windows = v.samples.groupBy("source_id").agg((F.min("capture_s") + 60).alias("first_s"), (F.max("capture_s") - 200).alias("last_s"))
+    return saved(E.placed_signals(signals, known, windows, tied, scoped), "placed")
 
 
 def _cases(v):
-    """A case for each source of samples, its profile by its number."""
-    c = v.samples.select(F.col("source_id").alias("case_id")).distinct()
-    return c.withColumn("profile", F.element_at(F.array(*map(F.lit, _PROFILES)), F.expr("cast(substr(case_id, 5) as int)") % 5 + 1))
+    k = F.col("session_id") % 5
+    per = acts(v).groupBy(F.concat(F.lit("ctr-"), k).alias("source_id"), k.alias("k")).agg(F.bool_or(F.col("blocking_session_id") > 0).alias("chain"), F.min_by("status", "row_number").alias("root_status"), F.min_by("open_tran_count", "row_number").alias("open_transactions"))
+    return per.withColumn("profile", F.explode(F.array(*map(F.lit, _PROFILES)))).withColumns({"case_id": F.concat_ws(":", "source_id", "profile"), "plan_rule": F.col("k") % 2 == 0})
+
+
+def _spilled(v, cases):
+    per = v.spills.groupBy(F.col("database_id").alias("k")).agg(F.count("*").alias("candidates"), F.count_if((F.col("total_pages") > 0) | (F.col("avg_pages") > 0)).alias("ranked"))
+    return cases.where("profile = 'spill-triage'").join(per, "k").select("case_id", "candidates", "ranked", F.element_at(F.array(*map(F.lit, _PLANS)), (F.col("k") + 1).cast("int")).alias("plan"))
 
 
 def _states(v):
-    return E.assertion_states(_cases(v), _signals(v))
+    cases = saved(_cases(v), "cases")
+    return E.assertion_states(E.initial_assertions(cases), _placed(v), cases, _spilled(v, cases))
 
 
-def _starts(v):
-    """Starting states of the cases: of each, what is seen of the sessions of its number."""
-    a = acts(v).groupBy(F.concat(F.lit("ctr-"), F.col("session_id") % 5).alias("case_id")).agg(F.bool_or(F.col("blocking_session_id") > 0).alias("blocking-chain"), F.bool_or(F.col("status") == "runnable").alias("root-runnable"), F.bool_or(F.col("open_tran_count") > 0).alias("open-transactions"))
-    return a.unpivot(["case_id"], ["blocking-chain", "root-runnable", "open-transactions"], "assertion", "on").select("case_id", "assertion", F.when(F.col("on"), "Observed").otherwise("Not Evaluated").alias("state"))
+def _decided(v):
+    """What is told in the same words for every case: the basis where a rule or theory decided, else null."""
+    s = _states(v)
+    rule = F.col("basis").isin(*{r[4] for r in E.RULES}, *(p[1] for p in E.SPILL_PLANS.values())) | (F.col("assertion") == "causal-theory")
+    return s.select("case_id", "profile", "assertion", "state", F.when(rule, F.col("basis")).alias("decided"), "artifacts")
 
 
 _HIST = "hist AS (SELECT concat('case-', CAST(user_id % 50 AS VARCHAR)) AS case_id, concat('a', CAST(user_id % 3 AS VARCHAR)) AS assertion, event_id AS import_order, CASE WHEN event_type IN ('view', 'click') THEN 'Observed' ELSE 'Supported' END AS state FROM events)"
@@ -111,30 +143,23 @@ def _steps(v):
 
 
 _STEPS = "steps AS (SELECT source_order AS candidate_id, unnest(['query-store', 'last-actual-plan', 'cached-plan', 'reproduce']) AS step, unnest([1, 2, 3, 4]) AS priority, unnest([14 + source_order % 4 >= 16 AND database_id < 3 AND query_hash IS NOT NULL, 14 + source_order % 4 >= 15 AND plan_handle IS NOT NULL, plan_handle IS NOT NULL, true]) AS usable FROM spills)"
-_SHAPE_COLUMNS = ('runnable_tasks', 'active_workers', 'max_workers', 'compilations', 'batches', 'request_status', 'resource_type', 'requested_kb', 'counter_name', 'value', 'use_count', 'query_plan', 'open_tran_count')
+
 _ALIAS = {"session": ["spid", "session_id"], "rows": ["n_rows", "reads"], "none": ["absent"]}
 
 QUERIES = [
-    Query("evidence_observations", lambda v: E.evidence_observations(v.samples.withColumnRenamed("source_id", "source"), ["sample_order", "source"]).unionByName(E.evidence_observations(v.activity.select(F.col("row_number").alias("sample_order"), F.col("source_id").alias("source"), "open_tran_count", "tran_start_s"), ["sample_order", "source"])),
-          """WITH m(metric, shape, unit, directness) AS (VALUES ('runnable_tasks', 'scheduler', 'tasks', 'direct'), ('active_workers', 'worker', 'workers', 'direct'), ('max_workers', 'worker', 'workers', 'direct'), ('work_queue', 'worker', 'requests', 'direct'), ('compilations', 'compile', 'per second', 'derived'), ('batches', 'compile', 'per second', 'derived'), ('value', 'counter', 'count', 'derived'), ('open_tran_count', 'transaction', 'transactions', 'direct'), ('tran_start_s', 'transaction', 'seconds', 'direct')),
- u AS (SELECT sample_order, source_id AS source, metric, v AS value FROM (SELECT sample_order, source_id, CAST(runnable_tasks AS DOUBLE) AS runnable_tasks, CAST(active_workers AS DOUBLE) AS active_workers, CAST(max_workers AS DOUBLE) AS max_workers, CAST(work_queue AS DOUBLE) AS work_queue, CAST(compilations AS DOUBLE) AS compilations, CAST(batches AS DOUBLE) AS batches, CAST(value AS DOUBLE) AS value FROM samples) z UNPIVOT (v FOR metric IN (runnable_tasks, active_workers, max_workers, work_queue, compilations, batches, value))
- UNION ALL SELECT row_number, source_id, metric, v FROM (SELECT row_number, source_id, CAST(open_tran_count AS DOUBLE) AS open_tran_count, CAST(tran_start_s AS DOUBLE) AS tran_start_s FROM activity) y UNPIVOT (v FOR metric IN (open_tran_count, tran_start_s))) SELECT sample_order, source, shape, metric, value, unit, directness FROM u JOIN m USING (metric)"""),
     Query("read_evidence_tables", lambda v: E.read_evidence_tables(v.activity.withColumn("spid", F.when(F.col("row_number") % 2 == 0, F.col("session_id"))), _ALIAS).select("session", "rows", F.col("none").cast("string").alias("none")), "SELECT session_id AS session, reads AS rows, CAST(NULL AS VARCHAR) AS none FROM activity"),
-    Query("evidence_shape", lambda v: E.evidence_shape(v.events.select((F.col("user_id") % 90).alias("artifact_id"), F.element_at(F.array(*map(F.lit, _SHAPE_COLUMNS)), (F.col("event_id") % 13 + 1).cast("int")).alias("column")).where("artifact_id % 7 <> 0 or column <> 'batches'")),
-          "WITH c AS (SELECT user_id % 90 AS artifact_id, [" + ", ".join(f"'{c}'" for c in _SHAPE_COLUMNS) + "][CAST(event_id % 13 + 1 AS INTEGER)] AS c FROM events), g AS (SELECT artifact_id, list(DISTINCT c) AS l FROM c WHERE artifact_id % 7 <> 0 OR c <> 'batches' GROUP BY 1) SELECT artifact_id, concat_ws(',', CASE WHEN list_contains(l, 'runnable_tasks') THEN 'scheduler' END, CASE WHEN list_has_all(l, ['active_workers', 'max_workers']) THEN 'worker' END, CASE WHEN list_has_all(l, ['compilations', 'batches']) THEN 'compile' END, CASE WHEN list_has_all(l, ['request_status', 'resource_type']) THEN 'lock' END, CASE WHEN list_contains(l, 'open_tran_count') THEN 'transaction' END, CASE WHEN list_contains(l, 'requested_kb') THEN 'grant' END, CASE WHEN list_has_all(l, ['counter_name', 'value']) THEN 'counter' END, CASE WHEN list_contains(l, 'use_count') THEN 'plan-cache' END, CASE WHEN list_contains(l, 'query_plan') THEN 'plan-lookup' END) AS shapes FROM g"),
-    Query("evidence_signals", lambda v: _signals(v), f"WITH {ART} SELECT case_id, artifact_id, signal, overlap, correlated FROM sig"),
-    Query("evidence_kinds", lambda v: J.counted(_signals(v), "signal"), f"WITH {ART} SELECT signal, count(*) AS count FROM sig GROUP BY signal"),
     Query("root_identity", lambda v: E.root_identity(acts(v).withColumn("query_hash", F.sha2("sql_text", 256)), "episode"), "SELECT episode, " + ", ".join(f"r.{c} AS {c}" for c in ("session_id", "request_id", "database_name", "login_name", "query_hash")) + " FROM (SELECT episode, arg_max(struct_pack(session_id := session_id, request_id := request_id, database_name := database_name, login_name := login_name, query_hash := sha256(sql_text)), row_number) AS r FROM acts GROUP BY episode) z"),
     Query("incident_window", lambda v: E.incident_window(v.plan_stmts.select(F.col("plan_id").alias("finding_id")).distinct().withColumn("first_s", F.lit(-1)).withColumn("last_s", F.lit(-2)), acts(v).select(F.concat(F.lit("plan-"), F.col("session_id")).alias("finding_id"), "capture_s")),
           "SELECT p.plan_id AS finding_id, coalesce(min(a.capture_s), -1) AS first_s, coalesce(max(a.capture_s), -2) AS last_s FROM (SELECT DISTINCT plan_id FROM plan_stmts) p LEFT JOIN activity a ON concat('plan-', CAST(a.session_id AS VARCHAR)) = p.plan_id GROUP BY p.plan_id"),
-    Query("assertion_states", _states, f"WITH {STATES} SELECT case_id, assertion, state, artifacts FROM st"),
+    Query("assertion_states", _decided, f"WITH {STATES} SELECT case_id, profile, assertion, state, decided, artifacts FROM st"),
+    Query("placed_signals", _placed, f"WITH {SIG} SELECT source_id, artifact_id, signal, import_order, overlap, correlated FROM sig"),
     Query("state_counts", lambda v: J.counted(_states(v), "state"), f"WITH {STATES} SELECT state, count(*) AS count FROM st GROUP BY state"),
-    Query("causal_theory", lambda v: E.causal_theory(_cases(v), _signals(v), _starts(v)), f"""WITH {STATES}, seen AS (SELECT case_id, list(DISTINCT signal) AS s FROM sig WHERE overlap <> 'Context only' GROUP BY 1), own AS (SELECT concat('ctr-', CAST(session_id % 5 AS VARCHAR)) AS case_id, bool_or(blocking_session_id > 0) AND bool_or(status = 'runnable') AND bool_or(open_tran_count > 0) AS ok FROM acts GROUP BY 1),
- c AS (SELECT DISTINCT source_id AS case_id, {_PROFILES}[CAST(substr(source_id, 5) AS INTEGER) % 5 + 1] AS profile FROM samples)
- SELECT c.case_id, profile, CASE WHEN CASE profile WHEN 'worker-exhaustion' THEN list_contains(s, 'worker-exhaustion-confirmed') WHEN 'compile-pressure' THEN list_contains(s, 'compilation-pressure') AND list_has_any(s, ['plan-cache-pressure-wide', 'plan-cache-instability-measured']) WHEN 'plan-specific' THEN true WHEN 'transaction-blocking' THEN list_contains(s, 'lock-resource-match') ELSE list_contains(s, 'scheduler-pressure-sustained') AND list_contains(s, 'lock-resource-match') AND ok END THEN 'Supported' ELSE 'Not Evaluated' END AS theory FROM c LEFT JOIN seen USING (case_id) LEFT JOIN own USING (case_id)"""),
-    Query("initial_assertions", lambda v: E.initial_assertions(found(v)), f"{ALL}, starts(rule_id, assertion, state) AS (VALUES " + ", ".join(f"('{r}', '{a}', '{x}')" for r, m in E.STARTS.items() for a, x in m.items()) + ") SELECT rule_id, subject, assertion, state FROM findings JOIN starts USING (rule_id)"),
-    Query("state_transitions", lambda v: E.state_transitions(_hist(v)), f'WITH {_HIST} SELECT case_id, assertion, import_order, state, before FROM (SELECT *, lag(state) OVER (PARTITION BY case_id, assertion ORDER BY import_order) AS before FROM hist) z WHERE before <> state'),
-    Query("capture_attempts", lambda v: E.capture_attempts(_artifacts(v)[0].withColumn("method", F.when(F.expr("try_cast(substr(artifact_id, 6) as int)") % 3 == 0, "query store").otherwise("plan cache"))), f"WITH {ART} SELECT artifact_id, CASE WHEN TRY_CAST(substr(artifact_id, 6) AS INTEGER) % 3 = 0 THEN 'query store' ELSE 'plan cache' END AS method, CASE signal WHEN 'plan-captured' THEN 'captured' ELSE 'null' END AS outcome FROM sg WHERE signal IN ('plan-captured', 'plan-lookup-null')"),
+    Query("causal_theory", lambda v: E.causal_theory(E.initial_assertions(_cases(v)), _placed(v), _cases(v)).withColumn("missing", F.array_join("missing", "|")), f"WITH {MET}, {THEORY} SELECT case_id, profile, theory, basis, missing, artifacts FROM theory"),
+    Query("initial_assertions", lambda v: E.initial_assertions(_cases(v)).select("case_id", "profile", "assertion", "state"), f"WITH {STARTS} SELECT case_id, profile, assertion, state FROM starts"),
+    Query("state_transitions", lambda v: E.assertion_history(E.initial_assertions(_cases(v)), _placed(v), _cases(v)), f"""WITH {MET}, best AS (SELECT *, min(rule) OVER (PARTITION BY case_id, assertion ORDER BY since, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM met), steps AS (SELECT b.*, s.state AS start FROM best b JOIN starts s USING (case_id, assertion) WHERE least IS NULL OR rule < least)
+ SELECT case_id, assertion, since AS import_order, state, before, why AS basis FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY case_id, assertion ORDER BY since, rule), start) AS before FROM steps) z WHERE before <> state"""),
+    Query("import_states", lambda v: E.state_transitions(_hist(v)), f'WITH {_HIST} SELECT case_id, assertion, import_order, state, before FROM (SELECT *, lag(state) OVER (PARTITION BY case_id, assertion ORDER BY import_order) AS before FROM hist) z WHERE before <> state'),
+    Query("capture_attempts", lambda v: E.capture_attempts(*reversed(_evidence(v)[1:])), f"WITH {SIG} SELECT DISTINCT artifact_id, CASE WHEN split_part(artifact_id, '-', 1) = 'lkp' THEN CASE {_NUM} % 3 WHEN 2 THEN 'Query Store' WHEN 1 THEN 'Last-known actual' ELSE 'Live cache' END ELSE 'Live cache' END AS method, CASE signal WHEN 'plan-lookup-null' THEN 'null' ELSE 'captured' END AS outcome FROM sg WHERE signal IN ('plan-captured', 'embedded-plan-captured', 'plan-lookup-null')"),
     Query("case_narrative", lambda v: E.case_narrative(_states(v)), f"WITH {STATES} SELECT case_id, " + ", ".join(f"coalesce(string_agg(CASE WHEN state = '{s}' THEN assertion END, ',' ORDER BY assertion), '') AS {n}" for s, n in (("Observed", "established"), ("Supported", "supported"), ("Contradicted", "contradicted"), ("Not Evaluated", "unanswered"))) + ", min(CASE WHEN state = 'Not Evaluated' THEN assertion END) AS next_check FROM st GROUP BY case_id"),
     Query("collection_status", lambda v: E.collection_status(v.events.select((F.col("user_id") % 700).alias("case_id"), (F.col("event_id") % 5 == 0).alias("recognised"))), "SELECT case_id, CASE WHEN n >= 3 THEN 'Imported' WHEN n > 0 THEN 'Partially imported' ELSE 'Not imported' END AS status FROM (SELECT user_id % 700 AS case_id, count(*) FILTER (WHERE event_id % 5 = 0) AS n FROM events GROUP BY 1) z"),
     Query("latest_snapshot", lambda v: E.latest_snapshot(_caps(v), "server"), f"WITH {_SNAPV} SELECT server, snapshot_id FROM (SELECT *, row_number() OVER (PARTITION BY server ORDER BY captured_s DESC, snapshot_id DESC) AS n FROM cap) z WHERE n = 1"),
