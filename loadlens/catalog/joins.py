@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loadlens.catalog.activity import acts
 from loadlens.catalog.base import Query
-from loadlens.catalog.rules import _SEV, ALL, RULE_COLUMNS, RULE_VALUES, found
+from loadlens.catalog.rules import _MISSING, _SEV, ALL, _missing, found
 from loadlens.operators import correlation as K
 from loadlens.operators import inventory as J
 from loadlens.operators import rules as R
@@ -71,10 +71,6 @@ _IMPORT = """raw AS (SELECT *, CAST(total_pages AS BIGINT) AS t, CAST(avg_pages
 im AS (SELECT *, CASE WHEN total_state IN ('imported', 'zero-or-nonpositive') THEN t / CASE WHEN k % 3 = 1 THEN 8.0 ELSE 1.0 END END AS total_pages FROM imp), ic AS (SELECT *, coalesce(avg_pages, CASE WHEN total_pages > 0 AND executions > 0 THEN total_pages / executions END) AS average, CASE WHEN avg_pages IS NULL AND total_pages > 0 AND executions > 0 THEN 'derived' ELSE avg_state END AS average_state FROM im)"""
 
 
-def _missing_rules(v):
-    return R.rule_availability(v.inputs.select(F.lower(F.trim(F.regexp_replace("header", r"^\[|\]$", ""))).alias("column")), v.spark.createDataFrame(RULE_COLUMNS, "rule_id string, column string"))
-
-
 def _grants(v):
     """Memory grants of the statements: every seventh has waited, every third is not granted yet."""
     k = F.col("statement_id")
@@ -109,8 +105,8 @@ QUERIES = [
     Query("grant_pressure", lambda v: J.grant_pressure(_grants(v), "database_id"), "SELECT database_id, count(*) FILTER (WHERE granted_mb > 0 AND statement_id % 3 = 0) AS pending, max(CASE WHEN granted_mb > 0 AND statement_id % 7 = 0 THEN statement_id % 5000 END) AS longest_wait_ms, count(*) FILTER (WHERE granted_mb > 0) AS requests, CASE WHEN count(*) FILTER (WHERE granted_mb > 0 AND statement_id % 3 = 0) > 0 THEN 'grant-pending' END AS signal FROM plan_stmts GROUP BY database_id"),
     Query("single_use_plans", lambda v: J.single_use_plans(v.spills.select(F.col("database_id").cast("string").alias("source"), F.col("executions").alias("use_count")), "source").unionByName(J.single_use_plans(v.samples.select("source_id", F.col("sample_order").alias("total_plans"), (F.col("sample_order") * 0.95).alias("single_use")).withColumnRenamed("source_id", "source"), "source")),
           "SELECT CAST(database_id AS VARCHAR) AS source, count(*) AS plans, count(*) FILTER (WHERE executions <= 1) AS single, count(*) >= 1000 AND count(*) FILTER (WHERE executions <= 1) >= 0.9 * count(*) AS unstable FROM spills GROUP BY 1 UNION ALL SELECT source_id, max(sample_order), CAST(floor(max(sample_order * 0.95)) AS BIGINT), max(sample_order) >= 1000 AND floor(max(sample_order * 0.95)) >= 0.9 * max(sample_order) FROM samples GROUP BY 1"),
-    Query("kpi_summary", lambda v: J.kpi_summary(acts(v), found(v), v.plan_stmts, I.present_columns(v.inputs), _missing_rules(v)), rf"""{ALL} SELECT * FROM (SELECT count(*) AS activity_rows, count(DISTINCT capture_s) AS capture_points, CAST(max(capture_s) - min(capture_s) AS BIGINT) AS capture_span, count(DISTINCT source_id) AS sources FROM acts) a, (SELECT arg_max(severity, {_SEV}) AS highest, count(*) FILTER (WHERE severity IN ('Critical', 'High')) AS urgent, count(*) AS findings FROM findings) f, (SELECT count(DISTINCT plan_id) AS plans, count(*) AS statements FROM plan_stmts) p,
- (SELECT count(*) AS columns_present FROM (VALUES {_KNOWN}) t(name) WHERE lower(name) IN (SELECT {_NORM} FROM inputs)) c, (SELECT count(DISTINCT rule_id) AS rules_not_run FROM (VALUES {RULE_VALUES}) r(rule_id, c) WHERE c NOT IN (SELECT lower(trim(regexp_replace(header, '^\[|\]$', '', 'g'))) FROM inputs)) n"""),
+    Query("kpi_summary", lambda v: J.kpi_summary(acts(v), found(v), v.plan_stmts, I.present_columns(v.inputs), _missing(v)), rf"""{ALL} SELECT * FROM (SELECT count(*) AS activity_rows, count(DISTINCT capture_s) AS capture_points, CAST(max(capture_s) - min(capture_s) AS BIGINT) AS capture_span, count(DISTINCT source_id) AS sources FROM acts) a, (SELECT arg_max(severity, {_SEV}) AS highest, count(*) FILTER (WHERE severity IN ('Critical', 'High')) AS urgent, count(*) AS findings FROM findings) f, (SELECT count(DISTINCT plan_id) AS plans, count(*) AS statements FROM plan_stmts) p,
+ (SELECT count(*) AS columns_present FROM (VALUES {_KNOWN}) t(name) WHERE lower(name) IN (SELECT {_NORM} FROM inputs)) c, (SELECT count(DISTINCT rule_id) AS rules_not_run FROM ({_MISSING}) mr) n"""),
     Query("canonical_headers", lambda v: I.canonical_headers(v.inputs), f"WITH n AS (SELECT *, trim(header) AS h, {_NORM} AS k FROM inputs), c AS (SELECT input_id, event_id, line_no, coalesce(kc.name, regexp_replace(regexp_replace(h, '^\\[|\\]$', '', 'g'), '\\s+', ' ', 'g')) AS base FROM n LEFT JOIN (SELECT name, lower(name) AS l FROM (VALUES {_KNOWN}) t(name)) kc ON kc.l = n.k), r AS (SELECT *, row_number() OVER (PARTITION BY input_id, line_no ORDER BY event_id) AS pos, row_number() OVER (PARTITION BY input_id, line_no, base ORDER BY event_id) AS nth FROM c) SELECT input_id, line_no, CAST(pos AS INTEGER) AS position, CASE WHEN nth = 1 THEN base ELSE concat(base, '__', CAST(pos AS VARCHAR)) END AS name FROM r"),
     Query("locate_header", lambda v: I.locate_header(v.inputs), f"WITH s AS (SELECT input_id, line_no, count(DISTINCT kc.name) AS score FROM (SELECT *, {_NORM} AS k FROM inputs) n JOIN (SELECT name, lower(name) AS l FROM (VALUES {_KNOWN}) t(name)) kc ON kc.l = n.k WHERE line_no < 20 GROUP BY ALL HAVING count(DISTINCT kc.name) >= 2) SELECT input_id, line_no, score FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY score DESC, line_no) AS n FROM s) z WHERE n = 1"),
     Query("schema_profile", lambda v: I.schema_profile(v.inputs), f"WITH n AS (SELECT input_id, {_NORM} AS k FROM inputs), j AS (SELECT input_id, k, kc.name FROM n LEFT JOIN (SELECT name, lower(name) AS l FROM (VALUES {_KNOWN}) t(name)) kc ON kc.l = n.k) SELECT input_id, string_agg(DISTINCT name, ',' ORDER BY name) AS recognised, string_agg(DISTINCT CASE WHEN name IS NULL THEN k END, ',' ORDER BY CASE WHEN name IS NULL THEN k END) AS unknown, count(DISTINCT name) < 5 AS few FROM j GROUP BY input_id"),
@@ -118,7 +114,7 @@ QUERIES = [
     Query("missing_columns", lambda v: I.missing_columns(v.inputs), f"SELECT name FROM (VALUES {_KNOWN}) t(name) WHERE lower(name) NOT IN (SELECT {_NORM} FROM inputs)"),
     Query("unknown_columns", lambda v: I.unknown_columns(v.inputs), f"SELECT DISTINCT {_NORM} AS name FROM inputs WHERE {_NORM} NOT IN (SELECT lower(name) FROM (VALUES {_KNOWN}) t(name))"),
     Query("evidence_gaps", lambda v: I.evidence_gaps(v.inputs), f"WITH w(family, name) AS (VALUES {_FAMILIES}), p AS (SELECT DISTINCT {_NORM} AS k FROM inputs), m AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE list_contains(string_split(lower(name), ' or '), k))) SELECT family, string_agg(name, ', ' ORDER BY name) AS missing FROM m GROUP BY family"),
-    Query("data_quality", lambda v: I.data_quality(v.inputs, acts(v), _missing_rules(v)), rf"""WITH k AS (SELECT DISTINCT {_NORM} AS k FROM inputs), t AS (SELECT name FROM (VALUES {_KNOWN}) t(name)) SELECT (SELECT count(*) FROM t WHERE lower(name) IN (SELECT k FROM k)) AS present, (SELECT count(*) FROM t WHERE lower(name) NOT IN (SELECT k FROM k)) AS missing, (SELECT count(*) FROM k WHERE k NOT IN (SELECT lower(name) FROM t)) AS unknown, (SELECT count(*) FROM acts WHERE wait_info IS NOT NULL AND wait_type IS NULL) AS unparsed_waits,
- (SELECT concat_ws(' | ', (SELECT CASE WHEN count(*) > 0 THEN concat(count(*), ' wait_info observations could not be parsed.') END FROM acts WHERE wait_info IS NOT NULL AND wait_type IS NULL), CASE WHEN 'tempdb_current' IN (SELECT k FROM k) OR 'tempdb_allocations' IN (SELECT k FROM k) THEN 'TempDB pages show request-level consumption only.' END)) AS warnings, coalesce((SELECT string_agg(DISTINCT rule_id, ', ' ORDER BY rule_id) FROM (VALUES {RULE_VALUES}) r(rule_id, c) WHERE c NOT IN (SELECT lower(trim(regexp_replace(header, '^\[|\]$', '', 'g'))) FROM inputs)), '') AS not_run"""),
+    Query("data_quality", lambda v: I.data_quality(v.inputs, acts(v), _missing(v)), rf"""WITH k AS (SELECT DISTINCT {_NORM} AS k FROM inputs), t AS (SELECT name FROM (VALUES {_KNOWN}) t(name)) SELECT (SELECT count(*) FROM t WHERE lower(name) IN (SELECT k FROM k)) AS present, (SELECT count(*) FROM t WHERE lower(name) NOT IN (SELECT k FROM k)) AS missing, (SELECT count(*) FROM k WHERE k NOT IN (SELECT lower(name) FROM t)) AS unknown, (SELECT count(*) FROM acts WHERE wait_info IS NOT NULL AND wait_type IS NULL) AS unparsed_waits,
+ (SELECT concat_ws(' | ', (SELECT CASE WHEN count(*) > 0 THEN concat(count(*), ' wait_info observations could not be parsed.') END FROM acts WHERE wait_info IS NOT NULL AND wait_type IS NULL), CASE WHEN 'tempdb_current' IN (SELECT k FROM k) OR 'tempdb_allocations' IN (SELECT k FROM k) THEN 'TempDB pages show request-level consumption only.' END)) AS warnings, coalesce((SELECT string_agg(DISTINCT rule_id, ', ' ORDER BY rule_id) FROM ({_MISSING}) mr), '') AS not_run"""),
     Query("import_preview", lambda v: I.import_preview(v.inputs, acts(v).withColumn("input_id", F.concat(F.lit("file-"), F.col("session_id") % 6))), f"SELECT input_id, n_headers, recognised, first_s, last_s FROM (SELECT input_id, count(*) AS n_headers, count(DISTINCT kc.name) AS recognised FROM (SELECT *, {_NORM} AS k FROM inputs) n LEFT JOIN (SELECT name, lower(name) AS l FROM (VALUES {_KNOWN}) t(name)) kc ON kc.l = n.k GROUP BY input_id) i LEFT JOIN (SELECT concat('file-', CAST(session_id % 6 AS VARCHAR)) AS input_id, min(capture_s) AS first_s, max(capture_s) AS last_s FROM acts GROUP BY 1) a USING (input_id)"),
 ]

@@ -80,7 +80,7 @@ QUERIES = [
     Query("plan_convert", lambda v: H.plan_convert(v.plan_ops), "SELECT 'PLAN-CONVERT' AS rule_id, statement_id, CAST(node_id AS BIGINT) AS node_id, 'Medium' AS severity, 'High' AS confidence, CAST(coalesce(actual_rows, estimated_rows) AS DOUBLE) AS impact FROM plan_ops WHERE converted"),
     Query("plan_residual", lambda v: H.plan_residual(v.plan_ops, v.plan_stmts), "SELECT 'PLAN-RESIDUAL-PREDICATE' AS rule_id, o.statement_id, CAST(node_id AS BIGINT) AS node_id, CASE WHEN NOT actual THEN 'Low' WHEN coalesce(actual_rows, estimated_rows, 0) < 10000 THEN 'Informational' ELSE 'Medium' END AS severity, CASE WHEN actual THEN 'High' ELSE 'Low' END AS confidence, CAST(coalesce(actual_rows, estimated_rows, 0) AS DOUBLE) AS impact FROM plan_ops o JOIN plan_stmts s ON s.statement_id = o.statement_id WHERE residual"),
     Query("plan_scalar_udf", lambda v: H.plan_scalar_udf(v.plan_ops), f"SELECT 'PLAN-SCALAR-UDF' AS rule_id, statement_id, {_NULL} AS node_id, 'High' AS severity, 'High' AS confidence, CAST(count(*) AS DOUBLE) AS impact FROM plan_ops WHERE scalar_udf GROUP BY statement_id"),
-    Query("plan_serialization", lambda v: H.plan_serialization(v.plan_stmts, v.plan_ops), f"SELECT 'PLAN-SERIALIZATION' AS rule_id, statement_id, {_NULL} AS node_id, 'High' AS severity, 'High' AS confidence, CAST(round(cost, 6) AS DOUBLE) AS impact FROM plan_stmts WHERE nonparallel_reason IS NOT NULL AND (nonparallel_reason <> 'EstimatedDOPIsOne' OR statement_id IN (SELECT statement_id FROM plan_ops WHERE scalar_udf))"),
+    Query("plan_serialization", lambda v: H.plan_serialization(v.plan_stmts, v.plan_ops), f"SELECT 'PLAN-SERIALIZATION' AS rule_id, statement_id, {_NULL} AS node_id, 'High' AS severity, 'High' AS confidence, CAST(round(cost, 6) AS DOUBLE) AS impact FROM plan_stmts WHERE nonparallel_reason IS NOT NULL AND dop = 1 AND (nonparallel_reason <> 'EstimatedDOPIsOne' OR statement_id IN (SELECT statement_id FROM plan_ops WHERE scalar_udf))"),
     Query("plan_missing_index", lambda v: H.plan_missing_index(v.plan_stmts, v.plan_ops), f"SELECT 'PLAN-MISSING-INDEX' AS rule_id, statement_id, {_NULL} AS node_id, CASE WHEN missing_index_impact >= 70 AND statement_id IN (SELECT statement_id FROM plan_ops WHERE physical_op LIKE '%Scan%') THEN 'Medium' ELSE 'Low' END AS severity, 'Medium' AS confidence, missing_index_impact AS impact FROM plan_stmts WHERE missing_index_impact > 0"),
     Query("plan_memory_grant", lambda v: H.plan_memory_grant(v.plan_stmts), f"SELECT 'PLAN-MEMORY-GRANT' AS rule_id, statement_id, {_NULL} AS node_id, CASE WHEN granted_mb - used_mb >= 512 AND (used_mb = 0 OR granted_mb / used_mb >= 8) THEN 'High' ELSE 'Medium' END AS severity, 'High' AS confidence, round(greatest(0, granted_mb - used_mb), 6) AS impact FROM plan_stmts WHERE granted_mb > 0 AND granted_mb - used_mb >= 128 AND (used_mb = 0 OR granted_mb / used_mb >= 4)"),
     Query("plan_runtime_unavailable", lambda v: H.plan_runtime_unavailable(v.plan_stmts), f"SELECT 'PLAN-RUNTIME-UNAVAILABLE' AS rule_id, statement_id, {_NULL} AS node_id, 'Not Evaluated' AS severity, 'High' AS confidence, CAST(0 AS DOUBLE) AS impact FROM plan_stmts WHERE NOT actual"),

@@ -57,7 +57,7 @@ largest AS (SELECT episode, any_value(session_id) AS session_id, count(cpu) AS v
 scheduler AS (SELECT 'WIA-SCHEDULER-PRESSURE' AS rule_id, 'High' AS severity, 'High' AS confidence, 'CPU' AS category, CAST(session_id AS VARCHAR) AS subject, CAST(250000 + persistence AS DOUBLE) AS impact, {_TAIL} FROM largest WHERE vals >= 2 AND c2 > c1 AND EXISTS (SELECT 1 FROM rising))"""
 ALL = f"{EPISODES}, {SPECIAL}, {BLOCKING}, {RESOURCE}, {WORKER}, {COMPILE}, {WAIT}, {ROLLUP}, {TRANSACTION}, {SCHEDULER}, findings AS (" + " UNION ALL BY NAME ".join(f"SELECT * FROM {x}" for x in ("scheduler", "special", "blocking", "resource", "worker", "compile", "rolled", "transaction_")) + ")"
 _COLS = "rule_id, severity, confidence, category, subject, round(impact, 6) AS impact, n_rows, first_row, first_s, last_s, persistence"
-CAPPED = f"{ALL}, capped AS (SELECT *, n <= CASE rule_id WHEN 'WIA-RESOURCE' THEN 20 WHEN 'WIA-WAIT' THEN 24 WHEN 'WIA-TRANSACTION' THEN 20 ELSE 2147483647 END AS kept FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY round(impact, 6) DESC, subject) AS n FROM findings) z)"
+CAPPED = f"{ALL}, capped AS (SELECT *, n <= CASE rule_id WHEN 'WIA-RESOURCE' THEN 20 WHEN 'WIA-WAIT' THEN 24 WHEN 'WIA-TRANSACTION' THEN 20 ELSE 2147483647 END AS kept FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY round(impact, 6) DESC, first_row, subject) AS n FROM findings) z)"
 
 
 def found(v):
@@ -71,10 +71,18 @@ def _plan_rules(v):
     return reduce(DataFrame.unionByName, parts)
 
 
+def _missing(v):
+    """Rules that the inputs' columns, counters (of the scheduler kind where some task could run) and plans leave out."""
+    columns = v.inputs.select(F.lower(F.trim(F.regexp_replace("header", r"^\[|\]$", ""))).alias("column"))
+    counters = v.samples.select(F.when(F.col("runnable_tasks") > 0, "Scheduler counters").otherwise("Worker counters").alias("kind"))
+    return R.rule_availability(columns, counters, v.plan_stmts)
+
+
 def _whole(v):
-    """All rules: activity, plans and what could not be evaluated."""
-    missing = R.rule_availability(v.inputs.select(F.lower(F.trim(F.regexp_replace("header", r"^\[|\]$", ""))).alias("column")), v.spark.createDataFrame(RULE_COLUMNS, "rule_id string, column string"))
-    return found(v).unionByName(R.plan_rule_findings(_plan_rules(v))).unionByName(R.unavailable_findings(missing))
+    """What a run reports: capped activity findings, plans, what could not be evaluated, and else that nothing stands out."""
+    a = saved(acts(v), "acts")
+    f = saved(_shown(R.all_findings(a, v.samples)), "found")
+    return R.whole_run(a, f, R.plan_rule_findings(_plan_rules(v)), _missing(v))
 
 
 def _members(v):
@@ -123,14 +131,16 @@ def _saved(v):
     return saved(_shown(found(v)), "findings")
 
 
-def _healthy(v):
-    """A session in one state is a group: most hold rows of a finding, some are calm."""
-    a = saved(acts(v).withColumn("kind", F.concat_ws(":", "source_id", "session_id", "status")), "kinds")
-    loud = R.transaction_findings(a).unionByName(R.wait_findings(a)).where("severity <> 'Informational'").select("subject", "severity")
-    rows = a.where("open_tran_count > 0").select("kind", F.col("episode").alias("subject")).unionByName(a.where("wait_type is not null").select("kind", F.concat_ws(":", "wait_type", "episode").alias("subject")))
-    return R.capture_healthy(a, rows.join(loud, "subject").select("kind", "severity"), "kind")
+_QUIET = "wait_info is null and blocking_session_id is null and open_tran_count = 0 and coalesce(duration_seconds, 0) < 30"
 
 
+def _healthy(v):
+    """Two runs: of all rows, where findings stand out, and of the quiet rows alone, by all rules."""
+    a = saved(acts(v), "acts")
+    quiet = a.where(_QUIET)
+    none = v.samples.where("false")
+    of = lambda rows, samples, run: R.capture_healthy(rows, R.all_findings(rows, samples)).withColumn("subject", F.lit(run))
+    return of(a, v.samples, "all rows").unionByName(of(quiet, none, "quiet rows"))
 
 
 def _profiles(v):
@@ -144,15 +154,15 @@ def _profiles(v):
     return check_profiles(p.select("profile_id", "version", body.alias("body"), F.when(F.col("medium") % 9 == 0, F.lit("tampered")).otherwise(F.sha2(F.when(F.col("k") == 1, body).otherwise(canonical), 256)).alias("digest")))
 
 
-RULE_COLUMNS = [("WIA-BLOCKING", "blocking_session_id"), ("WIA-RESOURCE", "collection_time"), ("WIA-RESOURCE", "start_time"), ("WIA-WAIT", "wait_info"), ("WIA-TRANSACTION", "open_tran_count"), ("WIA-SCHEDULER-PRESSURE", "status"), ("WIA-SCHEDULER-PRESSURE", "cpu")]
-RULE_VALUES = ", ".join(f"('{r}', '{c}')" for r, c in RULE_COLUMNS)
+RULE_VALUES = ", ".join(f"('{r}', '{c}')" for r, columns in R.REQUIRED.items() for c in columns)
 
 _PLAN_SQL = " UNION ALL BY NAME ".join(f"SELECT * FROM ({q.sql}) {q.name}" for q in PLAN_QUERIES if q.sql and "AS rule_id, " in q.sql)
 _PLAN_SUBJECT = "concat_ws(':', concat('statement ', CAST(statement_id AS VARCHAR)), concat('node ', CAST(node_id AS VARCHAR)))".replace("concat('node ', CAST(node_id AS VARCHAR))", "'node ' || CAST(node_id AS VARCHAR)")
-_MISSING = rf"SELECT rule_id, string_agg(c, ', ' ORDER BY c) AS missing FROM (VALUES {RULE_VALUES}) r(rule_id, c) WHERE c NOT IN (SELECT lower(trim(regexp_replace(header, '^\[|\]$', '', 'g'))) FROM inputs) GROUP BY rule_id"
+_MISSING = rf"SELECT rule_id, string_agg(c, ', ' ORDER BY c) AS missing FROM (VALUES {RULE_VALUES}) r(rule_id, c) WHERE c NOT IN (SELECT lower(trim(regexp_replace(header, '^\[|\]$', '', 'g'))) FROM inputs) AND (rule_id <> 'WIA-SCHEDULER-PRESSURE' OR EXISTS (SELECT 1 FROM samples WHERE runnable_tasks > 0)) GROUP BY rule_id UNION ALL SELECT 'PLAN', 'a plan document' WHERE NOT EXISTS (SELECT 1 FROM plan_stmts)"
 _TITLES = " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in R.TITLES.items())
-WHOLE = f"""{ALL}, planf AS ({_PLAN_SQL}), fin AS (SELECT {_COLS} FROM findings UNION ALL SELECT rule_id, severity, confidence, 'Execution plan', {_PLAN_SUBJECT}, round(impact, 6), 1, NULL, NULL, NULL, 0.0 FROM planf),
-whole AS (SELECT * FROM fin UNION ALL SELECT concat(rule_id, '-UNAVAILABLE'), 'Not Evaluated', 'High', 'Data quality', concat('missing: ', missing), 0.0, 0, NULL, NULL, NULL, 0.0 FROM ({_MISSING}) m)"""
+WHOLE = f"""{CAPPED}, planf AS ({_PLAN_SQL}), fin AS (SELECT {_COLS} FROM findings UNION ALL SELECT rule_id, severity, confidence, 'Execution plan', {_PLAN_SUBJECT}, round(impact, 6), 1, NULL, NULL, NULL, 0.0 FROM planf),
+heard AS (SELECT {_COLS} FROM capped WHERE kept UNION ALL SELECT * FROM fin WHERE category = 'Execution plan' UNION ALL SELECT concat(rule_id, '-UNAVAILABLE'), 'Not Evaluated', 'High', 'Data quality', concat('missing: ', missing), 0.0, 0, NULL, NULL, NULL, 0.0 FROM ({_MISSING}) m),
+whole AS (SELECT * FROM heard UNION ALL SELECT 'CAPTURE-HEALTHY', 'Informational', 'High', 'Assessment', 'capture', 0.0, {_TAIL} FROM (SELECT {_SPAN} FROM acts) g WHERE n_rows > 0 AND captures >= 2 AND NOT EXISTS (SELECT 1 FROM heard WHERE severity <> 'Not Evaluated'))"""
 #: Members of related findings: the rows or statements that a finding rests on.
 _MEMBERS = f"""{WHOLE}, rec AS (SELECT 'WIA-BLOCKING-SPECIAL' AS rule_id, CAST(blocking_session_id AS VARCHAR) AS subject, row_number FROM acts WHERE blocking_session_id < 0
  UNION ALL SELECT 'WIA-BLOCKING', concat(c.source_id, ':', CAST(c.root AS VARCHAR), ':', CAST(CAST(e.episode_no AS BIGINT) AS VARCHAR)), c.row_number FROM chains c JOIN eps e ON e.source_id = c.source_id AND e.capture_s IS NOT DISTINCT FROM c.capture_s AND e.root = c.root
@@ -201,10 +211,9 @@ QUERIES = [
           f"{ALL} SELECT s.severity, count(f.rule_id) AS n FROM (VALUES ('Critical'), ('High'), ('Medium'), ('Low'), ('Informational'), ('Not Evaluated')) s(severity) LEFT JOIN findings f USING (severity) GROUP BY s.severity"),
     Query("suppressed_signals", lambda v: R.suppressed_signals(acts(v), R.transient_rollup(R.wait_findings(acts(v)))), f"""WITH {WAIT}, {ROLLUP}, own AS (SELECT DISTINCT blocking_session_id AS s FROM acts WHERE blocking_session_id > 0) SELECT count(*) FILTER (WHERE wait_ms = 0 AND coalesce(blocking_session_id, 0) <= 0 AND wait_type NOT IN ('THREADPOOL', 'RESOURCE_SEMAPHORE_QUERY_COMPILE')) AS zero_duration_waits,
  count(*) FILTER (WHERE open_tran_count > 0 AND coalesce(duration_seconds, 0) < 300 AND session_id NOT IN (SELECT s FROM own) AND NOT coalesce(implicit_tran, false)) AS short_transactions, count(*) FILTER (WHERE coalesce(duration_seconds, 0) < 30 AND greatest({', '.join(f'coalesce({m}, 0)' for m in _M)}) > 0) AS short_resource_rows, (SELECT coalesce(sum(n_rows), 0) FROM rolled WHERE rule_id = 'WIA-WAIT-TRANSIENT-SUMMARY') AS rolled_up_waits FROM acts"""),
-    Query("capture_healthy", lambda v: _shown(_healthy(v)), f"""WITH {WAIT}, {TRANSACTION}, kinds AS (SELECT *, concat(source_id, ':', CAST(session_id AS VARCHAR), ':', status) AS kind FROM acts), loud AS (SELECT kind FROM kinds WHERE open_tran_count > 0 AND episode IN (SELECT subject FROM transaction_ WHERE severity <> 'Informational') UNION ALL SELECT kind FROM kinds WHERE concat(wait_type, ':', episode) IN (SELECT subject FROM wait WHERE severity <> 'Informational'))
- SELECT 'WIA-CAPTURE-HEALTHY' AS rule_id, 'Informational' AS severity, 'Medium' AS confidence, 'Capture' AS category, kind AS subject, CAST(0 AS DOUBLE) AS impact, {_TAIL} FROM (SELECT kind, {_SPAN} FROM kinds GROUP BY kind) g WHERE n_rows > 0 AND captures >= 2 AND kind NOT IN (SELECT kind FROM loud)"""),
-    Query("rule_availability", lambda v: R.rule_availability(v.inputs.select(F.lower(F.trim(F.regexp_replace("header", r"^\[|\]$", ""))).alias("column")), v.spark.createDataFrame(RULE_COLUMNS, "rule_id string, column string")),
-          rf"SELECT rule_id, string_agg(c, ', ' ORDER BY c) AS missing FROM (VALUES {RULE_VALUES}) r(rule_id, c) WHERE c NOT IN (SELECT lower(trim(regexp_replace(header, '^\[|\]$', '', 'g'))) FROM inputs) GROUP BY rule_id"),
+    Query("capture_healthy", lambda v: _shown(_healthy(v)), f"""{ALL}, runs AS (SELECT 'all rows' AS subject, {_SPAN}, (SELECT count(*) FROM findings) AS loud FROM acts UNION ALL SELECT 'quiet rows', {_SPAN}, 0 FROM acts WHERE {_QUIET})
+ SELECT 'CAPTURE-HEALTHY' AS rule_id, 'Informational' AS severity, 'High' AS confidence, 'Assessment' AS category, subject, CAST(0 AS DOUBLE) AS impact, {_TAIL} FROM runs WHERE n_rows > 0 AND captures >= 2 AND loud = 0"""),
+    Query("rule_availability", _missing, _MISSING),
     Query("threshold_profile", lambda v: _profiles(v).groupBy("profile_id", "version", "faults", "valid").agg(F.count("*").alias("n")), """WITH p AS (SELECT DISTINCT concat('prof-', CAST(user_id % 40 AS VARCHAR)) AS profile_id, user_id % 3 AS version, user_id % 50 AS medium, event_id % 60 AS high, event_id % 11 AS pct, event_id % 7 AS k FROM events), d AS (SELECT DISTINCT profile_id, version, medium, high, pct, k = 1 AS odd FROM p), c AS (SELECT profile_id, version, count(*) > 1 AS clash FROM d GROUP BY ALL)
  SELECT profile_id, version, faults, faults = '' AS valid, count(*) AS n FROM (SELECT p.*, concat_ws('|', CASE WHEN k = 1 THEN 'keys' END, CASE WHEN k <> 1 AND medium > high OR pct < 0.9 THEN 'order' END, CASE WHEN k <> 1 AND medium < 1 OR high < 1 OR pct > 1 THEN 'range' END, CASE WHEN medium % 9 = 0 THEN 'digest' END, CASE WHEN clash THEN 'conflict' END) AS faults FROM p JOIN c USING (profile_id, version)) z GROUP BY ALL"""),
 ]

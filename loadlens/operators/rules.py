@@ -148,27 +148,45 @@ def scheduler_pressure(acts: DataFrame, rising: DataFrame, roots: DataFrame, t:
     return _finding(fired, "WIA-SCHEDULER-PRESSURE", "High", "High", "CPU", F.col("session_id").cast("string"), 250000 + F.col("persistence"))
 
 
-def rule_availability(inputs_present: DataFrame, required: DataFrame) -> DataFrame:
-    """(rule_id, missing): rules whose required columns are not all present, each Not Evaluated."""
-    gone = required.join(inputs_present.select("column").distinct(), "column", "left_anti")
-    return gone.groupBy("rule_id").agg(F.array_join(F.array_sort(F.collect_set("column")), ", ").alias("missing"))
-
-
-def capture_healthy(acts: DataFrame, findings: DataFrame, *keys: str) -> DataFrame:
+# The columns that a rule cannot do without.
+REQUIRED = {
+    "WIA-SCHEDULER-PRESSURE": ("status", "wait_info", "cpu", "collection_time"), "WIA-BLOCKING": ("blocking_session_id",), "WIA-RESOURCE": ("start_time", "collection_time"), "WIA-WAIT": ("wait_info",), "WIA-TRANSACTION": ("open_tran_count",),
+}
+#: The rule that is left out without a word where there are no counters of its kind.
+_COUNTED, _COUNTERS = "WIA-SCHEDULER-PRESSURE", "Scheduler counters"
+#: What stands for a plan where there is none.
+_NO_PLAN = "a plan document"
+
+
+def rule_availability(present: DataFrame, counters: DataFrame, plans: DataFrame) -> DataFrame:
+    """(rule_id, missing): what could not be evaluated. Rules whose required columns are not all present (column, lower case); the
+    scheduler rule only if counters (kind) hold some of its kind; PLAN if there are no plans."""
+    spark = present.sparkSession
+    required = spark.createDataFrame([(r, c) for r, columns in REQUIRED.items() for c in columns], "rule_id string, column string")
+    counted = counters.where(F.col("kind") == _COUNTERS).limit(1).select(F.lit(_COUNTED).alias("rule_id"))
+    asked = required.where(F.col("rule_id") != _COUNTED).unionByName(required.join(counted, "rule_id", "left_semi"))
+    gone = asked.join(present.select("column").distinct(), "column", "left_anti")
+    rules = gone.groupBy("rule_id").agg(F.array_join(F.array_sort(F.collect_set("column")), ", ").alias("missing"))
+    one = spark.createDataFrame([("PLAN", _NO_PLAN)], "rule_id string, missing string")
+    return rules.unionByName(one.join(plans.limit(1).select(F.lit("PLAN").alias("rule_id")), "rule_id", "left_anti"))
+
+
+def capture_healthy(acts: DataFrame, findings: DataFrame, *keys: str, t: Thresholds = Thresholds()) -> DataFrame:
     """For each group of captures (one in all without keys): one finding that nothing stands out, if there are rows, two
     captures and no finding of the group but Not Evaluated ones."""
     seen = acts.groupBy(*keys).agg(*_span())
     loud = findings.where("severity <> 'Not Evaluated'")
     loud = loud.select(*keys).distinct() if keys else loud.limit(1).select(F.lit(1).alias("one"))
-    calm = seen.where("n_rows > 0 and captures >= 2").join(loud, list(keys) if keys else F.lit(True), "left_anti")
-    return _finding(calm, "WIA-CAPTURE-HEALTHY", "Informational", "Medium", "Capture", F.concat_ws(":", *keys) if keys else F.lit("capture"), F.lit(0))
+    calm = seen.where((F.col("n_rows") > 0) & (F.col("captures") >= t.waits.corroborating_captures)).join(loud, list(keys) if keys else F.lit(True), "left_anti")
+    return _finding(calm, "CAPTURE-HEALTHY", "Informational", "High", "Assessment", F.concat_ws(":", *keys) if keys else F.lit("capture"), F.lit(0))
 
 
 def finding_caps(findings: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
-    """The findings that the caps keep, with their place in a capped rule by impact, then subject; null in other rules.
+    """The findings that the caps keep, with their place in a capped rule, null in other rules: in the order in which a rule gives
+    them, by impact, then by their first row.
 
     The first of a rule are taken within each task before they meet."""
-    w = Window.partitionBy("rule_id").orderBy(F.desc("impact"), "subject")
+    w = Window.partitionBy("rule_id").orderBy(F.desc("impact"), F.asc_nulls_last("first_row"), "subject")
     kept = findings.where(~F.col("rule_id").isin(*caps)).withColumn("place", F.lit(None).cast("int"))
     for rule, cap in caps.items():
         kept = kept.unionByName(findings.where(F.col("rule_id") == rule).withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap))
@@ -227,7 +245,7 @@ def suppressed_signals(acts: DataFrame, findings: DataFrame, t: Thresholds = Thr
 TITLES = {
     "WIA-SCHEDULER-PRESSURE": "CPU pressure prolongs a runnable root session", "WIA-BLOCKING-SPECIAL": "SQL Server special blocking owner observed", "WIA-BLOCKING": "Session is the root blocker",
     "WIA-RESOURCE": "Long-running execution among the largest consumers", "WIA-WORKER-EXHAUSTION": "Worker thread exhaustion observed", "WIA-COMPILE-PRESSURE": "Query compilation pressure observed",
-    "WIA-WAIT": "Wait observed", "WIA-WAIT-TRANSIENT-SUMMARY": "Isolated minor waits", "WIA-TRANSACTION": "Open transaction", "WIA-CAPTURE-HEALTHY": "No systemic concern observed",
+    "WIA-WAIT": "Wait observed", "WIA-WAIT-TRANSIENT-SUMMARY": "Isolated minor waits", "WIA-TRANSACTION": "Open transaction", "CAPTURE-HEALTHY": "No systemic concern observed",
 }
 
 
@@ -263,7 +281,7 @@ def finding_records(acts: DataFrame, findings: DataFrame, chains: DataFrame, epi
 
 def unavailable_findings(missing: DataFrame) -> DataFrame:
     """A Not Evaluated finding for each rule that rule_availability names (rule_id, missing)."""
-    rows = missing.select(F.concat("rule_id", F.lit("-UNAVAILABLE")).alias("rule_id"), F.concat(F.lit("missing: "), "missing").alias("subject"))
+    rows = missing.select(F.concat("rule_id", F.lit("-UNAVAILABLE")).alias("rule_id"), F.concat(F.lit("missing: "), "missing").alias("subject"))  # PLAN-UNAVAILABLE too
     gone = lambda kind: F.lit(None).cast(kind)
     return rows.select("rule_id", F.lit("Not Evaluated").alias("severity"), F.lit("High").alias("confidence"), F.lit("Data quality").alias("category"), "subject", F.lit(0.0).alias("impact"), F.lit(0).cast("long").alias("n_rows"),
                        gone("long").alias("first_row"), gone("int").alias("first_s"), gone("int").alias("last_s"), F.lit(0.0).alias("persistence"))
@@ -309,3 +327,10 @@ def all_findings(acts: DataFrame, samples: DataFrame, t: Thresholds = Thresholds
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def whole_run(acts: DataFrame, found: DataFrame, plan_findings: DataFrame, missing: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """What a run reports: the activity findings that the caps keep, those of plans (in the form of all others), a Not Evaluated
+    one for each rule in missing, and, if nothing else is there, that nothing stands out."""
+    out = finding_caps(found).drop("place").unionByName(plan_findings).unionByName(unavailable_findings(missing))
+    return out.unionByName(capture_healthy(acts, out, t=t))

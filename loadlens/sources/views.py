@@ -64,7 +64,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER B
 SELECT o_orderkey AS statement_id, concat('plan-', CAST(o_custkey % 400 AS $STR)) AS plan_id, o_orderkey % 5 <> 0 AS actual, CAST(floor(o_totalprice) AS DOUBLE) / 1000 AS cost,
   CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 100 AS DOUBLE) ELSE NULL END AS missing_index_impact,
   CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey % 1500 AS DOUBLE) ELSE NULL END AS granted_mb, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey % 1500 AS DOUBLE) / (1 + o_orderkey % 12) ELSE NULL END AS used_mb,
-  CASE WHEN o_orderkey % 4 = 0 THEN 'EstimatedDOPIsOne' WHEN o_orderkey % 7 = 0 THEN 'TSQLUserDefinedFunctionsNotParallelizable' ELSE NULL END AS nonparallel_reason,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'EstimatedDOPIsOne' WHEN o_orderkey % 7 = 0 THEN 'TSQLUserDefinedFunctionsNotParallelizable' ELSE NULL END AS nonparallel_reason, CASE WHEN o_custkey % 6 = 0 THEN 4 ELSE 1 END AS dop,
   concat('h', CAST(o_orderkey AS $STR)) AS plan_handle, concat('q', CAST(o_custkey AS $STR)) AS query_hash, concat('p', CAST(o_custkey % 50 AS $STR)) AS plan_hash,
   CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey % 977 ELSE NULL END AS qs_query_id, o_custkey % 5 AS database_id, concat('SELECT ', CAST(o_orderkey % 20 AS $STR), ' FROM sales') AS statement_text
 FROM orders""",

@@ -280,10 +280,37 @@ def test_healthy_only_without_loud_findings(spark):
 
 
 def test_caps_and_their_disclosure(spark):
-    f = spark.createDataFrame([("WIA-RESOURCE", f"s{i:02d}", float(i)) for i in range(25)] + [("WIA-BLOCKING", "b", 1.0)], "rule_id string, subject string, impact double")
+    f = spark.createDataFrame([("WIA-RESOURCE", f"s{i:02d}", float(i), i) for i in range(25)] + [("WIA-BLOCKING", "b", 1.0, 1)], "rule_id string, subject string, impact double, first_row long")
     kept = R.finding_caps(f).collect()
     assert sorted(r.place for r in kept if r.rule_id == "WIA-RESOURCE") == list(range(1, 21)) and {r.subject for r in kept if r.place == 1} == {"s24"}
     assert [(r.retained, r.suppressed) for r in R.cap_disclosure(f).collect()] == [(20, 5)]
+    # of equal impacts those that come first in the input are kept
+    even = spark.createDataFrame([("WIA-WAIT", f"s{99 - i}", 7.0, i) for i in range(30)], "rule_id string, subject string, impact double, first_row long")
+    assert {r.first_row for r in R.finding_caps(even).collect()} == set(range(24))
+
+
+def test_what_could_not_be_evaluated(spark):
+    columns = lambda *c: spark.createDataFrame([(x,) for x in c], "column string")
+    kinds, plans = spark.createDataFrame([("Scheduler counters",), ("Worker counters",)], "kind string"), spark.range(1)
+    missing = lambda *a: {r.rule_id: r.missing for r in R.rule_availability(*a).collect()}
+    assert missing(columns("blocking_session_id", "wait_info", "status"), kinds, plans) == {"WIA-SCHEDULER-PRESSURE": "collection_time, cpu", "WIA-RESOURCE": "collection_time, start_time", "WIA-TRANSACTION": "open_tran_count"}
+    assert missing(columns("blocking_session_id", "wait_info", "status", "open_tran_count", "start_time", "collection_time"), kinds.where("kind like 'W%'"), plans.where("false")) == {"PLAN": "a plan document"}
+
+
+def test_a_whole_run(spark):
+    acts = capture(spark, {"session_id": 1, "capture_s": 0}, {"session_id": 1, "capture_s": 15})
+    none = R.wait_findings(acts).where("false")
+    gone = spark.createDataFrame([("PLAN", "a plan document")], "rule_id string, missing string")
+    calm = {(r.rule_id, r.severity, r.confidence, r.category) for r in R.whole_run(acts, none, none, gone).collect()}
+    assert calm == {("PLAN-UNAVAILABLE", "Not Evaluated", "High", "Data quality"), ("CAPTURE-HEALTHY", "Informational", "High", "Assessment")}
+    loud = R.wait_findings(capture(spark, {"session_id": 1, "wait_info": "(2000ms)WRITELOG"}))
+    assert {r.rule_id for r in R.whole_run(acts, loud, none, gone).collect()} == {"WIA-WAIT", "PLAN-UNAVAILABLE"}
+
+
+def test_serial_plans(spark):
+    st = spark.createDataFrame([(1, "X", 1, 2.0), (2, "X", 4, 2.0), (3, "EstimatedDOPIsOne", 1, 2.0), (4, "EstimatedDOPIsOne", 1, 2.0), (5, None, 1, 2.0)], "statement_id long, nonparallel_reason string, dop int, cost double")
+    ops = spark.createDataFrame([(4, 0, True)], "statement_id long, node_id int, scalar_udf boolean")
+    assert {r.statement_id for r in H.plan_serialization(st, ops).collect()} == {1, 4}
 
 
 def test_threshold_profiles(spark):
