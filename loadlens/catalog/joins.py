@@ -15,6 +15,9 @@ from loadlens.sources import inputs as I
 
 _H = "nullif(regexp_replace(lower(trim({0})), '^0x', ''), '')"
 _ID = f"idn AS (SELECT * REPLACE ({_H.format('plan_handle')} AS plan_handle, {_H.format('sql_handle')} AS sql_handle, {_H.format('query_hash')} AS query_hash, {_H.format('plan_hash')} AS plan_hash) FROM ident)"
+_WHOLE_LOCKS = "f AS (SELECT *, coalesce(description, '') AS about FROM locks WHERE entity_id IS NOT NULL AND (description IS NOT NULL OR resource_type NOT IN ('KEY', 'PAGE', 'RID')))"
+_ON = "x.resource_type, x.database_id, x.entity_id, x.about"
+_EVEN = "g.resource_type = w.resource_type AND g.database_id = w.database_id AND g.entity_id = w.entity_id AND g.about = w.about"
 _S = lambda *k: " AND ".join(f"coalesce(l.{x} = r.{x}, false)" for x in k)
 _D = lambda k: f"CASE WHEN l.{k} <> r.{k} THEN 1 ELSE 0 END"
 MATCH = f"""{_ID}, m0 AS (SELECT l.id AS l_id, r.id AS r_id, {' + '.join(_D(k) for k in ('plan_handle', 'sql_handle', 'plan_hash', 'qs_query_id', 'qs_plan_id', 'database_id'))} + CASE WHEN l.sql_handle = r.sql_handle AND l.start_offset <> r.start_offset THEN 1 ELSE 0 END + CASE WHEN l.sql_handle = r.sql_handle AND l.end_offset <> r.end_offset THEN 1 ELSE 0 END AS n_conflicts,
@@ -37,13 +40,23 @@ def _match(v):
     return K.identity_match(i.where("side = 0"), i.where("side = 1"))
 
 
+def _class_counts(v):
+    """How many pairs of rows there are of each quality, by counts of classes alone; pairs by session are made of rows."""
+    l_, r = v.ident.where("side = 0"), v.ident.where("side = 1")
+    (lc, _), (rc, _) = K.identity_classes(l_), K.identity_classes(r)
+    of = K.class_match(lc, rc).join(lc.select(F.col("cls").alias("l_cls"), F.col("n").alias("l_n")), "l_cls").select("quality", "matched", (F.col("l_n") * F.col("r_n")).alias("pairs"))
+    rows = K._by_session(l_, r).select("quality", "matched", F.lit(1).cast("long").alias("pairs"))
+    return of.unionByName(rows).where("quality <> 'None'").groupBy("quality", "matched").agg(F.sum("pairs").alias("pairs"))
+
+
 def _selections(v):
     last = v.ident.where("side = 1").groupBy("session_id").agg(F.max("id").alias("chosen"))
     return v.ident.where("side = 0 and id % 4 = 0").join(last, "session_id").select(F.col("id").alias("l_id"), "chosen")
 
 
 def _candidates(v):
-    return K.candidate_plan(_match(v).withColumn("actual", F.col("r_id") % 3 != 0), _selections(v))
+    i = v.ident
+    return K.candidate_plans(i.where("side = 0"), i.where("side = 1").withColumn("actual", F.col("id") % 3 != 0), _selections(v))
 
 
 def _spills(v):
@@ -81,7 +94,10 @@ QUERIES = [
     Query("identity_match", lambda v: _match(v).select("l_id", "r_id", "quality", "n_conflicts", "matched"), f"WITH {MATCH} SELECT l_id, r_id, quality, n_conflicts, matched FROM mt"),
     Query("incident_overlap", lambda v: K.incident_overlap(v.samples.select(F.col("sample_order").alias("artifact_id"), F.concat(F.lit("src-"), F.col("sample_order") % 2).alias("window_id"), F.when(F.col("sample_order") % 17 != 0, F.col("capture_s") - 100).alias("at_s")), v.activity.groupBy(F.col("source_id").alias("window_id")).agg((F.min("capture_s") + 60).alias("first_s"), (F.max("capture_s") - 200).alias("last_s"))),
           "WITH a AS (SELECT sample_order AS artifact_id, concat('src-', sample_order % 2) AS window_id, CASE WHEN sample_order % 17 <> 0 THEN capture_s - 100 END AS t FROM samples), w AS (SELECT source_id AS window_id, min(capture_s) + 60 AS f, max(capture_s) - 200 AS l FROM activity GROUP BY 1) SELECT artifact_id, window_id, CASE WHEN t IS NULL THEN 'Unknown' WHEN t BETWEEN f AND l THEN 'Exact' WHEN t BETWEEN f - 30 AND l + 30 THEN 'Overlapping' ELSE 'Context only' END AS overlap FROM a LEFT JOIN w USING (window_id)"),
-    Query("lock_resource_match", lambda v: K.lock_resource_match(v.locks), "WITH f AS (SELECT *, coalesce(description, '') AS about FROM locks WHERE entity_id IS NOT NULL AND (description IS NOT NULL OR resource_type NOT IN ('KEY', 'PAGE', 'RID'))) SELECT DISTINCT g.session_id AS holder, w.session_id AS waiter, g.resource_type, g.database_id, g.entity_id, g.about FROM f g JOIN f w ON g.request_status = 'GRANT' AND w.request_status = 'WAIT' AND g.resource_type = w.resource_type AND g.database_id = w.database_id AND g.entity_id = w.entity_id AND g.about = w.about WHERE g.session_id <> w.session_id"),
+    Query("lock_resource_match", lambda v: K.lock_resource_match(v.locks, v.locks.where("session_id % 7 = 0").select("session_id")), f"WITH {_WHOLE_LOCKS} SELECT DISTINCT g.session_id AS holder, w.session_id AS waiter, {_ON.replace('x.', 'g.')} FROM f g JOIN f w ON g.request_status = 'GRANT' AND w.request_status = 'WAIT' AND g.session_id <> w.session_id AND g.session_id % 7 = 0 AND {_EVEN}"),
+    Query("lock_resources", lambda v: K.lock_resources(v.locks), f"WITH {_WHOLE_LOCKS}, s AS (SELECT resource_type, database_id, entity_id, about, session_id, bool_or(request_status = 'GRANT') AS h, bool_or(request_status = 'WAIT') AS w FROM f GROUP BY ALL) SELECT resource_type, database_id, entity_id, about, count(*) FILTER (WHERE h) AS holders, count(*) FILTER (WHERE w) AS waiters, count(*) FILTER (WHERE h AND w) AS both, count(*) FILTER (WHERE h) * count(*) FILTER (WHERE w) - count(*) FILTER (WHERE h AND w) AS pairs FROM s GROUP BY 1, 2, 3, 4 HAVING pairs > 0"),
+    Query("lock_members", lambda v: K.lock_members(v.locks, 4).groupBy(*K.RESOURCE, "side").agg(F.sum(F.size("sessions")).alias("sessions"), F.sum(F.aggregate("sessions", F.lit(0).cast("long"), lambda s, x: s + x)).alias("total")), f"WITH {_WHOLE_LOCKS} SELECT resource_type, database_id, entity_id, about, CASE request_status WHEN 'GRANT' THEN 'holder' ELSE 'waiter' END AS side, count(DISTINCT session_id) AS sessions, sum(DISTINCT session_id) AS total FROM f GROUP BY 1, 2, 3, 4, 5"),
+    Query("class_match", _class_counts, f"WITH {MATCH} SELECT quality, matched, count(*) AS pairs FROM mt WHERE quality <> 'None' GROUP BY ALL"),
     Query("shared_resources", lambda v: K.shared_resources(v.locks), "SELECT resource_type, database_id, entity_id, description FROM locks WHERE request_status = 'GRANT' INTERSECT SELECT resource_type, database_id, entity_id, description FROM locks WHERE request_status = 'WAIT'"),
     Query("scheduler_blocking_link", lambda v: K.scheduler_blocking_link(found(v)), f"{ALL}, s AS (SELECT subject, subject AS root FROM findings WHERE rule_id = 'WIA-SCHEDULER-PRESSURE'), b AS (SELECT subject, split_part(subject, ':', 2) AS root FROM findings WHERE rule_id = 'WIA-BLOCKING') SELECT s.subject AS \"from\", b.subject AS \"to\" FROM s JOIN b USING (root) UNION ALL SELECT b.subject, s.subject FROM s JOIN b USING (root)"),
     Query("plan_record_link", lambda v: J.plan_record_link(v.plan_stmts.select("statement_id", "plan_id", F.col("statement_id").alias("source_record")), v.activity), "SELECT statement_id, plan_id, session_id, source_id FROM plan_stmts JOIN activity ON statement_id = row_number"),

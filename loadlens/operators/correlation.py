@@ -13,44 +13,95 @@ from loadlens.functions import scalars as S
 IDENTITY = ("qs_query_id", "qs_plan_id", "database_id", "plan_handle", "sql_handle", "start_offset", "end_offset", "query_hash", "plan_hash", "session_id", "request_id", "transaction_id")
 QUALITY = {"Exact": 3, "Strong": 2, "Candidate": 1, "None": 0}
 _HANDLES = ("plan_handle", "sql_handle", "query_hash", "plan_hash")
-#: Each way to meet: an equi-join on these keys. All pairs that any of them gives are then graded.
-_MEETINGS = (("qs_query_id", "qs_plan_id"), ("plan_handle",), ("sql_handle",), ("query_hash",), ("session_id", "request_id"))
+#: The keys of a query, by which identities are classes, and the ways in which classes meet: equi-joins on these.
+_QUERY = IDENTITY[:9]
+_MEETINGS = (("qs_query_id", "qs_plan_id"), ("plan_handle",), ("sql_handle",), ("query_hash",))
+#: Of a meeting by the last, what is at least Strong shares this too.
+_STRONG_HASH = ("query_hash", "plan_hash")
 
 
 def quality_rank(quality: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in QUALITY.items() for x in kv)), quality)
 
 
-def _sided(df: DataFrame, side: str, *more: str) -> DataFrame:
+def _keys(df: DataFrame, keys: tuple[str, ...]) -> list[Column]:
     col = lambda k: S.handle_norm(F.col(k)) if k in _HANDLES else F.col(k)
-    return df.select(F.col("id").alias(f"{side}_id"), *((col(k) if k in df.columns else F.lit(None)).alias(f"{side}_{k}") for k in (*IDENTITY, *more)))
+    return [(col(k) if k in df.columns else F.lit(None)).alias(k) for k in keys]
 
 
-def identity_match(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l_id, r_id, quality, n_conflicts, same_plan, local, told, artifact, matched) for each pair of identities that share
-    a key. A conflict on a key that both have blocks the match but leaves its quality. same_plan: the plan handles agree;
-    local: no conflict but of the statement; told: offsets, hashes or the Query Store pair tell the statement from its
-    siblings; artifact: where the right one is from, null without such a column."""
-    l_, r = _sided(left, "l"), _sided(right, "r", "artifact")
-    both = [l_.join(r, reduce(lambda x, y: x & y, (F.col(f"l_{k}") == F.col(f"r_{k}") for k in keys))) for keys in _MEETINGS]
-    pairs = reduce(DataFrame.unionByName, both).dropDuplicates(["l_id", "r_id"])
-    same = lambda *ks: reduce(lambda x, y: x & y, (F.coalesce(F.col(f"l_{k}") == F.col(f"r_{k}"), F.lit(False)) for k in ks))
+def identity_classes(df: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, keys of an identity) that agree in all keys of a query, and in the columns more, are one class: (cls, n, the
+    keys, more), named by its smallest id, and (id, cls) of all rows. A query that half of the rows are of is a few rows."""
+    rows = df.select("id", *_keys(df, (*_QUERY, *more)))
+    rows = rows.withColumn("h", F.sha2(F.to_json(F.struct(*_QUERY, *more)), 256))
+    classes = rows.groupBy("h").agg(F.min("id").alias("cls"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in (*_QUERY, *more)))
+    return classes.drop("h"), rows.select("id", "h").join(classes.select("h", "cls"), "h").select("id", "cls")
+
+
+def _sided(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns))
+
+
+def _same(*keys: str) -> Column:
+    return reduce(lambda x, y: x & y, (F.coalesce(F.col(f"l_{k}") == F.col(f"r_{k}"), F.lit(False)) for k in keys))
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return left.join(right, reduce(lambda x, y: x & y, (F.col(f"l_{k}") == F.col(f"r_{k}") for k in keys)))
+
+
+def _graded(pairs: DataFrame, *kept: str) -> DataFrame:
+    """pairs of sided identities with quality, n_conflicts, same_plan, local, told and matched, and the columns kept."""
     differ = lambda k: F.coalesce(F.col(f"l_{k}") != F.col(f"r_{k}"), F.lit(False))
     whole = lambda s: F.col(f"{s}_start_offset").isNotNull() & F.col(f"{s}_end_offset").isNotNull()
-    conflicts = [differ(k) for k in ("plan_handle", "sql_handle", "plan_hash", "qs_query_id", "qs_plan_id", "database_id")] + [same("sql_handle") & differ(k) for k in ("start_offset", "end_offset")]
+    conflicts = [differ(k) for k in ("plan_handle", "sql_handle", "plan_hash", "qs_query_id", "qs_plan_id", "database_id")] + [_same("sql_handle") & differ(k) for k in ("start_offset", "end_offset")]
     n = reduce(lambda x, y: x + y, (c.cast("int") for c in conflicts))
     scoped = F.col("l_database_id").isNotNull() & F.col("r_database_id").isNotNull()
+    session = F.when(_same("session_id", "request_id"), F.when(_same("transaction_id"), "Exact").otherwise("Strong")).otherwise("None") if "l_session_id" in pairs.columns else F.lit("None")
     quality = (
-        F.when(same("qs_query_id", "qs_plan_id"), F.when(same("database_id"), "Exact").when(scoped, "None").otherwise("Candidate"))
-        .when(same("plan_handle"), "Exact")
-        .when(same("sql_handle"), F.when(whole("l") & whole("r"), F.when(same("start_offset", "end_offset"), "Exact").otherwise("None")).otherwise("Strong"))
-        .when(same("query_hash"), F.when(same("plan_hash"), "Strong").otherwise("Candidate"))
-        .when(same("session_id", "request_id"), F.when(same("transaction_id"), "Exact").otherwise("Strong")).otherwise("None")
+        F.when(_same("qs_query_id", "qs_plan_id"), F.when(_same("database_id"), "Exact").when(scoped, "None").otherwise("Candidate"))
+        .when(_same("plan_handle"), "Exact")
+        .when(_same("sql_handle"), F.when(whole("l") & whole("r"), F.when(_same("start_offset", "end_offset"), "Exact").otherwise("None")).otherwise("Strong"))
+        .when(_same("query_hash"), F.when(_same("plan_hash"), "Strong").otherwise("Candidate")).otherwise(session)
     )
     local = ~reduce(lambda x, y: x | y, (differ(k) for k in ("plan_handle", "sql_handle", "database_id")))
-    told = same("sql_handle", "start_offset", "end_offset") | same("query_hash", "plan_hash") | same("database_id", "qs_query_id", "qs_plan_id")
-    more = [same("plan_handle").alias("same_plan"), local.alias("local"), told.alias("told"), F.col("r_artifact").cast("string").alias("artifact")]
-    return pairs.select("l_id", "r_id", quality.alias("quality"), n.alias("n_conflicts"), *more).withColumn("matched", (F.col("n_conflicts") == 0) & (F.col("quality") != "None"))
+    told = _same("sql_handle", "start_offset", "end_offset") | _same("query_hash", "plan_hash") | _same("database_id", "qs_query_id", "qs_plan_id")
+    out = pairs.select(*kept, quality.alias("quality"), n.alias("n_conflicts"), _same("plan_handle").alias("same_plan"), local.alias("local"), told.alias("told"))
+    return out.withColumn("matched", (F.col("n_conflicts") == 0) & (F.col("quality") != "None"))
+
+
+def class_match(left: DataFrame, right: DataFrame, least: str = "Candidate", *kept: str) -> DataFrame:
+    """Each pair of identity_classes (l_cls, r_cls) that share a key of a query, graded, with how many rows the right one stands for
+    (r_n) and its columns kept. least: Strong leaves out what only shares the hash of a query, which many may."""
+    l_, r = _sided(left, "l"), _sided(right, "r")
+    ways = [*_MEETINGS[:-1], _STRONG_HASH if QUALITY[least] > 1 else _MEETINGS[-1]]
+    pairs = reduce(DataFrame.unionByName, (_meet(l_, r, keys) for keys in ways)).dropDuplicates(["l_cls", "r_cls"])
+    return _graded(pairs, "l_cls", "r_cls", "r_n", *(f"r_{k}" for k in kept))
+
+
+def _by_session(left: DataFrame, right: DataFrame, *kept: str) -> DataFrame:
+    """Graded pairs of rows that share a session and request and no key of a query."""
+    l_ = _sided(left.select("id", *_keys(left, IDENTITY)), "l")
+    r = _sided(right.select("id", *_keys(right, (*IDENTITY, *kept))), "r")
+    pairs = _meet(l_, r, ("session_id", "request_id")).where(~reduce(lambda x, y: x | y, (_same(*k) for k in _MEETINGS)))
+    return _graded(pairs, "l_id", "r_id", *(f"r_{k}" for k in kept))
+
+
+_GRADES = ["quality", "n_conflicts", "same_plan", "local", "told", "matched"]
+
+
+def identity_match(left: DataFrame, right: DataFrame, least: str = "Candidate") -> DataFrame:
+    """(l_id, r_id, quality, n_conflicts, same_plan, local, told, artifact, matched) for each pair of identities that share
+    a key. A conflict on a key that both have blocks the match but leaves its quality. same_plan: the plan handles agree;
+    local: no conflict but of the statement; told: offsets, hashes or the Query Store pair tell the statement from its
+    siblings; artifact: where the right one is from, null without such a column.
+
+    Equal identities meet once, as classes; pairs of rows are made last, for those who want them. least: see class_match."""
+    (lc, lm), (rc, rm) = identity_classes(left), identity_classes(right, "artifact")
+    classes = class_match(lc, rc, least, "artifact")
+    pairs = classes.join(lm.select(F.col("id").alias("l_id"), F.col("cls").alias("l_cls")), "l_cls").join(rm.select(F.col("id").alias("r_id"), F.col("cls").alias("r_cls")), "r_cls")
+    both = pairs.select("l_id", "r_id", *_GRADES, "r_artifact").unionByName(_by_session(left, right, "artifact").select("l_id", "r_id", *_GRADES, "r_artifact"))
+    return both.withColumn("artifact", F.col("r_artifact").cast("string")).drop("r_artifact")
 
 
 def incident_overlap(artifacts: DataFrame, windows: DataFrame, tolerance: int = 30) -> DataFrame:
@@ -63,13 +114,41 @@ def incident_overlap(artifacts: DataFrame, windows: DataFrame, tolerance: int =
 _NEEDS_DESCRIPTION = ("KEY", "PAGE", "RID")
 
 
-def lock_resource_match(locks: DataFrame) -> DataFrame:
-    """Pairs of sessions of which one holds the very resource that the other waits for. Incomplete resources never match."""
+def _whole_locks(locks: DataFrame) -> DataFrame:
+    """Locks whose resource is told from all others, with about for the description."""
     fine = locks.where(F.col("resource_type").isNotNull() & F.col("database_id").isNotNull() & F.col("entity_id").isNotNull() & (F.col("description").isNotNull() | ~F.col("resource_type").isin(*_NEEDS_DESCRIPTION)))
-    keys = ["resource_type", "database_id", "entity_id", "about"]
-    fine = fine.withColumn("about", F.coalesce("description", F.lit("")))
-    side = lambda status, name: fine.where(F.col("request_status") == status).select(*keys, F.col("session_id").alias(name)).distinct()
-    return side("GRANT", "holder").join(side("WAIT", "waiter"), keys).where("holder <> waiter").select("holder", "waiter", *keys)
+    return fine.withColumn("about", F.coalesce("description", F.lit("")))
+
+
+RESOURCE = ["resource_type", "database_id", "entity_id", "about"]
+#: Sessions of a block of a resource's members.
+_MEMBERS = 512
+
+
+def lock_resources(locks: DataFrame) -> DataFrame:
+    """One row for each resource that is both held and waited for: holders, waiters and both (sessions), and pairs, the number of
+    pairs of a holder and another session that waits, which nobody has to make."""
+    g = _whole_locks(locks).where("request_status in ('GRANT', 'WAIT')").groupBy(*RESOURCE, "session_id").agg(F.bool_or(F.col("request_status") == "GRANT").alias("holds"), F.bool_or(F.col("request_status") == "WAIT").alias("waits"))
+    g = g.groupBy(*RESOURCE).agg(F.count_if("holds").alias("holders"), F.count_if("waits").alias("waiters"), F.count_if(F.col("holds") & F.col("waits")).alias("both"))
+    return g.withColumn("pairs", F.col("holders") * F.col("waiters") - F.col("both")).where("pairs > 0")
+
+
+def lock_members(locks: DataFrame, size: int = _MEMBERS) -> DataFrame:
+    """The sessions of each resource that is held or waited for, in blocks of about size: (resource, side, block, sessions). The block
+    follows from the session, so no list grows with the sessions of a hot resource."""
+    each = _whole_locks(locks).where("request_status in ('GRANT', 'WAIT')").select(*RESOURCE, F.when(F.col("request_status") == "GRANT", "holder").otherwise("waiter").alias("side"), "session_id").distinct()
+    n = each.groupBy(*RESOURCE, "side").agg(F.count("*").alias("n"))
+    placed = each.join(n, [*RESOURCE, "side"]).withColumn("block", F.pmod(F.xxhash64("session_id"), F.ceil(F.col("n") / size)))
+    return placed.groupBy(*RESOURCE, "side", "block").agg(F.array_sort(F.collect_list("session_id")).alias("sessions"))
+
+
+def lock_resource_match(locks: DataFrame, roots: DataFrame) -> DataFrame:
+    """(holder, waiter, resource): the sessions that wait for a resource that a root (session_id) holds. Incomplete resources never
+    match. A root and its waiters meet, never all holders and all waiters, so rows follow the locks."""
+    fine = _whole_locks(locks)
+    side = lambda status, name: fine.where(F.col("request_status") == status).select(*RESOURCE, F.col("session_id").alias(name)).distinct()
+    held = side("GRANT", "holder").join(roots.select(F.col("session_id").alias("holder")).distinct(), "holder", "left_semi")
+    return held.join(side("WAIT", "waiter"), RESOURCE).where("holder <> waiter").select("holder", "waiter", *RESOURCE)
 
 
 def shared_resources(locks: DataFrame, *also: str) -> DataFrame:
@@ -119,25 +198,57 @@ def sidecar_identity(statements: DataFrame, sidecars: DataFrame) -> DataFrame:
     return both.select("p.sidecar_id", "p.plan_id", "p.statement_id", "p.tier", F.array_compact(F.array(*map(differ, _SIDECAR))).alias("conflicts"))
 
 
+def _best(rows: DataFrame, by: str) -> DataFrame:
+    """(by, score, ties, first, strength, alternatives, against) of graded rows (by, alt, n, first, artifact, actual, cached): what
+    counts of them, a row for each by. A conflicting statement counts against, but for siblings that are told apart."""
+    rows = rows.withColumn("strength", quality_rank(F.col("quality"))).where("strength >= 2")
+    told = rows.where("matched and quality = 'Exact' and same_plan and told").select(by, "artifact").distinct()
+    beside = rows.where("not matched and same_plan and local").join(told, [by, "artifact"], "left_semi").select(by, "alt").distinct()
+    blocked = rows.where("not matched").join(beside, [by, "alt"], "left_anti").groupBy(by).agg(F.max("strength").alias("against"))
+    kind = F.when(F.col("actual"), 2).when(F.coalesce("cached", F.lit(False)), 1).otherwise(0)
+    scored = rows.where("matched").withColumn("score", F.col("strength") * 3 + kind).groupBy(by, "score").agg(F.sum("n").alias("ties"), F.min("first").alias("first"), F.max("strength").alias("strength"), F.collect_set("alt").alias("alternatives"))
+    top = scored.groupBy(by).agg(F.max_by(F.struct("score", "ties", "first", "strength", "alternatives"), "score").alias("b")).select(by, "b.*")
+    return top.join(blocked, by, "left")
+
+
+def _decided(best: DataFrame, selections: DataFrame, chosen_alt: Column) -> DataFrame:
+    j = best.join(selections, "l_id", "left")
+    picked = F.array_contains("alternatives", chosen_alt)
+    state = F.when(F.col("against") >= F.col("strength"), "blocked").when(F.col("ties") == 1, "resolved").when(F.coalesce(picked, F.lit(False)), "selected").otherwise("ambiguous")
+    return j.select("l_id", state.alias("state"), F.when(state == "resolved", F.col("first")).when(state == "selected", F.col("chosen")).alias("r_id"), "ties")
+
+
 def candidate_plan(matches: DataFrame, selections: DataFrame) -> DataFrame:
     """The best statement for each candidate of matches (identity_match with actual and, where known, cached): Strong at
     least, actual plans before cached estimated ones before others. A conflicting statement at least as strong blocks, except
     a sibling in the artifact and under the plan handle of an Exact match that its own discriminator tells from it; ties are
     ambiguous unless selections (l_id, chosen) picks one."""
-    strength = quality_rank(F.col("quality"))
-    rows = matches.withColumn("strength", strength).where("strength >= 2")
-    told = rows.where("matched and quality = 'Exact' and same_plan and told").select("l_id", "artifact").distinct()
-    beside = rows.where("not matched and same_plan and local").join(told, ["l_id", "artifact"], "left_semi").select("l_id", "r_id")
-    blocked = rows.where("not matched").join(beside, ["l_id", "r_id"], "left_anti").groupBy("l_id").agg(F.max("strength").alias("against"))
-    cached = F.coalesce("cached", F.lit(False)) if "cached" in rows.columns else F.lit(False)
-    kind = F.when(F.col("actual"), 2).when(cached, 1).otherwise(0)
-    good = rows.where("matched").withColumn("score", F.col("strength") * 3 + kind)
-    w = Window.partitionBy("l_id")
-    top = good.withColumn("most", F.max("score").over(w)).where("score = most").groupBy("l_id").agg(F.count("*").alias("ties"), F.min("r_id").alias("first"), F.max("strength").alias("strength"), F.array_sort(F.collect_set("r_id")).alias("alternatives"))
-    j = top.join(blocked, "l_id", "left").join(selections, "l_id", "left")
-    picked = F.array_contains("alternatives", F.col("chosen"))
-    state = F.when(F.col("against") >= F.col("strength"), "blocked").when(F.col("ties") == 1, "resolved").when(F.coalesce(picked, F.lit(False)), "selected").otherwise("ambiguous")
-    return j.select("l_id", state.alias("state"), F.when(state == "resolved", F.col("first")).when(state == "selected", F.col("chosen")).alias("r_id"), F.col("ties"))
+    cached = F.col("cached") if "cached" in matches.columns else F.lit(False)
+    rows = matches.select("l_id", F.col("r_id").alias("alt"), F.lit(1).alias("n"), F.col("r_id").alias("first"), "artifact", "actual", cached.alias("cached"), *_GRADES)
+    return _decided(_best(rows, "l_id"), selections, F.col("chosen"))
+
+
+def candidate_plans(left: DataFrame, right: DataFrame, selections: DataFrame) -> DataFrame:
+    """candidate_plan of the candidates left and the statements right (identities; right has actual and may have cached and artifact)
+    without pairs of rows: equal identities are classes that meet once, a class of candidates keeps the best of what it met,
+    and its rows take that over. Pairs by session alone are made of rows, as a session and request are few."""
+    right = right.withColumns({c: F.lit(None).cast(k) for c, k in (("cached", "boolean"), ("artifact", "string")) if c not in right.columns})
+    kept = ("artifact", "actual", "cached")
+    (lc, lm), (rc, rm) = identity_classes(left), identity_classes(right, *kept)
+    of = lambda by, alt, n, first: [by, alt.alias("alt"), n.alias("n"), first.alias("first"), *(F.col(f"r_{k}").alias(k) for k in kept), *_GRADES]
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    by_class = _best(class_match(lc, rc, "Strong", *kept).select(*of("l_cls", name("c", "r_cls"), F.col("r_n"), F.col("r_cls"))), "l_cls")
+    by_class = by_class.join(lm.select(F.col("id").alias("l_id"), F.col("cls").alias("l_cls")), "l_cls").drop("l_cls")
+    by_row = _best(_by_session(left, right, *kept).select(*of("l_id", name("r", "r_id"), F.lit(1), F.col("r_id"))), "l_id")
+    both = by_class.unionByName(by_row)
+    most = both.groupBy("l_id").agg(F.max("score").alias("score"), F.max("against").alias("against"))
+    best = both.drop("against").join(most, ["l_id", "score"]).groupBy("l_id").agg(F.sum("ties").alias("ties"), F.min("first").alias("first"), F.max("strength").alias("strength"), F.flatten(F.collect_list("alternatives")).alias("alternatives"), F.first("against").alias("against"))
+    picked = selections.join(rm.select(F.col("id").alias("chosen"), F.col("cls").alias("chosen_cls")), "chosen", "left").select("l_id", "chosen", "chosen_cls")
+    # a chosen statement is among the best by its class or by itself
+    j = best.join(picked, "l_id", "left")
+    state = F.when(F.col("against") >= F.col("strength"), "blocked").when(F.col("ties") == 1, "resolved")
+    state = state.when(F.coalesce(F.array_contains("alternatives", name("c", "chosen_cls")) | F.array_contains("alternatives", name("r", "chosen")), F.lit(False)), "selected").otherwise("ambiguous")
+    return j.select("l_id", state.alias("state"), F.when(state == "resolved", F.col("first")).when(state == "selected", F.col("chosen")).alias("r_id"), "ties")
 
 
 def manual_selection_valid(candidates: DataFrame, matches: DataFrame, selections: DataFrame) -> DataFrame:

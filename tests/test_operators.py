@@ -130,6 +130,33 @@ def test_capture_with_any_separator(spark, tmp_path, sep):
     assert got == [("a", "b"), (f"x{sep}\ny", 'say "hi"'), ("1", "2")]
 
 
+def test_a_hot_query_makes_rows_in_proportion(spark):
+    """Half of all rows are of one query: equal identities meet once, whatever their number; the results are those of pairs."""
+    kind = "id long, plan_handle string, query_hash string, plan_hash string, session_id long, request_id long"
+    side = lambda n, first: spark.createDataFrame([(first + i, "h" if i % 2 else f"h{i % 7}", "q" if i % 2 else f"q{i % 5}", "p" if i % 2 else None, i % 11, 0) for i in range(n)], kind)
+    none = spark.createDataFrame([], "l_id long, chosen long")
+    sizes = []
+    for n in (60, 600):
+        left, right = side(n, 0), side(n, 10_000).withColumn("actual", F.col("id") % 2 == 0)
+        (lc, _), (rc, _) = K.identity_classes(left), K.identity_classes(right, "artifact", "actual")
+        sizes.append(K.class_match(lc, rc, "Strong").count())
+        if n == 60:
+            pairs = K.identity_match(left, right).join(right.select(F.col("id").alias("r_id"), "actual"), "r_id")
+            by_pairs, by_class = K.candidate_plan(pairs, none), K.candidate_plans(left, right, none)
+            assert sorted(map(tuple, by_pairs.collect())) == sorted(map(tuple, by_class.collect())) and by_class.count() > 0
+    assert sizes[1] <= 2 * sizes[0]
+
+
+def test_many_waiters_on_one_lock(spark):
+    n = 100_000
+    locks = spark.range(n).selectExpr("id as session_id", "case when id < 300 then 'GRANT' else 'WAIT' end as request_status", "'OBJECT' as resource_type", "5 as database_id", "1 as entity_id", "cast(null as string) as description")
+    (row,) = K.lock_resources(locks).collect()
+    assert (row.holders, row.waiters, row.pairs) == (300, n - 300, 300 * (n - 300))
+    assert K.lock_resource_match(locks, spark.createDataFrame([(7,)], "session_id long")).count() == n - 300
+    sizes = [len(r.sessions) for r in K.lock_members(locks).collect()]
+    assert sum(sizes) == n and max(sizes) < 1000
+
+
 def test_entry_lists_without_session():
     import __spark_entry__ as e
 
