@@ -144,16 +144,20 @@ def _healthy(v):
 
 
 def _profiles(v):
-    """Threshold profiles as they are kept: the default with other numbers, some with a key too many, too few or tampered with."""
-    p = v.events.selectExpr("concat('prof-', cast(user_id % 40 as string)) as profile_id", "user_id % 3 as version", "cast(user_id % 50 as int) as medium", "cast(event_id % 60 as int) as high", "cast(event_id % 11 as int) as percentile", "cast(event_id % 7 as int) as k").distinct()
-    body = F.lit(Thresholds().canonical())
-    for key, column in (("medium_victims", "medium"), ("high_victims", "high"), ("high_percentile", "percentile")):
-        body = F.regexp_replace(body, f'"{key}":[0-9.]+', F.concat(F.lit(f'"{key}":'), F.col(column).cast("string")))
-    canonical = body
-    body = F.when(F.col("k") == 1, F.regexp_replace(body, '"medium_victims"', '"medium_victim"')).when(F.col("k") == 2, F.regexp_replace(body, '"waits":', '"waits" : ')).otherwise(body)
-    return check_profiles(p.select("profile_id", "version", body.alias("body"), F.when(F.col("medium") % 9 == 0, F.lit("tampered")).otherwise(F.sha2(F.when(F.col("k") == 1, body).otherwise(canonical), 256)).alias("digest")))
+    """Kept profiles with other victims, and one of nine faults each."""
+    p = v.events.selectExpr("user_id % 40 as p", "cast(user_id % 3 as int) as minor", "cast(2 + user_id % 5 as int) as medium", "cast(2 + event_id % 7 as int) as high", "cast(event_id % 11 as int) as k").distinct()
+    body = F.lit(Thresholds().canonical(id_="prof-0", version="1.0.0", name="Profile é"))
+    for old, new in (("prof-0", F.concat(F.lit("prof-"), F.col("p").cast("string"))), ('"1.0.0"', F.concat(F.lit('"1.'), F.col("minor").cast("string"), F.lit('.0"'))), ('"mediumVictims":2', F.concat(F.lit('"mediumVictims":'), F.col("medium").cast("string"))), ('"highVictims":5', F.concat(F.lit('"highVictims":'), F.col("high").cast("string")))):
+        body = F.replace(body, F.lit(old), new)
+    kept = F.concat(F.substring(body, F.lit(1), F.char_length(body) - 1), F.lit(',"digest":"'), F.when(F.col("k") == 9, F.repeat(F.lit("0"), F.lit(64))).otherwise(F.sha2(body, 256)), F.lit('"}'))
+    for k, (old, new) in enumerate((('"highRows":100000,', ""), ('"highRows":', '"moreRows":'), ('"mediumRows":10000', '"mediumRows":"10000"'), ('"mediumRows":10000', '"mediumRows":10000.5'), ('"highPercentile":0.95', '"highPercentile":1.5'), ('"id":"prof', '"id":"Prof'), ('"version":"1.', '"version":"01.'), ("Profile é", " Profile")), 1):
+        kept = F.when(F.col("k") == k, F.replace(kept, F.lit(old), F.lit(new))).otherwise(kept)
+    return check_profiles(p.select("p", "minor", "medium", "high", "k", kept.alias("body")))
 
 
+_FAULTS = {1: "thresholds.plans.highRows required", 2: "thresholds.plans.highRows required|thresholds.plans.moreRows unknown", 3: "plans.mediumRows number", 4: "plans.mediumRows whole", 5: "resources.highPercentile range", 6: "id form", 7: "version form", 8: "name form"}
+_FAULT = "CASE k " + " ".join(f"WHEN {k} THEN '{f}'" for k, f in _FAULTS.items()) + " END"
+
 RULE_VALUES = ", ".join(f"('{r}', '{c}')" for r, columns in R.REQUIRED.items() for c in columns)
 
 _PLAN_SQL = " UNION ALL BY NAME ".join(f"SELECT * FROM ({q.sql}) {q.name}" for q in PLAN_QUERIES if q.sql and "AS rule_id, " in q.sql)
@@ -214,6 +218,7 @@ QUERIES = [
     Query("capture_healthy", lambda v: _shown(_healthy(v)), f"""{ALL}, runs AS (SELECT 'all rows' AS subject, {_SPAN}, (SELECT count(*) FROM findings) AS loud FROM acts UNION ALL SELECT 'quiet rows', {_SPAN}, 0 FROM acts WHERE {_QUIET})
  SELECT 'CAPTURE-HEALTHY' AS rule_id, 'Informational' AS severity, 'High' AS confidence, 'Assessment' AS category, subject, CAST(0 AS DOUBLE) AS impact, {_TAIL} FROM runs WHERE n_rows > 0 AND captures >= 2 AND loud = 0"""),
     Query("rule_availability", _missing, _MISSING),
-    Query("threshold_profile", lambda v: _profiles(v).groupBy("profile_id", "version", "faults", "valid").agg(F.count("*").alias("n")), """WITH p AS (SELECT DISTINCT concat('prof-', CAST(user_id % 40 AS VARCHAR)) AS profile_id, user_id % 3 AS version, user_id % 50 AS medium, event_id % 60 AS high, event_id % 11 AS pct, event_id % 7 AS k FROM events), d AS (SELECT DISTINCT profile_id, version, medium, high, pct, k = 1 AS odd FROM p), c AS (SELECT profile_id, version, count(*) > 1 AS clash FROM d GROUP BY ALL)
- SELECT profile_id, version, faults, faults = '' AS valid, count(*) AS n FROM (SELECT p.*, concat_ws('|', CASE WHEN k = 1 THEN 'keys' END, CASE WHEN k <> 1 AND medium > high OR pct < 0.9 THEN 'order' END, CASE WHEN k <> 1 AND medium < 1 OR high < 1 OR pct > 1 THEN 'range' END, CASE WHEN medium % 9 = 0 THEN 'digest' END, CASE WHEN clash THEN 'conflict' END) AS faults FROM p JOIN c USING (profile_id, version)) z GROUP BY ALL"""),
+    Query("threshold_profile", lambda v: _profiles(v).drop("p", "minor"), f"""WITH p AS (SELECT DISTINCT user_id % 40 AS p, user_id % 3 AS minor, 2 + user_id % 5 AS medium, 2 + event_id % 7 AS high, event_id % 11 AS k FROM events), f AS (SELECT *, concat_ws('|', {_FAULT}, CASE WHEN medium > high THEN 'blocking.mediumVictims order' END) AS one FROM p),
+ g AS (SELECT *, CASE WHEN one = '' AND k = 9 THEN 'digest differs' ELSE one END AS own FROM f), c AS (SELECT p, minor, count(DISTINCT concat(medium, ':', high)) > 1 AS clash FROM g WHERE own = '' GROUP BY ALL)
+ SELECT concat(CASE WHEN k = 6 THEN 'Prof-' ELSE 'prof-' END, p) AS profile_id, concat(CASE WHEN k = 7 THEN '01.' ELSE '1.' END, minor, '.0') AS version, medium, high, k, concat_ws('|', nullif(own, ''), CASE WHEN clash AND k NOT IN (6, 7) THEN 'conflict' END) AS faults, own = '' AND NOT coalesce(clash, false) AS valid FROM g LEFT JOIN c USING (p, minor)"""),
 ]

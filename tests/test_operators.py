@@ -341,13 +341,31 @@ def test_serial_plans(spark):
 
 
 def test_threshold_profiles(spark):
+    import hashlib
+    import json
+
     from loadlens.operators.thresholds import Thresholds, check_profiles
 
     t = Thresholds()
-    high = t.canonical().replace('"medium_victims":2', '"medium_victims":9')
-    import hashlib
-
+    assert t.digest() == "a4c43e6bcd32c64685a65383015075767590a52170f8de1eb60b8c599b40a41a"  # fixed value: the digest of the published defaults
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    rows = [("a", 1, t.canonical(), t.digest()), ("b", 1, t.canonical().replace(",", ", "), t.digest()), ("c", 1, high, sha(high)), ("d", 1, t.canonical(), "0"), ("e", 1, "{}", sha("{}")), ("f", 1, t.canonical(), t.digest()), ("f", 1, high, sha(high)), ("g", 1, "no json", "x")]
-    got = sorted((r.profile_id, r.faults) for r in check_profiles(spark.createDataFrame(rows, "profile_id string, version int, body string, digest string")).collect())
-    assert got == [("a", ""), ("b", ""), ("c", "order"), ("d", "digest"), ("e", "keys"), ("f", "conflict"), ("f", "order|conflict"), ("g", "keys")]
+
+    def kept(change=lambda d: None, digest=None, canonical=None):
+        d = json.loads(canonical or t.canonical())
+        change(d)
+        d["digest"] = digest or sha(json.dumps(d, separators=(",", ":"), ensure_ascii=False))
+        return json.dumps(d, indent=1, ensure_ascii=False)
+
+    put = lambda g, n, x: lambda d: d["thresholds"][g].__setitem__(n, x)
+    cases = {
+        "": kept(), "digest differs": kept(digest="0" * 64), "digest form": kept(digest="x"), "blocking.mediumVictims order": kept(put("blocking", "mediumVictims", 9)), "blocking.highVictims number": kept(put("blocking", "highVictims", "9")),
+        "waits.corroboratingCaptures range": kept(put("waits", "corroboratingCaptures", 1)), "transactions.highAgeSeconds whole": kept(put("transactions", "highAgeSeconds", 900.5)), "resources.mediumPercentile range": kept(put("resources", "mediumPercentile", 0)),
+        "thresholds.plans.extra unknown": kept(put("plans", "extra", 1)), "resources.minimumDurationSeconds order": kept(put("resources", "minimumDurationSeconds", 61)), "name form": kept(lambda d: d.update(name="a\nb")), "id form": kept(lambda d: d.update(id="No")), "version form": kept(lambda d: d.update(version="1.0")),
+        "profile.other unknown": kept(lambda d: d.update(other=1)), "thresholds.waits object": kept(lambda d: d["thresholds"].update(waits=5)),
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in cases.items()], "want string, body string")
+    for r in check_profiles(rows).collect():
+        assert (r.faults.split("|")[0], r.valid) == (r.want, r.want == ""), r
+    assert not check_profiles(spark.createDataFrame([("no json",), ("[]",), ("{}",)], "body string")).where("valid").count()
+    other = t.canonical(id_="mine"), t.canonical(id_="mine").replace('"highVictims":5', '"highVictims":6')
+    assert {r.faults for r in check_profiles(spark.createDataFrame([(kept(canonical=c),) for c in other], "body string")).collect()} == {"conflict"}
