@@ -340,6 +340,22 @@ def test_serial_plans(spark):
     assert {r.statement_id for r in H.plan_serialization(st, ops).collect()} == {1, 4}
 
 
+def test_no_field_gets_out_without_a_rule(spark):
+    from loadlens.operators import guide as G
+
+    df = spark.sql("select 1L as statement_id, 'select 1' as statement_text, array(named_struct('node_id', 0, 'predicate', 'a = 1', 'warnings', array('Plan-affecting conversion: x', 'Spill'))) as operators, '0xAB' as plan_handle")
+    (row,) = G.redact_plans(df).collect()
+    assert row.asDict(True) == {"statement_id": 1, "statement_text": "[redacted SQL]", "operators": [{"node_id": 0, "predicate": "[redacted expression]", "warnings": ["Plan-affecting conversion: [redacted expression]", "Spill"]}]}
+    for leak in ("named_struct('node_id', 0, 'new', 'x')", "named_struct('node_id', 0, 'object_name', 't', 'cost_text', 'y')"):
+        with pytest.raises(ValueError, match="no rule for operators"):
+            G.redact_plans(df.withColumn("operators", F.expr(f"array({leak})")))
+    with pytest.raises(ValueError, match="no rule for extra"):
+        G.redact_plans(df.withColumn("extra", F.lit(1)))
+    with pytest.raises(ValueError, match="no rules for the fields"):
+        G.redacted(df, {**G.PLAN_RULES, "operators": G.KEEP})
+    assert G.redact_plans(df.withColumn("operators", F.lit(None).cast(df.schema["operators"].dataType))).first().operators is None
+
+
 def test_threshold_profiles(spark):
     import hashlib
     import json
