@@ -1,9 +1,9 @@
 """WARC records in ZIP-packaged archives: written, then read by ranges without extraction.
 
-An archive is a ZIP file with stored members: archive/data.warc.gz, in which each record is a gzip member of its own, and
-indexes/index.cdxj, which has a line with offset and length for each record. The reader parses the end-of-directory
-record, its ZIP64 form and the central directory, locates the stored members, reads the index, and then fetches single
-records by their byte ranges, dealt out over all workers.
+An archive is a ZIP file with stored members: WARC files below archive/, plain or with a gzip member for each record, and CDXJ
+indexes below indexes/, plain or gzipped, whose lines name a file and a record's offset and length in it. The reader
+parses the end-of-directory record, its ZIP64 form and the central directory, locates all stored members, reads all
+indexes, and then fetches single records by their byte ranges, dealt out over all workers.
 """
 
 from __future__ import annotations
@@ -50,6 +50,13 @@ def _gzip(data: bytes) -> bytes:
     return c.compress(data) + c.flush()
 
 
+def cdxj_line(url: str | None, filename: str, offset: int, length: int, digest: str) -> str:
+    """Key of the address (host reversed, path), time, and where the record is."""
+    host, _, path = (url or "").partition("://")[2].lower().partition("/")
+    key = "".join(c if c > " " else f"%{ord(c):02x}" for c in ",".join(reversed(host.split("."))) + ")/" + path)
+    return f"{key} 19700101000000 " + json.dumps({"url": url or "", "digest": f"sha256:{digest}", "length": str(length), "offset": str(offset), "filename": filename})
+
+
 class _Archive:
     """An archive being written. Its name is new for each attempt of a task, so a retry never meets an earlier one."""
 
@@ -62,15 +69,15 @@ class _Archive:
         self.member = self.zip.open(DATA, "w", force_zip64=True)
         self.at, self.lines = 0, []
 
-    def add(self, page_id, record: bytes) -> None:
+    def add(self, url: str | None, digest: str, record: bytes) -> None:
         packed = _gzip(record)
         self.member.write(packed)
-        self.lines.append(json.dumps({"page": page_id, "offset": self.at, "length": len(packed)}))
+        self.lines.append(cdxj_line(url, DATA.rpartition("/")[2], self.at, len(packed), digest))
         self.at += len(packed)
 
     def close(self) -> tuple[str, int]:
         self.member.close()
-        self.zip.writestr(INDEX, "\n".join(self.lines) + "\n")
+        self.zip.writestr(INDEX, "\n".join(sorted(self.lines)) + "\n")
         self.zip.close()
         self.out.close()
         return self.path, len(self.lines)
@@ -83,7 +90,7 @@ def _write(root: str, archive_bytes: int):
             for i in range(batch.num_rows):
                 page, url, html, digest, refers = (c[i].as_py() for c in batch.columns)
                 archive = archive or _Archive(root)
-                archive.add(page, warc_record(page, url, html.encode("utf-8", "surrogatepass"), digest, refers))
+                archive.add(url, digest, warc_record(page, url, html.encode("utf-8", "surrogatepass"), digest, refers))
                 if archive.at >= archive_bytes:
                     done, archive = [*done, archive.close()], None
         if archive:
@@ -99,7 +106,8 @@ def write_archives(pages: DataFrame, root: str, archive_bytes: int = 64_000_000)
 
     root is a folder that all workers share. Of records with equal payloads of at least REVISIT_FROM bytes, those with the
     smallest page_id are responses and the others revisits of it; a null html is an empty payload. Workers hold one record
-    and the index of one archive. Files of failed attempts are in no result and are not read.
+    and the index of one archive. Files of failed attempts are in no result and are not read. Rows with a null or repeated
+    page_id have records of their own; an empty table gives no archive; other columns are ignored.
     """
     full = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     full = full.withColumn("digest", F.sha2("html", 256)).withColumn("shared", F.when(F.octet_length("html") >= REVISIT_FROM, F.col("digest")))
@@ -171,9 +179,45 @@ def members(read_at, size: int) -> dict[str, Member]:
     return found
 
 
+def _unpacked(data: bytes) -> bytes:
+    """data, or what its gzip members hold."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        d = zlib.decompressobj(31)
+        out.append(d.decompress(data) + d.flush())
+        data = d.unused_data
+    return b"".join(out) if out else data
+
+
+def index_entries(inside: dict[str, Member], read_at) -> list[tuple[int, int]]:
+    """(place in the archive, length) of each record that the indexes name, in all WARC members; each record once.
+
+    An archive without members below archive/ or indexes/, a line of a file that is not there, and a file that no line names
+    raise ValueError."""
+    files = {n.removeprefix("archive/"): m for n, m in inside.items() if n.startswith("archive/") and n.lower().endswith((".warc", ".warc.gz"))}
+    indexes = [m for n, m in sorted(inside.items()) if n.startswith("indexes/") and n.lower().endswith((".cdxj", ".cdxj.gz", ".cdx", ".cdx.gz"))]
+    if not files or not indexes:
+        raise ValueError("no stored WARC member below archive/" if not files else "no stored index below indexes/")
+    found, named = set(), set()
+    for index in indexes:
+        for line in _unpacked(read_at(index.start, index.size)).decode().splitlines():
+            _, brace, rest = line.partition("{")
+            if not brace or line.startswith("!"):
+                continue  # a header line, or none
+            entry = json.loads(brace + rest)
+            name = entry["filename"].removeprefix("archive/")
+            if name not in files:
+                raise ValueError(f"the index names {name}, which is not there")
+            named.add(name)
+            found.add((files[name].start + int(entry["offset"]), int(entry["length"])))
+    if missing := files.keys() - named:
+        raise ValueError(f"no index names {min(missing)}")
+    return sorted(found)
+
+
 def parse_record(packed: bytes) -> dict:
-    """type, page_id, refers_to, payload (None in revisits), payload_bytes and digest of one gzipped record."""
-    data = zlib.decompress(packed, 31)
+    """type, page_id, refers_to, payload (None in revisits), payload_bytes and digest of one record, gzipped or plain."""
+    data = _unpacked(packed)
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -203,11 +247,10 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path in batch.column(0).to_pylist():
             read = _Reader(path)
             inside = members(read, read.file.size())
-            index, data = inside[INDEX], inside[DATA]
-            lines = [json.loads(x) for x in read(index.start, index.size).decode().splitlines() if x]
+            places = index_entries(inside, read)
             read.file.close()
-            if lines:
-                yield pa.RecordBatch.from_pydict({"path": [path] * len(lines), "at": [data.start + x["offset"] for x in lines], "length": [x["length"] for x in lines]})
+            if places:
+                yield pa.RecordBatch.from_pydict({"path": [path] * len(places), "at": [p for p, _ in places], "length": [n for _, n in places]})
 
 
 def _fetch(keep_payload: bool):
@@ -231,7 +274,9 @@ def _fetch(keep_payload: bool):
 
 def read_archives(archives: DataFrame, keep_payload: bool = False) -> DataFrame:
     """One row per record of the archives (path): page_id, payload_bytes, payload_digest, record_type, refers_to and, if
-    asked for, payload. A payload that does not match its digest, or an archive without its members, raises."""
+    asked for, payload. Archives may have several WARC members and indexes under any names; see index_entries. A payload that
+    does not match its digest raises; an empty table of archives gives no records, and a path named twice is read twice.
+    Other columns are ignored."""
     places = archives.select("path").mapInArrow(_locate, "path string, at long, length long")
     # ranges of about 16 MB of an archive are read together, in order
     dealt = places.withColumn("stretch", F.floor(F.col("at") / 16_000_000)).repartition("path", "stretch").sortWithinPartitions("path", "at").select("path", "at", "length")
