@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loadlens.catalog.activity import acts
 from loadlens.catalog.base import Query
 from loadlens.catalog.reports import STEP_CTES, STEPS
-from loadlens.catalog.rules import ALL, CAPPED, _shown, found
+from loadlens.catalog.rules import _MISSING, ALL, CAPPED, _missing, _shown, found
 from loadlens.operators import guide as G
 from loadlens.operators import inventory as J
 from loadlens.operators import rules as R
@@ -79,6 +79,18 @@ def _files(v):
     return v.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
 
+def _deduped(v):
+    """Every fourth content is in the case already, every fifth is there again in a form that is not read."""
+    path = W.shared_path(v.spark, "odd")
+    rows = _parted(v.activity).select("part", F.concat_ws(",", F.col("row_number").cast("string"), "status").alias("value"))
+    rows.where("part % 5 = 0").write.partitionBy("part").option("compression", "gzip").text(path)
+    files = _files(v)
+    odd = v.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    known = files.where("path like '%/first/%'").where(F.regexp_extract("path", "part=([0-9]+)", 1).cast("int") % 4 == 0).select(F.sha2("content", 256).alias("hash"))
+    out = W.dedupe_evidence(files.unionByName(odd), known)
+    return out.select(F.when(F.col("state") != "unsupported", F.col("hash")).alias("hash"), "state").groupBy("hash", "state").count()
+
+
 _PARTS = f"parts AS (SELECT floor(row_number / {_ROWS_A_FILE}) AS part, string_agg(concat_ws(',', CAST(row_number AS VARCHAR), status, wait_info) || chr(10), '' ORDER BY row_number) AS content FROM activity GROUP BY 1), copies AS (SELECT part, content, 'taken' AS state FROM parts UNION ALL SELECT part, content, 'copy' FROM parts WHERE part % 3 = 0)"
 _EXPORT = ("record", "rule_id", "severity", "confidence", "category", "subject", "impact", "n_rows", "first_row", "first_s", "last_s", "persistence")
 
@@ -132,12 +144,21 @@ def _manifest(v):
     return m.select("kind", named.alias("name"), F.when(F.col("kind") != "run", F.col("hash")).alias("hash"), "n")
 
 
+def _log(v):
+    a = saved(acts(v), "acts")
+    lost = a.where("wait_info is not null and wait_type is null")
+    return W.processing_log(**{
+        "warning": lost.select(F.concat(F.lit("row "), "row_number").alias("message")), "error": v.inputs.where("line_no = 0").select(F.concat("input_id", F.lit(": "), "header").alias("message")),
+        "quality": lost.agg(F.concat(F.count("*").cast("string"), F.lit(" waits could not be parsed")).alias("message")), "not run": _missing(v).select(F.concat("rule_id", F.lit(" lacks "), "missing").alias("message")), "cap": R.cap_disclosure(_shown(R.all_findings(a, v.samples))).select("message"),
+    })
+
+
 QUERIES = [
     Query("read_capture", _read_capture, "SELECT row_number, CASE WHEN row_number % 50 <> 0 THEN concat('said \"x;y\"', chr(10), coalesce(sql_text, 'none')) END AS text, status FROM activity"),
     Query("text_encoding", _encodings, f"SELECT CASE WHEN part % 2 = 0 THEN 'UTF-8' ELSE 'UTF-16BE' END AS encoding, count(DISTINCT part) AS count, count(*) AS n_rows, count(*) AS n_read, sum(row_number) AS row_numbers FROM (SELECT row_number, CAST(floor(row_number / {_ROWS_A_FILE}) AS BIGINT) AS part FROM activity) z GROUP BY 1"),
     Query("normalize_activity", lambda v: W.normalize_activity(_cells(v)), "SELECT row_number, CAST(session_id AS DOUBLE) AS session_id, CAST(1704067200 + capture_s AS BIGINT) AS collection_s, CASE WHEN capture_s >= start_s THEN CAST(capture_s - start_s AS DOUBLE) END AS duration_seconds, CASE WHEN row_number % 4 = 0 THEN CAST(7 AS DOUBLE) ELSE cpu END AS cpu_ms, reads, status, wait_type FROM acts"),
     Query("read_json_evidence", _json, "SELECT row_number, status FROM activity"),
-    Query("dedupe_evidence", lambda v: W.dedupe_evidence(_files(v), v.spark.createDataFrame([], "hash string")).groupBy("hash", "state").count(), f"WITH {_PARTS} SELECT sha256(content) AS hash, state, count(*) AS count FROM copies GROUP BY ALL"),
+    Query("dedupe_evidence", _deduped, f"WITH {_PARTS}, s AS (SELECT sha256(content) AS hash, CASE WHEN part % 4 = 0 THEN 'already in the case' ELSE state END AS state FROM copies UNION ALL SELECT NULL, 'unsupported' FROM parts WHERE part % 5 = 0) SELECT hash, state, count(*) AS count FROM s GROUP BY ALL"),
     Query("write_findings", _write_findings, _WRITTEN),
     Query("write_guide", _write_guide, f"{STEPS} SELECT CAST(step AS INTEGER) AS step, kind, priority, sources FROM st WHERE step <= 5"),
     Query("write_activity", _write_activity, "SELECT * FROM acts"),
@@ -146,7 +167,7 @@ QUERIES = [
     Query("run_manifest", _manifest, f"""{ALL}, {_PARTS}, m AS (SELECT 'file' AS kind, 'file' AS name, sha256(content) AS hash, octet_length(encode(content)) AS n FROM copies UNION ALL SELECT 'table', 'activity', NULL, count(*) FROM acts UNION ALL SELECT 'table', 'plans', NULL, count(*) FROM plan_stmts
  UNION ALL SELECT 'table', 'findings', NULL, count(*) FROM findings UNION ALL SELECT 'profile', 'thresholds', '{Thresholds().digest()}', NULL) SELECT * FROM m UNION ALL SELECT 'run', 'run', NULL, count(*) FROM m"""),
     Query("source_manifest", lambda v: W.run_manifest(_files(v), activity=v.activity).where("kind <> 'run'").select("kind", F.when(F.col("kind") == "table", F.col("name")).alias("name"), "hash", "n"), f"WITH {_PARTS} SELECT 'file' AS kind, NULL AS name, sha256(content) AS hash, octet_length(encode(content)) AS n FROM copies UNION ALL SELECT 'table', 'activity', NULL, count(*) FROM activity"),
-    Query("processing_log", lambda v: W.processing_log(warning=acts(v).where("wait_info is not null and wait_type is null").select(F.concat(F.lit("row "), F.col("row_number")).alias("message")), error=v.inputs.where("line_no = 0").select(F.concat("input_id", F.lit(": "), "header").alias("message"))),
-          "SELECT 'warning' AS kind, concat('row ', CAST(row_number AS VARCHAR)) AS message FROM acts WHERE wait_info IS NOT NULL AND wait_type IS NULL UNION ALL SELECT 'error', concat(input_id, ': ', header) FROM inputs WHERE line_no = 0"),
+    Query("processing_log", _log, rf"""{CAPPED} SELECT 'warning' AS kind, concat('row ', CAST(row_number AS VARCHAR)) AS message FROM acts WHERE wait_info IS NOT NULL AND wait_type IS NULL UNION ALL SELECT 'error', concat(input_id, ': ', header) FROM inputs WHERE line_no = 0 UNION ALL SELECT 'quality', concat(CAST(count(*) AS VARCHAR), ' waits could not be parsed') FROM acts WHERE wait_info IS NOT NULL AND wait_type IS NULL
+ UNION ALL SELECT 'not run', concat(rule_id, ' lacks ', missing) FROM ({_MISSING}) m UNION ALL SELECT 'cap', concat(CAST(retained AS VARCHAR), ' of ', CAST(retained + suppressed AS VARCHAR), ' findings of ', rule_id, ' are shown') FROM (SELECT rule_id, count(*) FILTER (WHERE kept) AS retained, count(*) FILTER (WHERE NOT kept) AS suppressed FROM capped GROUP BY rule_id) z WHERE suppressed > 0"""),
     Query("spill_header", lambda v: W.spill_header(v.inputs.withColumn("header", F.when(F.col("event_id") % 13 == 0, "TotalSpills").when(F.col("event_id") % 17 == 0, "Plan Handle").otherwise(F.col("header")))), "WITH h AS (SELECT input_id, line_no, CASE WHEN event_id % 13 = 0 THEN 'spill' WHEN event_id % 17 = 0 THEN 'handle' ELSE lower(header) END AS h FROM inputs) SELECT input_id, min(line_no) AS line_no FROM (SELECT input_id, line_no FROM h GROUP BY ALL HAVING bool_or(h LIKE '%spill%' OR h LIKE '%warning%') AND bool_or(regexp_matches(h, 'handle|hash|execution|cpu'))) z GROUP BY input_id"),
 ]

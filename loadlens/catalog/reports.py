@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from loadlens.catalog.activity import acts
 from loadlens.catalog.base import Query
-from loadlens.catalog.rules import _SEV, ALL, _shown, found
+from loadlens.catalog.rules import _MISSING, _SEV, ALL, _missing, _shown, found
 from loadlens.operators import guide as G
+from loadlens.operators import rules as R
 
 _CONF = "CASE confidence WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END"
 _KIND = "CASE WHEN severity = 'Not Evaluated' THEN 'Not Evaluated' ELSE rule_id END"
@@ -20,10 +21,6 @@ def _touched(v):
     return found(v).where("rule_id in ('WIA-RESOURCE', 'WIA-TRANSACTION') and severity = 'High'").select(F.col("subject").alias("episode"))
 
 
-def _not_evaluated(v):
-    return v.inputs.groupBy("header").count().select(F.lit("Not Evaluated").alias("severity"), F.col("header").alias("subject"))
-
-
 def _redacted_findings(v):
     k = F.col("row_number")
     token = F.when(k % 3 == 0, "bad_token.1").otherwise(F.concat(F.lit("secret "), F.col("login_name")))
@@ -57,7 +54,7 @@ QUERIES = [
     Query("guide_conclusion", lambda v: G.guide_conclusion(_shown(found(v))), f"{ALL} SELECT rule_id, subject, severity FROM findings WHERE severity IN ('Critical', 'High') ORDER BY {_SEV} DESC, {_CONF} DESC, round(impact, 6) DESC, subject LIMIT 2"),
     Query("guide_subjects", lambda v: G.guide_subjects(acts(v), _touched(v)), f"{ALL} SELECT episode, min(row_number) AS first_row, arg_max(status, row(coalesce(capture_s, 4611686018427387904), row_number)) AS status, max(duration_seconds) AS duration, coalesce(bool_or(blocking_session_id > 0), false) AS blocked FROM acts WHERE episode IN (SELECT subject FROM findings WHERE rule_id IN ('WIA-RESOURCE', 'WIA-TRANSACTION') AND severity = 'High') GROUP BY episode ORDER BY first_row LIMIT 5"),
     Query("guide_steps", lambda v: G.guide_steps(found(v)), f"{STEPS} SELECT CAST(step AS INTEGER) AS step, kind, priority, sources FROM st WHERE step <= 5"),
-    Query("missing_evidence", lambda v: G.missing_evidence(_not_evaluated(v)), "SELECT header AS subject, 1 AS n FROM (SELECT DISTINCT header FROM inputs) z ORDER BY header LIMIT 8"),
+    Query("missing_evidence", lambda v: G.missing_evidence(R.unavailable_findings(_missing(v))), f"SELECT concat('missing: ', missing) AS subject, count(*) AS n FROM ({_MISSING}) m GROUP BY 1 ORDER BY subject LIMIT 8"),
     Query("redact_findings", _redacted_findings, "SELECT row_number AS finding_id, concat('SQL text=[redacted];Status=', status) AS shown, CASE WHEN row_number % 3 = 0 THEN 'bad_token.1' ELSE '[redacted optimizer value]' END AS token, CASE WHEN row_number % 2 = 0 THEN '12 ms' ELSE '[redacted compile value]' END AS compiled, '[redacted]' AS database_name, 'finding_id,evidence,qualifications,blocking' AS fields FROM activity"),
     Query("redact_plans", _redacted_plans, """SELECT statement_id, '[redacted SQL]' AS statement_text, cost, CASE WHEN nonparallel_reason IS NOT NULL THEN CASE WHEN statement_id % 4 = 0 THEN nonparallel_reason ELSE '[redacted optimizer value]' END END AS nonparallel_reason, '[redacted object]' AS objects, CASE WHEN bool_or(converted) THEN 'Plan-affecting conversion: [redacted expression]' ELSE '' END AS warnings, count(*) AS operators,
  'statement_id,plan_id,actual,cost,missing_index_impact,granted_mb,used_mb,nonparallel_reason,dop,statement_text,operators' AS fields FROM plan_stmts JOIN plan_ops USING (statement_id) GROUP BY statement_id, cost, nonparallel_reason"""),

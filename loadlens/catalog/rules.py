@@ -187,6 +187,7 @@ QUERIES = [
           "SELECT sample_order, source_id, 'Compilation counters' AS kind, metric, value FROM (SELECT sample_order, source_id, CAST(compilations AS DOUBLE) AS sql_compilations_per_sec_, CAST(batches AS DOUBLE) AS batch_requests_per_sec_, CAST(cache_hit_ratio AS DOUBLE) AS cache_hit_ratio_plan_cache_pct FROM samples) s UNPIVOT (value FOR metric IN (sql_compilations_per_sec_, batch_requests_per_sec_, cache_hit_ratio_plan_cache_pct)) UNION ALL SELECT sample_order, source_id, 'Worker counters', metric, value FROM (SELECT sample_order, source_id, CAST(active_workers AS DOUBLE) AS active_worker_threads, CAST(max_workers AS DOUBLE) AS max_worker_threads, CAST(work_queue AS DOUBLE) AS work_queue_count FROM samples) s UNPIVOT (value FOR metric IN (active_worker_threads, max_worker_threads, work_queue_count))".replace("per_sec_", "per_sec")),
     Query("counter_movement", lambda v: C.counter_movement(v.samples), "SELECT source_id, counter_name, arg_min(value, sample_order) AS first_value, arg_max(value, sample_order) AS last_value, count(*) AS n FROM samples WHERE value IS NOT NULL GROUP BY ALL"),
     Query("counter_delta", lambda v: C.counter_delta(v.samples), "SELECT source_id, counter_name, greatest(arg_max(value, sample_order) - arg_min(value, sample_order), 0) AS delta FROM samples WHERE value IS NOT NULL GROUP BY ALL"),
+    Query("counter_ratio", lambda v: C.counter_ratio(C.counter_delta(v.samples), "click", "view").withColumn("ratio", F.round("ratio", 6)), "WITH d AS (SELECT source_id, counter_name, greatest(arg_max(value, sample_order) - arg_min(value, sample_order), 0) AS delta FROM samples WHERE value IS NOT NULL GROUP BY ALL) SELECT a.source_id, round(a.delta / b.delta, 6) AS ratio FROM d a JOIN d b USING (source_id) WHERE a.counter_name = 'click' AND b.counter_name = 'view' AND b.delta > 0"),
     Query("scheduler_samples", lambda v: C.scheduler_samples(v.samples), "SELECT source_id, positive, positive >= 2 AND scoped AS sustained FROM (SELECT source_id, count(*) FILTER (WHERE tasks > 0) AS positive, bool_or(NOT starts_with(k, 'r')) AS scoped FROM (SELECT source_id, coalesce(concat('s', CAST(sample_id AS VARCHAR)) , '') AS x, CASE WHEN sample_id IS NOT NULL THEN 's' || sample_id WHEN capture_s IS NOT NULL THEN 't' || capture_s ELSE 'r' || sample_order END AS k, sum(runnable_tasks) AS tasks FROM samples GROUP BY ALL) y GROUP BY source_id) z"),
     Query("worker_ceiling", lambda v: C.worker_ceiling(v.samples), "SELECT source_id, bool_or(active_workers >= max_workers AND work_queue > 0) AS ceiling FROM samples GROUP BY source_id"),
     Query("compile_ratio", lambda v: C.compile_ratio(v.samples).select("source_id", F.round("ratio", 6).alias("ratio")), "SELECT source_id, round(max(CASE WHEN batches > 0 THEN compilations / batches END), 6) AS ratio FROM samples GROUP BY source_id"),

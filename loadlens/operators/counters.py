@@ -84,3 +84,10 @@ def compile_corroboration(samples: DataFrame, ratio: float) -> DataFrame:
     falling = F.max_by(known("cache_hit_ratio"), at) < F.min_by(known("cache_hit_ratio"), at)
     each = samples.groupBy("source_id").agg(((share >= ratio) & (F.max(known("compile_waiters")) > 0) & falling).alias("all"))
     return each.agg(F.coalesce(F.bool_or("all"), F.lit(False)).alias("corroborated"))
+
+
+def counter_ratio(deltas: DataFrame, of: str, to: str) -> DataFrame:
+    """(source_id, ratio): what one counter gained for each unit of another, from counter_delta; none where the other stood still."""
+    gained = lambda name: F.max(F.when(F.col("counter_name") == name, F.col("delta")))
+    g = deltas.groupBy("source_id").agg(gained(of).alias("a"), gained(to).alias("b")).where("a is not null and b > 0")
+    return g.select("source_id", (F.col("a") / F.col("b")).alias("ratio"))

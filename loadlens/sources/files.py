@@ -62,11 +62,16 @@ def read_json_evidence(spark: SparkSession, path: str) -> DataFrame:
     return text(nested).unionByName(text(plain), allowMissingColumns=True)
 
 
-def dedupe_evidence(files: DataFrame, known: DataFrame) -> DataFrame:
+#: Names that evidence files end in.
+EVIDENCE_TYPES = (".csv", ".tsv", ".txt", ".json", ".xml", ".sqlplan")
+
+
+def dedupe_evidence(files: DataFrame, known: DataFrame, types: tuple[str, ...] = EVIDENCE_TYPES) -> DataFrame:
     """(path, hash, state) of files (path, content, length): the first copy of new content is taken, the rest says why not."""
-    h = files.withColumn("hash", F.sha2("content", 256)).withColumn("n", F.row_number().over(Window.partitionBy(F.sha2("content", 256)).orderBy("path")))
+    right = F.lower("path").rlike("(" + "|".join(t.replace(".", "[.]") for t in types) + ")$")
+    h = files.withColumns({"hash": F.sha2("content", 256), "right": right}).withColumn("n", F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("right"), "path")))
     j = h.join(known.select("hash").distinct().withColumn("old", F.lit(True)), "hash", "left")
-    state = F.when(F.col("length") == 0, "empty").when(F.col("length") > MOST_BYTES, "too large").when(F.col("old"), "already in the case").when(F.col("n") > 1, "copy").otherwise("taken")
+    state = F.when(~F.col("right"), "unsupported").when(F.col("length") == 0, "empty").when(F.col("length") > MOST_BYTES, "too large").when(F.col("old"), "already in the case").when(F.col("n") > 1, "copy").otherwise("taken")
     return j.select("path", "hash", state.alias("state"))
 
 
