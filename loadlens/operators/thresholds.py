@@ -31,7 +31,7 @@ PROFILE = {
 # The keys of a kept profile, the forms of its id, version and digest, and the name of the default.
 PROFILE_KEYS = ("schemaVersion", "id", "version", "name", "thresholds", "digest")
 ID_FORM, VERSION_FORM, DIGEST_FORM = r"^[a-z0-9][a-z0-9._-]{0,63}$", r"^(0|[1-9][0-9]*)[.](0|[1-9][0-9]*)[.](0|[1-9][0-9]*)$", r"^[a-f0-9]{64}$"
-DEFAULT_NAME = "SQL Evaluate published defaults"
+DEFAULT_NAME = "Published defaults"
 _SAFE = 2**53 - 1
 
 # The default thresholds, by rule family.
