@@ -125,7 +125,7 @@ def _observed(v):
 
 
 def _nearest(v):
-    ops = read_operators(v)
+    ops = saved(read_operators(v, "node_id", "object_name", "ancestors").select("statement_id", "node_id", "object_name", "ancestors", "spilled"), "operators")
     return H.nearest_target(ops, ops.where("spilled").select("statement_id", "node_id"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadlens.plans.shred import descend
+from loadlens.plans.shred import nearest_objects
 
 STALE_DAYS = 30
 
@@ -18,12 +18,7 @@ def history_captures(stmts: DataFrame, ops: DataFrame) -> DataFrame:
 
 def nearest_target(ops: DataFrame, start: DataFrame) -> DataFrame:
     """The object of each starting operator: its own, else that of the first level below with objects, if it is one object."""
-    own = ops.join(start, ["statement_id", "node_id"], "left_semi").where("object_name is not null").select("statement_id", F.col("node_id").alias("start"), F.col("object_name").alias("target"), F.lit("Exact").alias("via"))
-    rest = start.join(own.select("statement_id", F.col("start").alias("node_id")), ["statement_id", "node_id"], "left_anti")
-    below = descend(ops, rest).join(ops.where("object_name is not null").select("statement_id", F.col("node_id").cast("long").alias("node_id"), "object_name"), ["statement_id", "node_id"])
-    w = Window.partitionBy("statement_id", "start")
-    near = below.withColumn("least", F.min("depth").over(w)).where("depth = least").groupBy("statement_id", "start").agg(F.countDistinct("object_name").alias("n"), F.min("object_name").alias("target"))
-    return own.unionByName(near.where("n = 1").select("statement_id", "start", "target", F.lit("Nearest access").alias("via")))
+    return nearest_objects(ops, start).select("statement_id", "start", "target", F.when(F.col("depth") == 0, "Exact").otherwise("Nearest access").alias("via"))
 
 
 def history_observations(ops: DataFrame) -> DataFrame:
