@@ -121,3 +121,12 @@ def test_the_order_of_imports_changes_only_the_way(spark):
         ways.add(tuple(s[1:] for s in steps))
         assert steps[-1][2] == "Observed" and all(a[2] == b[1] for a, b in zip(steps, steps[1:]))
     assert ends == {"Observed"} and len(ways) > 1
+
+
+def test_artifacts_meet_their_rows_by_a_broadcast_and_flags_need_no_sort(spark):
+    cells = spark.createDataFrame([(a, line, cells) for a in ("a", "b") for line, cells in ((0, ["Session ID", "Captured At", "Runnable Tasks Count"]), (1, [" 7", "2024-01-01 00:00:15", "1,000 ms"]), (2, ["null", "n/a", " "]))], "artifact_id string, line long, cells array<string>")
+    rows = X.evidence_rows(cells, spark.createDataFrame([("a", 7)], "artifact_id string, root_session_id long"))
+    assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.artifact_id, r.line, r.session_id, r.runnable, str(r["at"]), r.root_session_id) for r in rows.collect()) == [("a", 1, 7.0, 1000.0, "2024-01-01 00:00:15", 7.0), ("b", 1, 7.0, 1000.0, "2024-01-01 00:00:15", None)]
+    plan = X.evidence_shape(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
