@@ -37,3 +37,11 @@ def test_walks_down_a_plan_join_and_broadcast_nothing(spark, walk):
     assert "Join" not in plan and "BroadcastExchange" not in plan
     want = [(1, 1, 3, 2, 90_000.0)] if walk == "feeding" else [(1, 1, "a", "Nearest access"), (1, 3, "b", "Exact")]
     assert sorted(tuple(r) for r in out.collect()) == want
+
+
+def test_documents_shuffle_their_rows_once(spark):
+    from loadlens.catalog import plans
+    from loadlens.sources.views import Views
+
+    plan = plans.documents(Views(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
