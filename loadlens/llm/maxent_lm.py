@@ -30,8 +30,9 @@ from loadlens.llm.common import discard, materialize, small_batches
 
 #: Classes, slots of a class, and topics that the classes are dealt out to.
 _CLASSES, _SLOTS, _TOPICS = 32, 32, 8
-#: Documents that the topics are read off, a bound: topics decide which words share a class and nothing else.
-TOPIC_DOCS, _TOPIC_BITS = 2_000, 12
+#: Bits of a text's profile, texts that each race draws as centres to start from, and moves of the centres after that. Topics
+#: decide which words share a class and nothing else.
+_TOPIC_BITS, _DRAWN, _MOVES = 12, 12, 4
 #: Words that a task holds with their slots; the least count that as many reach, as a power of two, is asked of them.
 _HELD_WORDS = 200_000
 #: Entries that a task counts before it passes them on, tokens of a gradient step, and the step's length.
@@ -70,21 +71,153 @@ def _profile(words: Counter) -> np.ndarray:
     return v / max(float(np.sqrt(v @ v)), 1e-9)
 
 
-def topics(texts: list[bytes | None]) -> np.ndarray:
-    """Centres of up to _TOPICS groups of texts: rows, weighted against words that most texts hold."""
-    x = np.array([_profile(Counter(tokens(t))) for t in texts] or [np.zeros(1 << _TOPIC_BITS)], np.float32)
-    rare = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32)
-    x = x * rare
-    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
-    at, near = [0], x @ x[0]
+def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pick, at, weight) from (pick, text): where the profile of a text is not 0, and what it is there."""
+    for batch in batches:
+        at, weight = [], []
+        for text in _texts(batch.column(1)):
+            v = _profile(Counter(tokens(text)))
+            held = np.flatnonzero(v)
+            at.append(held.astype(np.uint16).tobytes())
+            weight.append(v[held].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.binary()), pa.array(weight, pa.binary())], names=["pick", "at", "weight"])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return (x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)).astype(np.float32)
+
+
+def _dense(at: bytes, weight: bytes) -> np.ndarray:
+    v = np.zeros(1 << _TOPIC_BITS, np.float32)
+    v[np.frombuffer(at, np.uint16)] = np.frombuffer(weight, np.float32)
+    return v
+
+
+def _weighed(batch: pa.RecordBatch, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(at, weight, starts, some) of profiles side by side, weighted by rare words to length 1; some: those with any such word."""
+    parts = batch.column(1).to_pylist()
+    sizes = np.array([len(p) for p in parts]) // 2
+    at, starts = np.frombuffer(b"".join(parts), np.uint16), np.cumsum(sizes) - sizes  # no text is without its end
+    weight = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32) * rare[at]
+    length = np.sqrt(np.add.reduceat(weight * weight, starts))
+    return at, weight / np.repeat(np.maximum(length, 1e-9), sizes), starts, length > 1e-6
+
+
+def _nearness(at: np.ndarray, weight: np.ndarray, starts: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.stack([np.add.reduceat(c[at] * weight, starts) for c in centres], axis=1)
+
+
+def _drawn(centres: np.ndarray, rare: np.ndarray):
+    """(key, pick, at, weight): of a task's different texts the first in a race that a text wins the more often the farther it
+    is from all centres."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            picks = np.asarray(batch.column(0))
+            at, weight, starts, some = _weighed(batch, rare)
+            far = np.clip(1 - _nearness(at, weight, starts, centres).max(axis=1), 0, 1) if len(centres) else np.ones(len(starts))
+            x = (picks.astype(np.uint64) ^ np.uint64(len(centres))) * np.uint64(0x9E3779B97F4A7C15)
+            u = (((x ^ (x >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+            key = -np.log(u) / np.maximum(far, 1e-30)
+            ok = np.flatnonzero(some & (far > 1e-6))
+            one = ok[np.unique(picks[ok], return_index=True)[1]]
+            for i in one[key[one].argsort(kind="stable")[:_DRAWN]]:
+                best[int(picks[i])] = (float(key[i]), batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
+            best = dict(sorted(best.items(), key=lambda b: (b[1][0], b[0]))[:_DRAWN])
+        yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in best.values()], pa.float64()), pa.array(list(best), pa.int64()), pa.array([b[1] for b in best.values()], pa.binary()), pa.array([b[2] for b in best.values()], pa.binary())], names=["key", "pick", "at", "weight"])
+
+    return run
+
+
+_SUMS = "centre int, task int, n long, total binary"
+
+
+def _sums(n: np.ndarray, total: np.ndarray, task: int) -> pa.RecordBatch:
+    some = np.flatnonzero(n)
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), task, np.int32)), pa.array(n[some].astype(np.int64)), pa.array([total[k].tobytes() for k in some], pa.binary())], names=["centre", "task", "n", "total"])
+
+
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_sums of a task's texts, all under one number: how many texts hold each hashed word."""
+    n, total = np.zeros(1, np.int64), np.zeros((1, 1 << _TOPIC_BITS))
+    for batch in batches:
+        n += batch.num_rows
+        total[0] += np.bincount(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16), minlength=1 << _TOPIC_BITS)
+    yield _sums(n, total, TaskContext.get().partitionId())
+
+
+def _gathered(centres: np.ndarray, rare: np.ndarray):
+    """_sums of a task's texts by the centre that is nearest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(len(centres), np.int64), np.zeros((len(centres), 1 << _TOPIC_BITS))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, weight, starts, some = _weighed(batch, rare)
+            own = _nearness(at, weight, starts, centres).argmax(axis=1)
+            n += np.bincount(own[some], minlength=len(centres))
+            place = np.repeat(own << _TOPIC_BITS, np.diff(np.append(starts, len(at)))) + at
+            total += np.bincount(place, weight, total.size).reshape(total.shape)
+        yield _sums(n, total, TaskContext.get().partitionId())
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of tasks added up by centre, one row for each."""
+    n, total = Counter(), {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            n[row["centre"]] += row["n"]
+            total[row["centre"]] = total.get(row["centre"], 0) + np.frombuffer(row["total"])
+    for k, t in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int32()), pa.array([n[k]], pa.int64()), pa.array([t.tobytes()], pa.binary())], names=["centre", "task", "n", "total"])
+
+
+def _summed(sums: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    placed = sums.repartition("centre").sortWithinPartitions("centre", "task")
+    return {r.centre: (r.n, np.frombuffer(r.total)) for r in placed.mapInArrow(_added, _SUMS).collect()}  # a row for each centre
+
+
+def _merged(sums: np.ndarray) -> np.ndarray:
+    """Centres of up to _TOPICS groups of groups of texts, each given by its sum."""
+    size, x = np.sqrt((sums * sums).sum(axis=1)), _unit(sums)
+    at = [int(size.argmax())]
+    near = x @ x[at[0]]
     while len(at) < min(_TOPICS, len(x)):
-        at.append(int(near.argmin()))
+        at.append(int((size * (1 - near)).argmax()))
         near = np.maximum(near, x @ x[at[-1]])
     centres = x[at]
-    for _ in range(8):
+    for _ in range(_MOVES):
         own = (x @ centres.T).argmax(axis=1)
-        centres = np.array([x[own == k].sum(axis=0) if (own == k).any() else centres[k] for k in range(len(centres))], np.float32)
-        centres /= np.maximum(np.sqrt((centres * centres).sum(axis=1, keepdims=True)), 1e-9)
+        centres = _unit(np.array([sums[own == k].sum(axis=0) if (own == k).any() else centres[k] for k in range(len(centres))]))
+    return centres
+
+
+def topics(train: DataFrame) -> np.ndarray:
+    """Centres of up to _TOPICS groups of all texts of train: rows, weighted against words that most texts hold.
+
+    Texts become sparse profiles once. Two races over all of them draw where to start, all texts go to the nearest of these, the
+    groups are merged, and all texts move the centres that are left."""
+    profiles = materialize(train.select(F.xxhash64("text").alias("pick"), F.col("text").cast("binary").alias("text")).mapInArrow(_profiled, "pick long, at binary, weight binary"), "profiles")
+    n, holders = _summed(profiles.mapInArrow(_holders, _SUMS)).get(0, (0, np.zeros(1 << _TOPIC_BITS)))
+    rare = np.log((1 + n) / (1 + holders)).astype(np.float32)
+    centres = np.zeros((0, 1 << _TOPIC_BITS), np.float32)
+    for _ in range(2):
+        first = profiles.mapInArrow(_drawn(centres, rare), "key double, pick long, at binary, weight binary").dropDuplicates(["pick"]).orderBy("key", "pick").limit(_DRAWN).collect()
+        centres = np.concatenate([centres, *(_unit(_dense(r["at"], r.weight)[None] * rare) for r in first)])
+    if len(centres):
+        centres = _merged(np.array([total for _, total in _summed(profiles.mapInArrow(_gathered(centres, rare), _SUMS)).values()]))
+        for _ in range(_MOVES):
+            moved = _summed(profiles.mapInArrow(_gathered(centres, rare), _SUMS))
+            centres = _unit(np.array([moved[k][1] if k in moved else centres[k] for k in range(len(centres))]))
+    else:  # no text, or texts of the same words
+        centres = np.zeros((1, 1 << _TOPIC_BITS), np.float32)
+    discard(profiles)
     return centres * rare
 
 
@@ -365,9 +498,7 @@ def score_texts(docs: DataFrame, is_held_out: Column, doc_id: str = "doc_id", te
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(is_held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     train = rows.where(~F.col("held_out")).select("text")
     with small_batches(docs.sparkSession, 4_000_000):
-        order = F.xxhash64("text")
-        some = train.orderBy(order, "text").limit(TOPIC_DOCS).collect()
-        counted = train.select(F.col("text").cast("binary")).mapInArrow(_count(topics([None if r.text is None else r.text.encode() for r in some])), "word binary, topic int, n long")
+        counted = train.select(F.col("text").cast("binary")).mapInArrow(_count(topics(train)), "word binary, topic int, n long")
         by_topic = F.array(*(F.coalesce(F.sum(F.when(F.col("topic") == k, F.col("n"))), F.lit(0)) for k in range(_TOPICS)))
         words = counted.groupBy("word").agg(F.sum("n").alias("n"), by_topic.alias("in"))
         words = materialize(words.select("word", "n", (F.array_position("in", F.array_max("in")) - 1).cast("int").alias("topic")), "words")

@@ -95,3 +95,15 @@ def test_scores_do_not_depend_on_held_out_texts(spark):
     a = score(train + [(out[0], "one two three")])
     b = score(train + [(out[0], "one two three"), (out[1], "three two one zero " * 50)])
     assert a[out[0]] == b[out[0]]
+
+
+def test_topics_are_of_all_training_texts(spark, monkeypatch):
+    """Groups of texts without a common word share no centre, however few their texts are, and no bound on texts steers that."""
+    monkeypatch.setattr(maxent_lm, "TOPIC_DOCS", 1, raising=False)
+    groups = {"a": 150, "b": 40, "c": 3}
+    texts = [(g, " ".join(f"{g}{(i * 7 + j) % 11}" for j in range(30))) for g, n in groups.items() for i in range(n)]
+    taken = {}
+    monkeypatch.setattr(maxent_lm, "_count", lambda centres, of=maxent_lm._count: taken.setdefault("centres", centres) is not None and of(centres))
+    maxent_lm.score_texts(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)] + [(9000, None), (9001, "")], DOCS), F.lit(False))
+    own = {g: {int((taken["centres"] @ maxent_lm._profile(Counter(maxent_lm.tokens(t.encode())))).argmax()) for h, t in texts if h == g} for g in groups}
+    assert len(taken["centres"]) > 3 and sum(map(len, own.values())) == len(set().union(*own.values()))
