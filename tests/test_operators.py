@@ -1,5 +1,7 @@
 """Small cases of the operators: boundaries, nulls, ties and the order of rows."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +149,27 @@ def test_a_hot_query_makes_rows_in_proportion(spark):
     assert sizes[1] <= 2 * sizes[0]
 
 
+def test_a_conflict_by_key_counts_against_a_match_by_session(spark):
+    """As with pairs of rows, whichever way the two statements are met; and what was chosen is compared by itself."""
+    kind = "id long, plan_handle string, database_id long, session_id long, request_id long"
+    left = spark.createDataFrame([(1, "h", 1, 5, 0), (2, None, None, 6, 0), (3, "k", 1, None, None)], kind)
+    right = spark.createDataFrame([(10, "h", 2, None, None), (11, None, None, 5, 0), (12, None, None, 6, 0), (13, None, None, 6, 0), (14, "k", 1, None, None), (15, "k", 1, None, None)], kind).withColumn("actual", F.lit(True))
+    picked = spark.createDataFrame([(2, 13), (3, 14), (1, 11)], "l_id long, chosen long")
+    pairs = K.identity_match(left, right).withColumn("actual", F.lit(True))
+    by_pairs, by_class = (sorted((r.l_id, r.state, r.r_id, r.ties) for r in df.collect()) for df in (K.candidate_plan(pairs, picked), K.candidate_plans(left, right, picked)))
+    assert by_pairs == by_class == [(1, "blocked", None, 1), (2, "selected", 13, 2), (3, "selected", 14, 2)]
+
+
+def test_candidates_are_counted_in_one_pass(spark):
+    """No list is gathered, and no pair is shuffled to drop copies."""
+    kind = "id long, plan_handle string, sql_handle string, query_hash string, plan_hash string, session_id long, request_id long"
+    df = spark.createDataFrame([(1, "h", "s", "q", "p", 5, 0)], kind)
+    plan = re.sub(r"#\d+L?", "", K.candidate_plans(df, df.withColumn("actual", F.lit(True)), spark.createDataFrame([], "l_id long, chosen long"))._jdf.queryExecution().optimizedPlan().toString())
+    assert "collect_" not in plan and "Aggregate [l_cls, " in plan and "Aggregate [l_cls, r_cls]" not in plan
+    all_, named = K.identity_match(df, df).select("l_id", "r_id", "quality", "matched"), K.named_pairs(df, df, spark.createDataFrame([(1, 1), (1, 2)], "l_id long, r_id long"))
+    assert all_.collect() == named.select(*all_.columns).collect()
+
+
 def test_many_waiters_on_one_lock(spark):
     n = 100_000
     locks = spark.range(n).selectExpr("id as session_id", "case when id < 300 then 'GRANT' else 'WAIT' end as request_status", "'OBJECT' as resource_type", "5 as database_id", "1 as entity_id", "cast(null as string) as description")
