@@ -82,7 +82,7 @@ def _placed(v):
     roots = v.plan_stmts.groupBy(F.concat(F.lit("ctr-"), number % 5).alias("source_id")).agg(F.min_by("plan_handle", "statement_id").alias("plan_handle"))
     named = rows.where("plan_handle is not null").select("artifact_id", "plan_handle").unionByName(v.plan_stmts.select(F.col("plan_id").alias("artifact_id"), "plan_handle")).withColumn("source_id", source)
     tied = named.join(roots, ["source_id", "plan_handle"]).select("artifact_id").distinct()
-    reported = X.evidence_observations(rows, shapes).where("size(signals) > 0").select("artifact_id", F.explode("signals").alias("signal"), F.col("plan_handle").alias("own_handle"), source.alias("source_id"))
+    reported = X.report_signals(rows, shapes).select("artifact_id", "signal", F.col("plan_handle").alias("own_handle"), source.alias("source_id"))
     scoped = reported.join(roots, "source_id").select("artifact_id", "signal", F.coalesce(F.col("own_handle") == F.col("plan_handle"), F.lit(False)).alias("tied"))
     windows = v.samples.groupBy("source_id").agg((F.min("capture_s") + 60).alias("first_s"), (F.max("capture_s") - 200).alias("last_s"))
     return saved(E.placed_signals(signals, known, windows, tied, scoped), "placed")

@@ -2,6 +2,9 @@
 
 import itertools
 
+from pyspark.sql import functions as F
+
+from loadlens.functions import scalars as S
 from loadlens.operators import adapters as X
 from loadlens.operators import evidence as E
 
@@ -130,3 +133,16 @@ def test_artifacts_meet_their_rows_by_a_broadcast_and_flags_need_no_sort(spark):
     assert sorted((r.artifact_id, r.line, r.session_id, r.runnable, str(r["at"]), r.root_session_id) for r in rows.collect()) == [("a", 1, 7.0, 1000.0, "2024-01-01 00:00:15", 7.0), ("b", 1, 7.0, 1000.0, "2024-01-01 00:00:15", None)]
     plan = X.evidence_shape(rows)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_signals_of_rows_are_those_of_the_observations(spark):
+    rows = rows_of(spark, TABLES).cache()
+    shapes = X.evidence_shape(rows).cache()
+    told = {(r.artifact_id, s, r.plan_handle) for r in X.evidence_observations(rows, shapes).where("size(signals) > 0").collect() for s in r.signals}
+    assert {(r.artifact_id, r.signal, r.plan_handle) for r in X.report_signals(rows, shapes).collect()} == told and len(told) >= 7
+
+
+def test_numbers_with_and_without_units(spark):
+    texts = ["7", " 1,000 ", "2,048 KB", "90 %", "5 kb 7", "1,", "ms", "", None, "3s\t", "x9", "4\t", "1e3", "-5"]
+    got = [r.n for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(S.evidence_number(F.col("t")).alias("n")).collect()]
+    assert got == [7, 1000, 2048, 90, None, 1, None, None, None, 3, None, None, 1000, -5]
