@@ -99,3 +99,20 @@ def test_a_file_is_read_by_many_tasks(spark, tmp_path):
         assert delimited._raw(spark, str(tmp_path)).rdd.getNumPartitions() > 5
     finally:
         spark.conf.unset(SPLIT)
+
+
+def test_rows_of_one_line_are_split_where_they_are(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"a","b,c","d"\n"","","x"\r\n"","",""\n\n",",",",","\n')
+    (tmp_path / "b.csv").write_text("a;b\r\n1;2,5\n;\n")
+    (tmp_path / "c.csv").write_text('\n' * 100 + "a\tb\n1\t2\n")
+    (tmp_path / "d.csv").write_text("".join(f"{i},x\n" for i in range(500)))
+    rows = read_capture(spark, str(tmp_path))
+    want = {"a": [["a", "b,c", "d"], ["", "", "x"], [",", ",", ","]], "b": [["a", "b"], ["1", "2,5"]], "c": [["a", "b"], ["1", "2"]], "d": [[str(i), "x"] for i in range(500)]}
+    got = {n: [r.cells for r in sorted(rows.collect(), key=lambda r: r.line) if r.path[-5] == n] for n in want}
+    assert got == want
+    assert [r.line for r in rows.where("path like '%c.csv'").orderBy("line").collect()] == [100, 101]
+    assert "MapInArrow" not in rows._jdf.queryExecution().toString()
+    # one odd line takes the other way alone
+    (tmp_path / "d.csv").write_text("".join(f"{i},x\n" for i in range(500)) + 'a"",b\n1,"2""3"\nu\rv,w\n')
+    rows = read_capture(spark, str(tmp_path)).where("path like '%d.csv'").orderBy("line").collect()
+    assert [r.cells for r in rows] == [[str(i), "x"] for i in range(500)] + [["a", "b"], ["1", '2"3'], ["u"], ["v", "w"]]
