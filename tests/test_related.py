@@ -34,3 +34,14 @@ def test_all_holders_of_a_resource_are_matched(spark):
     pairs = lambda *roots: sorted((r.holder, r.waiter) for r in K.lock_resource_match(locks, *roots).collect())
     assert pairs() == [(1, 3), (1, 7), (2, 3), (2, 7), (7, 3)]
     assert pairs(locks.where("session_id = 7").select("session_id")) == [(7, 3)]
+
+
+def test_pairs_of_a_hot_resource_are_made_by_blocks(spark):
+    rows = [(s, "GRANT" if s % 3 else "WAIT", "KEY", 1, 5, "(k)") for s in range(60)] + [(s, "WAIT", "KEY", 1, 5, "(k)") for s in range(5)] + [(s, "WAIT", "KEY", 1, 5, None) for s in range(9)]
+    locks = spark.createDataFrame(rows, "session_id long, request_status string, resource_type string, database_id long, entity_id long, description string")
+    holders, waiters = {r[0] for r in rows if r[1] == "GRANT"}, {r[0] for r in rows if r[1] == "WAIT" and r[5]}
+    got = K.lock_resource_match(locks, size=8)
+    assert sorted((r.holder, r.waiter) for r in got.collect()) == sorted((h, w) for h in holders for w in waiters if h != w)
+    # rows of pairs come of blocks, after the last join
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(waiters") < plan.index("Join")
